@@ -61,7 +61,7 @@ def _masked(value: Any) -> Any:
     return [_masked(v) for v in value] if isinstance(value, list) else value
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def mask_json(texts: pd.Series) -> pd.Series:
     """JSON object text with sensitive values masked at any depth.
 

@@ -200,12 +200,14 @@ def date_range(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def date_profile(df: DataFrame, columns: Sequence[str], formats: dict[str, str] | None = None) -> DataFrame:
     """Granularity, format, range, gaps and distinct days of each date column."""
     spans = date_spans(df, columns, formats).withColumn("granularity", granularity_of(F.col("days")))
+
+    def printed_as(pattern: str) -> Column:
+        return F.transform("days", lambda d: F.date_format(_day(d), pattern))
+
     printed = F
     for name, pattern in D.PRINT_PATTERN.items():
-        printed = printed.when(
-            F.col("date_format") == name, F.transform("days", lambda d, p=pattern: F.date_format(_day(d), p))
-        )
-    printed = printed.otherwise(F.transform("days", lambda d: F.date_format(_day(d), "yyyy-MM-dd")))
+        printed = printed.when(F.col("date_format") == name, printed_as(pattern))
+    printed = printed.otherwise(printed_as("yyyy-MM-dd"))
     shown = "yyyy-MM-dd HH:mm:ss"
     return spans.select(
         "column",

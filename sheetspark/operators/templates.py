@@ -12,11 +12,12 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .unions import union_axes
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _regex_hits(patterns: pd.Series, available: pd.Series) -> pd.Series:
     """First available column each pattern is found in; a bad pattern finds none."""
 

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from ..functions import numbers
 from ..functions.numbers import finite, to_number
-from ..functions.text import as_text, ident, is_empty, is_fractional, is_numeric, is_temporal
+from ..functions.text import as_text, ident, is_empty, is_fractional, is_numeric, is_temporal, special_only
 from . import dates
 from .order import row_index
 from .quantiles import exact_quantiles
@@ -383,15 +383,14 @@ def special_characters(df: DataFrame, columns: Sequence[str], order_by: str) ->
     """
     cells = []
     for c in columns:
-        value = as_text(ident(c), _dtype(df, c))
-        found = F.array_distinct(F.split(F.regexp_replace(value, "[a-zA-Z0-9 ]", ""), ""))
-        cells.append(F.struct(F.lit(c).alias("column"), value.alias("value"), found.alias("found")))
+        special = special_only(as_text(ident(c), _dtype(df, c)))
+        cells.append(F.struct(F.lit(c).alias("column"), special.alias("special")))
     per_cell = (
         df.select(ident(order_by).alias("ord"), F.inline(F.array(*cells)))
-        .select("ord", "column", "value", F.explode("found").alias("character"))
+        .select("ord", "column", "special", F.explode(F.array_distinct(F.split("special", ""))).alias("character"))
         .where("character <> ''")
     )
-    times = F.length("value") - F.length(F.replace(F.col("value"), F.col("character"), F.lit("")))
+    times = F.length("special") - F.length(F.replace(F.col("special"), F.col("character"), F.lit("")))
     stats = per_cell.groupBy("column", "character").agg(
         F.sum(times).alias("total_occurrences"),
         F.count("*").alias("rows_containing"),
@@ -418,7 +417,7 @@ def special_character_totals(df: DataFrame, columns: Sequence[str]) -> DataFrame
     aggregates = []
     for i, c in enumerate(columns):
         value = as_text(ident(c), _dtype(df, c))
-        special = F.length(F.regexp_replace(value, "[a-zA-Z0-9 ]", ""))
+        special = F.length(special_only(value))
         aggregates += [
             F.count_if(_known(ident(c), _dtype(df, c)).isNull()).alias(f"b{i}"),
             F.coalesce(F.sum(special), F.lit(0)).cast("long").alias(f"s{i}"),

@@ -56,6 +56,8 @@ def exact_quantiles(
                 ranks[i, j] = (floor(place), ceil(place), place - floor(place))
                 found = sketch[f"q{i}"]
                 brackets[i, j] = (found[j], found[len(probs) + j])
+    if not ranks:
+        return {c: [None] * len(probs) for c in columns}
     counts = numbers.agg(
         *[F.count_if(F.col(f"v{i}") < lo).alias(f"below_{i}_{j}") for (i, j), (lo, _) in brackets.items()],
         *[F.count_if(F.col(f"v{i}") <= hi).alias(f"upto_{i}_{j}") for (i, j), (_, hi) in brackets.items()],
@@ -87,7 +89,7 @@ def exact_quantiles(
             hit = (F.col("i") == i) & (F.col("j") == j) & (F.col("upto") > rank) & (F.col("upto") - F.col("n") <= rank)
             wanted = hit if wanted is None else wanted | hit
     picked: dict[tuple[int, int], list[tuple[int, int, float]]] = {}
-    for row in ranked.where(wanted).collect() if wanted is not None else []:
+    for row in ranked.where(wanted).collect():
         picked.setdefault((row["i"], row["j"]), []).append((row["upto"] - row["n"], row["upto"], row["v"]))
     result = {}
     for i, name in enumerate(columns):

@@ -50,7 +50,9 @@ def run_pandas_step(
     largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
     if largest > max_group_rows:
         raise ValueError(f"largest group has {largest} rows (limit {max_group_rows}); run on batches or split the key")
-    return df.groupBy(*keys).applyInPandas(step, schema)
+    # Python is the cost here, so use every core and not the row volume's few tasks.
+    spread = df.repartition(df.sparkSession.sparkContext.defaultParallelism, *keys)
+    return spread.groupBy(*keys).applyInPandas(step, schema)
 
 
 def check_result_size(df: DataFrame, limit: int = MAX_RESULT_ROWS) -> DataFrame:

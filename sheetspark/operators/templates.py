@@ -38,6 +38,11 @@ def _regex_hits(patterns: pd.Series, available: pd.Series) -> pd.Series:
     )
 
 
+# Declared non-deterministic only so that a later filter on the result does not
+# make Spark run the Python part a second time.
+_regex_hits = _regex_hits.asNondeterministic()
+
+
 def match_map(wanted: Column, patterns: Column, available: Column) -> tuple[Column, Column]:
     """Regex hits (to be kept as ``__hits``) and the map wanted -> available or null.
 

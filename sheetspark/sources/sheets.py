@@ -158,17 +158,11 @@ def locate(catalog: DataFrame, kind: str, file_name: str, sheet_name: str) -> Da
 
 def locate_all(catalog: DataFrame, wanted: DataFrame) -> DataFrame:
     """Path of many (kind, file_name, sheet_name) at once; null when absent."""
-    exact = catalog.groupBy("file_type", "file_name", "sheet_name").agg(F.min("path").alias("exact"))
-    anywhere = (
-        catalog.where("file_type = 'concatenated'").groupBy("file_type", "sheet_name").agg(F.min("path").alias("anywhere"))
-    )
-    return (
-        wanted.join(exact, ["file_type", "file_name", "sheet_name"], "left")
-        .join(anywhere, ["file_type", "sheet_name"], "left")
-        .select(
-            *map(ident, wanted.columns),
-            F.when(F.col("file_type") == "concatenated", F.col("anywhere")).otherwise(F.col("exact")).alias("path"),
-        )
-    )
-
-
+    anywhere = F.col("file_type") == "concatenated"
+    place = F.when(anywhere, F.lit("")).otherwise(F.col("file_name")).alias("__place")
+    keys = ["file_type", "__place", "sheet_name"]
+    asked = wanted.select("*", place)
+    # The semi-join drops the rest of the catalog before its paths are compared.
+    listed = catalog.select("file_type", place, "sheet_name", "path").join(asked.select(*keys).distinct(), keys, "left_semi")
+    first = listed.groupBy(*keys).agg(F.min("path").alias("path"))
+    return asked.join(first, keys, "left").select(*map(ident, wanted.columns), "path")

@@ -100,28 +100,29 @@ def group_dates(value: Column, grouping: str) -> Column:
 def date_spans(df: DataFrame, columns: Sequence[str], formats: dict[str, str] | None = None) -> DataFrame:
     """Per column: sorted distinct day numbers, first and last timestamp, format.
 
-    One aggregate serves all columns.
+    One pass serves all columns.
     """
     formats = formats or detect_date_formats(df, columns)
-    stamps = df.select(*[as_timestamp(df, c, formats[c]).alias(f"t{i}") for i, c in enumerate(columns)])
-    aggregates = []
-    for i in range(len(columns)):
-        aggregates += [
-            F.sort_array(F.collect_set(F.unix_date(F.col(f"t{i}").cast("date")))).alias(f"d{i}"),
-            F.min(f"t{i}").alias(f"lo{i}"),
-            F.max(f"t{i}").alias(f"hi{i}"),
-        ]
-    structs = [
-        F.struct(
-            F.lit(c).alias("column"),
-            F.lit(formats[c]).alias("date_format"),
-            F.col(f"d{i}").alias("days"),
-            F.col(f"lo{i}").alias("first"),
-            F.col(f"hi{i}").alias("last"),
-        )
-        for i, c in enumerate(columns)
-    ]
-    return stamps.agg(*aggregates).select(F.inline(F.array(*structs)))
+    stamps = F.array(
+        *[F.struct(F.lit(i).alias("i"), as_timestamp(df, c, formats[c]).alias("t")) for i, c in enumerate(columns)]
+    )
+    # Days are made distinct over all tasks before one list per column is built.
+    days = (
+        df.select(F.inline(stamps))
+        .where("t is not null")
+        .groupBy("i", F.unix_date(F.col("t").cast("date")).alias("day"))
+        .agg(F.min("t").alias("first"), F.max("t").alias("last"))
+    )
+    spans = days.groupBy("i").agg(
+        F.sort_array(F.collect_list("day")).alias("days"), F.min("first").alias("first"), F.max("last").alias("last")
+    )
+    names = df.sparkSession.createDataFrame(
+        [(i, c, formats[c]) for i, c in enumerate(columns)], "i int, column string, date_format string"
+    )
+    none = F.array().cast("array<int>")
+    return names.join(spans, "i", "left").select(
+        "column", "date_format", F.coalesce("days", none).alias("days"), "first", "last"
+    )
 
 
 def granularity_of(days: Column) -> Column:

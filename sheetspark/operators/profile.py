@@ -18,7 +18,7 @@ from ..functions import numbers
 from ..functions.numbers import finite, to_number
 from ..functions.text import as_text, ident, is_empty, is_fractional, is_numeric, is_temporal, special_only
 from . import dates
-from .order import row_index
+from .order import PART, POS, range_ordered, row_index, running
 from .quantiles import exact_quantiles
 from .types import dtype_label, eda_label, long_rows
 
@@ -68,6 +68,11 @@ def missing_stats(df: DataFrame) -> DataFrame:
     return long_rows(row, structs).where("missing_count > 0")
 
 
+def _identity(value: Column, dtype: T.DataType) -> Column:
+    """Text that is equal exactly where the cells are; -0.0 equals 0.0."""
+    return (value + F.lit(0.0)).cast("string") if is_fractional(dtype) else as_text(value, dtype)
+
+
 def distinct_count(
     df: DataFrame, columns: Sequence[str] | None = None, coerce: Sequence[str] = (), approximate: bool = False
 ) -> DataFrame:
@@ -77,9 +82,9 @@ def distinct_count(
         *[
             F.struct(
                 F.lit(i).alias("i"),
-                as_text(to_number(ident(c), _dtype(df, c)), T.DoubleType())
+                _identity(to_number(ident(c), _dtype(df, c)), T.DoubleType())
                 if c in coerce
-                else as_text(_known(ident(c), _dtype(df, c)), _dtype(df, c)),
+                else _identity(_known(ident(c), _dtype(df, c)), _dtype(df, c)),
             ).cast("struct<i:int,v:string>")
             for i, c in enumerate(columns)
         ]
@@ -107,10 +112,24 @@ def _value_stats(df: DataFrame, columns: Sequence[str], order_by: str, shown: di
     )
 
 
+# Up to this rank Spark cuts every task to the first rows before the shuffle.
+PRUNED_RANK = 1000
+
+
 def _first_of_each(df: DataFrame, n: int, *order: Column) -> DataFrame:
-    """First n rows of each column; Spark cuts to n per task before the shuffle."""
-    window = Window.partitionBy("column").orderBy(*order)
-    return df.withColumn("position", F.row_number().over(window)).where(F.col("position") <= n)
+    """First n rows of each column, with their ``position`` from 1.
+
+    Small n: a row number that Spark prunes inside each task. Large n: rows are
+    range-sorted and counted over the task borders, so that no task holds all
+    values of a column either way.
+    """
+    if n <= PRUNED_RANK:
+        window = Window.partitionBy("column").orderBy(*order)
+        ranked = df.withColumn("position", F.row_number().over(window))
+    else:
+        ordered = range_ordered(df, ["column", *order])
+        ranked = running(ordered, ["column"], {"position": ("count", F.lit(1))}).drop(PART, POS)
+    return ranked.where(F.col("position") <= n).withColumn("position", F.col("position").cast("int"))
 
 
 def distinct_head(df: DataFrame, columns: Sequence[str], order_by: str, n: int = 100) -> DataFrame:
@@ -208,40 +227,63 @@ def auto_bins(count: int, low: float, high: float, iqr: float, whole_numbers: bo
     return low, high, max(1, ceil(span / width))
 
 
-def histogram(df: DataFrame, column: str) -> DataFrame:
-    """(bin, lower, upper, occurrences) with automatically chosen equal bins.
+def histograms(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, bin, lower, upper, occurrences) with automatically chosen equal bins.
 
-    Two jobs: statistics that fix the edges, then a count per bin. A value
-    belongs to the bin whose edges enclose it; only the last bin is closed.
+    Shared passes for all columns: statistics and quartiles fix the edges, then
+    one count per bin. A value belongs to the bin whose edges enclose it; only
+    the last bin is closed. Columns without finite range have no bins.
     """
-    value = _known(ident(column).cast("double"), T.DoubleType())
-    stats = df.agg(F.count(value).alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi")).first()
-    schema = "bin long, lower double, upper double, occurrences long"
-    if not stats["n"] or abs(stats["lo"]) == float("inf") or abs(stats["hi"]) == float("inf"):
-        return df.sparkSession.createDataFrame([], schema)
-    q1, q3 = exact_quantiles(df, [column], [0.25, 0.75])[column]
-    whole = isinstance(_dtype(df, column), T.IntegralType)
-    first, last, bins = auto_bins(stats["n"], stats["lo"], stats["hi"], q3 - q1, whole)
-    step = (last - first) / bins
-
-    def edge(i: Column) -> Column:
-        return F.when(i == bins, F.lit(last)).otherwise(i * F.lit(step) + F.lit(first))
-
-    guess = F.least(F.floor((value - first) * (bins / (last - first))), F.lit(bins - 1)).cast("long")
-    lowered = F.when(value < edge(F.col("__g")), F.col("__g") - 1).otherwise(F.col("__g"))
-    placed = F.when((value >= edge(F.col("__g") + 1)) & (F.col("__g") < bins - 1), F.col("__g") + 1).otherwise(lowered)
-    counts = (
-        df.withColumn("__g", guess).where(F.col("__g").isNotNull()).groupBy(placed.alias("bin")).agg(F.count("*").alias("n"))
+    columns = list(columns)
+    spark, schema = df.sparkSession, "column string, bin long, lower double, upper double, occurrences long"
+    values = df.select(
+        *[_known(ident(c).cast("double"), T.DoubleType()).alias(f"v{i}") for i, c in enumerate(columns)]
     )
-    every = df.sparkSession.range(bins).withColumnRenamed("id", "bin")
-    return every.join(counts, "bin", "left").select(
+    stats = values.agg(
+        *[f(f"v{i}").alias(f"{n}{i}") for i in range(len(columns)) for n, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]
+    ).first()
+    usable = [
+        i for i in range(len(columns)) if stats[f"n{i}"] and abs(stats[f"lo{i}"]) < float("inf") and abs(stats[f"hi{i}"]) < float("inf")
+    ]
+    if not usable:
+        return spark.createDataFrame([], schema)
+    quartiles = exact_quantiles(df, [columns[i] for i in usable], [0.25, 0.75])
+    shapes = []
+    for i in usable:
+        q1, q3 = quartiles[columns[i]]
+        whole = isinstance(_dtype(df, columns[i]), T.IntegralType)
+        first, last, bins = auto_bins(stats[f"n{i}"], stats[f"lo{i}"], stats[f"hi{i}"], q3 - q1, whole)
+        shapes.append((i, columns[i], first, last, bins, (last - first) / bins))
+
+    def edge(i: Column, first, last, bins, step) -> Column:
+        return F.when(i == bins, last).otherwise(i * step + first)
+
+    cells = []
+    for i, _, first, last, bins, step in shapes:
+        shape = [F.lit(x) for x in (first, last, bins, step)]
+        value = F.col(f"v{i}")
+        guess = F.least(F.floor((value - first) * (bins / (last - first))), F.lit(bins - 1)).cast("long")
+        lowered = F.when(value < edge(guess, *shape), guess - 1).otherwise(guess)
+        placed = F.when((value >= edge(guess + 1, *shape)) & (guess < bins - 1), guess + 1).otherwise(lowered)
+        cells.append(F.when(value.isNotNull(), F.struct(F.lit(i).alias("i"), placed.alias("bin"))))
+    counts = values.select(F.inline(F.array_compact(F.array(*cells)))).groupBy("i", "bin").agg(F.count("*").alias("n"))
+    edges = spark.createDataFrame(shapes, "i int, column string, first double, last double, bins long, step double")
+    every = edges.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bins") - 1)).alias("bin"))
+    shape = [F.col(c) for c in ("first", "last", "bins", "step")]
+    return every.join(counts, ["i", "bin"], "left").select(
+        "column",
         "bin",
-        edge(F.col("bin")).alias("lower"),
-        edge(F.col("bin") + 1).alias("upper"),
+        edge(F.col("bin"), *shape).alias("lower"),
+        edge(F.col("bin") + 1, *shape).alias("upper"),
         F.coalesce("n", F.lit(0)).cast("long").alias("occurrences"),
     )
 
 
+def histogram(df: DataFrame, column: str) -> DataFrame:
+    """(bin, lower, upper, occurrences) of one column."""
+    return histograms(df, [column]).drop("column")
+
+
 # Above this many columns the pairs no longer fit one generated aggregate.
 PAIR_COLUMNS = 24
 
@@ -436,34 +478,43 @@ def special_character_totals(df: DataFrame, columns: Sequence[str]) -> DataFrame
 def column_profile(df: DataFrame, order_by: str, columns: Sequence[str] | None = None, values: int = 100) -> DataFrame:
     """One row per column: emptiness, types, and the statistics of its type.
 
-    A column is numeric when any cell is a number, else a date when its voted
+    One pass yields all fixed-size statistics, the others serve all columns at
+    once: format votes, distinct values, first values, days. A column is numeric when any cell is a number, else a date when its voted
     format parses any cell, else a string.
     """
-    columns = [c for c in (columns or df.columns)]
-    first = df.agg(
-        *[F.count(to_number(ident(c), _dtype(df, c))).alias(f"n{i}") for i, c in enumerate(columns)]
-    ).first()
-    numeric = [c for i, c in enumerate(columns) if first[f"n{i}"]]
+    columns = list(columns or df.columns)
+    fixed = []
+    for i, c in enumerate(columns):
+        dtype = _dtype(df, c)
+        number = to_number(ident(c), dtype)
+        cell = finite(ident(c)) if is_fractional(dtype) else ident(c)
+        fixed += [
+            F.count_if(is_empty(cell, dtype)).alias(f"empty{i}"),
+            F.count(_known(ident(c), dtype)).alias(f"known{i}"),
+            F.count(number).alias(f"numbers{i}"),
+            F.min(finite(number)).alias(f"min{i}"),
+            F.max(finite(number)).alias(f"max{i}"),
+            F.avg(finite(number)).alias(f"avg{i}"),
+        ]
+    # One value per column and statistic: this row grows with the sheet's width only.
+    stats = df.agg(*fixed).first()
+    numeric = [c for i, c in enumerate(columns) if stats[f"numbers{i}"]]
     rest = [c for c in columns if c not in numeric and (is_temporal(_dtype(df, c)) or isinstance(_dtype(df, c), T.StringType))]
     formats = dates.detect_date_formats(df, rest)
     dated = [c for c in rest if formats[c] != "Unknown"]
-    kinds = {c: "numeric" if c in numeric else "datetime" if c in dated else "string" for c in columns}
-    labels = [
-        F.struct(F.lit(c).alias("column"), F.lit(dtype_label(_dtype(df, c))).alias("data_type"), F.lit(kinds[c]).alias("type"))
-        for c in columns
-    ]
-    base = null_profile(df, columns).select(
-        "column",
-        "empty_count",
-        *[F.element_at(F.filter(F.array(*labels), lambda s: s["column"] == F.col("column")), 1)[f].alias(f) for f in ("data_type", "type")],
-    )
-    counts = distinct_count(df, columns, coerce=numeric)
-    heads = distinct_head(df, [c for c in columns if c not in dated], order_by, values) if len(dated) < len(columns) else None
-    result = base.join(counts.withColumnRenamed("unique_values", "__unique"), "column")
-    if numeric:
-        result = result.join(numeric_summary(df, numeric), "column", "left")
-    else:
-        result = result.selectExpr("*", *[f"cast(null as double) {n}" for n in ("min", "max", "average", "parse_ratio")])
+    lines = []
+    for i, c in enumerate(columns):
+        kind = "numeric" if c in numeric else "datetime" if c in dated else "string"
+        summary = [stats[f"{n}{i}"] if c in numeric else None for n in ("min", "max", "avg")]
+        ratio = stats[f"numbers{i}"] / stats[f"known{i}"] if c in numeric else None
+        lines.append((c, dtype_label(_dtype(df, c)), kind, stats[f"empty{i}"], *summary, ratio))
+    base = df.sparkSession.createDataFrame(
+        lines, "column string, data_type string, type string, empty_count long, min double, max double, average double, parse_ratio double"
+    ).withColumns({n: numbers.two_decimals(F.col(n)) for n in ("min", "max", "average")})
+    counts = distinct_count(df, columns, coerce=numeric).withColumnRenamed("unique_values", "__unique")
+    result = base.join(counts, "column")
+    listed = [c for c in columns if c not in dated]
+    heads = distinct_head(df, listed, order_by, values) if listed else None
     if dated:
         profile = dates.date_profile(df, dated, {c: formats[c] for c in dated}).selectExpr(
             "column", "granularity", "date_format", "min_date", "max_date", "missing_dates",
@@ -517,9 +568,8 @@ def eda_report(df: DataFrame, order_by: str) -> DataFrame:
             ["column"], ["mean", "median", "std", "min", "max"], "item", "number"
         )
         parts.append(rows(stats, "numerical_stats", F.col("column"), F.col("item"), F.col("number"), none))
-        for c in numbers_in:
-            bars = histogram(df, c)
-            parts.append(rows(bars, "histogram", F.lit(c), F.col("lower"), F.col("occurrences"), F.col("upper")))
+        bars = histograms(df, numbers_in)
+        parts.append(rows(bars, "histogram", F.col("column"), F.col("lower"), F.col("occurrences"), F.col("upper")))
     if texts_in:
         uniques = distinct_count(df, texts_in)
         parts.append(rows(uniques, "categorical_stats", F.col("column"), F.lit("unique_values"), F.col("unique_values"), none))

@@ -72,11 +72,11 @@ def sniff_types(df: DataFrame, order_by: str | Column) -> DataFrame:
     )
 
 
-def coerce_numeric(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Text columns become numbers where every non-null cell is one.
+BOOLEAN_TEXTS = ["True", "False", "TRUE", "FALSE", "true", "false"]
 
-    One aggregate decides for all columns; whole numbers become longs.
-    """
+
+def _restore_types(df: DataFrame, columns: Sequence[str] | None, booleans: bool) -> DataFrame:
+    """Types of text columns by one aggregate over all of them."""
     texts = [
         f.name
         for f in df.schema.fields
@@ -92,12 +92,29 @@ def coerce_numeric(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
             F.count(ident(column)).alias(f"n{i}"),
             F.count(number).alias(f"d{i}"),
             F.count_if(whole).alias(f"l{i}"),
+            F.count_if(ident(column).isin(BOOLEAN_TEXTS)).alias(f"b{i}"),
         ]
     row = df.agg(*checks).first()
     changes = {}
     for i, column in enumerate(texts):
-        if row[f"n{i}"] and row[f"l{i}"] == row[f"n{i}"]:
+        known = row[f"n{i}"]
+        if known and row[f"l{i}"] == known:
             changes[column] = F.trim(ident(column)).try_cast("long")
-        elif row[f"n{i}"] and row[f"d{i}"] == row[f"n{i}"]:
+        elif known and row[f"d{i}"] == known:
             changes[column] = numbers.to_number(ident(column))
+        elif known and booleans and row[f"b{i}"] == known:
+            changes[column] = F.lower(ident(column)) == "true"
     return rewrite(df, changes)
+
+
+def coerce_numeric(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """Text columns become numbers where every non-null cell is one.
+
+    One aggregate decides for all columns; whole numbers become longs.
+    """
+    return _restore_types(df, columns, booleans=False)
+
+
+def infer_types(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """Like :func:`coerce_numeric`, and columns of true/false become booleans."""
+    return _restore_types(df, columns, booleans=True)

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from ..functions.text import file_basename, ident
 from ..operators.clean import rewrite
 from ..operators.order import source_order
-from ..operators.types import coerce_numeric, sniff_types
+from ..operators.types import infer_types, sniff_types
 from ..operators.unions import union_all
 
 MAX_COLUMNS = 20_000
@@ -46,16 +46,7 @@ def typed(df: DataFrame) -> DataFrame:
     """Null tokens to null, then numbers and booleans where a column is all that."""
     texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     cleared = rewrite(df, {c: F.when(~ident(c).isin(NULL_TOKENS), ident(c)) for c in texts})
-    numeric = coerce_numeric(cleared)
-    texts = [f.name for f in numeric.schema.fields if isinstance(f.dataType, T.StringType)]
-    if not texts:
-        return numeric
-    row = numeric.agg(
-        *[F.count(ident(c)).alias(f"n{i}") for i, c in enumerate(texts)],
-        *[F.count_if(ident(c).isin("True", "False", "TRUE", "FALSE", "true", "false")).alias(f"b{i}") for i, c in enumerate(texts)],
-    ).first()
-    flags = [c for i, c in enumerate(texts) if row[f"n{i}"] and row[f"n{i}"] == row[f"b{i}"]]
-    return rewrite(numeric, {c: F.lower(ident(c)) == "true" for c in flags})
+    return infer_types(cleared)
 
 
 def preview_raw(df: DataFrame, order_by: str | Column, cap: int | None = 1000) -> tuple[DataFrame, DataFrame]:

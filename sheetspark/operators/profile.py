@@ -69,8 +69,15 @@ def missing_stats(df: DataFrame) -> DataFrame:
 
 
 def _identity(value: Column, dtype: T.DataType) -> Column:
-    """Text that is equal exactly where the cells are; -0.0 equals 0.0."""
-    return (value + F.lit(0.0)).cast("string") if is_fractional(dtype) else as_text(value, dtype)
+    """Text that is equal where the cells are; -0.0 equals 0.0.
+
+    Long cells are stood for by a 256-bit digest, so that a column of documents
+    does not send its text through the shuffle.
+    """
+    if is_fractional(dtype):
+        return (value + F.lit(0.0)).cast("string")
+    shown = as_text(value, dtype)
+    return F.when(F.octet_length(shown) > 64, F.sha2(shown, 256)).otherwise(shown)
 
 
 def distinct_count(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.dates import print_like
 from ..operators import dates, order, profile
 from .cleaning import DIRTY_SQL, TEXT_SQL, dirty_events, text_values
 from .registry import Tables, query
@@ -255,12 +256,23 @@ def add_dates_year_first(t: Tables):
     return dates.add_date_columns(_text_dates(t, "yyyy/MM/dd"), ["day"]).select("o_orderkey", "day_month_year", "day_month")
 
 
+@query("SELECT o_orderkey, strftime(o_orderdate, '%m.%d.%Y') AS dotted, strftime(o_orderdate, '%Y-%m-%d') AS iso FROM orders")
+def print_dates(t: Tables):
+    """Text dates parsed by their voted format and printed in others."""
+    texts = _text_dates(t, "dd-MM-yyyy")
+    stamp = dates.as_timestamp(texts, "day", dates.detect_date_formats(texts, ["day"])["day"])
+    return texts.select(
+        "o_orderkey", print_like(stamp, "MM.DD.YYYY").alias("dotted"), print_like(stamp, "Unknown").alias("iso")
+    )
+
+
 _GRANULARITY = """SELECT 'day' AS "column", 'daily' AS granularity UNION ALL SELECT 'month', 'monthly' UNION ALL SELECT 'year', 'yearly'"""
 
 
 def _granular(t: Tables):
     day = F.col("o_orderdate")
-    return t.orders.where("quarter(o_orderdate) <> 2 AND year(o_orderdate) <> 1997").select(
+    kept = F.when((F.quarter(day) != 2) & (F.year(day) != 1997), day)
+    return t.orders.select(kept.alias("o_orderdate")).select(
         F.date_format(F.when(F.dayofmonth(day) % 5 != 0, day), "yyyy-MM-dd").alias("day"),
         F.date_format(F.trunc(day, "month"), "yyyy-MM-dd").alias("month"),
         F.date_format(F.trunc(day, "year"), "yyyy-MM-dd").alias("year"),
@@ -304,7 +316,7 @@ SELECT 'day' AS "column", 'daily' AS granularity, 'MM-DD-YYYY' AS date_format, s
   string_agg(strftime(d, '%m-%d-%Y'), '|' ORDER BY d) AS unique_elements, count(*) AS unique_values FROM d"""
 )
 def date_profile(t: Tables):
-    gaps = t.events.where("day(ts) % 5 <> 0").select(F.date_format("ts", "MM-dd-yyyy").alias("day"))
+    gaps = t.events.select(F.date_format(F.when(F.dayofmonth("ts") % 5 != 0, F.col("ts")), "MM-dd-yyyy").alias("day"))
     lists = {c: F.array_join(c, "|") for c in ("missing_dates", "unique_elements")}
     return dates.date_profile(gaps, ["day"]).withColumns(lists)
 

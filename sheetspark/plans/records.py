@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import numbers
-from ..operators import audit, catalog, chart, tables, templates
+from ..operators import audit, catalog, chart, filters, tables, templates, unions
 from .registry import Tables, query
 
 
@@ -32,6 +32,17 @@ def deep_page(t: Tables):
     return tables.page(lines, lines.columns, last - 1, 500).select("l_orderkey", "l_linenumber", "l_partkey")
 
 
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10")
+def head_rows(t: Tables):
+    return tables.head(t.orders.select("o_orderkey", "o_totalprice"), 10, [F.col("o_totalprice").desc(), "o_orderkey"])
+
+
+@query("SELECT o_orderkey, CAST(o_orderdate AS VARCHAR) AS day FROM orders")
+def recent_first(t: Tables):
+    listed = tables.recent_first(t.orders.select("o_orderkey", "o_orderdate"), "o_orderdate", "o_orderkey")
+    return listed.select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("day"))
+
+
 @query(
     """SELECT user_id, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn
   FROM events) WHERE rn = 1"""
@@ -41,7 +52,7 @@ def latest_per_key(t: Tables):
 
 
 _BATCH = """b AS (SELECT c_custkey * 2 AS c_custkey, any_value(c_name) AS c_name, max(c_acctbal) AS c_acctbal
-  FROM customer WHERE c_custkey % 4 = 0 GROUP BY ALL)"""
+  FROM customer WHERE c_mktsegment = 'BUILDING' GROUP BY ALL)"""
 
 
 @query(
@@ -50,7 +61,7 @@ UNION ALL SELECT c_custkey, c_name || ' new', c_acctbal, c_custkey NOT IN (SELEC
 )
 def upsert(t: Tables):
     table = t.customer.select("c_custkey", "c_name", "c_acctbal")
-    batch = t.customer.where("c_custkey % 4 = 0").selectExpr("c_custkey * 2 AS c_custkey", "c_name || ' new' AS c_name", "c_acctbal", "1 AS at")
+    batch = t.customer.where("c_mktsegment = 'BUILDING'").selectExpr("c_custkey * 2 AS c_custkey", "c_name || ' new' AS c_name", "c_acctbal", "1 AS at")
     older = batch.withColumn("c_name", F.lit("older")).withColumn("at", F.lit(0))
     return tables.upsert(table, batch.unionAll(older), ["c_custkey"], order_by=["at"])
 
@@ -204,14 +215,14 @@ def mask_typed(t: Tables):
 @query(
     """WITH e AS (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN user_id END AS pu, CASE WHEN event_id % 2 = 0 THEN user_id + 1 END AS qu, event_id % 40 AS pid,
   value, event_type FROM events),
-k AS (SELECT c_custkey AS u FROM customer WHERE c_custkey % 5 <> 0)
+k AS (SELECT c_custkey AS u FROM customer WHERE c_acctbal >= 0)
 SELECT event_id AS request_id, coalesce(a.u, b.u, pid % 7) AS user_id, '/api/' || event_type AS endpoint, CAST(200 AS INTEGER) AS response_status,
   CAST(trunc(value) AS BIGINT) AS duration_ms, 'kpi' AS file_type, CAST(1 AS INTEGER) AS headers
 FROM e LEFT JOIN k a ON a.u = pu LEFT JOIN k b ON b.u = qu"""
 )
 def build_log(t: Tables):
-    users = t.customer.where("c_custkey % 5 <> 0").selectExpr("c_custkey AS user_id")
-    projects = t.customer.where("c_custkey < 40").selectExpr("c_custkey AS project_id", "c_custkey % 7 AS user_id")
+    users = t.customer.where("c_acctbal >= 0").selectExpr("c_custkey AS user_id")
+    projects = t.customer.selectExpr("c_custkey AS project_id", "c_custkey % 7 AS user_id")
     requests = t.events.selectExpr(
         "event_id AS request_id",
         "concat('/api/', event_type) AS path",
@@ -260,7 +271,7 @@ SHARES_SQL = """shares AS (SELECT o_orderkey AS share_id, o_custkey AS project_i
     f"""WITH {SHARES_SQL}, r AS (SELECT share_id AS request_id, shared_with AS user_id, project_id,
   CASE WHEN share_id % 4 < 2 THEN file_type END AS file_type, CASE WHEN share_id % 4 < 2 THEN file_name END AS file_name,
   CASE WHEN share_id % 4 = 0 THEN sheet_name END AS sheet_name FROM shares),
-p AS (SELECT c_custkey AS project_id, c_custkey % 50 AS owner FROM customer WHERE c_custkey % 11 <> 0),
+p AS (SELECT c_custkey AS project_id, c_custkey % 50 AS owner FROM customer WHERE c_acctbal >= 0),
 l AS (SELECT *, CASE permission_level WHEN 'view' THEN 1 WHEN 'edit' THEN 2 ELSE 3 END AS k FROM shares WHERE is_active),
 g AS (SELECT request_id, max(k) AS k FROM r JOIN l ON l.project_id = r.project_id AND l.shared_with = r.user_id
   AND CASE WHEN r.file_type IS NULL THEN l.share_type = 'project'
@@ -280,7 +291,7 @@ def permissions(t: Tables):
         "CASE WHEN share_id % 4 < 2 THEN file_name END AS file_name",
         "CASE WHEN share_id % 4 = 0 THEN sheet_name END AS sheet_name",
     )
-    projects = t.customer.where("c_custkey % 11 <> 0").selectExpr("c_custkey AS project_id", "c_custkey % 50 AS user_id")
+    projects = t.customer.where("c_acctbal >= 0").selectExpr("c_custkey AS project_id", "c_custkey % 50 AS user_id")
     return catalog.effective_permission(requests, projects, granted).select("request_id", "project_id", "permission_level")
 
 
@@ -301,6 +312,12 @@ def shared_items(t: Tables):
     return catalog.share_scoped(items, shares(t)).select("share_id", "shared_with", "item")
 
 
+@query(f"WITH {SHARES_SQL} SELECT share_id, permission_level FROM shares WHERE is_active AND shared_with = 7")
+def active_shares(t: Tables):
+    mine = filters.filter_equal(shares(t), {"shared_with": 7})
+    return filters.active_only(mine).select("share_id", "permission_level")
+
+
 @query(
     f"""WITH {SHARES_SQL} SELECT share_id, shared_with, c_name AS project_name, s_name AS shared_by_name,
   CASE WHEN share_type = 'file' THEN file_name END AS file_name, permission_level FROM shares
@@ -463,3 +480,14 @@ def template_usage(t: Tables):
     uses = t.orders.selectExpr("o_custkey AS template", "o_orderdate AS used_at")
     counted = templates.usage_count(known, uses)
     return counted.withColumn("last_used", F.date_format("last_used", "yyyy-MM-dd"))
+
+
+@query(
+    """SELECT p_partkey, CAST(i AS INTEGER) AS position, [p_type, p_brand, p_name][i] AS axis
+  FROM part, unnest([1, 2, 3]) AS r(i)"""
+)
+def chart_axes(t: Tables):
+    axes = t.part.select(
+        "p_partkey", unions.union_axes(F.array("p_type", "p_brand"), F.array("p_brand", "p_name")).alias("axes")
+    )
+    return catalog.enumerate_items(axes, "axes", "axis")

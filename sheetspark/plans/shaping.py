@@ -28,10 +28,10 @@ def merge_outer(t: Tables):
 @query(
     """SELECT o_orderkey, o_custkey, o_totalprice, coalesce(c_name, 'NA') AS c_name,
   coalesce(CAST(c_nationkey AS VARCHAR), 'NA') AS c_nationkey FROM orders
-  LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 3 <> 0) ON o_custkey = c_custkey"""
+  LEFT JOIN (SELECT * FROM customer WHERE c_acctbal >= 0) ON o_custkey = c_custkey"""
 )
 def map_left(t: Tables):
-    mapping = t.customer.where("c_custkey % 3 <> 0").selectExpr(
+    mapping = t.customer.where("c_acctbal >= 0").selectExpr(
         "c_acctbal", "c_custkey", "c_name", "c_nationkey", "c_mktsegment AS `Unnamed: 4`", "c_acctbal AS after_blank"
     )
     return joins.map_columns(t.orders.select("o_orderkey", "o_custkey", "o_totalprice"), mapping, {"o_custkey": "c_custkey"})
@@ -63,12 +63,12 @@ def map_large(t: Tables):
     )
 
 
-_RECONCILE = """WITH r AS (SELECT DISTINCT c_custkey AS cust FROM customer WHERE c_custkey % 3 <> 0),
+_RECONCILE = """WITH r AS (SELECT DISTINCT c_custkey AS cust FROM customer WHERE c_mktsegment <> 'BUILDING'),
   f AS (SELECT DISTINCT o_custkey AS cust FROM orders)"""
 
 
 def _registered(t: Tables):
-    return t.customer.where("c_custkey % 3 <> 0").selectExpr("c_custkey AS cust"), t.orders.selectExpr("o_custkey AS cust")
+    return t.customer.where("c_mktsegment <> 'BUILDING'").selectExpr("c_custkey AS cust"), t.orders.selectExpr("o_custkey AS cust")
 
 
 @query(

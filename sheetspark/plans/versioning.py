@@ -48,6 +48,14 @@ def history(t: Tables):
     )
 
 
+@query(
+    f"""WITH {_VERSIONS_SQL} SELECT o.hash, o.message, (SELECT count(*) FROM o c WHERE c.parent = o.hash) AS children FROM o"""
+)
+def version_graph(t: Tables):
+    graph = versions.version_graph(conversation_versions(t))
+    return graph.select("hash", "message", F.col("children").cast("long").alias("children"))
+
+
 @query(f"WITH {_VERSIONS_SQL} SELECT c.sheet, c.parent, c.hash AS child, c.ordinal AS child_ordinal FROM o c JOIN o p ON p.hash = c.parent")
 def child_edges(t: Tables):
     return versions.child_edges(conversation_versions(t))

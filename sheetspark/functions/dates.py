@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import collapse_whitespace
+
 # The date formats that are recognised, in order of preference,
 # each with the pattern that prints it and the pattern that parses it.
 DATE_FORMATS = [
@@ -58,12 +60,13 @@ def parse_date(value: Column, format_name: str | None) -> Column:
     """Timestamp without zone; text that does not fit becomes null."""
     if format_name in PARSE_PATTERN:
         pattern = PARSE_PATTERN[format_name]
-        spaced = F.regexp_replace(F.trim(value), r"(?<=\d)T(?=\d)", " ")
+        short = F.trim(value)
+        spaced = F.regexp_replace(collapse_whitespace(value), r"(?<=\d)T(?=\d)", " ")
         with_time = F.try_to_timestamp(spaced, F.lit(pattern + "[ H:mm[:ss[.SSSSSS]]]"))
         # The longest bare date has ten characters, and the plain pattern is faster.
-        day_only = F.try_to_timestamp(spaced, F.lit(pattern))
-        return F.when(F.length(spaced) <= 10, day_only).otherwise(with_time).cast("timestamp_ntz")
-    return value.try_cast("timestamp_ntz")
+        day_only = F.try_to_timestamp(short, F.lit(pattern))
+        return F.when(F.length(short) <= 10, day_only).otherwise(with_time).cast("timestamp_ntz")
+    return collapse_whitespace(value).try_cast("timestamp_ntz")
 
 
 def print_like(value: Column, format_name: str | None) -> Column:

@@ -28,7 +28,7 @@ def format_votes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """
     cells = F.array(
         *[
-            F.struct(F.lit(c).alias("column"), collapse_whitespace(as_text(ident(c), df.schema[c].dataType)).alias("v"))
+            F.struct(F.lit(c).alias("column"), F.trim(as_text(ident(c), df.schema[c].dataType)).alias("v"))
             for c in columns
         ]
     )
@@ -57,7 +57,7 @@ def as_timestamp(df: DataFrame, column: str, format_name: str | None) -> Column:
     dtype = df.schema[column].dataType
     if is_temporal(dtype):
         return ident(column).cast("timestamp_ntz")
-    return D.parse_date(collapse_whitespace(as_text(ident(column), dtype)), format_name)
+    return D.parse_date(as_text(ident(column), dtype), format_name)
 
 
 def date_column_names(df: DataFrame, columns: Sequence[str]) -> list[str]:

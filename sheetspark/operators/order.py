@@ -45,9 +45,21 @@ def _side_table(df: DataFrame, rows: list[tuple], schema: T.StructType) -> DataF
 
 
 def row_index(
-    df: DataFrame, order_by: Sequence[str | Column], name: str = "row_index", partitions: int | None = None
+    df: DataFrame,
+    order_by: Sequence[str | Column],
+    name: str = "row_index",
+    partitions: int | None = None,
+    unique: bool = False,
 ) -> DataFrame:
-    """Dense 0-based row number in ``order_by`` order (unique keys expected)."""
+    """Dense 0-based row number in ``order_by`` order.
+
+    ``unique`` promises that the named key columns are unique and not null: then
+    only the keys are sorted and checkpointed, and wide rows take the number by
+    a join.
+    """
+    if unique:
+        keys = [str(k) for k in order_by]
+        return df.join(row_index(df.select(*map(ident, keys)), keys, name, partitions), keys)
     ordered = range_ordered(df, order_by, partitions)
     sizes = sorted(ordered.groupBy(PART).count().collect())
     starts, total = [], 0

@@ -421,6 +421,38 @@ def overview(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     return long_rows(df.agg(*aggregates), structs)
 
 
+# Up to this many different characters a cell is scanned once for each.
+SCANNED_CHARACTERS = 32
+
+
+def character_counts(cells: DataFrame) -> DataFrame:
+    """Cells (..., special) as one row per character with its number of ``times``.
+
+    A cell of few different characters is scanned for each of them. In any other
+    cell the characters are sorted and each run counted, which stays near linear
+    for long texts with thousands of characters. The arrays are columns of their
+    own, so that they are built once per cell.
+    """
+    others = [c for c in cells.columns if c != "special"]
+    split = cells.select(*others, "special", F.split("special", "").alias("letters"))
+    distinct = split.select("*", F.array_distinct("letters").alias("kinds"))
+    many = F.size("kinds") > SCANNED_CHARACTERS
+    ordered = distinct.select(*others, "special", "kinds", F.when(many, F.sort_array("letters")).alias("letters"))
+    is_start = lambda i: (i == 0) | (F.get("letters", i) != F.get("letters", i - 1))
+    starts = F.when(many, F.filter(F.sequence(F.lit(0), F.size("letters") - 1), is_start))
+    runs = ordered.select("*", starts.alias("starts"))
+    ends = F.concat(F.slice("starts", F.lit(2), F.size("starts")), F.array(F.size("letters")))
+
+    def counted(character: Column, times: Column) -> Column:
+        return F.struct(character.alias("character"), times.cast("long").alias("times"))
+
+    scanned = F.transform(
+        "kinds", lambda c: counted(c, F.length("special") - F.length(F.replace(F.col("special"), c, F.lit(""))))
+    )
+    sorted_runs = F.zip_with("starts", ends, lambda b, e: counted(F.get("letters", b), e - b))
+    return runs.select(*others, F.inline(F.when(many, sorted_runs).otherwise(scanned))).where("character <> ''")
+
+
 def special_characters(df: DataFrame, columns: Sequence[str], order_by: str) -> DataFrame:
     """(column, character, total_occurrences, rows_containing, min_row_index,
     max_row_index, avg_occurrences_per_row) of characters other than ASCII
@@ -430,18 +462,12 @@ def special_characters(df: DataFrame, columns: Sequence[str], order_by: str) ->
     character from each task. Row numbers are looked up afterwards for the few
     first and last rows, over the order column alone.
     """
-    cells = []
-    for c in columns:
-        special = special_only(as_text(ident(c), _dtype(df, c)))
-        cells.append(F.struct(F.lit(c).alias("column"), special.alias("special")))
-    per_cell = (
-        df.select(ident(order_by).alias("ord"), F.inline(F.array(*cells)))
-        .select("ord", "column", "special", F.explode(F.array_distinct(F.split("special", ""))).alias("character"))
-        .where("character <> ''")
-    )
-    times = F.length("special") - F.length(F.replace(F.col("special"), F.col("character"), F.lit("")))
+    cells = [
+        F.struct(F.lit(c).alias("column"), special_only(as_text(ident(c), _dtype(df, c))).alias("special")) for c in columns
+    ]
+    per_cell = character_counts(df.select(ident(order_by).alias("ord"), F.inline(F.array(*cells))))
     stats = per_cell.groupBy("column", "character").agg(
-        F.sum(times).alias("total_occurrences"),
+        F.sum("times").alias("total_occurrences"),
         F.count("*").alias("rows_containing"),
         F.min("ord").alias("first"),
         F.max("ord").alias("last"),

@@ -187,18 +187,25 @@ def replay_parents(versions: DataFrame, partitions: int | None = None) -> DataFr
     rows = with_operation(versions, REPLAY_WORDS).select("sheet", "ordinal", "hash", "operation")
     undo, upload = F.col("operation") == "undo", F.col("operation") == "uploaded"
     timeline = range_ordered(rows, ["sheet", "ordinal"], partitions)
-    resets = running(timeline, ["sheet"], {"segment": ("sum", F.when(upload, 1).otherwise(0))})
-    moves = running(resets, ["sheet", "segment"], {"total": ("sum", F.when(undo, -1).otherwise(1))})
-    floors = running(moves, ["sheet", "segment"], {"floor": ("min", "total")}, before=True)
-    held = F.least(F.coalesce("floor", F.lit(0)), F.lit(0))
-    depths = floors.select(
+    moves = running(
+        timeline,
+        ["sheet"],
+        {"segment": ("sum", F.when(upload, 1).otherwise(0)), "moved": ("sum", F.when(undo, -1).otherwise(1))},
+    )
+    # What moved before the segment's upload, and the lowest point since then.
+    start = F.when(upload, F.col("moved") - 1)
+    lows = running(moves, ["sheet", "segment"], {"start": ("last", start), "low": ("min", "moved")}, before=True)
+    base = F.coalesce(start, F.col("start"), F.lit(0))
+    total = F.col("moved") - base
+    held = F.least(F.coalesce(F.col("low") - base, F.lit(0)), F.lit(0))
+    depths = lows.select(
         "sheet",
         "ordinal",
         "hash",
         "operation",
         "segment",
-        (F.col("total") - F.least(held, F.col("total"))).alias("depth"),
-        (undo & (F.col("total") >= held)).alias("pops"),
+        (total - F.least(held, total)).alias("depth"),
+        (undo & (total >= held)).alias("pops"),
     )
     none = F.lit(None).cast("string")
     put = F.when(~undo, F.struct(F.col("depth").alias("depth"), F.col("hash").alias("put"), F.lit(False).alias("asks")))

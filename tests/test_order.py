@@ -14,6 +14,10 @@ def test_row_index_is_dense(spark, partitions):
     df = spark.range(1000).select(((F.col("id") * 37) % 1000).alias("k"))
     rows = order.row_index(df, ["k"], partitions=partitions).collect()
     assert sorted((r["k"], r["row_index"]) for r in rows) == [(i, i) for i in range(1000)]
+    wide = df.withColumn("payload", F.repeat(F.lit("x"), 50))
+    numbered = order.row_index(wide, ["k"], partitions=partitions, unique=True)
+    assert numbered.columns == ["k", "payload", "row_index"]
+    assert numbered.where("k <> row_index").count() == 0 and numbered.count() == 1000
 
 
 @pytest.mark.parametrize("partitions", PARTITIONS)

@@ -106,6 +106,13 @@ def test_special_characters(spark, cells):
     assert totals["total_special_char_occurrences"] == sum(v[0] for v in found.values())
 
 
+def test_special_characters_of_long_texts(spark):
+    cells = ["".join(chr(0x4E00 + (i * j) % 90) for i in range(400)) for j in range(1, 6)] + ["", "a b", "é" * 50]
+    df = spark.createDataFrame(list(enumerate(cells)), "k int, c string")
+    found = {r["character"]: tuple(r)[2:] for r in profile.special_characters(df, ["c"], "k").collect()}
+    assert found == brute_special(cells)
+
+
 def test_first_appearance_order(spark):
     cells = ["b", "a", None, "b", "c", "a", "a"]
     df = spark.createDataFrame(list(enumerate(cells)), "i int, v string").repartition(4)

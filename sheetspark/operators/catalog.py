@@ -112,26 +112,44 @@ def shared_with(shares: DataFrame, projects: DataFrame, users: DataFrame) -> Dat
     )
 
 
-def share_scoped(items: DataFrame, shares: DataFrame) -> DataFrame:
-    """Items each active share opens, with its ``share_id``.
-
-    A project share opens all items of the project, a file share those of its
-    file, and only those of its sheet when it names one. Three equi-joins, one
-    per kind of share, instead of one join with an OR in its condition.
-    """
+def _share_kinds(shares: DataFrame) -> list[tuple[DataFrame, list[str]]]:
+    """Active shares by the keys an item must match."""
     active = shares.where("is_active")
     is_file, names_sheet = F.col("share_type") == "file", _given("sheet_name")
-    kinds = [
+    in_file = ["project_id", "file_type", "file_name"]
+    return [
         (active.where("share_type = 'project'"), ["project_id"]),
-        (active.where(is_file & ~names_sheet), ["project_id", "file_type", "file_name"]),
-        (active.where(is_file & names_sheet), ["project_id", "file_type", "file_name", "sheet_name"]),
-    ]
-    parts = [
-        items.join(grants.select("share_id", "shared_with", *keys), keys).select(
-            "share_id", "shared_with", *map(ident, items.columns)
-        )
-        for grants, keys in kinds
+        (active.where(is_file & ~names_sheet), in_file),
+        (active.where(is_file & names_sheet), [*in_file, "sheet_name"]),
     ]
+
+
+def share_scoped(items: DataFrame, shares: DataFrame, user: object) -> DataFrame:
+    """Items that the active shares of one user open, each item once.
+
+    A project share opens all items of the project, a file share those of its
+    file, and only those of its sheet when it names one. Items meet the distinct
+    scopes of each kind, so they never multiply.
+    """
+    opened = items
+    flags = []
+    for i, (grants, keys) in enumerate(_share_kinds(shares.where(F.col("shared_with") == F.lit(user)))):
+        scopes = grants.select(*keys).distinct().withColumn(f"__open{i}", F.lit(True))
+        opened = opened.join(scopes, keys, "left")
+        flags.append(F.col(f"__open{i}"))
+    return opened.where(F.coalesce(*flags, F.lit(False))).select(*map(ident, items.columns))
+
+
+def share_sizes(items: DataFrame, shares: DataFrame) -> DataFrame:
+    """(share_id, shared_with, items): how many items each active share opens.
+
+    Items are counted per scope before they meet the shares, so neither a large
+    project nor a much shared one is paired row by row.
+    """
+    parts = []
+    for grants, keys in _share_kinds(shares):
+        counts = items.groupBy(*keys).agg(F.count("*").alias("items"))
+        parts.append(grants.join(counts, keys, "left").select("share_id", "shared_with", F.coalesce("items", F.lit(0)).alias("items")))
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 

@@ -68,16 +68,20 @@ def missing_stats(df: DataFrame) -> DataFrame:
     return long_rows(row, structs).where("missing_count > 0")
 
 
-def _identity(value: Column, dtype: T.DataType) -> Column:
-    """Text that is equal where the cells are; -0.0 equals 0.0.
+def _compact(value: Column) -> Column:
+    """Short text as it is, long text as its 256-bit digest.
 
-    Long cells are stood for by a 256-bit digest, so that a column of documents
-    does not send its text through the shuffle.
+    Equal where the texts are, so a column of documents can be compared without
+    sending the documents through the shuffle.
     """
+    return F.when(F.octet_length(value) > 64, F.sha2(value, 256)).otherwise(value)
+
+
+def _identity(value: Column, dtype: T.DataType) -> Column:
+    """Text that is equal where the cells are; -0.0 equals 0.0."""
     if is_fractional(dtype):
         return (value + F.lit(0.0)).cast("string")
-    shown = as_text(value, dtype)
-    return F.when(F.octet_length(shown) > 64, F.sha2(shown, 256)).otherwise(shown)
+    return _compact(as_text(value, dtype))
 
 
 def distinct_count(
@@ -372,7 +376,11 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None, pair
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """(duplicate_rows): rows equal to an earlier row in every column."""
-    groups = df.groupBy(*map(ident, df.columns)).agg(F.count("*").alias("__n"))
+    cells = [
+        (_compact(ident(f.name)) if isinstance(f.dataType, T.StringType) else ident(f.name)).alias(f.name)
+        for f in df.schema.fields
+    ]
+    groups = df.select(*cells).groupBy(*map(ident, df.columns)).agg(F.count("*").alias("__n"))
     return groups.agg(F.coalesce(F.sum(F.col("__n") - 1), F.lit(0)).cast("long").alias("duplicate_rows"))
 
 

@@ -295,21 +295,34 @@ def permissions(t: Tables):
     return catalog.effective_permission(requests, projects, granted).select("request_id", "project_id", "permission_level")
 
 
-@query(
-    f"""WITH {SHARES_SQL} SELECT share_id, shared_with, i.event_id AS item FROM shares s JOIN (SELECT event_id, user_id AS project_id,
-  CASE WHEN event_id % 2 = 0 THEN 'kpi' ELSE 'media' END AS file_type, 'file' || (event_id % 4) AS file_name, 'sheet' || (event_id % 3) AS sheet_name
-  FROM events) i ON s.project_id = i.project_id AND (share_type = 'project' OR (s.file_type = i.file_type AND s.file_name = i.file_name
-  AND (s.sheet_name IS NULL OR s.sheet_name = i.sheet_name))) WHERE is_active"""
-)
-def shared_items(t: Tables):
-    items = t.events.selectExpr(
+def share_items(t: Tables):
+    """Events as catalog items of projects."""
+    return t.events.selectExpr(
         "event_id AS item",
         "user_id AS project_id",
         "CASE WHEN event_id % 2 = 0 THEN 'kpi' ELSE 'media' END AS file_type",
         "concat('file', event_id % 4) AS file_name",
         "concat('sheet', event_id % 3) AS sheet_name",
     )
-    return catalog.share_scoped(items, shares(t)).select("share_id", "shared_with", "item")
+
+
+_ITEMS_SQL = f"""{SHARES_SQL}, items AS (SELECT event_id AS item, user_id AS project_id, CASE WHEN event_id % 2 = 0 THEN 'kpi' ELSE 'media' END AS file_type,
+  'file' || (event_id % 4) AS file_name, 'sheet' || (event_id % 3) AS sheet_name FROM events),
+opened AS (SELECT s.share_id, s.shared_with, i.item FROM shares s JOIN items i ON s.project_id = i.project_id AND (share_type = 'project'
+  OR (s.file_type = i.file_type AND s.file_name = i.file_name AND (s.sheet_name IS NULL OR s.sheet_name = i.sheet_name))) WHERE is_active)"""
+
+
+@query(f"WITH {_ITEMS_SQL} SELECT DISTINCT item FROM opened WHERE shared_with = 7")
+def shared_items(t: Tables):
+    return catalog.share_scoped(share_items(t), shares(t), 7).select("item")
+
+
+@query(
+    f"""WITH {_ITEMS_SQL} SELECT s.share_id, s.shared_with, count(o.item) AS items FROM shares s LEFT JOIN opened o USING (share_id)
+  WHERE s.is_active GROUP BY ALL"""
+)
+def share_sizes(t: Tables):
+    return catalog.share_sizes(share_items(t), shares(t))
 
 
 @query(f"WITH {SHARES_SQL} SELECT share_id, permission_level FROM shares WHERE is_active AND shared_with = 7")

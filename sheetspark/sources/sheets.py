@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -73,28 +74,84 @@ def _paths_and_headers(spark: SparkSession, paths: Sequence[str] | str) -> DataF
     )
 
 
-def read_sheets(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:
+# Above this many different headers one scan serves all files of an encoding.
+UNITED_SCANS = 50
+
+
+def _tagged(df: DataFrame) -> DataFrame:
+    return df.select(
+        "*",
+        F.col("_metadata.file_path").alias("__path"),
+        F.col("_metadata.file_size").alias("__size"),
+        F.col("_metadata.file_modification_time").alias("__modified"),
+    )
+
+
+# A quoted header cell, in which commas do not separate.
+_QUOTED = r'"([^"]|"")*"'
+
+
+def _header_width(header: str) -> int:
+    return re.sub(_QUOTED, "", header).count(",") + 1
+
+
+def _header_names(header: Column, width: int) -> Column:
+    """Header cells of a first line, with the names a header scan would give."""
+    cells = F.from_csv(header, ", ".join(f"_c{i} string" for i in range(width)), {"maxColumns": str(MAX_COLUMNS)})
+    names = F.array(*[cells[f"_c{i}"] for i in range(width)])
+    present = F.slice(names, F.lit(1), F.size(F.split(F.regexp_replace(header, _QUOTED, ""), ",")))
+    repeated = lambda c: F.size(F.filter(present, lambda other: F.lower(other) == F.lower(c))) > 1
+    return F.transform(
+        present,
+        lambda c, i: F.when(F.coalesce(c, F.lit("")) == "", F.concat(F.lit("_c"), i.cast("string")))
+        .when(repeated(c), F.concat(c, i.cast("string")))
+        .otherwise(c),
+    )
+
+
+def read_sheet_cells(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:
+    """(__path, __size, __modified, cells): each row as a map header -> text.
+
+    One scan per encoding for any number of different headers: rows are read by
+    position, and the names come from the header of the row's own file.
+    """
+    files = _paths_and_headers(spark, paths)
+    listed = files.collect()
+    width = max((_header_width(r["header"]) for r in listed), default=1)
+    headers = files.select(F.col("path").alias("__path"), _header_names(F.col("header"), width).alias("__names"))
+    schema = ", ".join(f"_c{i} string" for i in range(width))
+    frames = []
+    for is_utf8 in (True, False):
+        chosen = [r["path"] for r in listed if r["is_utf8"] == is_utf8]
+        if chosen:
+            # A given schema is applied by position and each file's header skipped.
+            frames.append(_tagged(_reader(spark, None if is_utf8 else "ISO-8859-1").schema(schema).csv(chosen)))
+    rows = union_all(frames).join(headers, "__path")
+    values = F.slice(F.array(*[F.col(f"_c{i}") for i in range(width)]), F.lit(1), F.size("__names"))
+    cells = F.map_from_arrays("__names", values)
+    return rows.select("__path", "__size", "__modified", cells.alias("cells"))
+
+
+def read_sheets(spark: SparkSession, paths: Sequence[str] | str, united_scans: int = UNITED_SCANS) -> DataFrame:
     """Sheets of mixed encodings: utf-8 where every line is valid, else latin-1.
 
-    Files are grouped by encoding and header, so a column is never read under
-    another sheet's header; the groups are united by column name. The driver
-    holds what its file listing holds anyway: one line per file.
+    A column is never read under another sheet's header; sheets are united by
+    column name. Files of one encoding and header share a scan, or, with many
+    different headers, all files of an encoding do. The driver holds what its
+    file listing holds anyway: one line per file.
     """
     groups: dict[tuple[bool, str], list[str]] = {}
     for row in _paths_and_headers(spark, paths).collect():
         groups.setdefault((row["is_utf8"], row["header"]), []).append(row["path"])
-    frames = []
-    for (is_utf8, _), files in sorted(groups.items(), key=lambda item: item[1][0]):
-        df = _reader(spark, None if is_utf8 else "ISO-8859-1").csv(files)
-        frames.append(
-            df.select(
-                "*",
-                F.col("_metadata.file_path").alias("__path"),
-                F.col("_metadata.file_size").alias("__size"),
-                F.col("_metadata.file_modification_time").alias("__modified"),
-            )
-        )
-    return union_all(frames)
+    ordered = sorted(groups.items(), key=lambda item: item[1][0])
+    if len(groups) <= united_scans:
+        return union_all([_tagged(_reader(spark, None if u else "ISO-8859-1").csv(files)) for (u, _), files in ordered])
+    rows = read_sheet_cells(spark, paths)
+    lines = spark.createDataFrame([(i, header) for i, ((_, header), _) in enumerate(ordered)], "i int, header string")
+    width = max(_header_width(header) for (_, header), _ in ordered)
+    named = lines.select("i", _header_names(F.col("header"), width).alias("names")).orderBy("i").collect()
+    columns = list(dict.fromkeys(name for row in named for name in row["names"]))
+    return rows.select(*[F.try_element_at("cells", F.lit(c)).alias(c) for c in columns], "__path", "__size", "__modified")
 
 
 def read_sheet_set(spark: SparkSession, folder: str) -> DataFrame:

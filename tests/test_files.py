@@ -63,10 +63,23 @@ def test_mixed_encodings_and_headers(spark, tmp_path):
         ("x", None, "1", "b", "other.csv"),
     ]
     assert rows(found, "sheet_size")[0] == (14,)
+    wide = sheets.read_sheets(spark, str(tmp_path), united_scans=0)
+    assert rows(wide, "name", "city", "size") == rows(found, "name", "city", "size")
     only = sheets.read_sheets(spark, [str(tmp_path / "a" / "latin.csv")])
     assert rows(only, "name") == [("René",)]
 
 
+def test_many_headers_by_position(spark, tmp_path):
+    for i in range(12):
+        names = [f"c{i}", "shared", '"a,b"', "", "Dup", "dup"]
+        (tmp_path / f"s{i}.csv").write_text(",".join(names) + f'\n{i},s{i},"x,y",blank,d1,d2\nshort{i}\n')
+    direct = sheets.read_sheets(spark, str(tmp_path))
+    united = sheets.read_sheets(spark, str(tmp_path), united_scans=3)
+    assert sorted(united.columns) == sorted(direct.columns)
+    assert rows(united, *sorted(direct.columns)) == rows(direct, *sorted(direct.columns))
+    assert united.where("shared is null").count() == 12
+
+
 def test_catalog_and_locate(spark, tmp_path):
     for place in ("p1/kpi/f1/s.csv", "p1/concatenated/c1/s.csv", "p1/concatenated/c2/s.csv", "p1/media/f1/t.csv"):
         target = tmp_path / place

@@ -77,6 +77,9 @@ def test_missing_and_duplicates(spark):
     empty = {r["column"]: r["empty_count"] for r in profile.null_profile(df).collect()}
     assert empty == {"i": 3, "s": 3, "d": 2}
     assert profile.duplicate_rows(df).first()[0] == 2
+    longer = df.select(*[F.concat(F.coalesce(c, F.lit("-")), F.repeat(F.lit("z"), 80)).alias(c) for c in ("s",)], "i")
+    assert profile.duplicate_rows(longer.unionAll(longer)).first()[0] == 7
+    assert profile.distinct_count(longer, ["s"]).first()["unique_values"] == 3
     assert profile.missing_stats(df.limit(0)).count() == 0
     assert profile.duplicate_rows(df.limit(0)).first()[0] == 0
 

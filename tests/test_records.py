@@ -163,8 +163,11 @@ def test_share_scoped_items(spark):
         [(1, 10, "kpi", "f", "s"), (2, 10, "kpi", "f", "t"), (3, 10, "media", "g", "s"), (4, 11, "kpi", "f", "s")],
         "item int, project_id int, file_type string, file_name string, sheet_name string",
     )
-    found = rows(catalog.share_scoped(items, spark.createDataFrame(SHARES, SHARE)), "share_id", "item")
-    assert found == [(1, 1), (1, 2), (1, 3), (2, 1), (3, 2), (4, 3)]
+    shares = spark.createDataFrame(SHARES, SHARE)
+    opened = {user: [r["item"] for r in catalog.share_scoped(items, shares, user).orderBy("item").collect()] for user in (2, 3, 4, 5)}
+    assert opened == {2: [1, 2, 3], 3: [1, 2], 4: [3], 5: []}
+    sizes = {r["share_id"]: r["items"] for r in catalog.share_sizes(items, shares).collect()}
+    assert sizes == {1: 3, 2: 1, 3: 1, 4: 1}
 
 
 def brute_mask(value):

@@ -45,10 +45,19 @@ def number_text(value: Column) -> Column:
 
 
 def timestamp_text(value: Column, separator: str = " ") -> Column:
-    """``yyyy-MM-dd HH:mm:ss`` with six fraction digits when there are any."""
-    base = f"yyyy-MM-dd'{separator}'HH:mm:ss"
-    has_fraction = F.date_format(value, "SSSSSS") != "000000"
-    return F.when(has_fraction, F.date_format(value, base + ".SSSSSS")).otherwise(F.date_format(value, base))
+    """``yyyy-MM-dd HH:mm:ss`` with six fraction digits when there are any.
+
+    A cast, not a format: formatting would take zone-less times through the
+    session's zone and its clock changes.
+    """
+    printed = value.cast("string")
+    full = F.when(F.length(printed) > 19, F.rpad(printed, 26, "0")).otherwise(printed)
+    return full if separator == " " else F.replace(full, F.lit(" "), F.lit(separator))
+
+
+def second_text(value: Column) -> Column:
+    """``yyyy-MM-dd HH:mm:ss`` of a timestamp, in the same way."""
+    return F.substring(value.cast("string"), 1, 19)
 
 
 def as_text(value: Column, dtype: T.DataType) -> Column:

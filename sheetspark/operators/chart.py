@@ -68,6 +68,6 @@ def plot_summary(plots: DataFrame) -> DataFrame:
         label.alias("chart_type"),
         listed(F.coalesce("x_axes", F.array().cast("array<string>"))).alias("x_axes"),
         listed(F.coalesce("y_axes", F.array().cast("array<string>"))).alias("y_axes"),
-        F.date_format("created_at", "yyyy-MM-dd HH:mm").alias("created_at"),
+        F.substring(F.col("created_at").cast("string"), 1, 16).alias("created_at"),
         description.alias("description"),
     )

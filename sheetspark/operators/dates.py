@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import dates as D
-from ..functions.text import as_text, collapse_whitespace, ident, is_temporal
+from ..functions.text import as_text, collapse_whitespace, ident, is_temporal, second_text
 from .clean import rewrite
 
 YEARLY_DAYS, MONTHLY_DAYS = 365, 28
@@ -182,7 +182,6 @@ def missing_dates(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def date_range(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, min_date, max_date) as text; needs no day set."""
     formats = detect_date_formats(df, columns)
-    shown = "yyyy-MM-dd HH:mm:ss"
     row = df.agg(
         *[F.min(as_timestamp(df, c, formats[c])).alias(f"lo{i}") for i, c in enumerate(columns)],
         *[F.max(as_timestamp(df, c, formats[c])).alias(f"hi{i}") for i, c in enumerate(columns)],
@@ -190,8 +189,8 @@ def date_range(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     structs = [
         F.struct(
             F.lit(c).alias("column"),
-            F.date_format(f"lo{i}", shown).alias("min_date"),
-            F.date_format(f"hi{i}", shown).alias("max_date"),
+            second_text(F.col(f"lo{i}")).alias("min_date"),
+            second_text(F.col(f"hi{i}")).alias("max_date"),
         )
         for i, c in enumerate(columns)
     ]
@@ -209,13 +208,12 @@ def date_profile(df: DataFrame, columns: Sequence[str], formats: dict[str, str]
     for name, pattern in D.PRINT_PATTERN.items():
         printed = printed.when(F.col("date_format") == name, printed_as(pattern))
     printed = printed.otherwise(printed_as("yyyy-MM-dd"))
-    shown = "yyyy-MM-dd HH:mm:ss"
     return spans.select(
         "column",
         "granularity",
         "date_format",
-        F.date_format("first", shown).alias("min_date"),
-        F.date_format("last", shown).alias("max_date"),
+        second_text(F.col("first")).alias("min_date"),
+        second_text(F.col("last")).alias("max_date"),
         missing_of(F.col("days"), F.col("granularity")).alias("missing_dates"),
         printed.alias("unique_elements"),
         F.size("days").cast("long").alias("unique_values"),

@@ -139,7 +139,7 @@ def running(
     val_fields = [T.StructField(f"__c{i}", summary_input.schema[f"__w{i}"].dataType) for i in range(len(specs))]
     schema = T.StructType([T.StructField(PART, T.IntegerType()), *key_fields, *val_fields])
     joined = local.join(_side_table(ordered, carries, schema), PART, "left")
-    same = F.col("__c0").isNotNull() | F.lit(True)
+    same = F.lit(True)
     for i, key in enumerate(key_cols):
         same = same & key.eqNullSafe(F.col(f"__k{i}"))
     names = {out: (i, kind) for i, (out, kind, _) in enumerate(specs)}

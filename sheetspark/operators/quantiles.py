@@ -8,7 +8,6 @@ from math import ceil, floor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numbers import finite
 from ..functions.text import ident
 from .order import range_ordered, running
 
@@ -106,7 +105,3 @@ def exact_quantiles(
             values.append(lo + (hi - lo) * share if hi != lo else lo)
         result[name] = values
     return result
-
-
-def finite_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return df.select(*[finite(ident(c).cast("double")).alias(c) for c in columns])

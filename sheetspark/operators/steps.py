@@ -50,8 +50,11 @@ def run_pandas_step(
     largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
     if largest > max_group_rows:
         raise ValueError(f"largest group has {largest} rows (limit {max_group_rows}); run on batches or split the key")
-    # Python is the cost here, so use every core and not the row volume's few tasks.
-    spread = df.repartition(df.sparkSession.sparkContext.defaultParallelism, *keys)
+    # Python is the cost here: a fixed number of tasks keeps small tables from
+    # being merged into one.
+    spark = df.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    spread = df.repartition(tasks, *keys)
     return spread.groupBy(*keys).applyInPandas(step, schema)
 
 

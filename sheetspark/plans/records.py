@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import numbers
+from ..functions.text import second_text
 from ..operators import audit, catalog, chart, filters, tables, templates, unions
 from .registry import Tables, query
 
@@ -40,7 +41,7 @@ def head_rows(t: Tables):
 @query("SELECT o_orderkey, CAST(o_orderdate AS VARCHAR) AS day FROM orders")
 def recent_first(t: Tables):
     listed = tables.recent_first(t.orders.select("o_orderkey", "o_orderdate"), "o_orderdate", "o_orderkey")
-    return listed.select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("day"))
+    return listed.select("o_orderkey", second_text(F.col("o_orderdate")).alias("day"))
 
 
 @query(

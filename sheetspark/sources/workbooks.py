@@ -12,6 +12,7 @@ import io
 import re
 import zipfile
 from collections.abc import Iterator, Sequence
+from datetime import datetime, timedelta
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -19,6 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BATCH_ROWS = 10_000
+# The built-in number formats that show a date or a time.
+BUILT_IN_DATES = [14, 15, 16, 17, 18, 19, 20, 21, 22, 45, 46, 47]
 _REL_ID = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 
 
@@ -51,19 +54,55 @@ def _column_number(reference: str) -> int:
     return number - 1
 
 
-def _cell_text(cell, shared: list[str]) -> str | None:
-    kind = cell.get("t")
-    if kind == "inlineStr":
-        return _texts(cell)
-    value = next((v.text for v in cell if _local(v.tag) == "v"), None)
-    if value is None:
-        return None
-    if kind == "s":
-        return shared[int(value)]
-    return {"1": "True", "0": "False"}.get(value, value) if kind == "b" else value
-
-
-def _sheet_rows(book: zipfile.ZipFile, part: str, shared: list[str]) -> Iterator[tuple[int, list[str | None]]]:
+def _date_styles(book: zipfile.ZipFile) -> set[int]:
+    """Numbers of the cell styles that show a date or a time."""
+    if "xl/styles.xml" not in book.namelist():
+        return set()
+    root = ElementTree.fromstring(book.read("xl/styles.xml"))
+    dated = set(BUILT_IN_DATES)
+    for fmt in (e for e in root.iter() if _local(e.tag) == "numFmt"):
+        code = re.sub(r'"[^"]*"|\\.|\[[^\]]*\]', "", fmt.get("formatCode", ""))
+        if re.search(r"[dmyhs]", code, re.IGNORECASE):
+            dated.add(int(fmt.get("numFmtId")))
+    formats = next((e for e in root if _local(e.tag) == "cellXfs"), ())
+    return {i for i, style in enumerate(formats) if int(style.get("numFmtId", 0)) in dated}
+
+
+def _number_text(value: str, is_date: bool, epoch: datetime) -> str:
+    number = float(value)
+    if is_date:
+        return str(epoch + timedelta(milliseconds=round(number * 86_400_000)))
+    return str(int(number)) if number == int(number) else repr(number)
+
+
+class _Book:
+    """What the cells of one workbook refer to."""
+
+    def __init__(self, book: zipfile.ZipFile):
+        self.shared: list[str] = []
+        if "xl/sharedStrings.xml" in book.namelist():
+            self.shared = [_texts(si) for si in ElementTree.fromstring(book.read("xl/sharedStrings.xml"))]
+        self.dates = _date_styles(book)
+        properties = (e for e in ElementTree.fromstring(book.read("xl/workbook.xml")).iter() if _local(e.tag) == "workbookPr")
+        is_1904 = any(p.get("date1904") in ("1", "true") for p in properties)
+        self.epoch = datetime(1904, 1, 1) if is_1904 else datetime(1899, 12, 30)
+
+    def text(self, cell) -> str | None:
+        """Cell as text: whole numbers without fraction, dates as ISO, errors null."""
+        kind = cell.get("t", "n")
+        if kind == "inlineStr":
+            return _texts(cell)
+        value = next((v.text for v in cell if _local(v.tag) == "v"), None)
+        if value is None or kind == "e":
+            return None
+        if kind == "s":
+            return self.shared[int(value)]
+        if kind == "b":
+            return "True" if value == "1" else "False"
+        return _number_text(value, int(cell.get("s", 0)) in self.dates, self.epoch) if kind == "n" else value
+
+
+def _sheet_rows(book: zipfile.ZipFile, part: str, known: _Book) -> Iterator[tuple[int, list[str | None]]]:
     """(row number from 0, cells) with skipped cells as null; streamed."""
     number = -1
     with book.open(part) as stream:
@@ -75,7 +114,7 @@ def _sheet_rows(book: zipfile.ZipFile, part: str, shared: list[str]) -> Iterator
             for cell in element:
                 place = _column_number(cell.get("r") or "") if cell.get("r") else len(cells)
                 cells.extend([None] * (place - len(cells)))
-                cells.append(_cell_text(cell, shared))
+                cells.append(known.text(cell))
             element.clear()
             yield number, cells
 
@@ -92,12 +131,10 @@ def _rows(batches):
     for batch in batches:
         for path, content in zip(batch["path"], batch["content"]):
             with zipfile.ZipFile(io.BytesIO(content)) as book:
-                shared = []
-                if "xl/sharedStrings.xml" in book.namelist():
-                    shared = [_texts(si) for si in ElementTree.fromstring(book.read("xl/sharedStrings.xml"))]
+                known = _Book(book)
                 for ordinal, (name, part) in enumerate(_sheet_parts(book)):
                     numbers, cells = [], []
-                    for number, row in _sheet_rows(book, part, shared):
+                    for number, row in _sheet_rows(book, part, known):
                         numbers.append(number)
                         cells.append(row)
                         if len(numbers) == BATCH_ROWS:

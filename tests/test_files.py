@@ -25,6 +25,9 @@ def workbook(path, named_sheets, shared):
         z.writestr("xl/_rels/workbook.xml.rels", f"<Relationships>{rels}</Relationships>")
         items = "".join(f"<si><r><t>{s[:1]}</t></r><r><t>{s[1:]}</t></r></si>" for s in shared)
         z.writestr("xl/sharedStrings.xml", f'<sst xmlns="{NS}">{items}</sst>')
+        styles = '<numFmts><numFmt numFmtId="170" formatCode="yyyy\\-mm"/><numFmt numFmtId="171" formatCode="0&quot;days&quot;"/></numFmts>'
+        cells = "".join(f'<xf numFmtId="{i}"/>' for i in (0, 22, 170, 171))
+        z.writestr("xl/styles.xml", f'<styleSheet xmlns="{NS}">{styles}<cellXfs>{cells}</cellXfs></styleSheet>')
         for i, body in enumerate(named_sheets.values(), 1):
             z.writestr(f"xl/worksheets/sheet{i}.xml", f'<worksheet xmlns="{NS}"><sheetData>{body}</sheetData></worksheet>')
 
@@ -33,6 +36,8 @@ def test_workbooks(spark, tmp_path):
     body = (
         '<row r="1"><c r="A1" t="s"><v>0</v></c><c r="C1" t="inlineStr"><is><t>note</t></is></c></row>'
         '<row r="3"><c r="A3"><v>1.5</v></c><c r="B3" t="b"><v>1</v></c><c r="C3" t="str"><v>#N/A</v></c></row>'
+        '<row r="4"><c r="A4"><v>3.0</v></c><c r="B4" t="e"><v>#N/A</v></c><c r="C4" s="1"><v>45293.5</v></c></row>'
+        '<row r="5"><c r="A5"><v>1E-3</v></c><c r="B5" s="2"><v>45293</v></c><c r="C5" s="3"><v>7</v></c></row>'
     )
     workbook(tmp_path / "one.xlsx", {"Data": body, "Empty": ""}, ["name"])
     workbook(tmp_path / "two.xlsx", {"Only": '<row><c><v>7</v></c></row>'}, [])
@@ -42,11 +47,13 @@ def test_workbooks(spark, tmp_path):
     assert rows(cells, "sheet_name", "row_number", "cells") == [
         ("Data", 0, ["name", None, "note"]),
         ("Data", 2, ["1.5", "True", "#N/A"]),
+        ("Data", 3, ["3", None, "2024-01-02 12:00:00"]),
+        ("Data", 4, ["0.001", "2024-01-02 00:00:00", "7"]),
         ("Only", 0, ["7"]),
     ]
     assert rows(workbooks.headers(cells), "columns") == [(["7"],), (["name", "Unnamed: 1", "note"],)]
     table = workbooks.sheet_table(cells, ["name", "flag", "note"])
-    assert rows(table, "name", "flag", "note") == [("1.5", "True", "#N/A")]
+    assert rows(table.where("row_number = 2"), "name", "flag", "note") == [("1.5", "True", "#N/A")]
 
 
 def test_mixed_encodings_and_headers(spark, tmp_path):

@@ -64,6 +64,22 @@ def test_parse_date_by_voted_format(spark):
     assert parsed == ["2024-02-01 00:00:00", "2024-02-13 00:00:00", "2024-03-02 04:05:06", None, None]
 
 
+def test_zoneless_times_ignore_the_session_zone(spark):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    # In this zone the clock skipped the first hour of that day.
+    spark.conf.set("spark.sql.session.timeZone", "America/Sao_Paulo")
+    try:
+        stamp = F.col("v").cast("timestamp_ntz")
+        assert values(spark, text.timestamp_text(stamp), ["1998-10-11 00:00:00", "1998-10-11 00:00:00.5"], "string") == [
+            "1998-10-11 00:00:00",
+            "1998-10-11 00:00:00.500000",
+        ]
+        parsed = dates.parse_date(F.col("v"), "DD/MM/YYYY")
+        assert values(spark, text.second_text(parsed), ["11/10/1998"], "string") == ["1998-10-11 00:00:00"]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
 def test_path_parts(spark):
     cells = ["a/b\\c.d.csv", ".bashrc", "x", "a.b/c", "dir/", "..conf.txt"]
     assert values(spark, text.file_basename(F.col("v")), cells, "string") == ["c.d.csv", ".bashrc", "x", "c", "", "..conf.txt"]

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import ident
-from ..session import checkpointed
+from ..session import saved
 
 PART, POS = "__part", "__pos"
 _LOW_BITS = (1 << 33) - 1
@@ -26,7 +26,7 @@ _LOW_BITS = (1 << 33) - 1
 def range_ordered(df: DataFrame, order_by: Sequence[str | Column], partitions: int | None = None) -> DataFrame:
     """Rows range-sorted by ``order_by`` with their partition and place in it.
 
-    Checkpointed, because a second evaluation could sample other range borders.
+    Saved, because a second evaluation could sample other range borders.
     """
     keys = [ident(k) if isinstance(k, str) else k for k in order_by]
     spread = df.repartitionByRange(partitions, *keys) if partitions else df.repartitionByRange(*keys)
@@ -36,7 +36,7 @@ def range_ordered(df: DataFrame, order_by: Sequence[str | Column], partitions: i
         .withColumn(PART, F.shiftright(POS, 33).cast("int"))
         .withColumn(POS, F.col(POS).bitwiseAND(F.lit(_LOW_BITS)))
     )
-    return checkpointed(tagged)
+    return saved(tagged)
 
 
 def _side_table(df: DataFrame, rows: list[tuple], schema: T.StructType) -> DataFrame:
@@ -54,7 +54,7 @@ def row_index(
     """Dense 0-based row number in ``order_by`` order.
 
     ``unique`` promises that the named key columns are unique and not null: then
-    only the keys are sorted and checkpointed, and wide rows take the number by
+    only the keys are sorted and saved, and wide rows take the number by
     a join.
     """
     if unique:

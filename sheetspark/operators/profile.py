@@ -8,6 +8,7 @@ column and repeated values collapse before it.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from math import ceil, log2
 
 from pyspark.sql import Column, DataFrame, Window
@@ -77,11 +78,25 @@ def _compact(value: Column) -> Column:
     return F.when(F.octet_length(value) > 64, F.sha2(value, 256)).otherwise(value)
 
 
-def _identity(value: Column, dtype: T.DataType) -> Column:
-    """Text that is equal where the cells are; -0.0 equals 0.0."""
-    if is_fractional(dtype):
-        return (value + F.lit(0.0)).cast("string")
-    return _compact(as_text(value, dtype))
+def _families(df: DataFrame, columns: Sequence[str], coerce: Sequence[str] = ()) -> dict[str, dict[str, Column]]:
+    """Columns by the type their values are compared in: long, double or string.
+
+    Numbers stay eight bytes wide in the shuffle instead of becoming text.
+    """
+    families: dict[str, dict[str, Column]] = {"long": {}, "double": {}, "string": {}}
+    for c in columns:
+        dtype = _dtype(df, c)
+        if c in coerce or is_fractional(dtype):
+            families["double"][c] = to_number(ident(c), dtype) + F.lit(0.0)
+        elif isinstance(dtype, T.IntegralType):
+            families["long"][c] = ident(c).cast("long")
+        else:
+            families["string"][c] = as_text(ident(c), dtype)
+    return {kind: cells for kind, cells in families.items() if cells}
+
+
+def _long_cells(cells: dict[str, Column]) -> Column:
+    return F.array(*[F.struct(F.lit(c).alias("column"), value.alias("value")) for c, value in cells.items()])
 
 
 def distinct_count(
@@ -89,38 +104,19 @@ def distinct_count(
 ) -> DataFrame:
     """(column, unique_values) without nulls; ``coerce`` columns count as numbers."""
     columns = list(columns or df.columns)
-    cells = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("i"),
-                _identity(to_number(ident(c), _dtype(df, c)), T.DoubleType())
-                if c in coerce
-                else _identity(_known(ident(c), _dtype(df, c)), _dtype(df, c)),
-            ).cast("struct<i:int,v:string>")
-            for i, c in enumerate(columns)
-        ]
-    )
+    families = _families(df, columns, coerce)
     if approximate:
-        counted = df.agg(*[F.approx_count_distinct(cells[i]["v"]).alias(f"n{i}") for i in range(len(columns))])
-    else:
+        cells = {c: value for family in families.values() for c, value in family.items()}
+        row = df.agg(*[F.approx_count_distinct(cells[c]).alias(f"n{i}") for i, c in enumerate(columns)])
+        return long_rows(row, [F.struct(F.lit(c).alias("column"), F.col(f"n{i}").alias("unique_values")) for i, c in enumerate(columns)])
+    # A column without values has no row below, and counts 0 by this one.
+    counts = df.sparkSession.createDataFrame([(c, 0) for c in columns], "column string, unique_values long")
+    for kind, family in families.items():
+        cells = {c: _compact(value) for c, value in family.items()} if kind == "string" else family
         # Distinct (column, value) first, so no task holds the values of a column.
-        distinct = df.select(F.inline(cells)).where("v is not null").distinct()
-        counted = distinct.agg(*[F.count_if(F.col("i") == i).alias(f"n{i}") for i in range(len(columns))])
-    structs = [F.struct(F.lit(c).alias("column"), F.col(f"n{i}").alias("unique_values")) for i, c in enumerate(columns)]
-    return long_rows(counted, structs)
-
-
-def _value_stats(df: DataFrame, columns: Sequence[str], order_by: str, shown: dict[str, Column] | None = None) -> DataFrame:
-    """(column, value, shown, occurrences, first_seen) over all columns."""
-    shown = shown or {}
-    cells = []
-    for c in columns:
-        value = as_text(_known(ident(c), _dtype(df, c)), _dtype(df, c))
-        cells.append(F.struct(F.lit(c).alias("column"), value.alias("value"), shown.get(c, value).alias("shown")))
-    long = df.select(ident(order_by).alias("ord"), F.inline(F.array(*cells))).where("value is not null")
-    return long.groupBy("column", "value").agg(
-        F.any_value("shown").alias("shown"), F.count("*").alias("occurrences"), F.min("ord").alias("first_seen")
-    )
+        distinct = df.select(F.inline(_long_cells(cells))).where("value is not null").distinct()
+        counts = counts.unionByName(distinct.groupBy("column").agg(F.count("*").alias("unique_values")))
+    return counts.groupBy("column").agg(F.sum("unique_values").alias("unique_values"))
 
 
 # Up to this rank Spark cuts every task to the first rows before the shuffle.
@@ -143,21 +139,31 @@ def _first_of_each(df: DataFrame, n: int, *order: Column) -> DataFrame:
     return ranked.where(F.col("position") <= n).withColumn("position", F.col("position").cast("int"))
 
 
+def _first_values(df: DataFrame, columns: Sequence[str], order_by: str, n: int, *order: Column) -> DataFrame:
+    """(column, position, value, occurrences) of the first n values of each column.
+
+    ``order`` may use ``occurrences`` and ``first_seen``. Values become text
+    only once they are among the first n.
+    """
+    parts = []
+    for kind, cells in _families(df, columns).items():
+        long = df.select(ident(order_by).alias("ord"), F.inline(_long_cells(cells))).where("value is not null")
+        stats = long.groupBy("column", "value").agg(F.count("*").alias("occurrences"), F.min("ord").alias("first_seen"))
+        shown = as_text(F.col("value"), stats.schema["value"].dataType)
+        parts.append(_first_of_each(stats, n, *order).select("column", "position", shown.alias("value"), "occurrences"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def distinct_head(df: DataFrame, columns: Sequence[str], order_by: str, n: int = 100) -> DataFrame:
     """(column, position, value): first n distinct values by first appearance.
 
     Values of number columns are shown with two decimals.
     """
-    shown = {
-        c: F.coalesce(
-            as_text(numbers.two_decimals(to_number(ident(c), _dtype(df, c))), T.DoubleType()),
-            as_text(ident(c), _dtype(df, c)),
-        )
-        for c in columns
-        if is_numeric(_dtype(df, c))
-    }
-    firsts = _first_of_each(_value_stats(df, columns, order_by, shown), n, F.col("first_seen"), F.col("value"))
-    return firsts.select("column", "position", F.col("shown").alias("value"))
+    firsts = _first_values(df, columns, order_by, n, F.col("first_seen"))
+    numeric = [c for c in columns if is_numeric(_dtype(df, c))]
+    rounded = as_text(numbers.two_decimals(to_number(F.col("value"))), T.DoubleType())
+    value = F.when(F.col("column").isin(numeric), rounded).otherwise(F.col("value"))
+    return firsts.select("column", "position", value.alias("value"))
 
 
 def top_values(df: DataFrame, columns: Sequence[str], order_by: str, n: int = 10) -> DataFrame:
@@ -165,9 +171,7 @@ def top_values(df: DataFrame, columns: Sequence[str], order_by: str, n: int = 10
 
     Equal counts are ordered by first appearance.
     """
-    stats = _value_stats(df, columns, order_by)
-    firsts = _first_of_each(stats, n, F.col("occurrences").desc(), F.col("first_seen"), F.col("value"))
-    return firsts.select("column", "position", "value", "occurrences")
+    return _first_values(df, columns, order_by, n, F.col("occurrences").desc(), F.col("first_seen"))
 
 
 def numeric_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:

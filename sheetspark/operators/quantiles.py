@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from math import ceil, floor
 
 from pyspark.sql import DataFrame
@@ -74,8 +75,10 @@ def exact_quantiles(
         )
         for i, j in brackets
     ]
+    near = reduce(lambda a, b: a | b, [F.col(f"v{i}").between(lo, hi) for (i, _), (lo, hi) in brackets.items()])
     by_value = (
-        numbers.select(F.explode(F.array_compact(F.array(*inside))).alias("e"))
+        numbers.where(near)
+        .select(F.explode(F.array_compact(F.array(*inside))).alias("e"))
         .select("e.*")
         .groupBy("i", "j", "v")
         .agg(F.count("*").alias("n"))

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import checkpointed
+from ..session import saved
 from .order import range_ordered, running
 
 # Words looked for in a commit message and the operation each
@@ -107,7 +107,7 @@ def rewire_undo(versions: DataFrame) -> DataFrame:
     )
     marked = undos.select("sheet", F.col("hash").alias("target"), F.lit(True).alias("is_undo"))
     # ``head`` walks up the run; ``open`` says the walk may go on.
-    runs = checkpointed(
+    runs = saved(
         undos.join(marked, ["sheet", "target"], "left").select(
             "sheet",
             "hash",
@@ -121,7 +121,7 @@ def rewire_undo(versions: DataFrame) -> DataFrame:
         step = runs.select(
             "sheet", F.col("hash").alias("head"), F.col("head").alias("next_head"), F.col("open").alias("next_open")
         )
-        runs = checkpointed(
+        runs = saved(
             runs.join(step, ["sheet", "head"]).select(
                 "sheet", "hash", "target", "target_parents", F.col("next_head").alias("head"), F.col("next_open").alias("open")
             )

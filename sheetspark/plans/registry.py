@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import ensure_checkpoint_dir
+from ..session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -24,7 +23,7 @@ class Tables:
 
     def scratch(self, name: str) -> str:
         """New path in the shared checkpoint folder for data a query derives."""
-        return f"{ensure_checkpoint_dir(self.spark)}/{name}-{uuid4().hex}"
+        return scratch_path(self.spark, name)
 
 
 def query(sql: str | None = None):

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -48,7 +50,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the rows are files, so lost executors cost nothing."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """New path in the shared folder, below one folder per application."""
+    return f"{ensure_checkpoint_dir(spark)}/sheetspark-{spark.sparkContext.applicationId}/{name}-{uuid4().hex}"
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """The same rows, read back from a table written in the shared folder.
+
+    Lost executors cost nothing, nothing upstream runs again, and later passes
+    read only the columns they need. Columns get plain names in the files.
+    """
+    if any(isinstance(f.dataType, T.NullType) for f in df.schema.fields):
+        ensure_checkpoint_dir(df.sparkSession)
+        return df.checkpoint(eager=True)
+    path = scratch_path(df.sparkSession, "saved")
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    plain.write.parquet(path)
+    return df.sparkSession.read.schema(plain.schema).parquet(path).toDF(*df.columns)

@@ -75,12 +75,12 @@ def row_index(
     )
 
 
-_LOCAL = {
-    "sum": lambda c, w: F.sum(c).over(w),
-    "count": lambda c, w: F.count(c).over(w),
-    "min": lambda c, w: F.min(c).over(w),
-    "max": lambda c, w: F.max(c).over(w),
-    "last": lambda c, w: F.last(c, ignorenulls=True).over(w),
+_AGGREGATE = {
+    "sum": F.sum,
+    "count": F.count,
+    "min": F.min,
+    "max": F.max,
+    "last": lambda c: F.last(c, ignorenulls=True),
 }
 _MERGE = {
     "sum": lambda carry, local: F.coalesce(carry + local, local, carry),
@@ -97,6 +97,47 @@ def _merge_value(kind: str, carry: Any, local: Any) -> Any:
     return {"min": min, "max": max, "last": lambda _, b: b}.get(kind, lambda a, b: a + b)(carry, local)
 
 
+def _edge_keys(ordered: DataFrame, keys: list[str], sizes: dict[int, int]) -> tuple[dict, dict]:
+    """Key of the first and of the last row of each partition."""
+    schema = T.StructType([T.StructField(PART, T.IntegerType()), T.StructField("__end", T.LongType())])
+    ends = _side_table(ordered, [(part, size - 1) for part, size in sizes.items()], schema)
+    edges = ordered.join(ends, PART).where((F.col(POS) == 0) | (F.col(POS) == F.col("__end")))
+    first, last = {}, {}
+    for part, pos, *key in edges.select(PART, POS, *map(ident, keys)).collect():
+        if pos == 0:
+            first[part] = tuple(key)
+        if pos == sizes[part] - 1:
+            last[part] = tuple(key)
+    return first, last
+
+
+def _tail_values(ordered: DataFrame, keys: list[str], last: dict, specs: list) -> dict[int, tuple]:
+    """Values of the last key of each partition over that key's rows in it.
+
+    Scans without a sort: each task sends one row per partition it saw.
+    """
+    rows = ordered
+    if keys:
+        fields = [T.StructField(f"__k{i}", ordered.schema[k].dataType) for i, k in enumerate(keys)]
+        schema = T.StructType([T.StructField(PART, T.IntegerType()), *fields])
+        rows = ordered.join(_side_table(ordered, [(part, *key) for part, key in last.items()], schema), PART)
+        for i, k in enumerate(keys):
+            rows = rows.where(ident(k).eqNullSafe(F.col(f"__k{i}")))
+    aggregates = [
+        (F.max(F.when(c.isNotNull(), F.col(POS))) if kind == "last" else _AGGREGATE[kind](c)).alias(f"__w{i}")
+        for i, (_, kind, c) in enumerate(specs)
+    ]
+    found = {row[PART]: list(row)[1:] for row in rows.groupBy(PART).agg(*aggregates).collect()}
+    for i, (_, kind, c) in enumerate(specs):
+        if kind == "last":
+            places = [(part, values[i]) for part, values in found.items() if values[i] is not None]
+            schema = T.StructType([T.StructField(PART, T.IntegerType()), T.StructField("__at", T.LongType())])
+            at = ordered.join(_side_table(ordered, places, schema), PART).where(F.col(POS) == F.col("__at"))
+            for part, value in at.select(PART, c).collect():
+                found[part][i] = value
+    return {part: tuple(values) for part, values in found.items()}
+
+
 def running(
     ordered: DataFrame,
     keys: Sequence[str],
@@ -109,49 +150,47 @@ def running(
     columns in whose order equal keys are neighbours). ``before`` leaves the
     current row out.
     """
+    keys = list(keys)
     key_cols = [ident(k) for k in keys]
-    base = Window.partitionBy(PART, *key_cols).orderBy(POS)
-    upto = base.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ahead = base.rowsBetween(Window.unboundedPreceding, -1)
     specs = [(out, kind, ident(c) if isinstance(c, str) else c) for out, (kind, c) in values.items()]
-    whole = [_LOCAL[kind](c, upto).alias(f"__w{i}") for i, (_, kind, c) in enumerate(specs)]
-    shown = [_LOCAL[kind](c, ahead if before else upto).alias(out) for out, kind, c in specs]
-    local = ordered.select("*", *shown)
-    summary_input = ordered.select(PART, POS, *key_cols, *whole)
-    key_struct = F.struct(*key_cols) if keys else F.lit(True)
-    whole_struct = F.struct(*[F.col(f"__w{i}") for i in range(len(specs))])
-    summary = summary_input.groupBy(PART).agg(
-        F.min_by(key_struct, POS).alias("first_key"),
-        F.max_by(F.struct(key_struct.alias("key"), whole_struct.alias("vals")), POS).alias("tail"),
-    )
+    sizes = dict(sorted((row[PART], row["count"]) for row in ordered.groupBy(PART).count().collect()))
+
+    frame = Window.partitionBy(PART, *key_cols).orderBy(POS).rowsBetween(Window.unboundedPreceding, -1 if before else 0)
+    # One sorted partition per task again; hashing would put several into one.
+    spread = ordered.repartitionByRange(max(1, len(sizes)), PART)
+    local = spread.select("*", *[_AGGREGATE[kind](c).over(frame).alias(out) for out, kind, c in specs])
+    if len(sizes) < 2:
+        return local
+
+    first, last = _edge_keys(ordered, keys, sizes) if keys else ({p: () for p in sizes}, {p: () for p in sizes})
+    tails = _tail_values(ordered, keys, last, specs)
     carries, carry = [], None
-    for row in sorted(summary.collect(), key=lambda r: r[PART]):
-        first, last, vals = row["first_key"], row["tail"]["key"], tuple(row["tail"]["vals"])
-        continued = carry is not None and carry[0] == first
-        if continued:
-            carries.append((row[PART], *(tuple(first) if keys else ()), *carry[1]))
-        if continued and last == first:
-            vals = tuple(_merge_value(specs[i][1], carry[1][i], v) for i, v in enumerate(vals))
-        carry = (last, vals)
+    for part in sizes:
+        own = tails[part]
+        if carry is not None and carry[0] == first[part]:
+            carries.append((part, *first[part], *carry[1]))
+            if last[part] == first[part]:
+                own = tuple(_merge_value(specs[i][1], carry[1][i], v) for i, v in enumerate(own))
+        carry = (last[part], own)
     if not carries:
         return local
-    key_fields = [T.StructField(f"__k{i}", ordered.schema[k].dataType) for i, k in enumerate(keys)]
-    val_fields = [T.StructField(f"__c{i}", summary_input.schema[f"__w{i}"].dataType) for i in range(len(specs))]
-    schema = T.StructType([T.StructField(PART, T.IntegerType()), *key_fields, *val_fields])
+
+    schema = T.StructType(
+        [
+            T.StructField(PART, T.IntegerType()),
+            *[T.StructField(f"__k{i}", ordered.schema[k].dataType) for i, k in enumerate(keys)],
+            *[T.StructField(f"__c{i}", local.schema[out].dataType) for i, (out, _, _) in enumerate(specs)],
+        ]
+    )
     joined = local.join(_side_table(ordered, carries, schema), PART, "left")
     same = F.lit(True)
     for i, key in enumerate(key_cols):
         same = same & key.eqNullSafe(F.col(f"__k{i}"))
-    names = {out: (i, kind) for i, (out, kind, _) in enumerate(specs)}
-    outputs = []
-    for field in local.columns:
-        if field in names:
-            i, kind = names[field]
-            merged = _MERGE[kind](F.col(f"__c{i}"), ident(field))
-            outputs.append(F.when(same, merged).otherwise(ident(field)).alias(field))
-        else:
-            outputs.append(ident(field))
-    return joined.select(*outputs)
+    merged = {
+        out: F.when(same, _MERGE[kind](F.col(f"__c{i}"), ident(out))).otherwise(ident(out))
+        for i, (out, kind, _) in enumerate(specs)
+    }
+    return joined.select(*[merged[c].alias(c) if c in merged else ident(c) for c in local.columns])
 
 
 def previous_value(

@@ -187,10 +187,13 @@ def replay_parents(versions: DataFrame, partitions: int | None = None) -> DataFr
     rows = with_operation(versions, REPLAY_WORDS).select("sheet", "ordinal", "hash", "operation")
     undo, upload = F.col("operation") == "undo", F.col("operation") == "uploaded"
     timeline = range_ordered(rows, ["sheet", "ordinal"], partitions)
-    moves = running(
-        timeline,
-        ["sheet"],
-        {"segment": ("sum", F.when(upload, 1).otherwise(0)), "moved": ("sum", F.when(undo, -1).otherwise(1))},
+    # Saved, as the next running values read it several times.
+    moves = saved(
+        running(
+            timeline,
+            ["sheet"],
+            {"segment": ("sum", F.when(upload, 1).otherwise(0)), "moved": ("sum", F.when(undo, -1).otherwise(1))},
+        )
     )
     # What moved before the segment's upload, and the lowest point since then.
     start = F.when(upload, F.col("moved") - 1)

@@ -273,15 +273,20 @@ def histograms(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     def edge(i: Column, first, last, bins, step) -> Column:
         return F.when(i == bins, last).otherwise(i * step + first)
 
+    # A first guess by division, as a column so that it is computed once, is then
+    # corrected by the edges beside it.
+    guesses = {
+        f"g{i}": F.least(F.floor((F.col(f"v{i}") - first) * (bins / (last - first))), F.lit(bins - 1)).cast("long")
+        for i, _, first, last, bins, _ in shapes
+    }
     cells = []
     for i, _, first, last, bins, step in shapes:
         shape = [F.lit(x) for x in (first, last, bins, step)]
-        value = F.col(f"v{i}")
-        guess = F.least(F.floor((value - first) * (bins / (last - first))), F.lit(bins - 1)).cast("long")
+        value, guess = F.col(f"v{i}"), F.col(f"g{i}")
         lowered = F.when(value < edge(guess, *shape), guess - 1).otherwise(guess)
         placed = F.when((value >= edge(guess + 1, *shape)) & (guess < bins - 1), guess + 1).otherwise(lowered)
         cells.append(F.when(value.isNotNull(), F.struct(F.lit(i).alias("i"), placed.alias("bin"))))
-    counts = values.select(F.inline(F.array_compact(F.array(*cells)))).groupBy("i", "bin").agg(F.count("*").alias("n"))
+    counts = values.withColumns(guesses).select(F.inline(F.array_compact(F.array(*cells)))).groupBy("i", "bin").agg(F.count("*").alias("n"))
     edges = spark.createDataFrame(shapes, "i int, column string, first double, last double, bins long, step double")
     every = edges.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bins") - 1)).alias("bin"))
     shape = [F.col(c) for c in ("first", "last", "bins", "step")]

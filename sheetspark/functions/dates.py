@@ -64,7 +64,8 @@ def parse_date(value: Column, format_name: str | None) -> Column:
         spaced = F.regexp_replace(collapse_whitespace(value), r"(?<=\d)T(?=\d)", " ")
         with_time = F.try_to_timestamp(spaced, F.lit(pattern + "[ H:mm[:ss[.SSSSSS]]]"))
         # The longest bare date has ten characters, and the plain pattern is faster.
-        day_only = F.try_to_date(short, pattern).cast("timestamp_ntz")
+        # Going by the date drops what the session's zone does to midnight.
+        day_only = F.try_to_timestamp(short, F.lit(pattern)).cast("date").cast("timestamp_ntz")
         return F.when(F.length(short) <= 10, day_only).otherwise(with_time.cast("timestamp_ntz"))
     return collapse_whitespace(value).try_cast("timestamp_ntz")
 

@@ -15,7 +15,6 @@ from pyspark.sql import types as T
 
 from ..functions import dates as D
 from ..functions.text import as_text, collapse_whitespace, ident, is_temporal, second_text
-from .clean import rewrite
 
 YEARLY_DAYS, MONTHLY_DAYS = 365, 28
 

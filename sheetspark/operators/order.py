@@ -157,7 +157,7 @@ def running(
 
     frame = Window.partitionBy(PART, *key_cols).orderBy(POS).rowsBetween(Window.unboundedPreceding, -1 if before else 0)
     # One sorted partition per task again; hashing would put several into one.
-    spread = ordered.repartitionByRange(max(1, len(sizes)), PART)
+    spread = ordered.repartitionByRange(len(sizes), PART) if len(sizes) > 1 else ordered
     local = spread.select("*", *[_AGGREGATE[kind](c).over(frame).alias(out) for out, kind, c in specs])
     if len(sizes) < 2:
         return local

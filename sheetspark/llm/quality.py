@@ -59,7 +59,7 @@ def _lines(text: Column) -> Column:
     return F.transform(F.split(one, "\n"), lambda line: F.trim(line))
 
 
-def _without(text: Column, positions: Column) -> Column:
+def without_lines(text: Column, positions: Column) -> Column:
     """Text without the lines at these positions, in time n log n: markers sort
     in front of the lines that they strike out."""
     marks = F.transform(positions, lambda p: F.struct(p.alias("i"), F.lit(0).alias("k"), F.lit("").alias("line")))
@@ -129,7 +129,7 @@ def quality_rules(
     repeats = F.col("counts.n_repeat_words")
     gone = F.coalesce(F.col("n_line_words"), F.lit(0)).cast("long")
     failed = (n_words < min_words) | (100 * repeats > max_repeat_percent * n_words)
-    clean = F.when(F.col("gone").isNull(), text).otherwise(_without(text, F.col("gone")))
+    clean = F.when(F.col("gone").isNull(), text).otherwise(without_lines(text, F.col("gone")))
     return opened.closed(
         joined,
         {

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from .decontam import op3_decontamination
+from .linealign import op8_line_dedup
 from .quality import OP1_SQL, op1_quality
 
 QUERIES = {
     "op1_quality": op1_quality,
+    "op3_decontamination": op3_decontamination,
+    "op8_line_dedup": op8_line_dedup,
 }
 
 ORACLES = {

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from .decontam import op3_decontamination
+from .jaccard import op2_jaccard_join
 from .linealign import op8_line_dedup
 from .quality import OP1_SQL, op1_quality
 
 QUERIES = {
     "op1_quality": op1_quality,
+    "op2_jaccard_join": op2_jaccard_join,
     "op3_decontamination": op3_decontamination,
     "op8_line_dedup": op8_line_dedup,
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .curvepack import op4_curve_packing
 from .decontam import op3_decontamination
 from .jaccard import op2_jaccard_join
 from .linealign import op8_line_dedup
@@ -11,6 +12,7 @@ QUERIES = {
     "op1_quality": op1_quality,
     "op2_jaccard_join": op2_jaccard_join,
     "op3_decontamination": op3_decontamination,
+    "op4_curve_packing": op4_curve_packing,
     "op8_line_dedup": op8_line_dedup,
 }
 

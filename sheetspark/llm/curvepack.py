@@ -161,7 +161,7 @@ def pack_along_curve(
     opened = Opened(docs, id_col, text_col)
     spark = docs.sparkSession
     kind = opened.df.schema[opened.id].dataType.simpleString()
-    texts = opened.df.select("key", F.col(opened.id).cast("string").alias("id"), F.col(opened.text).alias("text"))
+    texts = opened.df.select("key", F.col(opened.id).cast("string").alias("id"), F.col(opened.text).cast("binary").alias("text"))
     placed = saved(texts.mapInPandas(_placed(tokenizer_path, end_id), "key long, id string, curve long, ids binary"))
     parts = parts_for(spark, placed.count(), part_docs)
     ranged = placed.repartitionByRange(parts, "curve", "key").sortWithinPartitions("curve", "key")

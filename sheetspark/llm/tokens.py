@@ -5,15 +5,39 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterable, Iterator
-from itertools import chain
 
 import numpy as np
 
 VOCABULARY = "word_bpe_49k.json"
-TAIL = re.compile(rb"(.*[a-z0-9])([!-&(-/:-@\[-`{-~]+)", re.S)
-SIMPLE = re.compile(r"[a-zà-öø-ɏ]+")
+#: ASCII punctuation but for the apostrophe, which can begin a token of letters.
+PUNCTUATION = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+LETTERS = re.compile(r"[a-zß-öø-ÿ]+")
 MOST_WORDS = 400_000
-GROUP_CHARS = 2_000_000
+GROUP_BYTES = 500_000
+#: Between texts; the byte is in no UTF-8 text.
+MARK = b" \xff "
+
+
+def _byte_letters() -> list[str]:
+    """The letter of each byte in a byte-level vocabulary: printable Latin-1 stands
+    for itself, the others follow from 256 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in plain]
+    return [chr(b) if b in plain else chr(256 + others.index(b)) for b in range(256)]
+
+
+def _kinds(members: bytes) -> np.ndarray:
+    return np.isin(np.arange(256), np.frombuffer(members, np.uint8))
+
+
+STOPS, SMALL, BLANK = _kinds(b".,"), _kinds(b"abcdefghijklmnopqrstuvwxyz0123456789"), _kinds(b" \n")
+
+
+def _parted(raw: bytes) -> bytes:
+    """A blank before each lone full stop or comma between a letter and white space."""
+    x = np.frombuffer(raw, np.uint8)
+    at = np.flatnonzero(STOPS[x[1:-1]] & SMALL[x[:-2]] & BLANK[x[2:]]) + 1
+    return np.insert(x, at, 0x20).tobytes()
 
 
 def vocabulary_path(path: str | None) -> str:
@@ -29,80 +53,95 @@ class WordIds:
     """Ids of texts under a BPE vocabulary with word ends (32-bit little-endian).
 
     The vocabulary drops white space, lowers case and never joins across white
-    space, so a text's ids are those of its words one after the other. Ids are
-    kept for each word seen, and made for its letters and its final punctuation
-    apart. Words that may hold a special token go to the tokenizer as they are.
+    space, so a text's ids are those of its words one after the other. Ids are kept
+    for the words seen last, and made for a word's letters and its final
+    punctuation apart. Letters alone go to the vocabulary's merges directly, all
+    else, and words that may hold a special token, through the whole tokenizer.
     """
 
     def __init__(self, path: str | None = None):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(vocabulary_path(path))
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
+        #: The merges alone: words spelled in the vocabulary's letters, one blank between.
+        self.bare = Tokenizer.from_file(vocabulary_path(path))
+        self.bare.normalizer = None
+        self.bare.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+        self.letters = {b: letter for b, letter in enumerate(_byte_letters()) if b != 0x20}
         self.words: dict[bytes, bytes] = {}
 
     def _exact(self, word: str) -> bytes:
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn_stems(self, stems: Iterable[bytes]) -> None:
-        """Ids of many stems; those of letters only are encoded as one line and
-        parted at the tokens that end a word."""
-        simple, other = [], []
-        for stem in stems:
-            text = stem.decode("utf-8", "replace")
-            (simple if SIMPLE.fullmatch(text) else other).append((stem, text))
-        for i in range(0, len(simple), 2000):
-            part = simple[i : i + 2000]
-            ids = np.array(self.tokenizer.encode(" ".join(t for _, t in part), add_special_tokens=False).ids, "<u4")
-            stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) != len(part):
-                other += part
-                continue
-            for (stem, _), piece in zip(part, np.split(ids, stops[:-1]), strict=True):
-                self.words[stem] = piece.tobytes()
-        for stem, text in other:
-            self.words[stem] = self._exact(text)
-
-    def _learn(self, unknown: set[bytes]) -> None:
-        parts: list[tuple[bytes, bytes, bytes]] = []
-        stems: set[bytes] = set()
+    def _spelled(self, stems: list[bytes]) -> None:
+        """Ids of stems of letters only, encoded as lines of many and parted at the
+        tokens that end a word."""
+        stems.sort(key=bytes.isascii)
+        for i in range(0, len(stems), 4000):
+            part = stems[i : i + 4000]
+            line = b" ".join(part).decode("latin-1")
+            if not line.isascii():
+                line = line.translate(self.letters)
+            ids = np.array(self.bare.encode_batch_fast([line], add_special_tokens=False)[0].ids, "<u4")
+            stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            raw = ids.tobytes()
+            self.words.update(zip(part, map(raw.__getitem__, map(slice, [0, *stops[:-1]], stops)), strict=True))
+
+    def _learn(self, unknown: Iterable[bytes]) -> None:
+        simple, split, stems = [], [], set()
         for word in unknown:
-            tail = TAIL.fullmatch(word)
-            if tail:
-                parts.append((word, tail[1], tail[2]))
-                stems.update((tail[1], tail[2]))
+            if word.isalpha():
+                simple.append(word)
+                continue
+            stem = word.rstrip(PUNCTUATION)
+            if len(stem) < len(word) and stem[-1:].isalnum():
+                split.append(word)
+                stems.add(stem)
+                stems.add(word[len(stem) :])
             else:
                 stems.add(word)
-        self._learn_stems(stems.difference(self.words))
-        for word, stem, tail in parts:
-            self.words[word] = self.words[stem] + self.words[tail]
-
-    def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
+        for stem in stems.difference(self.words, simple):
+            if stem.isalpha() or LETTERS.fullmatch(text := stem.decode("utf-8", "replace")):
+                simple.append(stem)
+            else:
+                self.words[stem] = self._exact(text)
+        self._spelled(simple)
+        known = self.words
+        for word in split:
+            stem = word.rstrip(PUNCTUATION)
+            known[word] = known[stem] + known[word[len(stem) :]]
+
+    def encode(self, texts: Iterable[bytes | str | None]) -> Iterator[bytes]:
         """Ids of each text, in order; null is empty."""
-        group: list[list[bytes]] = []
+        group: list[bytes] = []
         size = 0
         for text in texts:
-            raw = (text or "").encode("utf-8", "replace")
-            if b"<|" in raw:
-                group.append([w if b"<|" in w else w.lower() for w in raw.split()])
-            else:
-                group.append(raw.lower().split())
-            size += len(raw)
-            if size > GROUP_CHARS:
+            group.append(text if isinstance(text, bytes) else (text or "").encode("utf-8", "replace"))
+            size += len(group[-1])
+            if size > GROUP_BYTES:
                 yield from self._group(group)
                 group, size = [], 0
         yield from self._group(group)
 
-    def _group(self, group: list[list[bytes]]) -> Iterator[bytes]:
+    def _group(self, group: list[bytes]) -> Iterator[bytes]:
+        """Texts are looked up as one list of words with a mark between texts."""
+        special = {i: self._exact(raw.decode("utf-8", "replace")) for i, raw in enumerate(group) if b"<|" in raw}
+        words = _parted(MARK.join(b"" if i in special else raw for i, raw in enumerate(group)).lower()).split()
         if len(self.words) > MOST_WORDS:
-            self.words.clear()
-        unknown = set(chain.from_iterable(group)).difference(self.words)
-        special = {w for w in unknown if b"<|" in w}
-        for word in special:
-            self.words[word] = self._exact(word.decode("utf-8", "replace"))
-        self._learn(unknown - special)
-        found = self.words.__getitem__
-        for words in group:
-            yield b"".join(map(found, words))
+            here = set(words)
+            self.words = {w: ids for w, ids in self.words.items() if w in here}
+        self.words[MARK.strip()] = b"\xff\xff\xff\xff"
+        ids = list(map(self.words.get, words))
+        missing = [i for i, known in enumerate(ids) if known is None]
+        self._learn({words[i] for i in missing})
+        for i in missing:
+            ids[i] = self.words[words[i]]
+        raw = b"".join(ids)
+        stops = np.flatnonzero(np.frombuffer(raw, "<u4") == 0xFFFFFFFF).tolist()
+        start = 0
+        for i, stop in enumerate([*stops, len(raw) // 4][: len(group)]):
+            yield special.get(i, raw[4 * start : 4 * stop])
+            start = stop + 1

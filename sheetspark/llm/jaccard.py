@@ -65,8 +65,9 @@ def _pairs(tokens: np.ndarray, owner: np.ndarray, level: int) -> np.ndarray:
     return mixed(tokens[first] * np.uint64(MULTIPLIER) + mixed(tokens[second] + salt))
 
 
-def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
-    """Signatures of a set (sorted hashes) of which linked sets share at least one.
+def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
+    """Signatures of a set (sorted hashes) of which linked sets share at least one,
+    and how many of them, at the front and in the global order, are rare tokens.
 
     The global order is: rare tokens by hash, then frequent ones by hash. Of n
     tokens, at most n - ceil(percent * n / 100) can be missing in a linked set.
@@ -81,7 +82,7 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> np.nda
     need = n - least + 1
     rare = tokens[~frequent]
     if len(rare) >= need:
-        return rare[:need]
+        return rare[:need], need
     common = tokens[frequent]
     out = [rare]
     if n > 1:
@@ -91,7 +92,14 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> np.nda
             gain[np.unique(owner, return_index=True)[1]] = 0
             end = int(np.searchsorted(np.cumsum(gain), need - len(rare))) + 1
             out.append(_pairs(common[:end], owner[:end], level))
-    return np.concatenate(out)
+    return np.concatenate(out), len(rare)
+
+
+def parities(tokens: np.ndarray) -> np.ndarray:
+    """256 bits, each whether an odd number of tokens hash to it: two sets differ in
+    at least as many tokens as their parities in bits."""
+    odd = np.bincount((mixed(tokens ^ np.uint64(MULTIPLIER)) >> np.uint64(56)).astype(np.int64), minlength=256) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def _slot_counts(words: int, slots: int):
@@ -102,33 +110,37 @@ def _slot_counts(words: int, slots: int):
         shift = np.uint64(64 - slots.bit_length() + 1)
         for pdf in batches:
             for text in pdf["text"]:
-                np.add.at(counts, (shingle_set(text, known, words) >> shift).astype(np.int64), 1)
+                np.add.at(counts, (shingle_set(text, known, words) >> shift).astype(np.int64), np.uint32(1))
         small = np.minimum(counts, 255).astype(np.uint8).reshape(-1, SLOT_BLOCK)
         used = np.flatnonzero(small.any(axis=1))
-        yield pd.DataFrame({"block": used.astype(np.int32), "counts": [small[i].tobytes() for i in used]})
+        for i in range(0, len(used), 512):
+            part = used[i : i + 512]
+            yield pd.DataFrame({"block": part.astype(np.int32), "counts": [small[j].tobytes() for j in part]})
 
     return run
 
 
 def _slot_sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Sums of the tasks' counts on a scale of a quarter of a power of two, a byte each."""
     sums: dict[int, np.ndarray] = {}
     for pdf in batches:
         for block, counts in zip(pdf["block"], pdf["counts"], strict=True):
             held = sums.setdefault(block, np.zeros(SLOT_BLOCK, np.int64))
             held += np.frombuffer(counts, np.uint8)
-    yield pd.DataFrame({"block": list(sums), "counts": [x.tobytes() for x in sums.values()]}).astype({"block": "int32"})
+    scales = [np.minimum(np.round(4 * np.log2(1 + x)), 255).astype(np.uint8).tobytes() for x in sums.values()]
+    yield pd.DataFrame({"block": list(sums), "counts": scales, "total": [int(x.sum()) for x in sums.values()]}).astype({"block": "int32", "total": "int64"})
 
 
 def frequent_slots(texts: DataFrame, words: int, slots: int) -> np.ndarray:
     """Slots of shingle hashes whose count, over all documents, is far above the mean."""
     blocks = texts.mapInPandas(_slot_counts(words, slots), "block int, counts binary")
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = blocks.repartition(parts, "block").mapInPandas(_slot_sums, "block int, counts binary").collect()
-    total = np.zeros((slots // SLOT_BLOCK, SLOT_BLOCK), np.int64)
-    for block, counts in rows:
-        total[block] = np.frombuffer(counts, np.int64)
-    total = total.reshape(-1)
-    return total >= 4 * total.mean() + 64
+    rows = blocks.repartition(parts, "block").mapInPandas(_slot_sums, "block int, counts binary, total long").collect()
+    scale = np.zeros((slots // SLOT_BLOCK, SLOT_BLOCK), np.uint8)
+    for block, counts, _ in rows:
+        scale[block] = np.frombuffer(counts, np.uint8)
+    mean = sum(total for _, _, total in rows) / slots
+    return scale.reshape(-1) >= 4 * np.log2(1 + 4 * mean + 16)
 
 
 def _shingled(words: int, percent: int, frequent):
@@ -137,14 +149,19 @@ def _shingled(words: int, percent: int, frequent):
         flags = np.unpackbits(np.frombuffer(frequent.value, np.uint8)).astype(bool)
         shift = np.uint64(64 - len(flags).bit_length() + 1)
         for pdf in batches:
-            n, d1, d2, sigs = [], [], [], []
+            n, d1, d2, sigs, alone, odd = [], [], [], [], [], []
             for text in pdf["text"]:
                 tokens = shingle_set(text, known, words)
                 n.append(len(tokens))
                 d1.append(int(tokens.sum(dtype=np.uint64).view(np.int64)))
                 d2.append(int(mixed(tokens + np.uint64(MULTIPLIER)).sum(dtype=np.uint64).view(np.int64)))
-                sigs.append(signatures(tokens, flags[(tokens >> shift).astype(np.int64)], percent).view(np.int64))
-            yield pd.DataFrame({"key": pdf["key"], "n": np.array(n, np.int64), "d1": d1, "d2": d2, "sigs": sigs})
+                made, rare = signatures(tokens, flags[(tokens >> shift).astype(np.int64)], percent)
+                sigs.append(made.view(np.int64))
+                alone.append(rare)
+                odd.append(parities(tokens))
+            yield pd.DataFrame(
+                {"key": pdf["key"], "n": np.array(n, np.int64), "d1": d1, "d2": d2, "alone": np.array(alone, np.int32), "sigs": sigs, "odd": odd}
+            )
 
     return run
 
@@ -181,14 +198,42 @@ def _linked(percent: int):
     return run
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Pairs whose whole sets link; sets are made for documents in pairs only."""
+    pairs = saved(pairs)
+    wanted = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
+    sets = saved(texts.join(wanted, "key", "left_semi").mapInPandas(_sets(words), "key long, tokens binary"))
     one = sets.select(F.col("key").alias("a"), F.col("tokens").alias("x"))
     two = sets.select(F.col("key").alias("b"), F.col("tokens").alias("y"))
     return saved(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInPandas(_linked(percent), "a long, b long"))
 
 
-def _close(percent: int):
-    return F.lit(100) * F.least("n", "m") >= F.lit(percent) * F.greatest("n", "m")
+def _least(percent: int):
+    """Tokens that linked sets of n and m tokens share at least."""
+    return F.ceil(F.lit(percent) * (F.col("n") + F.col("m")) / F.lit(100 + percent))
+
+
+def _alike(percent: int):
+    """Whether sizes and parities allow a link."""
+    apart = sum((F.bit_count(F.col(f"odd{i}").bitwiseXOR(F.col(f"even{i}"))) for i in range(4)), F.lit(0))
+    sizes = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
+    return sizes & (apart <= F.col("n") + F.col("m") - 2 * _least(percent))
+
+
+def _plausible(shared: DataFrame, percent: int) -> DataFrame:
+    """Pairs that can still link, from one row for each signature they share.
+
+    Rare tokens are met in the global order, so up to the last shared one the
+    shared ones are counted exactly; beyond it, no more than the rest of the
+    smaller rest can be shared.
+    """
+    most = F.col("c") + F.least(F.col("n") - 1 - F.col("pa"), F.col("m") - 1 - F.col("pb"))
+    return (
+        shared.groupBy("a", "b")
+        .agg(F.min("n").alias("n"), F.min("m").alias("m"), F.count_if(F.col("pa") >= 0).alias("c"), F.max("pa").alias("pa"), F.max("pb").alias("pb"))
+        .where((F.col("c") == 0) | (most >= _least(percent)))
+        .select("a", "b")
+    )
 
 
 def _roots(hits: DataFrame, found: DataFrame | None) -> DataFrame:
@@ -198,48 +243,58 @@ def _roots(hits: DataFrame, found: DataFrame | None) -> DataFrame:
     return named.withColumn("root", F.coalesce("root", "key"))
 
 
-def _linked_components(hits: DataFrame, sets: DataFrame, percent: int, star_rounds: int) -> DataFrame:
+def _left(hits: DataFrame) -> DataFrame:
+    """Signatures of several components, with the pairs between these."""
+    c = F.col("c").cast("double")
+    per_root = hits.groupBy("sig", "root").agg(F.count("*").alias("c"))
+    per_sig = per_root.groupBy("sig").agg(((F.sum(c) * F.sum(c) - F.sum(c * c)) / 2).alias("pairs"))
+    return saved(per_sig.where("pairs > 0"))
+
+
+def _linked_components(hits: DataFrame, texts: DataFrame, words: int, percent: int, star_rounds: int) -> DataFrame:
     """``node root`` of the links between documents that share a signature.
 
-    A signature's documents are first compared to one of them each (m - 1 pairs
-    for m documents). Documents known to be connected need no further comparison,
-    so later rounds look only at signatures whose documents lie in several
-    components. The last round compares all pairs that are left in such
-    signatures, so no link between components is lost.
+    Documents known to be connected need no further comparison. While the pairs of
+    documents in different components are many for the rows at hand, the documents
+    of each signature are compared to one of them (m - 1 pairs for m documents),
+    and another one each round. The last round compares all pairs that are left,
+    so no link between components is lost.
     """
-    found, edges = None, None
-    n_hits = hits.count()
+    odd = [f"odd{i}" for i in range(4)]
+    even = [F.col(f"odd{i}").alias(f"even{i}") for i in range(4)]
+    one = hits.select("sig", F.col("key").alias("a"), "n", F.col("pos").alias("pa"), *odd)
+    two = hits.select(F.col("sig").alias("sig_b"), F.col("key").alias("b"), F.col("n").alias("m"), F.col("pos").alias("pb"), *even)
+    same = F.col("sig") == F.col("sig_b")
+    found, many = None, 16.0 * hits.count() + 100_000
     for number in range(star_rounds + 1):
-        open_hits = _roots(hits, found)
-        if found is not None:
-            per_root = open_hits.groupBy("sig", "root").agg(F.count("*").alias("c"))
-            per_sig = per_root.groupBy("sig").agg(
-                F.sum("c").cast("double").alias("s"), F.sum(F.col("c").cast("double") * F.col("c")).alias("q"), F.count("*").alias("roots")
-            )
-            mixed_sigs = saved(per_sig.where("roots > 1"))
-            left = mixed_sigs.agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2)).first()[0] or 0.0
-            if not left:
-                break
-            open_hits = saved(open_hits.join(mixed_sigs.select("sig"), "sig", "left_semi"))
-            last = number == star_rounds or left <= 2 * n_hits + 100_000
-        else:
-            last = False
+        rooted = _roots(hits, found)
+        several = _left(rooted)
+        left = several.agg(F.sum("pairs")).first()[0] or 0.0
+        if not left:
+            break
+        rooted = rooted.join(several.select("sig"), "sig", "left_semi")
+        last = number == star_rounds or left <= many
         if last:
-            other = open_hits.select("sig", F.col("key").alias("b"), F.col("n").alias("m"), F.col("root").alias("root_b"))
-            joined = open_hits.withColumnRenamed("key", "a").join(other, "sig").where("a < b AND root <> root_b")
+            a = rooted.select("sig", F.col("key").alias("a"), "n", F.col("pos").alias("pa"), F.col("root").alias("root_a"), *odd)
+            b = rooted.select(
+                F.col("sig").alias("sig_b"), F.col("key").alias("b"), F.col("n").alias("m"), F.col("pos").alias("pb"), F.col("root").alias("root_b"), *even
+            )
+            apart = (F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b"))
+            shared = a.join(b, same & apart & _alike(percent))
         else:
             turn = F.xxhash64("key", F.lit(number)) if number else F.col("key")
-            pivots = open_hits.groupBy("sig").agg(F.min_by("key", turn).alias("b"), F.min_by("n", turn).alias("m"), F.min_by("root", turn).alias("root_b"))
-            joined = open_hits.withColumnRenamed("key", "a").join(pivots, "sig").where("root <> root_b")
-        pairs = joined.where(_close(percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        new = _verified(pairs, sets, percent)
+            pivots = rooted.groupBy("sig").agg(F.min_by("key", turn).alias("pivot"), F.min_by("root", turn).alias("root_p"))
+            star = rooted.join(pivots, "sig").where("root <> root_p")
+            pairs = star.select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("pb_key")).distinct()
+            shared = pairs.join(one, "a").join(two, same & (F.col("pb_key") == F.col("b")) & _alike(percent))
+        new = _verified(_plausible(shared, percent), texts, words, percent)
         if not new.isEmpty():
             edges = new if found is None else found.select(F.col("node").alias("a"), F.col("root").alias("b")).union(new)
             found = saved(components(edges))
-        elif found is None:
-            found = new.select(F.col("a").alias("node"), F.col("b").alias("root"))
         if last:
             break
+    if found is None:
+        found = hits.where("false").select(F.col("key").alias("node"), F.col("key").alias("root"))
     return found
 
 
@@ -249,8 +304,8 @@ def jaccard_components(
     text_col: str = "text",
     words: int = 5,
     percent: int = 80,
-    slots: int = 1 << 22,
-    star_rounds: int = 6,
+    slots: int = 1 << 24,
+    star_rounds: int = 3,
 ) -> DataFrame:
     """Components of documents linked by Jaccard similarity of their word shingles.
 
@@ -274,16 +329,16 @@ def jaccard_components(
     texts = opened.df.select("key", F.col(opened.text).alias("text"))
     flags = np.packbits(frequent_slots(texts.select("text"), words, slots)).tobytes()
     sent = spark.sparkContext.broadcast(flags)
-    shingled = saved(texts.mapInPandas(_shingled(words, percent, sent), "key long, n long, d1 long, d2 long, sigs array<long>"))
+    shingled = saved(texts.mapInPandas(_shingled(words, percent, sent), "key long, n long, d1 long, d2 long, alone int, sigs array<long>, odd array<long>"))
     equal = shingled.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("key").alias("rep"))
     reps = saved(shingled.select("key", "n", "d1", "d2").join(equal, ["n", "d1", "d2"], "left").select("key", "n", F.coalesce("rep", "key").alias("rep")))
     chosen = reps.where("key = rep AND n > 0").select("key")
-    rows = shingled.join(chosen, "key", "left_semi").select(F.explode("sigs").alias("sig"), "key", "n")
+    each = shingled.join(chosen, "key", "left_semi").select("key", "n", "alone", F.posexplode("sigs").alias("pos", "sig"))
+    rows = each.select("sig", "key", "n", F.when(F.col("pos") < F.col("alone"), F.col("pos")).otherwise(-1).alias("pos"))
     twice = rows.groupBy("sig").count().where("count > 1").select("sig")
-    hits = saved(rows.join(twice, "sig").distinct())
-    wanted = hits.select("key").distinct()
-    sets = saved(texts.join(wanted, "key", "left_semi").mapInPandas(_sets(words), "key long, tokens binary"))
-    found = _linked_components(hits, sets, percent, star_rounds)
+    odd = shingled.select("key", *[F.get("odd", F.lit(i)).alias(f"odd{i}") for i in range(4)])
+    hits = saved(rows.join(twice, "sig").join(odd, "key"))
+    found = _linked_components(hits, texts, words, percent, star_rounds)
     named = reps.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
         F.col("key").alias("r_key"), "n", F.coalesce("root", "rep").alias("root")
     )

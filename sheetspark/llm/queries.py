@@ -6,6 +6,7 @@ from .curvepack import op4_curve_packing
 from .decontam import op3_decontamination
 from .jaccard import op2_jaccard_join
 from .linealign import op8_line_dedup
+from .maxent import op5_maxent_scores
 from .quality import OP1_SQL, op1_quality
 
 QUERIES = {
@@ -13,6 +14,7 @@ QUERIES = {
     "op2_jaccard_join": op2_jaccard_join,
     "op3_decontamination": op3_decontamination,
     "op4_curve_packing": op4_curve_packing,
+    "op5_maxent_scores": op5_maxent_scores,
     "op8_line_dedup": op8_line_dedup,
 }
 

@@ -56,14 +56,23 @@ def hilbert_keys(points: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _placed(path: str | None, end_id: int):
+    """Ids as they are kept between the two passes: two bytes each where the
+    vocabulary allows, else four."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words, signs = WordIds(path), _signs()
-        end = np.array([end_id], "<u4").tobytes()
-        for pdf in batches:
-            ids = [x + end for x in words.encode(pdf["text"])]
-            vectors = np.array([_features(np.frombuffer(x, "<u4")) for x in ids]).reshape(-1, FEATURES)
-            scaled = np.floor((vectors @ signs + 4) / 8 * (1 << BITS)).clip(0, (1 << BITS) - 1)
-            yield pd.DataFrame({"key": pdf["key"], "id": pdf["id"], "curve": hilbert_keys(scaled, BITS), "ids": ids})
+        kind = words.kind(end_id)
+        for whole in batches:
+            for start in range(0, len(whole), 500):
+                pdf = whole.iloc[start : start + 500]
+                points, kept = [], []
+                for raw in words.encode(pdf["text"]):
+                    ids = np.append(np.frombuffer(raw, "<u4"), np.uint32(end_id))
+                    points.append(_features(ids) @ signs)
+                    kept.append(ids.astype(kind).tobytes())
+                scaled = np.floor((np.array(points) + 4) / 8 * (1 << BITS)).clip(0, (1 << BITS) - 1)
+                width = np.full(len(kept), np.dtype(kind).itemsize, np.int32)
+                yield pd.DataFrame({"key": pdf["key"].to_numpy(), "id": pdf["id"].to_numpy(), "curve": hilbert_keys(scaled, BITS), "ids": kept, "width": width})
 
     return run
 
@@ -123,9 +132,9 @@ def _packed(size: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = _Sequences(size, TaskContext.get().partitionId() << 36)
         for pdf in batches:
-            for doc, curve, ids in zip(pdf["id"], pdf["curve"], pdf["ids"], strict=True):
-                out.add(doc, curve, ids)
-                if len(out.done) >= 2000:
+            for doc, curve, ids, width in zip(pdf["id"], pdf["curve"], pdf["ids"], pdf["width"], strict=True):
+                out.add(doc, curve, np.frombuffer(ids, f"<u{width}").astype("<u4").tobytes())
+                if len(out.done) >= 1000:
                     yield pd.DataFrame(out.done, columns=PIECE)
                     out.done = []
         out.finish()
@@ -141,7 +150,7 @@ def pack_along_curve(
     size: int = 4096,
     end_id: int = 2,
     tokenizer_path: str | None = None,
-    part_docs: int = 100_000,
+    part_tokens: int = 8_000_000,
 ) -> DataFrame:
     """Pieces of all documents, packed into sequences of at most ``size`` tokens.
 
@@ -162,11 +171,12 @@ def pack_along_curve(
     spark = docs.sparkSession
     kind = opened.df.schema[opened.id].dataType.simpleString()
     texts = opened.df.select("key", F.col(opened.id).cast("string").alias("id"), F.col(opened.text).cast("binary").alias("text"))
-    placed = saved(texts.mapInPandas(_placed(tokenizer_path, end_id), "key long, id string, curve long, ids binary"))
-    parts = parts_for(spark, placed.count(), part_docs)
+    placed = saved(texts.mapInPandas(_placed(tokenizer_path, end_id), "key long, id string, curve long, ids binary, width int"))
+    tokens = placed.agg(F.sum(F.length("ids") / F.col("width"))).first()[0] or 0
+    parts = parts_for(spark, tokens, part_tokens)
     ranged = placed.repartitionByRange(parts, "curve", "key").sortWithinPartitions("curve", "key")
     fields = "id string, start long, length long, ids binary, doc_tokens long, curve long, sequence_id long, offset long"
-    pieces = ranged.select("id", "curve", "ids").mapInPandas(_packed(size), fields)
+    pieces = ranged.select("id", "curve", "ids", "width").mapInPandas(_packed(size), fields)
     return pieces.select(F.col("id").cast(kind).alias(id_col), *PIECE[1:])
 
 

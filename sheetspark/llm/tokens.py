@@ -73,6 +73,10 @@ class WordIds:
         self.letters = {b: letter for b, letter in enumerate(_byte_letters()) if b != 0x20}
         self.words: dict[bytes, bytes] = {}
 
+    def kind(self, *more: int) -> str:
+        """Smallest whole numbers that hold every id of the vocabulary and these."""
+        return "<u2" if max(len(self.ends) - 1, *more) < 1 << 16 else "<u4"
+
     def _exact(self, word: str) -> bytes:
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 

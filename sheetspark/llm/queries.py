@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .bestfit import op7_packed_binary
 from .curvepack import op4_curve_packing
 from .decontam import op3_decontamination
 from .jaccard import op2_jaccard_join
@@ -15,6 +16,7 @@ QUERIES = {
     "op3_decontamination": op3_decontamination,
     "op4_curve_packing": op4_curve_packing,
     "op5_maxent_scores": op5_maxent_scores,
+    "op7_packed_binary": op7_packed_binary,
     "op8_line_dedup": op8_line_dedup,
 }
 

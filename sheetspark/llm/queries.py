@@ -9,6 +9,7 @@ from .jaccard import op2_jaccard_join
 from .linealign import op8_line_dedup
 from .maxent import op5_maxent_scores
 from .quality import OP1_SQL, op1_quality
+from .warc import OP9_SQL, op9_warc
 
 QUERIES = {
     "op1_quality": op1_quality,
@@ -18,8 +19,10 @@ QUERIES = {
     "op5_maxent_scores": op5_maxent_scores,
     "op7_packed_binary": op7_packed_binary,
     "op8_line_dedup": op8_line_dedup,
+    "op9_warc": op9_warc,
 }
 
 ORACLES = {
     "op1_quality": OP1_SQL,
+    "op9_warc": OP9_SQL,
 }

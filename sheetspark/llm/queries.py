@@ -9,6 +9,7 @@ from .jaccard import op2_jaccard_join
 from .linealign import op8_line_dedup
 from .maxent import op5_maxent_scores
 from .quality import OP1_SQL, op1_quality
+from .suffixes import op10_suffix_dedup
 from .warc import OP9_SQL, op9_warc
 
 QUERIES = {
@@ -20,6 +21,7 @@ QUERIES = {
     "op7_packed_binary": op7_packed_binary,
     "op8_line_dedup": op8_line_dedup,
     "op9_warc": op9_warc,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 ORACLES = {

@@ -22,6 +22,11 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
+def _single(edges: DataFrame) -> bool:
+    """Whether every node has one smaller neighbour only."""
+    return edges.groupBy("u").count().where("count > 1").isEmpty()
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``node root`` for every node with an edge to another; ``root`` is the
     smallest node that it reaches. Only edge rows are moved, a node's neighbours
@@ -30,8 +35,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     now, mark = saved(turned), None
     while True:
         now = saved(_small_star(_large_star(now)))
+        # Stars are the end: no node is between two others, none has two roots.
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(seen) == mark:
+        if tuple(seen) == mark or now.join(now.select(F.col("u").alias("v")), "v", "left_semi").isEmpty() and _single(now):
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
                 now.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("root"))
             )

@@ -4,6 +4,7 @@ pairs, from prefixes extended to match, then verification."""
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -15,6 +16,8 @@ from .common import Opened, saved
 from .components import components
 
 SLOT_BLOCK = 4096
+#: Keys (eight bytes each) up to which a set of documents is broadcast to a scan.
+BROADCAST_KEYS = 500_000
 MULTIPLIER = 0x9E3779B97F4A7C15
 
 
@@ -96,9 +99,9 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[
 
 
 def parities(tokens: np.ndarray) -> np.ndarray:
-    """256 bits, each whether an odd number of tokens hash to it: two sets differ in
+    """1,024 bits, each whether an odd number of tokens hash to it: two sets differ in
     at least as many tokens as their parities in bits."""
-    odd = np.bincount((mixed(tokens ^ np.uint64(MULTIPLIER)) >> np.uint64(56)).astype(np.int64), minlength=256) & 1
+    odd = np.bincount((mixed(tokens ^ np.uint64(MULTIPLIER)) >> np.uint64(54)).astype(np.int64), minlength=1024) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
@@ -198,11 +201,18 @@ def _linked(percent: int):
     return run
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """Pairs whose whole sets link; sets are made for documents in pairs only."""
-    pairs = saved(pairs)
-    wanted = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-    sets = saved(texts.join(wanted, "key", "left_semi").mapInPandas(_sets(words), "key long, tokens binary"))
+def _verified(pairs: DataFrame, facts: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Pairs whose whole sets link. Sizes and parities drop most others first; sets
+    are made for documents in the pairs left. Their keys are broadcast to the scan
+    of the texts up to a number of them, else texts and keys are shuffled."""
+    a = facts.select(F.col("key").alias("a"), "n", F.col("odd").alias("x"))
+    b = facts.select(F.col("key").alias("b"), F.col("n").alias("m"), F.col("odd").alias("y"))
+    apart = F.aggregate(F.zip_with("x", "y", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, v: t + v)
+    near = (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & (apart <= F.col("n") + F.col("m") - 2 * _least(percent))
+    pairs = saved(pairs.join(a, "a").join(b, "b").where(near).select("a", "b"))
+    wanted = saved(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct())
+    small = wanted.count() <= BROADCAST_KEYS
+    sets = saved(texts.join(F.broadcast(wanted) if small else wanted, "key", "left_semi").mapInPandas(_sets(words), "key long, tokens binary"))
     one = sets.select(F.col("key").alias("a"), F.col("tokens").alias("x"))
     two = sets.select(F.col("key").alias("b"), F.col("tokens").alias("y"))
     return saved(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInPandas(_linked(percent), "a long, b long"))
@@ -214,7 +224,7 @@ def _least(percent: int):
 
 
 def _alike(percent: int):
-    """Whether sizes and parities allow a link."""
+    """Whether sizes and folded parities allow a link."""
     apart = sum((F.bit_count(F.col(f"odd{i}").bitwiseXOR(F.col(f"even{i}"))) for i in range(4)), F.lit(0))
     sizes = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
     return sizes & (apart <= F.col("n") + F.col("m") - 2 * _least(percent))
@@ -236,66 +246,32 @@ def _plausible(shared: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def _roots(hits: DataFrame, found: DataFrame | None) -> DataFrame:
-    if found is None:
-        return hits.withColumn("root", F.col("key"))
-    named = hits.join(found.withColumnRenamed("node", "key"), "key", "left")
-    return named.withColumn("root", F.coalesce("root", "key"))
-
-
-def _left(hits: DataFrame) -> DataFrame:
-    """Signatures of several components, with the pairs between these."""
-    c = F.col("c").cast("double")
-    per_root = hits.groupBy("sig", "root").agg(F.count("*").alias("c"))
-    per_sig = per_root.groupBy("sig").agg(((F.sum(c) * F.sum(c) - F.sum(c * c)) / 2).alias("pairs"))
-    return saved(per_sig.where("pairs > 0"))
-
-
-def _linked_components(hits: DataFrame, texts: DataFrame, words: int, percent: int, star_rounds: int) -> DataFrame:
+def _linked_components(hits: DataFrame, facts: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """``node root`` of the links between documents that share a signature.
 
-    Documents known to be connected need no further comparison. While the pairs of
-    documents in different components are many for the rows at hand, the documents
-    of each signature are compared to one of them (m - 1 pairs for m documents),
-    and another one each round. The last round compares all pairs that are left,
-    so no link between components is lost.
+    First the documents of each signature are compared to its smallest one (m - 1
+    pairs for m documents), and linked ones take the least such document as their
+    mark. Documents with one mark are connected. Then all pairs of different marks
+    that share a signature are compared, so no link between components is lost.
     """
-    odd = [f"odd{i}" for i in range(4)]
-    even = [F.col(f"odd{i}").alias(f"even{i}") for i in range(4)]
-    one = hits.select("sig", F.col("key").alias("a"), "n", F.col("pos").alias("pa"), *odd)
-    two = hits.select(F.col("sig").alias("sig_b"), F.col("key").alias("b"), F.col("n").alias("m"), F.col("pos").alias("pb"), *even)
-    same = F.col("sig") == F.col("sig_b")
-    found, many = None, 16.0 * hits.count() + 100_000
-    for number in range(star_rounds + 1):
-        rooted = _roots(hits, found)
-        several = _left(rooted)
-        left = several.agg(F.sum("pairs")).first()[0] or 0.0
-        if not left:
-            break
-        rooted = rooted.join(several.select("sig"), "sig", "left_semi")
-        last = number == star_rounds or left <= many
-        if last:
-            a = rooted.select("sig", F.col("key").alias("a"), "n", F.col("pos").alias("pa"), F.col("root").alias("root_a"), *odd)
-            b = rooted.select(
-                F.col("sig").alias("sig_b"), F.col("key").alias("b"), F.col("n").alias("m"), F.col("pos").alias("pb"), F.col("root").alias("root_b"), *even
-            )
-            apart = (F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b"))
-            shared = a.join(b, same & apart & _alike(percent))
-        else:
-            turn = F.xxhash64("key", F.lit(number)) if number else F.col("key")
-            pivots = rooted.groupBy("sig").agg(F.min_by("key", turn).alias("pivot"), F.min_by("root", turn).alias("root_p"))
-            star = rooted.join(pivots, "sig").where("root <> root_p")
-            pairs = star.select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("pb_key")).distinct()
-            shared = pairs.join(one, "a").join(two, same & (F.col("pb_key") == F.col("b")) & _alike(percent))
-        new = _verified(_plausible(shared, percent), texts, words, percent)
-        if not new.isEmpty():
-            edges = new if found is None else found.select(F.col("node").alias("a"), F.col("root").alias("b")).union(new)
-            found = saved(components(edges))
-        if last:
-            break
-    if found is None:
-        found = hits.where("false").select(F.col("key").alias("node"), F.col("key").alias("root"))
-    return found
+    pivots = hits.groupBy("sig").agg(F.min("key").alias("pivot"))
+    star = hits.join(pivots, "sig").where("key <> pivot").select(F.col("pivot").alias("a"), F.col("key").alias("b")).distinct()
+    stars = _verified(star, facts, texts, words, percent)
+    marks = stars.groupBy("b").agg(F.min("a").alias("mark"))
+    above = marks.select(F.col("b").alias("mark"), F.col("mark").alias("above"))
+    marks = marks.join(above, "mark", "left").select(F.col("b").alias("key"), F.coalesce("above", "mark").alias("mark"))
+    marked = saved(hits.join(marks, "key", "left").withColumn("mark", F.coalesce("mark", "key")))
+    several = marked.groupBy("sig").agg(F.min("mark").alias("low"), F.max("mark").alias("high")).where("low <> high").select("sig")
+    marked = marked.join(several, "sig", "left_semi")
+    a = marked.select("sig", F.col("key").alias("a"), "n", F.col("pos").alias("pa"), F.col("mark").alias("mark_a"), *[f"odd{i}" for i in range(4)])
+    b = marked.select(
+        F.col("sig").alias("sig_b"), F.col("key").alias("b"), F.col("n").alias("m"), F.col("pos").alias("pb"), F.col("mark").alias("mark_b"),
+        *[F.col(f"odd{i}").alias(f"even{i}") for i in range(4)],
+    )
+    apart = (F.col("a") < F.col("b")) & (F.col("mark_a") != F.col("mark_b"))
+    shared = a.join(b, (F.col("sig") == F.col("sig_b")) & apart & _alike(percent))
+    more = _verified(_plausible(shared, percent), facts, texts, words, percent)
+    return components(stars.union(more))
 
 
 def jaccard_components(
@@ -305,7 +281,6 @@ def jaccard_components(
     words: int = 5,
     percent: int = 80,
     slots: int = 1 << 24,
-    star_rounds: int = 3,
 ) -> DataFrame:
     """Components of documents linked by Jaccard similarity of their word shingles.
 
@@ -336,9 +311,10 @@ def jaccard_components(
     each = shingled.join(chosen, "key", "left_semi").select("key", "n", "alone", F.posexplode("sigs").alias("pos", "sig"))
     rows = each.select("sig", "key", "n", F.when(F.col("pos") < F.col("alone"), F.col("pos")).otherwise(-1).alias("pos"))
     twice = rows.groupBy("sig").count().where("count > 1").select("sig")
-    odd = shingled.select("key", *[F.get("odd", F.lit(i)).alias(f"odd{i}") for i in range(4)])
-    hits = saved(rows.join(twice, "sig").join(odd, "key"))
-    found = _linked_components(hits, texts, words, percent, star_rounds)
+    facts = shingled.select("key", "n", "odd")
+    fold = [reduce(lambda x, y: x.bitwiseXOR(y), [F.get("odd", F.lit(i + j)) for j in range(0, 16, 4)]).alias(f"odd{i}") for i in range(4)]
+    hits = saved(rows.join(twice, "sig").join(facts.select("key", *fold), "key"))
+    found = _linked_components(hits, facts, texts, words, percent)
     named = reps.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
         F.col("key").alias("r_key"), "n", F.coalesce("root", "rep").alias("root")
     )

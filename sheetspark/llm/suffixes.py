@@ -14,7 +14,7 @@ from .common import Opened, parts_for
 from .jaccard import MULTIPLIER, mixed
 
 SAMPLE = 32
-BUFFER = 1 << 20
+BUFFER = 1 << 18
 MOST_CONTEXTS = 16
 U = np.uint64
 #: Odd base of the polynomial over bytes, and its inverse modulo 2^64.
@@ -22,10 +22,13 @@ BASE = 0xD1342543DE82EF95
 INVERSE = pow(BASE, -1, 1 << 64)
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, U)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+def _powers(base: int, n: int, made: dict[int, np.ndarray] = {}) -> np.ndarray:  # noqa: B006
+    """The first n powers; the longest array made is kept."""
+    if base not in made or len(made[base]) < n:
+        out = np.full(max(n, 2 * BUFFER), base, U)
+        out[0] = 1
+        made[base] = np.multiply.accumulate(out)
+    return made[base][:n]
 
 
 class Texts:
@@ -45,7 +48,7 @@ class Texts:
         n = len(data)
         values = mixed(np.arange(256, dtype=U) + U(MULTIPLIER))
         self.sums = np.zeros(n + 1, U)
-        np.cumsum(values[data] * _powers(BASE, max(n, 1))[:n], out=self.sums[1:])
+        np.cumsum(values[data] * _powers(BASE, n), out=self.sums[1:])
         self.scale = _powers(INVERSE, n + 1)
         self.lo = self.hi = self.at = self.doc = np.zeros(0, np.int64)
         self.sample = self.context = np.zeros(0, U)
@@ -85,7 +88,7 @@ class Texts:
 
 
 def _buffers(docs: pd.DataFrame) -> Iterator[tuple[np.ndarray, list[bytes]]]:
-    """Documents in the order of their keys, in buffers of about a megabyte; yields
+    """Documents in the order of their keys, in buffers of a quarter megabyte; yields
     the row numbers and the bytes."""
     order = np.argsort(docs["key"].to_numpy(), kind="stable")
     texts = docs["text"].tolist()
@@ -348,7 +351,7 @@ def _cut(length: int):
 
 
 def cut_repeats(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, block_bytes: int = 6_000_000, bucket_rows: int = 500_000
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, block_bytes: int = 4_000_000, bucket_rows: int = 250_000
 ) -> DataFrame:
     """Take out every byte covered by a string of ``length`` bytes that also starts
     earlier, in a smaller document or before in the same one.

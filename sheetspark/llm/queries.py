@@ -6,6 +6,7 @@ from .bestfit import op7_packed_binary
 from .curvepack import op4_curve_packing
 from .decontam import op3_decontamination
 from .jaccard import op2_jaccard_join
+from .licenses import OP6_SQL, op6_license_scan
 from .linealign import op8_line_dedup
 from .maxent import op5_maxent_scores
 from .quality import OP1_SQL, op1_quality
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_decontamination": op3_decontamination,
     "op4_curve_packing": op4_curve_packing,
     "op5_maxent_scores": op5_maxent_scores,
+    "op6_license_scan": op6_license_scan,
     "op7_packed_binary": op7_packed_binary,
     "op8_line_dedup": op8_line_dedup,
     "op9_warc": op9_warc,
@@ -26,5 +28,6 @@ QUERIES = {
 
 ORACLES = {
     "op1_quality": OP1_SQL,
+    "op6_license_scan": OP6_SQL,
     "op9_warc": OP9_SQL,
 }

@@ -4,7 +4,6 @@ pairs, from prefixes extended to match, then verification."""
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -99,12 +98,26 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[
 
 
 def parities(tokens: np.ndarray) -> np.ndarray:
-    """1,024 bits, each whether an odd number of tokens hash to it: two sets differ in
-    at least as many tokens as their parities in bits."""
-    odd = np.bincount((mixed(tokens ^ np.uint64(MULTIPLIER)) >> np.uint64(54)).astype(np.int64), minlength=1024) & 1
+    """Bits (1,024, or more for more tokens, by powers of two), each whether an odd
+    number of tokens hash to it: two sets differ in at least as many tokens as
+    their parities in bits. Halves laid over each other are the next smaller size."""
+    size = 1024 << max(0, (len(tokens) // 512).bit_length() - 1)
+    odd = np.bincount((mixed(tokens ^ np.uint64(MULTIPLIER)) & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def _folded(x, size):
+    """Parities of twice the size laid over each other, others as they are."""
+    over = F.zip_with(F.slice(x, F.lit(1), size), F.slice(x, size + 1, size), lambda p, q: p.bitwiseXOR(q))
+    return F.when(F.size(x) > size, over).otherwise(x)
+
+
+def _hinted(df: DataFrame) -> DataFrame:
+    """A saved table of keys, broadcast up to a number of rows; beyond it, both sides
+    of its joins are shuffled."""
+    return F.broadcast(df) if df.count() <= BROADCAST_KEYS else df
+
+
 def _slot_counts(words: int, slots: int):
     """Counts of this task's shingles by slot of their hash, one count a document."""
 
@@ -152,7 +165,7 @@ def _shingled(words: int, percent: int, frequent):
         flags = np.unpackbits(np.frombuffer(frequent.value, np.uint8)).astype(bool)
         shift = np.uint64(64 - len(flags).bit_length() + 1)
         for pdf in batches:
-            n, d1, d2, sigs, alone, odd = [], [], [], [], [], []
+            n, d1, d2, sigs, alone, odd, small = [], [], [], [], [], [], []
             for text in pdf["text"]:
                 tokens = shingle_set(text, known, words)
                 n.append(len(tokens))
@@ -162,8 +175,9 @@ def _shingled(words: int, percent: int, frequent):
                 sigs.append(made.view(np.int64))
                 alone.append(rare)
                 odd.append(parities(tokens))
+                small.append(np.bitwise_xor.reduce(odd[-1].reshape(-1, 4), axis=0))
             yield pd.DataFrame(
-                {"key": pdf["key"], "n": np.array(n, np.int64), "d1": d1, "d2": d2, "alone": np.array(alone, np.int32), "sigs": sigs, "odd": odd}
+                {"key": pdf["key"], "n": np.array(n, np.int64), "d1": d1, "d2": d2, "alone": np.array(alone, np.int32), "sigs": sigs, "odd": odd, "small": small}
             )
 
     return run
@@ -207,12 +221,13 @@ def _verified(pairs: DataFrame, facts: DataFrame, texts: DataFrame, words: int,
     of the texts up to a number of them, else texts and keys are shuffled."""
     a = facts.select(F.col("key").alias("a"), "n", F.col("odd").alias("x"))
     b = facts.select(F.col("key").alias("b"), F.col("n").alias("m"), F.col("odd").alias("y"))
-    apart = F.aggregate(F.zip_with("x", "y", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, v: t + v)
+    size = F.least(F.size("x"), F.size("y"))
+    differing = F.zip_with(_folded(F.col("x"), size), _folded(F.col("y"), size), lambda p, q: F.bit_count(p.bitwiseXOR(q)))
+    apart = F.aggregate(differing, F.lit(0), lambda t, v: t + v)
     near = (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & (apart <= F.col("n") + F.col("m") - 2 * _least(percent))
     pairs = saved(pairs.join(a, "a").join(b, "b").where(near).select("a", "b"))
     wanted = saved(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct())
-    small = wanted.count() <= BROADCAST_KEYS
-    sets = saved(texts.join(F.broadcast(wanted) if small else wanted, "key", "left_semi").mapInPandas(_sets(words), "key long, tokens binary"))
+    sets = saved(texts.join(_hinted(wanted), "key", "left_semi").mapInPandas(_sets(words), "key long, tokens binary"))
     one = sets.select(F.col("key").alias("a"), F.col("tokens").alias("x"))
     two = sets.select(F.col("key").alias("b"), F.col("tokens").alias("y"))
     return saved(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInPandas(_linked(percent), "a long, b long"))
@@ -259,8 +274,8 @@ def _linked_components(hits: DataFrame, facts: DataFrame, texts: DataFrame, word
     stars = _verified(star, facts, texts, words, percent)
     marks = stars.groupBy("b").agg(F.min("a").alias("mark"))
     above = marks.select(F.col("b").alias("mark"), F.col("mark").alias("above"))
-    marks = marks.join(above, "mark", "left").select(F.col("b").alias("key"), F.coalesce("above", "mark").alias("mark"))
-    marked = saved(hits.join(marks, "key", "left").withColumn("mark", F.coalesce("mark", "key")))
+    marks = saved(marks.join(above, "mark", "left").select(F.col("b").alias("key"), F.coalesce("above", "mark").alias("mark")))
+    marked = hits.join(_hinted(marks), "key", "left").withColumn("mark", F.coalesce("mark", "key"))
     several = marked.groupBy("sig").agg(F.min("mark").alias("low"), F.max("mark").alias("high")).where("low <> high").select("sig")
     marked = marked.join(several, "sig", "left_semi")
     a = marked.select("sig", F.col("key").alias("a"), "n", F.col("pos").alias("pa"), F.col("mark").alias("mark_a"), *[f"odd{i}" for i in range(4)])
@@ -304,16 +319,15 @@ def jaccard_components(
     texts = opened.df.select("key", F.col(opened.text).alias("text"))
     flags = np.packbits(frequent_slots(texts.select("text"), words, slots)).tobytes()
     sent = spark.sparkContext.broadcast(flags)
-    shingled = saved(texts.mapInPandas(_shingled(words, percent, sent), "key long, n long, d1 long, d2 long, alone int, sigs array<long>, odd array<long>"))
+    shingled = saved(texts.mapInPandas(_shingled(words, percent, sent), "key long, n long, d1 long, d2 long, alone int, sigs array<long>, odd array<long>, small array<long>"))
     equal = shingled.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("key").alias("rep"))
     reps = saved(shingled.select("key", "n", "d1", "d2").join(equal, ["n", "d1", "d2"], "left").select("key", "n", F.coalesce("rep", "key").alias("rep")))
-    chosen = reps.where("key = rep AND n > 0").select("key")
-    each = shingled.join(chosen, "key", "left_semi").select("key", "n", "alone", F.posexplode("sigs").alias("pos", "sig"))
+    chosen = saved(reps.where("key = rep AND n > 0").select("key"))
+    each = shingled.join(_hinted(chosen), "key", "left_semi").select("key", "n", "alone", F.posexplode("sigs").alias("pos", "sig"))
     rows = each.select("sig", "key", "n", F.when(F.col("pos") < F.col("alone"), F.col("pos")).otherwise(-1).alias("pos"))
     twice = rows.groupBy("sig").count().where("count > 1").select("sig")
     facts = shingled.select("key", "n", "odd")
-    fold = [reduce(lambda x, y: x.bitwiseXOR(y), [F.get("odd", F.lit(i + j)) for j in range(0, 16, 4)]).alias(f"odd{i}") for i in range(4)]
-    hits = saved(rows.join(twice, "sig").join(facts.select("key", *fold), "key"))
+    hits = saved(rows.join(twice, "sig").join(shingled.select("key", *[F.get("small", F.lit(i)).alias(f"odd{i}") for i in range(4)]), "key"))
     found = _linked_components(hits, facts, texts, words, percent)
     named = reps.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
         F.col("key").alias("r_key"), "n", F.coalesce("root", "rep").alias("root")

@@ -54,10 +54,39 @@ def csv_order(t: Tables):
     return indexed.select(F.col("o_orderkey").cast("long").alias("o_orderkey"), "row_index")
 
 
+@query("SELECT CAST(doc_id AS VARCHAR) AS doc_id, text FROM documents")
+def csv_documents(t: Tables):
+    """Whole texts with line breaks, quotes and separators, written and read."""
+    path = t.scratch("documents-csv")
+    sinks.write_sheet(t.documents.select("doc_id", "text"), path)
+    return sheets.read_sheet(t.spark, path)
+
+
+@query("SELECT CAST(page_id AS VARCHAR) AS page_id, html FROM pages")
+def csv_pages(t: Tables):
+    path = t.scratch("pages-csv")
+    sinks.write_sheet(t.pages.select("page_id", "html"), path)
+    return sheets.read_sheet(t.spark, path)
+
+
+@query(
+    """SELECT CAST(doc_id AS VARCHAR) AS doc_id, CASE WHEN lang <> 'fr' THEN text END AS text, CASE WHEN lang = 'fr' THEN text END AS "Body",
+  source, 'lang=' || lang AS file_name FROM documents"""
+)
+def sheet_set(t: Tables):
+    """Documents in a folder for each language, with two different headers."""
+    path = t.scratch("documents-set")
+    for name, column in (("lang <> 'fr'", "text"), ("lang = 'fr'", "Body")):
+        chosen = t.documents.where(name).select("doc_id", F.col("text").alias(column), "source", "lang")
+        sinks.append_partitions(chosen, path, "lang")
+    found = sheets.read_sheet_set(t.spark, path)
+    return found.select("doc_id", "text", "Body", "source", "file_name")
+
+
 @query(
-    """SELECT 'event_id' AS "column", 'int' AS column_type, (SELECT least(count(*), 1000) FROM events) AS shown_rows
-UNION ALL SELECT 'price', 'float', (SELECT least(count(*), 1000) FROM events)
-UNION ALL SELECT 'kind', 'str', (SELECT least(count(*), 1000) FROM events)"""
+    """SELECT 'event_id' AS "column", 'int' AS column_type, (SELECT count(*) FROM events) AS shown_rows
+UNION ALL SELECT 'price', 'float', (SELECT count(*) FROM events)
+UNION ALL SELECT 'kind', 'str', (SELECT count(*) FROM events)"""
 )
 def preview(t: Tables):
     source = t.events.select("event_id", F.col("value").cast("string").alias("price"), F.col("event_type").alias("kind"))
@@ -99,7 +128,7 @@ def export_numeric(t: Tables):
 @query(
     """SELECT '{"o_orderkey":' || o_orderkey || ',"o_orderstatus":"' || o_orderstatus || '","o_custkey":'
   || CASE WHEN o_custkey % 2 = 0 THEN 'null' ELSE CAST(o_custkey AS VARCHAR) END || '}' AS row, (SELECT count(*) FROM orders) AS total_rows,
-  'o_orderkey,o_orderstatus,o_custkey' AS columns, false AS is_complete_data FROM orders ORDER BY o_orderkey LIMIT 100"""
+  'o_orderkey,o_orderstatus,o_custkey' AS columns, true AS is_complete_data FROM orders"""
 )
 def payload_out(t: Tables):
     source = t.orders.selectExpr("o_orderkey", "o_orderstatus", "CASE WHEN o_custkey % 2 <> 0 THEN o_custkey END AS o_custkey")

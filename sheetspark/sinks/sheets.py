@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.numbers import finite
 from ..functions.text import ident, is_fractional
 from ..operators.types import coerce_numeric
+from ..sources.sheets import CSV_GRAMMAR
 
 
 def _refuse_own_input(df: DataFrame, path: str) -> None:
@@ -19,10 +20,18 @@ def _refuse_own_input(df: DataFrame, path: str) -> None:
         raise ValueError(f"{path} is an input of this table; write to a new path")
 
 
+_BLANKS = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
 def write_sheet(df: DataFrame, path: str) -> None:
     """Replace a CSV sheet; never one this table is read from."""
     _refuse_own_input(df, path)
-    df.write.mode("overwrite").option("header", True).csv(path)
+    df.write.mode("overwrite").options(**CSV_GRAMMAR, **_BLANKS).csv(path)
+
+
+def append_partitions(df: DataFrame, path: str, column: str) -> None:
+    """Add CSV sheets to a folder, below one folder for each value of a column."""
+    df.write.mode("append").partitionBy(column).options(**CSV_GRAMMAR, **_BLANKS).csv(path)
 
 
 def write_parquet(df: DataFrame, path: str) -> None:
@@ -37,24 +46,24 @@ def export_sheet(df: DataFrame, path: str) -> DataFrame:
     return restored
 
 
-def to_payload(df: DataFrame, order_by: Sequence[str | Column], cap: int = 100, complete: bool = False) -> DataFrame:
+def to_payload(df: DataFrame, order_by: Sequence[str | Column], cap: int | None = None) -> DataFrame:
     """(columns, row, total_rows, is_complete_data): rows as JSON-safe lists.
 
-    First ``cap`` rows of the order, or all rows with ``complete``; NaN and
-    infinity are null.
+    All rows, or the first ``cap`` of the order where the caller names one; NaN
+    and infinity are null.
     """
     safe = [
         (finite(ident(f.name)) if is_fractional(f.dataType) else ident(f.name)).alias(f.name) for f in df.schema.fields
     ]
     total = df.count()
     keys = [ident(c) if isinstance(c, str) else c for c in order_by]
-    shown = df if complete else df.orderBy(*keys).limit(cap)
+    shown = df if cap is None else df.orderBy(*keys).limit(cap)
     row = F.to_json(F.struct(*safe), {"ignoreNullFields": "false"})
     return shown.select(
         F.array(*[F.lit(c) for c in df.columns]).alias("columns"),
         row.alias("row"),
         F.lit(total).cast("long").alias("total_rows"),
-        F.lit(complete or total <= cap).alias("is_complete_data"),
+        F.lit(cap is None or total <= cap).alias("is_complete_data"),
     )
 
 

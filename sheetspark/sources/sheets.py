@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +13,7 @@ from ..operators.clean import rewrite
 from ..operators.order import source_order
 from ..operators.types import infer_types, sniff_types
 from ..operators.unions import union_all
+from ..session import saved
 
 MAX_COLUMNS = 20_000
 # Texts a typed scan reads as missing.
@@ -23,21 +23,48 @@ NULL_TOKENS = [
 ]
 
 
-def _reader(spark: SparkSession, encoding: str | None = None):
-    reader = spark.read.option("header", True).option("maxColumns", MAX_COLUMNS)
+# One grammar for readers and writers: doubled quotes, no other escape, blanks kept.
+CSV_GRAMMAR = {"header": True, "quote": '"', "escape": '"'}
+
+
+def _reader(spark: SparkSession, encoding: str | None = None, max_columns: int = MAX_COLUMNS, multi_line: bool = False):
+    reader = spark.read.options(**CSV_GRAMMAR).option("maxColumns", max_columns).option("multiLine", multi_line)
     return reader.option("encoding", encoding) if encoding else reader
 
 
+def _open_quotes(line: Column) -> Column:
+    """Whether a quote of the line is not closed in it: its cell has a line break."""
+    return (F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))) % 2 == 1
+
+
+def has_quoted_breaks(spark: SparkSession, path: str | Sequence[str]) -> bool:
+    """Whether any cell below the path holds a line break; one pass over the lines."""
+    lines = spark.read.text(path if isinstance(path, str) else list(path))
+    return bool(lines.agg(F.bool_or(_open_quotes(F.col("value")))).first()[0])
+
+
 def read_sheet(
-    spark: SparkSession, path: str | Sequence[str], infer: bool = False, ordered: bool = False, encoding: str | None = None
+    spark: SparkSession,
+    path: str | Sequence[str],
+    infer: bool = False,
+    ordered: bool = False,
+    encoding: str | None = None,
+    multi_line: bool | None = None,
+    max_columns: int = MAX_COLUMNS,
 ) -> DataFrame:
     """A CSV sheet with header; all text, or typed with ``infer``.
 
+    Cells may hold separators, doubled quotes and line breaks. A file with a line
+    break in a cell is read by one task (``multi_line``); others are split. Which
+    way is needed is found by a pass over the lines unless the caller says it; the
+    rows are the same either way where no cell has a line break.
+
     Typed: missing-value texts become null, then whole columns that are numbers
     or booleans get that type. ``ordered`` adds the row order of the files.
     """
     paths = path if isinstance(path, str) else list(path)
-    df = _reader(spark, encoding).csv(paths)
+    whole = has_quoted_breaks(spark, paths) if multi_line is None else multi_line
+    df = _reader(spark, encoding, max_columns, whole).csv(paths)
     if ordered:
         df = source_order(df)
     return typed(df) if infer else df
@@ -50,108 +77,134 @@ def typed(df: DataFrame) -> DataFrame:
     return infer_types(cleared)
 
 
-def preview_raw(df: DataFrame, order_by: str | Column, cap: int | None = 1000) -> tuple[DataFrame, DataFrame]:
-    """First ``cap`` rows (all without a cap) and the types sniffed from them."""
+def preview_raw(df: DataFrame, order_by: str | Column, cap: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """All rows, or the first ``cap`` where the caller names one, and the types
+    sniffed from all rows."""
     key = ident(order_by) if isinstance(order_by, str) else order_by
     shown = df if cap is None else df.orderBy(key).limit(cap)
-    return shown, sniff_types(shown, order_by)
+    return shown, sniff_types(df, order_by)
 
 
-def _paths_and_headers(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:
-    """(path, header, is_utf8) per file, from the raw lines of splittable text."""
-    source = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").text(
-        paths if isinstance(paths, str) else list(paths)
-    )
-    lines = source.select(
+_FILES = {"recursiveFileLookup": True, "pathGlobFilter": "*.csv"}
+# A first record: cells outside quotes end at the line, quoted ones go on.
+_FIRST_RECORD = r'(?s)^((?:[^"\r\n]++|"(?:[^"]++|"")*+"?)*+)'
+
+
+def _sheet_files(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:
+    """(path, header, is_utf8, whole) per file, saved: the first record, whether all
+    lines are valid utf-8, and whether cells hold line breaks.
+
+    One pass over splittable lines; only files with line breaks in cells, which one
+    task reads anyway, are looked at again as a whole for their first record.
+    """
+    places = paths if isinstance(paths, str) else list(paths)
+    lines = spark.read.options(**_FILES).text(places).select(
         F.col("_metadata.file_path").alias("path"),
         F.col("_metadata.file_block_start").alias("start"),
         F.monotonically_increasing_id().alias("id"),
         "value",
     )
-    return lines.groupBy("path").agg(
-        F.min_by("value", F.struct("start", "id")).alias("header"),
-        F.bool_and(F.is_valid_utf8("value")).alias("is_utf8"),
+    files = saved(
+        lines.groupBy("path").agg(
+            F.min_by("value", F.struct("start", "id")).alias("header"),
+            F.bool_and(F.is_valid_utf8("value")).alias("is_utf8"),
+            F.bool_or(_open_quotes(F.col("value"))).alias("whole"),
+        )
     )
-
-
-# Above this many different headers one scan serves all files of an encoding.
-UNITED_SCANS = 50
-
-
-def _tagged(df: DataFrame) -> DataFrame:
-    return df.select(
-        "*",
-        F.col("_metadata.file_path").alias("__path"),
-        F.col("_metadata.file_size").alias("__size"),
-        F.col("_metadata.file_modification_time").alias("__modified"),
+    broken = [r[0] for r in files.where("whole").select("path").collect()]
+    if not broken:
+        return files
+    whole = spark.read.text(broken, wholetext=True).select(
+        F.col("_metadata.file_path").alias("path"), F.regexp_extract("value", _FIRST_RECORD, 1).alias("record")
     )
+    return saved(files.join(whole, "path", "left").select("path", F.coalesce("record", "header").alias("header"), "is_utf8", "whole"))
 
 
 # A quoted header cell, in which commas do not separate.
-_QUOTED = r'"([^"]|"")*"'
+_QUOTED = r'"([^"]|"")*+"'
 
 
-def _header_width(header: str) -> int:
-    return re.sub(_QUOTED, "", header).count(",") + 1
+def _header_width(header: Column) -> Column:
+    return F.size(F.split(F.regexp_replace(header, _QUOTED, ""), ","))
 
 
-def _header_names(header: Column, width: int) -> Column:
-    """Header cells of a first line, with the names a header scan would give."""
-    cells = F.from_csv(header, ", ".join(f"_c{i} string" for i in range(width)), {"maxColumns": str(MAX_COLUMNS)})
-    names = F.array(*[cells[f"_c{i}"] for i in range(width)])
-    present = F.slice(names, F.lit(1), F.size(F.split(F.regexp_replace(header, _QUOTED, ""), ",")))
-    repeated = lambda c: F.size(F.filter(present, lambda other: F.lower(other) == F.lower(c))) > 1
+def _header_names(header: Column, width: int, max_columns: int) -> Column:
+    """Header cells of a first record, with the names a header scan would give."""
+    options = {"maxColumns": str(max_columns), "quote": '"', "escape": '"', "multiLine": "true"}
+    cells = F.from_csv(header, ", ".join(f"_c{i} string" for i in range(width)), options)
+    present = F.slice(F.array(*[cells[f"_c{i}"] for i in range(width)]), F.lit(1), _header_width(header))
+    placed = F.sort_array(F.transform(present, lambda c, i: F.struct(F.lower(c).alias("low"), i.alias("i"))))
+    repeated = F.transform(
+        F.filter(
+            placed,
+            lambda e, n: (F.get(placed, n - 1)["low"] == e["low"]) | (F.get(placed, n + 1)["low"] == e["low"]),
+        ),
+        lambda e: e["i"],
+    )
     return F.transform(
         present,
         lambda c, i: F.when(F.coalesce(c, F.lit("")) == "", F.concat(F.lit("_c"), i.cast("string")))
-        .when(repeated(c), F.concat(c, i.cast("string")))
+        .when(F.array_contains(repeated, i), F.concat(c, i.cast("string")))
         .otherwise(c),
     )
 
 
-def read_sheet_cells(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:
-    """(__path, __size, __modified, cells): each row as a map header -> text.
+def _named_files(files: DataFrame, max_columns: int) -> tuple[DataFrame, int]:
+    """(path, names) per file, saved, and the largest number of names."""
+    width = files.agg(F.max(_header_width(F.col("header")))).first()[0] or 1
+    return saved(files.select("path", _header_names(F.col("header"), width, max_columns).alias("names"))), width
 
-    One scan per encoding for any number of different headers: rows are read by
-    position, and the names come from the header of the row's own file.
-    """
-    files = _paths_and_headers(spark, paths)
-    listed = files.collect()
-    width = max((_header_width(r["header"]) for r in listed), default=1)
-    headers = files.select(F.col("path").alias("__path"), _header_names(F.col("header"), width).alias("__names"))
+
+def _rows_by_place(spark: SparkSession, files: DataFrame, width: int, max_columns: int) -> DataFrame:
+    """(__path, __size, __modified, values): rows of all files, cells by position."""
     schema = ", ".join(f"_c{i} string" for i in range(width))
+    groups: dict[tuple[bool, bool], list[str]] = {}
+    for path, is_utf8, whole in files.select("path", "is_utf8", "whole").collect():
+        groups.setdefault((is_utf8, whole), []).append(path)
     frames = []
-    for is_utf8 in (True, False):
-        chosen = [r["path"] for r in listed if r["is_utf8"] == is_utf8]
-        if chosen:
-            # A given schema is applied by position and each file's header skipped.
-            frames.append(_tagged(_reader(spark, None if is_utf8 else "ISO-8859-1").schema(schema).csv(chosen)))
-    rows = union_all(frames).join(headers, "__path")
-    values = F.slice(F.array(*[F.col(f"_c{i}") for i in range(width)]), F.lit(1), F.size("__names"))
-    cells = F.map_from_arrays("__names", values)
+    for (is_utf8, whole), chosen in sorted(groups.items()):
+        # A given schema is applied by position and each file's header skipped.
+        reader = _reader(spark, None if is_utf8 else "ISO-8859-1", max_columns, whole)
+        frames.append(
+            reader.schema(schema).csv(chosen).select(
+                F.col("_metadata.file_path").alias("__path"),
+                F.col("_metadata.file_size").alias("__size"),
+                F.col("_metadata.file_modification_time").alias("__modified"),
+                F.array(*[F.col(f"_c{i}") for i in range(width)]).alias("values"),
+            )
+        )
+    return union_all(frames)
+
+
+def read_sheet_cells(spark: SparkSession, paths: Sequence[str] | str, max_columns: int = MAX_COLUMNS) -> DataFrame:
+    """(__path, __size, __modified, cells): each row as a map header -> text."""
+    files = _sheet_files(spark, paths)
+    named, width = _named_files(files, max_columns)
+    rows = _rows_by_place(spark, files, width, max_columns).join(named.withColumnRenamed("path", "__path"), "__path")
+    cells = F.map_from_arrays("names", F.slice("values", F.lit(1), F.size("names")))
     return rows.select("__path", "__size", "__modified", cells.alias("cells"))
 
 
-def read_sheets(spark: SparkSession, paths: Sequence[str] | str, united_scans: int = UNITED_SCANS) -> DataFrame:
+def read_sheets(spark: SparkSession, paths: Sequence[str] | str, max_columns: int = MAX_COLUMNS) -> DataFrame:
     """Sheets of mixed encodings: utf-8 where every line is valid, else latin-1.
 
     A column is never read under another sheet's header; sheets are united by
-    column name. Files of one encoding and header share a scan, or, with many
-    different headers, all files of an encoding do. The driver holds what its
-    file listing holds anyway: one line per file.
+    column name, for any number of different headers in the same way. Names that
+    differ in case only are one column, spelled as in the first file by path that
+    has it; columns are in the order of (file, place) of that spelling. The driver
+    holds what Spark's file listing holds, the paths, and the column names.
     """
-    groups: dict[tuple[bool, str], list[str]] = {}
-    for row in _paths_and_headers(spark, paths).collect():
-        groups.setdefault((row["is_utf8"], row["header"]), []).append(row["path"])
-    ordered = sorted(groups.items(), key=lambda item: item[1][0])
-    if len(groups) <= united_scans:
-        return union_all([_tagged(_reader(spark, None if u else "ISO-8859-1").csv(files)) for (u, _), files in ordered])
-    rows = read_sheet_cells(spark, paths)
-    lines = spark.createDataFrame([(i, header) for i, ((_, header), _) in enumerate(ordered)], "i int, header string")
-    width = max(_header_width(header) for (_, header), _ in ordered)
-    named = lines.select("i", _header_names(F.col("header"), width).alias("names")).orderBy("i").collect()
-    columns = list(dict.fromkeys(name for row in named for name in row["names"]))
-    return rows.select(*[F.try_element_at("cells", F.lit(c)).alias(c) for c in columns], "__path", "__size", "__modified")
+    files = _sheet_files(spark, paths)
+    named, width = _named_files(files, max_columns)
+    placed = named.select("path", F.posexplode("names").alias("place", "name"))
+    first = placed.groupBy(F.lower("name").alias("low")).agg(F.min(F.struct("path", "place", "name")).alias("f"))
+    columns = [r[0] for r in first.orderBy("f.path", "f.place").select("f.name").collect()]
+    lows = F.transform("names", F.lower)
+    slots = F.transform(F.array(*[F.lit(c) for c in columns]), lambda c: F.array_position(lows, F.lower(c)).cast("int"))
+    held = saved(named.select(F.col("path").alias("__path"), slots.alias("slots")))
+    rows = _rows_by_place(spark, files, width, max_columns).join(held, "__path")
+    cell = lambda i: F.get("values", F.get("slots", F.lit(i)) - 1)
+    return rows.select(*[cell(i).alias(c) for i, c in enumerate(columns)], "__path", "__size", "__modified")
 
 
 def read_sheet_set(spark: SparkSession, folder: str) -> DataFrame:

@@ -70,8 +70,6 @@ def test_mixed_encodings_and_headers(spark, tmp_path):
         ("x", None, "1", "b", "other.csv"),
     ]
     assert rows(found, "sheet_size")[0] == (14,)
-    wide = sheets.read_sheets(spark, str(tmp_path), united_scans=0)
-    assert rows(wide, "name", "city", "size") == rows(found, "name", "city", "size")
     only = sheets.read_sheets(spark, [str(tmp_path / "a" / "latin.csv")])
     assert rows(only, "name") == [("René",)]
 
@@ -80,13 +78,45 @@ def test_many_headers_by_position(spark, tmp_path):
     for i in range(12):
         names = [f"c{i}", "shared", '"a,b"', "", "Dup", "dup"]
         (tmp_path / f"s{i}.csv").write_text(",".join(names) + f'\n{i},s{i},"x,y",blank,d1,d2\nshort{i}\n')
-    direct = sheets.read_sheets(spark, str(tmp_path))
-    united = sheets.read_sheets(spark, str(tmp_path), united_scans=3)
-    assert sorted(united.columns) == sorted(direct.columns)
-    assert rows(united, *sorted(direct.columns)) == rows(direct, *sorted(direct.columns))
+    united = sheets.read_sheets(spark, str(tmp_path))
+    assert {"c0", "c11", "shared", "a,b", "_c3", "Dup4", "dup5"} <= set(united.columns)
+    assert rows(united, "c3", "shared", "`a,b`", "_c3", "Dup4", "dup5")[0] == ("3", "s3", "x,y", "blank", "d1", "d2")
     assert united.where("shared is null").count() == 12
 
 
+def test_headers_that_differ_in_case_are_one_column(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Name,x\n1,2\n")
+    (tmp_path / "b.csv").write_text("y,name\n3,4\n")
+    both = sheets.read_sheets(spark, str(tmp_path))
+    assert both.columns[:3] == ["Name", "x", "y"] and rows(both, "Name", "x", "y") == [("1", "2", None), ("4", None, "3")]
+
+
+CELLS = ['a "b" c', 'x, "y", z', "line1\nline2", 'ends with \\', " lead ", "tab\there", '"', "\r\n", "plain", None, 'back\\"quote']
+
+
+def test_any_cell_survives_write_and_read(spark, tmp_path):
+    df = spark.createDataFrame([(i, c, "end") for i, c in enumerate(CELLS)], "i int, `a b` string, z string")
+    sinks.write_sheet(df.coalesce(1), str(tmp_path / "s"))
+    back = sheets.read_sheet(spark, str(tmp_path / "s"))
+    assert rows(back) == rows(df.withColumn("i", F.col("i").cast("string")))
+    tagged = sheets.read_sheets(spark, str(tmp_path / "s"))
+    assert rows(tagged, "i", "`a b`", "z") == rows(back)
+
+
+def test_both_ways_agree_without_line_breaks(spark, tmp_path):
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(CELLS) if c is None or not set(c) & set("\r\n")], "i int, c string")
+    sinks.write_sheet(df, str(tmp_path / "s"))
+    assert not sheets.has_quoted_breaks(spark, str(tmp_path / "s"))
+    ways = [rows(sheets.read_sheet(spark, str(tmp_path / "s"), multi_line=m)) for m in (True, False, None)]
+    assert ways[0] == ways[1] == ways[2] and len(ways[0]) == df.count()
+
+
+def test_header_cell_with_line_break(spark, tmp_path):
+    (tmp_path / "h.csv").write_text('"first\nname",b\n"1\n2",3\n')
+    found = sheets.read_sheets(spark, str(tmp_path))
+    assert found.columns[:2] == ["first\nname", "b"] and rows(found.select(F.col("`first\nname`"), "b")) == [("1\n2", "3")]
+
+
 def test_catalog_and_locate(spark, tmp_path):
     for place in ("p1/kpi/f1/s.csv", "p1/concatenated/c1/s.csv", "p1/concatenated/c2/s.csv", "p1/media/f1/t.csv"):
         target = tmp_path / place

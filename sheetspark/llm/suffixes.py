@@ -83,7 +83,8 @@ class Texts:
         last[:-1] &= ~ok[1:] | new[1:]
         self.lo, self.hi = np.flatnonzero(new), np.flatnonzero(last)
         self.at, self.doc = at[self.lo], doc[self.lo]
-        self.sample = grams[self.at]
+        # Samples are least hashes; mixed once more they fill the buckets evenly.
+        self.sample = mixed(grams[self.at] + U(MULTIPLIER))
         self.context = mixed(self.marks(self.lo, self.hi + self.length) + (self.at - self.lo).astype(U))
 
 

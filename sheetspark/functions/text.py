@@ -137,10 +137,12 @@ def joined_short_names(names: Column, fallback: Column | str, longest: int = 200
     return F.when(F.length(joined) > longest, other).otherwise(joined)
 
 
+_HEADER_SIGNS = str.maketrans({"\n": " ", "\r": None} | dict.fromkeys("\\/", "_"))
+
+
 def clean_header(name: str) -> str:
     """Header as exported: no period prefix, one line, no path separators."""
-    text = name.replace("Period_", "").replace("period_", "").strip()
-    return text.replace("\n", " ").replace("\r", "").replace("\\", "_").replace("/", "_")
+    return re.sub("[Pp]eriod_", "", name).strip().translate(_HEADER_SIGNS)
 
 
 def strip_period_prefix(value: Column) -> Column:

@@ -157,12 +157,14 @@ def _first_values(df: DataFrame, columns: Sequence[str], order_by: str, n: int,
 def distinct_head(df: DataFrame, columns: Sequence[str], order_by: str, n: int = 100) -> DataFrame:
     """(column, position, value): first n distinct values by first appearance.
 
-    Values of number columns are shown with two decimals.
+    Values of number columns, and numbers in columns of text, are rounded to two
+    decimals.
     """
     firsts = _first_values(df, columns, order_by, n, F.col("first_seen"))
-    numeric = [c for c in columns if is_numeric(_dtype(df, c))]
-    rounded = as_text(numbers.two_decimals(to_number(F.col("value"))), T.DoubleType())
-    value = F.when(F.col("column").isin(numeric), rounded).otherwise(F.col("value"))
+    shown = [c for c in columns if is_numeric(_dtype(df, c)) or isinstance(_dtype(df, c), T.StringType)]
+    number = to_number(F.col("value"))
+    rounded = as_text(numbers.two_decimals(number), T.DoubleType())
+    value = F.when(F.col("column").isin(shown) & number.isNotNull(), rounded).otherwise(F.col("value"))
     return firsts.select("column", "position", value.alias("value"))
 
 
@@ -304,10 +306,6 @@ def histogram(df: DataFrame, column: str) -> DataFrame:
     return histograms(df, [column]).drop("column")
 
 
-# Above this many columns the pairs no longer fit one generated aggregate.
-PAIR_COLUMNS = 24
-
-
 def _pair_sums(columns: Sequence[str], shift: dict[str, float]):
     """Per task: sums over complete pairs of all column pairs, from matrix products."""
     import numpy as np
@@ -334,35 +332,21 @@ def _pair_sums(columns: Sequence[str], shift: dict[str, float]):
     return sums
 
 
-def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None, pair_columns: int = PAIR_COLUMNS) -> DataFrame:
+def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """(column_a, column_b, correlation) for every ordered pair off the diagonal.
 
-    Pearson over the rows where both are finite; undefined counts as 0.
+    Pearson over the rows where both are finite, within [-1, 1]; undefined counts
+    as 0. Values are taken from near their column's median, so neither a large
+    level nor a few far values cost digits. For any number of columns the sums of
+    all pairs come from one pass of matrix products, six numbers a pair and task.
     """
     columns = list(columns or numeric_columns(df))
     if len(columns) < 2:
         return df.sparkSession.createDataFrame([], "column_a string, column_b string, correlation double")
     clean = df.select(*[finite(ident(c).cast("double")).alias(f"v{i}") for i, c in enumerate(columns)])
-    if len(columns) <= pair_columns:
-        aggregates, structs = [], []
-        for i in range(len(columns)):
-            for j in range(i + 1, len(columns)):
-                x, y, tag = F.col(f"v{i}"), F.col(f"v{j}"), f"{i}_{j}"
-                aggregates += [
-                    F.covar_pop(x, y).alias(f"c{tag}"),
-                    F.var_pop(F.when(y.isNotNull(), x)).alias(f"x{tag}"),
-                    F.var_pop(F.when(x.isNotNull(), y)).alias(f"y{tag}"),
-                ]
-                root = F.sqrt(F.col(f"x{tag}")) * F.sqrt(F.col(f"y{tag}"))
-                r = F.coalesce(F.try_divide(F.col(f"c{tag}"), root), F.lit(0.0))
-                for a, b in ((i, j), (j, i)):
-                    structs.append(
-                        F.struct(F.lit(columns[a]).alias("column_a"), F.lit(columns[b]).alias("column_b"), r.alias("correlation"))
-                    )
-        return long_rows(clean.agg(*aggregates), structs)
     names = [f"v{i}" for i in range(len(columns))]
-    means = clean.agg(*[F.avg(n).alias(n) for n in names]).first()
-    shift = {n: means[n] or 0.0 for n in names}
+    middles = clean.agg(*[F.percentile_approx(n, 0.5).alias(n) for n in names]).first()
+    shift = {n: middles[n] or 0.0 for n in names}
     schema = "a int, b int, n double, sx double, sy double, sxx double, syy double, sxy double"
     pairs = clean.mapInPandas(_pair_sums(names, shift), schema).groupBy("a", "b").agg(
         *[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")]
@@ -370,7 +354,7 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None, pair
     cov = F.expr("sxy - try_divide(sx * sy, n)")
     spread_x, spread_y = F.expr("sxx - try_divide(sx * sx, n)"), F.expr("syy - try_divide(sy * sy, n)")
     # Rounding leaves a constant column a spread near, not at, zero.
-    tiny = F.lit(1e-12)
+    tiny = F.lit(1e-13)
     defined = (spread_x > tiny * F.col("sxx")) & (spread_y > tiny * F.col("syy"))
     r = F.when(defined, F.try_divide(cov, F.sqrt(spread_x) * F.sqrt(spread_y)))
     labels = F.array(*[F.lit(c) for c in columns])
@@ -378,9 +362,8 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None, pair
         F.struct(F.get(labels, F.col("a")).alias("column_a"), F.get(labels, F.col("b")).alias("column_b")),
         F.struct(F.get(labels, F.col("b")).alias("column_a"), F.get(labels, F.col("a")).alias("column_b")),
     )
-    return pairs.select(F.inline(both), F.coalesce(r, F.lit(0.0)).alias("correlation")).select(
-        "column_a", "column_b", "correlation"
-    )
+    bounded = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.coalesce(r, F.lit(0.0))))
+    return pairs.select(F.inline(both), bounded.alias("correlation")).select("column_a", "column_b", "correlation")
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
@@ -477,7 +460,8 @@ def special_characters(df: DataFrame, columns: Sequence[str], order_by: str) ->
 
     Counting happens inside the row; the shuffle sees one line per column and
     character from each task. Row numbers are looked up afterwards for the few
-    first and last rows, over the order column alone.
+    first and last rows, over the order column alone. Rows of one order key stand
+    together: the first row of the first key and the last row of the last count.
     """
     cells = [
         F.struct(F.lit(c).alias("column"), special_only(as_text(ident(c), _dtype(df, c))).alias("special")) for c in columns
@@ -490,8 +474,9 @@ def special_characters(df: DataFrame, columns: Sequence[str], order_by: str) ->
         F.max("ord").alias("last"),
     )
     index = row_index(df.select(ident(order_by).alias("ord")), ["ord"], "row_index")
-    first = index.select(F.col("ord").alias("first"), F.col("row_index").alias("min_row_index"))
-    last = index.select(F.col("ord").alias("last"), F.col("row_index").alias("max_row_index"))
+    borders = index.groupBy("ord").agg(F.min("row_index").alias("low"), F.max("row_index").alias("high"))
+    first = borders.select(F.col("ord").alias("first"), F.col("low").alias("min_row_index"))
+    last = borders.select(F.col("ord").alias("last"), F.col("high").alias("max_row_index"))
     mean = F.try_divide(F.col("total_occurrences").cast("double"), F.col("rows_containing"))
     return stats.join(first, "first").join(last, "last").select(
         "column",

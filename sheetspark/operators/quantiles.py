@@ -105,6 +105,6 @@ def exact_quantiles(
                 next(v for start, end, v in picked[i, j] if start <= rank - below[i, j] < end)
                 for rank in (first, second)
             )
-            values.append(lo + (hi - lo) * share if hi != lo else lo)
+            values.append((1 - share) * lo + share * hi if share and hi != lo else lo)
         result[name] = values
     return result

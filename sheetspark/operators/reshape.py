@@ -47,22 +47,31 @@ def melt(
 _AGGREGATES = {"sum": F.sum, "avg": F.avg, "mean": F.avg, "min": F.min, "max": F.max, "count": F.count}
 
 
+_HEADING = "__pivot_heading"
+
+
 def pivot(
     df: DataFrame,
     rows: Sequence[str],
-    columns: str,
+    columns: str | Sequence[str],
     values: Mapping[str, str],
     filters: Mapping[str, Sequence[Any]] | None = None,
     column_values: Sequence[Any] | None = None,
 ) -> DataFrame:
     """Cross-tab of a stored pivot: ``values`` maps a column to its aggregate.
 
-    Naming the ``column_values`` saves the extra job that looks them up.
+    Several column fields are one heading, their texts joined by `` | `` (missing
+    ones empty); ``column_values`` are then such headings. Naming the ``column_values`` saves the extra job that looks them up.
     """
     kept = apply_active_filters(df, filters or {})
     aggregates = [_AGGREGATES[how](ident(c)).alias(f"{how}_{c}") for c, how in values.items()]
-    grouped = kept.groupBy(*[ident(c) for c in rows])
-    table = grouped.pivot(columns, list(column_values)) if column_values else grouped.pivot(columns)
+    if isinstance(columns, str):
+        heading = ident(columns)
+    else:
+        texts = [F.coalesce(as_text(ident(c), df.schema[c].dataType), F.lit("")) for c in columns]
+        heading = F.concat_ws(" | ", *texts)
+    grouped = kept.withColumn(_HEADING, heading).groupBy(*[ident(c) for c in rows])
+    table = grouped.pivot(_HEADING, list(column_values)) if column_values else grouped.pivot(_HEADING)
     return table.agg(*aggregates)
 
 

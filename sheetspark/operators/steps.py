@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 from ..functions.text import ident
 from . import chart, clean, dates, filters, joins, reshape, tables, types, unions
 
-MAX_RESULT_ROWS = 1_000_000
-
 
 def run_step(df: DataFrame, step: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Apply a user function; it must return a table."""
@@ -32,12 +30,10 @@ def run_pandas_step(
     step: Callable,
     schema: str,
     by: Sequence[str] = (),
-    max_group_rows: int = MAX_RESULT_ROWS,
 ) -> DataFrame:
     """Run pandas code on batches of rows, or on whole groups with ``by``.
 
-    A group becomes one pandas frame in one task, so group sizes are counted
-    first and a group above ``max_group_rows`` is an error, not a slow job.
+    With ``by`` a group is one pandas frame in one task, whatever its size.
     """
     if not by:
 
@@ -47,9 +43,6 @@ def run_pandas_step(
 
         return df.mapInPandas(over_batches, schema)
     keys = [ident(c) for c in by]
-    largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    if largest > max_group_rows:
-        raise ValueError(f"largest group has {largest} rows (limit {max_group_rows}); run on batches or split the key")
     # Python is the cost here: a fixed number of tasks keeps small tables from
     # being merged into one.
     spark = df.sparkSession
@@ -58,7 +51,7 @@ def run_pandas_step(
     return spread.groupBy(*keys).applyInPandas(step, schema)
 
 
-def check_result_size(df: DataFrame, limit: int = MAX_RESULT_ROWS) -> DataFrame:
+def check_result_size(df: DataFrame, limit: int) -> DataFrame:
     """The table itself, or an error when it has more than ``limit`` rows."""
     if df.limit(limit + 1).count() > limit:
         raise ValueError(f"resulting table is too large (limit {limit} rows)")

@@ -95,11 +95,13 @@ def rewire_undo(versions: DataFrame) -> DataFrame:
 
     An undo of an undo sees the parent already rewired, so a run of undos all
     point where its first one does. The first undo of each run is found by
-    doubling: the number of joins is the logarithm of the longest run.
+    doubling: the number of joins is the logarithm of the longest run, and undos
+    in a circle are an error after as many. Rows repeated with one hash count once
+    as parents.
     """
     rows = with_operation(versions)
     nodes = rows.select("sheet", "hash", "parents")
-    known = nodes.select("sheet", F.col("hash").alias("target"), F.col("parents").alias("target_parents"))
+    known = nodes.groupBy("sheet", F.col("hash").alias("target")).agg(F.min("parents").alias("target_parents"))
     undos = (
         rows.where((F.col("operation") == "undo") & (F.size("parents") == 1))
         .select("sheet", "hash", F.get("parents", F.lit(0)).alias("target"))
@@ -117,7 +119,11 @@ def rewire_undo(versions: DataFrame) -> DataFrame:
             F.coalesce("is_undo", F.lit(False)).alias("open"),
         )
     )
+    rounds = runs.count().bit_length() + 1
     while runs.where("open").limit(1).count():
+        rounds -= 1
+        if rounds < 0:
+            raise ValueError("undos that point at each other in a circle have no first one")
         step = runs.select(
             "sheet", F.col("hash").alias("head"), F.col("head").alias("next_head"), F.col("open").alias("next_open")
         )

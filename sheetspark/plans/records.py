@@ -364,10 +364,10 @@ def project_listing(t: Tables):
 
 @query(
     """SELECT o_orderkey, o_orderpriority AS plot_name, CAST(2 AS INTEGER) AS page, count(*) OVER () AS total_count FROM orders
-  WHERE o_orderstatus = 'F' AND o_totalprice > 100000 AND o_orderpriority = '2-HIGH' ORDER BY o_orderdate DESC, o_orderkey LIMIT 20 OFFSET 20"""
+  WHERE o_orderstatus = 'F' AND o_orderpriority = '2-HIGH' ORDER BY o_orderdate DESC, o_orderkey LIMIT 20 OFFSET 20"""
 )
 def list_plots(t: Tables):
-    plots = t.orders.where("o_totalprice > 100000").select(
+    plots = t.orders.select(
         "o_orderkey",
         F.col("o_orderpriority").alias("plot_name"),
         F.col("o_orderstatus").alias("file_type"),

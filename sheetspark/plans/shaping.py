@@ -260,19 +260,19 @@ def group_mean(t: Tables):
 
 
 @query(
-    """SELECT p_brand, round(avg(p_retailprice), 4) AS mean_price FROM part WHERE p_retailprice > 1000 GROUP BY ALL"""
+    """SELECT p_brand, round(avg(p_retailprice), 4) AS mean_price FROM part WHERE p_size > 25 GROUP BY ALL"""
 )
 def step_sql(t: Tables):
     return steps.run_sql_step(
-        t.part, "SELECT p_brand, round(avg(p_retailprice), 4) AS mean_price FROM {df} WHERE p_retailprice > 1000 GROUP BY p_brand"
+        t.part, "SELECT p_brand, round(avg(p_retailprice), 4) AS mean_price FROM {df} WHERE p_size > 25 GROUP BY p_brand"
     )
 
 
-@query("SELECT p_partkey, p_retailprice * 2 AS price_double FROM part WHERE p_retailprice > 1000")
+@query("SELECT p_partkey, p_retailprice * 2 AS price_double FROM part WHERE p_size > 25")
 def step_function(t: Tables):
     return steps.run_step(
         t.part,
-        lambda df: df.where("p_retailprice > 1000").select("p_partkey", (F.col("p_retailprice") * 2).alias("price_double")),
+        lambda df: df.where("p_size > 25").select("p_partkey", (F.col("p_retailprice") * 2).alias("price_double")),
     )
 
 

@@ -48,18 +48,48 @@ CORR_FRAME = pd.DataFrame(
 )
 
 
-@pytest.mark.parametrize("pair_columns", [24, 1])
-def test_correlation(spark, pair_columns):
+def test_correlation(spark):
     df = spark.createDataFrame(CORR_FRAME).repartition(3)
     # Shifting a column keeps its correlation; the far shift only tests rounding.
     near = CORR_FRAME.assign(big=CORR_FRAME["big"] - 1e9)
     expected = near.replace([np.inf, -np.inf], np.nan).corr().fillna(0)
-    rows = profile.correlation_matrix(df, pair_columns=pair_columns).collect()
+    rows = profile.correlation_matrix(df).collect()
     assert len(rows) == 12
     for r in rows:
         assert r["correlation"] == pytest.approx(expected.loc[r["column_a"], r["column_b"]], abs=1e-9), r
 
 
+def test_correlation_of_levels_and_far_values(spark):
+    x = [float(i % 7) for i in range(700)]
+    y = [1e9 + (i % 7) * 1e-4 for i in range(700)]
+    near = [v - 1e9 for v in y]
+    frame = pd.DataFrame({"x": [*x, np.inf, np.inf], "y": [*y, 1e15, -1e15], "z": [*x, 1.0, 2.0], "flat": [0.1] * 702})
+    found = {(r[0], r[1]): r[2] for r in profile.correlation_matrix(spark.createDataFrame(frame).repartition(3)).collect()}
+    assert found["x", "y"] == pytest.approx(np.corrcoef(x, near)[0, 1], abs=1e-9)
+    assert found["x", "z"] == pytest.approx(1.0, abs=1e-12) and all(-1 <= r <= 1 for r in found.values())
+    assert found["x", "flat"] == found["flat", "z"] == 0.0
+
+
+def test_correlation_of_many_columns(spark):
+    frame = pd.DataFrame(RNG.normal(size=(300, 60)) + RNG.normal(size=(300, 1)), columns=[f"c{i}" for i in range(60)])
+    expected = frame.corr()
+    rows = profile.correlation_matrix(spark.createDataFrame(frame)).collect()
+    assert len(rows) == 60 * 59 and all(abs(r[2] - expected.loc[r[0], r[1]]) < 1e-9 for r in rows)
+
+
+def test_special_characters_with_repeated_keys(spark):
+    df = spark.createDataFrame([(1, "a!"), (1, "b"), (2, "!?"), (3, "c"), (3, "?")], "k int, c string")
+    rows = {r["character"]: (r["rows_containing"], r["min_row_index"], r["max_row_index"]) for r in profile.special_characters(df, ["c"], "k").collect()}
+    base = rows["!"][1]
+    assert rows == {"!": (2, base, base + 2), "?": (2, base + 2, base + 4)}
+
+
+def test_texts_that_are_numbers_show_two_decimals(spark):
+    df = spark.createDataFrame([(1, "1.239", "x"), (2, "2.5", "1"), (3, "7", "y")], "k int, t string, u string")
+    shown = [tuple(r) for r in profile.distinct_head(df, ["t", "u"], "k").orderBy("column", "position").collect()]
+    assert [r[2] for r in shown] == ["1.24", "2.5", "7.0", "x", "1.0", "y"]
+
+
 def test_describe_matches_pandas(spark):
     frame = pd.DataFrame({"x": RNG.normal(size=101), "n": RNG.integers(0, 9, 101)})
     rows = {r["column"]: r for r in profile.describe_numeric(spark.createDataFrame(frame)).collect()}

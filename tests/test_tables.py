@@ -183,8 +183,6 @@ def test_steps(spark):
     with pytest.raises(ValueError):
         steps.check_result_size(df, 2)
     assert steps.check_result_size(df, 3).count() == 3
-    with pytest.raises(ValueError):
-        steps.run_pandas_step(df, lambda g: g, df.schema.simpleString(), by=["g"], max_group_rows=1)
     totals = steps.run_pandas_step(
         df, lambda g: pd.DataFrame({"g": [g["g"].iloc[0]], "v": [g["v"].sum()]}), "g string, v double", by=["g"]
     )

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import as_text
 from ..operators.order import row_index
+from ..operators.unions import union_all
 from ..sinks import sheets as sinks
 from ..sinks import versions as store
 from ..sources import payloads, sheets
@@ -207,3 +208,45 @@ def restore_version(t: Tables):
     store.commit(first.withColumn("event_type", F.upper("event_type")), root, "events", "cleaned")
     restored = store.restore(t.spark, root, "events", original)
     return store.as_of(t.spark, root, restored, display=True)
+
+
+@query("SELECT * FROM supplier")
+def parquet_copy(t: Tables):
+    path = t.scratch("supplier-parquet")
+    sinks.write_parquet(t.supplier, path)
+    return t.spark.read.parquet(path)
+
+
+@query("SELECT * FROM nation")
+def limited_result(t: Tables):
+    from ..operators.steps import check_result_size
+
+    return check_result_size(t.nation, 25)
+
+
+@query("SELECT CAST(event_id AS VARCHAR) AS id, event_type AS kind FROM events WHERE event_id % 3 = 0")
+def replaced_sheet(t: Tables):
+    """A sheet overwritten by a table of other columns, as a new version."""
+    root = t.scratch("replaced")
+    store.commit(t.events.select("event_id", "value"), root, "events", "uploaded")
+    data = t.events.where("event_id % 3 = 0").select(F.col("event_id").cast("string"), "event_type")
+    version = store.replace_sheet(t.spark, root, "events", ["id", "kind"], data)
+    return store.as_of(t.spark, root, version)
+
+
+@query(
+    """SELECT v AS version, count(*) AS rows, min(event_type) AS least FROM (SELECT event_type, unnest(['first', 'undo']) AS v FROM events
+  UNION ALL SELECT upper(event_type), unnest(['second', 'redo']) FROM events) GROUP BY v"""
+)
+def undo_and_redo(t: Tables):
+    """Two versions, an undo to the first and a redo of the second: pointers only."""
+    root = t.scratch("undo")
+    first = store.commit(t.events.select("event_type"), root, "events", "uploaded")
+    second = store.commit(t.events.select(F.upper("event_type").alias("event_type")), root, "events", "cleaned")
+    undo = store.restore(t.spark, root, "events", first)
+    redo = store.restore(t.spark, root, "events", second, "redo")
+    parts = []
+    for name, version in (("first", first), ("second", second), ("undo", undo), ("redo", redo)):
+        content = store.as_of(t.spark, root, version)
+        parts.append(content.agg(F.lit(name).alias("version"), F.count("*").alias("rows"), F.min("event_type").alias("least")))
+    return union_all(parts)

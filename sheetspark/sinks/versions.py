@@ -2,7 +2,9 @@
 
 A snapshot is written whole before its manifest row, so a reader that goes by
 the manifest never sees part of one. A failed write leaves a folder no manifest
-row names.
+row names. A restored version is a manifest row that points to the older
+snapshot; no data is copied. Two writers at once may take one ordinal: versions
+are in the order of (ordinal, time, hash).
 """
 
 from __future__ import annotations
@@ -21,8 +23,9 @@ from ..operators.clean import fill_missing
 
 VALUE_ERROR = "value error"
 _MANIFEST = (
-    "sheet string, ordinal long, hash string, parents array<string>, operation string, message string, committed_at timestamp"
+    "sheet string, ordinal long, hash string, parents array<string>, operation string, message string, committed_at timestamp, snapshot string"
 )
+_NEWEST = ["ordinal", "committed_at", "hash"]
 
 
 def manifest(spark: SparkSession, root: str, sheet: str | None = None) -> DataFrame:
@@ -40,20 +43,28 @@ def _snapshot(root: str, version: str) -> str:
 
 def commit(df: DataFrame, root: str, sheet: str, operation: str, message: str = "", parent: str | None = None) -> str:
     """Write a new version of a sheet and return its hash."""
-    spark = df.sparkSession
     version = uuid4().hex
     df.write.mode("errorifexists").parquet(_snapshot(root, version))
-    latest = manifest(spark, root, sheet).orderBy(F.desc("ordinal")).select("ordinal", "hash").limit(1).collect()
+    return _record(df.sparkSession, root, sheet, version, version, operation, message, parent)
+
+
+def _record(
+    spark: SparkSession, root: str, sheet: str, version: str, snapshot: str, operation: str, message: str = "", parent: str | None = None
+) -> str:
+    """Add the manifest row of a version whose content is a snapshot."""
+    newest = manifest(spark, root, sheet).orderBy(*[F.desc(c) for c in _NEWEST])
+    latest = newest.select("ordinal", "hash").limit(1).collect()
     ordinal = latest[0]["ordinal"] + 1 if latest else 0
     parents = [parent] if parent else [latest[0]["hash"]] if latest else []
-    row = (sheet, ordinal, version, parents, operation, message or f"{operation} - {sheet}", datetime.now(timezone.utc))
+    row = (sheet, ordinal, version, parents, operation, message or f"{operation} - {sheet}", datetime.now(timezone.utc), snapshot)
     spark.createDataFrame([row], _MANIFEST).write.mode("append").partitionBy("sheet").parquet(f"{root}/manifest")
     return version
 
 
 def as_of(spark: SparkSession, root: str, version: str, display: bool = False) -> DataFrame:
     """Content of a version; ``display`` gives text with "value error" for nulls."""
-    df = spark.read.parquet(_snapshot(root, version))
+    named = manifest(spark, root).where(F.col("hash") == version).select(F.coalesce("snapshot", "hash")).limit(1).collect()
+    df = spark.read.parquet(_snapshot(root, named[0][0] if named else version))
     if not display:
         return df
     cells = []
@@ -64,14 +75,14 @@ def as_of(spark: SparkSession, root: str, version: str, display: bool = False) -
 
 
 def restore(spark: SparkSession, root: str, sheet: str, version: str, action: str = "undo") -> str:
-    """New version with the content of an older one; needs two versions."""
+    """New version that points to the content of an older one; needs two versions."""
     hashes = [r["hash"] for r in manifest(spark, root, sheet).select("hash").limit(2).collect()]
     if len(hashes) < 2:
         raise ValueError("no previous state available")
-    known = manifest(spark, root, sheet).where(F.col("hash") == version).limit(1).count()
+    known = manifest(spark, root, sheet).where(F.col("hash") == version).select(F.coalesce("snapshot", "hash")).limit(1).collect()
     if not known:
         raise ValueError(f"{version} is no version of {sheet}")
-    return commit(as_of(spark, root, version), root, sheet, action)
+    return _record(spark, root, sheet, uuid4().hex, known[0][0], action)
 
 
 def shown_after_restore(df: DataFrame) -> DataFrame:

@@ -104,9 +104,12 @@ class _Book:
 
 def _sheet_rows(book: zipfile.ZipFile, part: str, known: _Book) -> Iterator[tuple[int, list[str | None]]]:
     """(row number from 0, cells) with skipped cells as null; streamed."""
-    number = -1
+    number, holder = -1, None
     with book.open(part) as stream:
-        for _, element in ElementTree.iterparse(stream):
+        for event, element in ElementTree.iterparse(stream, events=("start", "end")):
+            if event == "start":
+                holder = element if _local(element.tag) == "sheetData" else holder
+                continue
             if _local(element.tag) != "row":
                 continue
             number = int(element.get("r")) - 1 if element.get("r") else number + 1
@@ -116,6 +119,8 @@ def _sheet_rows(book: zipfile.ZipFile, part: str, known: _Book) -> Iterator[tupl
                 cells.extend([None] * (place - len(cells)))
                 cells.append(known.text(cell))
             element.clear()
+            if holder is not None:
+                holder.clear()
             yield number, cells
 
 

@@ -123,23 +123,24 @@ def distinct_count(
 PRUNED_RANK = 1000
 
 
-def _first_of_each(df: DataFrame, n: int, *order: Column) -> DataFrame:
-    """First n rows of each column, with their ``position`` from 1.
+def _first_of_each(df: DataFrame, n: int | None, *order: Column) -> DataFrame:
+    """First n rows of each column (all without n), with their ``position`` from 1.
 
     Small n: a row number that Spark prunes inside each task. Large n: rows are
     range-sorted and counted over the task borders, so that no task holds all
     values of a column either way.
     """
-    if n <= PRUNED_RANK:
+    if n is not None and n <= PRUNED_RANK:
         window = Window.partitionBy("column").orderBy(*order)
         ranked = df.withColumn("position", F.row_number().over(window))
     else:
         ordered = range_ordered(df, ["column", *order])
         ranked = running(ordered, ["column"], {"position": ("count", F.lit(1))}).drop(PART, POS)
-    return ranked.where(F.col("position") <= n).withColumn("position", F.col("position").cast("int"))
+    first = ranked if n is None else ranked.where(F.col("position") <= n)
+    return first.withColumn("position", F.col("position").cast("int"))
 
 
-def _first_values(df: DataFrame, columns: Sequence[str], order_by: str, n: int, *order: Column) -> DataFrame:
+def _first_values(df: DataFrame, columns: Sequence[str], order_by: str, n: int | None, *order: Column) -> DataFrame:
     """(column, position, value, occurrences) of the first n values of each column.
 
     ``order`` may use ``occurrences`` and ``first_seen``. Values become text
@@ -154,8 +155,9 @@ def _first_values(df: DataFrame, columns: Sequence[str], order_by: str, n: int,
     return reduce(DataFrame.unionByName, parts)
 
 
-def distinct_head(df: DataFrame, columns: Sequence[str], order_by: str, n: int = 100) -> DataFrame:
-    """(column, position, value): first n distinct values by first appearance.
+def distinct_head(df: DataFrame, columns: Sequence[str], order_by: str, n: int | None = None) -> DataFrame:
+    """(column, position, value): distinct values by first appearance, all of them or
+    the first n where the caller names it.
 
     Values of number columns, and numbers in columns of text, are rounded to two
     decimals.

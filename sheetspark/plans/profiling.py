@@ -45,7 +45,7 @@ def distinct_counts(t: Tables):
   UNION ALL SELECT event_id, 'user_id', CAST(user_id AS VARCHAR), CAST(CAST(user_id AS DOUBLE) AS VARCHAR) FROM events),
 g AS (SELECT "column", value, any_value(shown) AS shown, min(event_id) AS seen FROM l GROUP BY ALL),
 r AS (SELECT "column", shown AS value, row_number() OVER (PARTITION BY "column" ORDER BY seen, g.value) AS position FROM g)
-SELECT "column", CAST(position AS INTEGER) AS position, value FROM r WHERE position <= 100"""
+SELECT "column", CAST(position AS INTEGER) AS position, value FROM r"""
 )
 def distinct_head(t: Tables):
     events = t.events.select("event_id", "event_type", "value", "user_id")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 from sheetspark.operators import joins, profile, tables
+from sheetspark.plans import QUERIES
 
 # Queries whose operator runs Python by nature.
 PYTHON = {
@@ -16,7 +17,9 @@ PYTHON = {
     "build_log",
     "match_templates",
     "apply_template",
+    "correlation",
     "correlation_wide",
+    "eda_report",
 }
 
 
@@ -24,7 +27,7 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_plan(name, spark, data_dir):
     plan = plan_of(contract.queries()[name](spark, data_dir))
     assert "CartesianProduct" not in plan

@@ -44,9 +44,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by word shingles (five words, 0.8 or more):
-    that with the smallest id."""
+    that with the smallest id, or the first in order where ids are missing or repeat."""
     named = jaccard_components(docs.select(*COLUMNS), words=5, percent=80)
-    return _documents(named.where(F.col("component_id") == F.col("doc_id")))
+    return _documents(named.where("is_first"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

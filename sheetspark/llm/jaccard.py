@@ -309,10 +309,12 @@ def jaccard_components(
     hash slots (one byte each per task, then one bit each in the broadcast, so
     both have a fixed size); a shingle in a wrong class costs time, never a link.
 
-    Adds ``n_shingles component_id`` (smallest key that links reach; the id itself
-    where ids are integers, present and different). Null, empty and blank texts
-    have no shingles and are their own component. Repeated rows have equal sets
-    and are linked. Results replace input columns of the same name.
+    Adds ``n_shingles component_id is_first``. ``component_id`` is the smallest key
+    that links reach; the id itself where ids are integers, present and different,
+    else a row number. ``is_first`` is true for one row of each component, that of
+    the smallest key, whatever the ids. Null, empty and blank texts have no
+    shingles and are their own component. Repeated rows have equal sets and are
+    linked. Results replace input columns of the same name.
     """
     opened = Opened(docs, id_col, text_col)
     spark = docs.sparkSession
@@ -333,7 +335,7 @@ def jaccard_components(
         F.col("key").alias("r_key"), "n", F.coalesce("root", "rep").alias("root")
     )
     result = opened.df.join(named, F.col("key") == F.col("r_key"))
-    return opened.closed(result, {"n_shingles": F.col("n"), "component_id": F.col("root")})
+    return opened.closed(result, {"n_shingles": F.col("n"), "component_id": F.col("root"), "is_first": F.col("key") == F.col("root")})
 
 
 def op2_jaccard_join(spark, folder: str) -> DataFrame:

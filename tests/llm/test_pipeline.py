@@ -36,3 +36,25 @@ def test_stages_on_an_empty_table(spark, data_dir, stages):
     docs = stages[0].limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, data_dir).count() == 0
+
+
+def test_stages_on_missing_repeated_and_copied_ids(spark, data_dir):
+    """Every stage keeps the texts that it keeps of the same rows under different ids."""
+    prose = {n: " ".join(f"{n}{i}" for i in range(60)) for n in "abcdefg"}
+    rows = [(1, prose["a"]), (2, prose["b"]), (2, prose["b"]), (3, prose["c"]), (3, prose["d"]), (4, prose["a"] + " end"), (5, prose["e"]), (6, prose["g"] + " end")]
+    rows += [(None, prose["f"]), (None, prose["g"])]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    odd, plain = (
+        spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in listed], schema)
+        for listed in (rows, [(n, t) for n, (_, t) in enumerate(rows)])
+    )
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        odd, plain = (stage(spark, x, data_dir).localCheckpoint() for x in (odd, plain))
+        left = sorted(r.text for r in odd.collect())
+        assert left == sorted(r.text for r in plain.collect()), name
+        if name == "near_duplicates":
+            assert left == sorted([*(prose[n] for n in "abcdef"), prose["g"] + " end"])
+            assert odd.where("doc_id IS NULL").count() == 1
+    totals = {"length": "sum", "doc_tokens": "sum", "start": "sum"}
+    packed = [corpus_pipeline.packing(spark, x, data_dir).agg(totals).first() for x in (odd, plain)]
+    assert packed[0] == packed[1] and all(packed[0])

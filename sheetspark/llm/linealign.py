@@ -1,11 +1,13 @@
 """Line dedup by pairwise alignment: partners through shared line hashes, patience
-diff, and deletion of aligned common blocks from the later document."""
+diff and an exact comparison of what it leaves, and deletion of common blocks from
+the later document."""
 
 from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -72,36 +74,61 @@ def patience(a: Sequence, b: Sequence, b_from: int = 0, b_to: int | None = None)
     return sorted(set(found), key=lambda p: p[1])
 
 
+def runs_of(words: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the shortest runs of lines with ``least`` words or more: one
+    from each line onwards and one up to each line, where there is one.
+
+    Any run of ``least`` words or more is the union of those of them inside it.
+    """
+    total = np.concatenate([[0], np.cumsum(words, dtype=np.int64)])
+    n = len(words)
+    onward = np.searchsorted(total, total[:-1] + least)
+    back = np.searchsorted(total, total[1:] - least, side="right") - 1
+    starts = np.concatenate([np.arange(n)[onward <= n], back[back >= 0]])
+    ends = np.concatenate([onward[onward <= n], np.arange(1, n + 1)[back >= 0]])
+    found = np.unique(starts * (n + 1) + ends)
+    return found // (n + 1), found % (n + 1)
+
+
+def _common_lines(a: Sequence, b: Sequence, words: Sequence[int], least: int) -> np.ndarray:
+    """Which lines of b are inside a run of ``least`` words or more that a has too,
+    however often either side has it."""
+    sizes = dict(zip(b, words, strict=True))
+    # A line that b has not ends every run, which can then equal none of b.
+    held = {tuple(a[s:e]) for s, e in zip(*runs_of(np.array([sizes.get(x, least) for x in a]), least), strict=True)}
+    marks = np.zeros(len(b) + 1, np.int64)
+    for s, e in zip(*runs_of(np.array(words), least), strict=True):
+        if tuple(b[s:e]) in held:
+            marks[s] += 1
+            marks[e] -= 1
+    return np.cumsum(marks)[:-1] > 0
+
+
 def common_blocks(a: Sequence, b: Sequence, words: Sequence[int], least: int) -> list[tuple[int, int]]:
-    """Blocks [start, end) of b aligned to runs of a and of ``least`` words or more.
+    """Blocks [start, end) of b made of runs of ``least`` words or more that a has.
 
-    Parts of b outside such blocks are aligned to the whole of a again, so moved
-    blocks are found as well.
+    Runs aligned by patience diff come first. It leaves out moved runs and lines that
+    a range repeats, so where any line of a is left, all runs are compared by their
+    hashes. Of ``words``, equal lines have equal numbers.
     """
     known = set(a)
-    out: list[tuple[int, int]] = []
-    todo = [(0, len(b))]
-    while todo:
-        start, end = todo.pop()
-        if sum(words[j] for j in range(start, end) if b[j] in known) < least:
-            continue
-        blocks: list[list[int]] = []
-        last = (-2, -2)
-        for i, j in patience(a, b, start, end):
-            if blocks and last == (i - 1, j - 1):
-                blocks[-1][1] = j + 1
-            else:
-                blocks.append([j, j + 1])
-            last = (i, j)
-        blocks = [x for x in blocks if sum(words[j] for j in range(*x)) >= least]
-        at = start
-        for s, e in blocks:
-            todo.append((at, s))
-            at = e
-        if blocks:
-            todo.append((at, end))
-        out += [(s, e) for s, e in blocks]
-    return sorted(out)
+    shared = np.array([x in known for x in b], bool)
+    words = np.asarray(words, np.int64)
+    if words[shared].sum() < least:
+        return []
+    gone = np.zeros(len(b), bool)
+    run, last = 0, (-2, -2)
+    total = np.concatenate([[0], np.cumsum(words)])
+    for i, j in [*patience(a, b), (-2, -2)]:
+        if last != (i - 1, j - 1):
+            if last[1] >= 0 and total[last[1] + 1] - total[run] >= least:
+                gone[run : last[1] + 1] = True
+            run = j
+        last = (i, j)
+    if (shared & ~gone).any():
+        gone |= _common_lines(a, b, words.tolist(), least)
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
+    return [(int(s), int(e)) for s, e in zip(edges[::2], edges[1::2], strict=True)]
 
 
 def _aligned(least: int):
@@ -128,9 +155,9 @@ def dedup_lines(
     document for a line is the earliest document with that line, so a line shared
     by m documents makes m - 1 partners, not m * m. Partners are aligned if they
     share a line that occurs ``rare_lines`` times or less in the corpus, or lines
-    of ``block_words`` words together. Runs of lines aligned by patience diff
-    with ``block_words`` words or more go from the later document, judged on the
-    input; the earliest holder of a line always keeps it.
+    of ``block_words`` words together. Runs of lines with ``block_words`` words or
+    more that both have go from the later document, however often either of them
+    repeats a run, judged on the input; the earliest holder of a line always keeps it.
 
     Documents are in the order of their ids (of ``Opened.key``). Adds ``n_lines``
     (lines with a word) ``n_removed_lines n_blocks clean_text``. Null text has no

@@ -106,3 +106,13 @@ def kept_lines(docs, least=20, rare=50):
         for line in lines_of[key]:
             first.setdefault(line, key)
     return first, lines_of
+
+
+def lines_in_common_runs(a, b, words, least):
+    """Positions of b inside a run of ``least`` words or more that a has as well."""
+    gone = set()
+    for s in range(len(b)):
+        for e in range(s + 1, len(b) + 1):
+            if sum(words[s:e]) >= least and any(a[k : k + e - s] == b[s:e] for k in range(len(a))):
+                gone |= set(range(s, e))
+    return sorted(gone)

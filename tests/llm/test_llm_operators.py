@@ -257,6 +257,26 @@ def test_patience_diff():
     assert linealign.common_blocks([1, 1, 2], [1, 1, 2], [5] * 3, 15) == [(0, 3)] and linealign.common_blocks([], [1], [3], 1) == []
 
 
+def test_blocks_repeated_on_either_side():
+    x, p, y, z, u, m, v = [1], [2, 3, 4], [5], [6], [7], [8], [9]
+    for a, b, blocks in [
+        (x + p + y + p + z, u + p + v, [(1, 4)]),
+        (x + p + z, u + p + m + p + v, [(1, 4), (5, 8)]),
+        (x + p + z, u + p + v, [(1, 4)]),
+    ]:
+        assert linealign.common_blocks(a, b, [30] * len(b), 50) == blocks
+
+
+def test_blocks_match_brute_force():
+    dice = random.Random(8)
+    for _ in range(500):
+        size, least = dice.choice([2, 4, 8]), dice.choice([1, 8, 20])
+        words = [dice.randint(1, 9) for _ in range(size)]
+        a, b = ([dice.randrange(size) for _ in range(dice.randint(0, 14))] for _ in "ab")
+        blocks = linealign.common_blocks(a, b, [words[x] for x in b], least)
+        assert [j for s, e in blocks for j in range(s, e)] == brute.lines_in_common_runs(a, b, [words[x] for x in b], least)
+
+
 def test_line_dedup_against_earliest_holders(spark, data_dir, docs):
     """What goes is in an earlier document; lines of 20 words or more that stay alone are new."""
     first, lines_of = brute.kept_lines([d for d in docs if d[1]])

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import UPPER, Opened, saved
+from .jaccard import MULTIPLIER, mixed
 from .quality import without_lines
 
 
@@ -131,6 +132,27 @@ def common_blocks(a: Sequence, b: Sequence, words: Sequence[int], least: int) ->
     return [(int(s), int(e)) for s, e in zip(edges[::2], edges[1::2], strict=True)]
 
 
+def run_hashes(hashes: np.ndarray, words: np.ndarray, least: int) -> np.ndarray:
+    """Different hashes of the runs of ``runs_of`` that have two lines or more."""
+    starts, ends = runs_of(words, least)
+    starts, ends = starts[ends > starts + 1], ends[ends > starts + 1]
+    power = np.full(len(hashes), MULTIPLIER, np.uint64)
+    power[:1] = 1
+    terms = mixed(hashes.view(np.uint64)) * np.cumprod(power)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(terms)])
+    power[1:] = pow(MULTIPLIER, -1, 1 << 64)
+    return np.unique(mixed((total[ends] - total[starts]) * np.cumprod(power)[starts])).view(np.int64)
+
+
+def _with_runs(least: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            pdf["k"] = [run_hashes(h.astype(np.int64), w, least) for h, w in zip(pdf["h"], pdf["w"], strict=True)]
+            yield pdf
+
+    return run
+
+
 def _aligned(least: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -155,9 +177,12 @@ def dedup_lines(
     document for a line is the earliest document with that line, so a line shared
     by m documents makes m - 1 partners, not m * m. Partners are aligned if they
     share a line that occurs ``rare_lines`` times or less in the corpus, or lines
-    of ``block_words`` words together. Runs of lines with ``block_words`` words or
-    more that both have go from the later document, however often either of them
-    repeats a run, judged on the input; the earliest holder of a line always keeps it.
+    of ``block_words`` words together. The shortest runs of lines that reach
+    ``block_words`` words find partners in the same way, each its earliest holder,
+    so every line of a run that any earlier document has gets a partner that has it
+    in a run. Runs of lines with ``block_words`` words or more that both have go
+    from the later document, however often either of them repeats a run, judged on
+    the input; the earliest holder of a line always keeps it.
 
     Documents are in the order of their ids (of ``Opened.key``). Adds ``n_lines``
     (lines with a word) ``n_removed_lines n_blocks clean_text``. Null text has no
@@ -178,8 +203,9 @@ def dedup_lines(
         F.transform("l", lambda e: F.size(F.split(e["t"], " "))).alias("w"),
         F.transform("l", lambda e: e["p"]).alias("p"),
     )
-    seqs = saved(listed)
-    seen = seqs.select("key", F.explode(F.arrays_zip("h", "w")).alias("e")).select("key", "e.h", "e.w")
+    seqs = saved(listed.mapInPandas(_with_runs(block_words), "key long, h array<long>, w array<int>, p array<int>, k array<long>"))
+    keys = F.concat(F.arrays_zip("h", "w"), F.transform("k", lambda k: F.struct(k.alias("h"), F.lit(block_words).alias("w"))))
+    seen = seqs.select("key", F.explode(keys).alias("e")).select("key", "e.h", "e.w")
     shared = seen.groupBy("h").agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1")
     pairs = (
         seen.join(shared, "h")

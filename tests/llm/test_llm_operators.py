@@ -292,6 +292,28 @@ def test_line_dedup_against_earliest_holders(spark, data_dir, docs):
         assert not [x for x in left if len(x.split()) >= 20 and first[x] < key and lines.count(x) == 1]
 
 
+def test_line_dedup_where_lines_have_other_holders(spark):
+    """A block goes though each line of it also stands alone in a still earlier document."""
+    p = [f"{'w ' * 5}p{i}" for i in range(5)]
+    rows = [(i, f"a{i}\n{line}\nb{i}") for i, line in enumerate(p)]
+    rows += [(10, "\n".join(["c", *p[:4], "d"])), (11, "\n".join(["e", *p, "f"])), (12, "\n".join(["g", *p, "h"])), (13, "\n".join(["i", *p[:3], "j"]))]
+    found = linealign.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), rare_lines=1).collect()
+    cut = {r.doc_id: r.clean_text for r in found}
+    assert cut[10] == rows[5][1] and cut[11] == f"e\n{p[4]}\nf" and cut[12] == "g\nh" and cut[13] == rows[8][1]
+
+
+def test_line_dedup_matches_brute_force(spark):
+    dice = random.Random(4)
+    words = [f"{'w ' * dice.randint(0, 7)}v{i}" for i in range(12)]
+    rows = [(n, "\n".join(words[dice.randrange(12)] for _ in range(dice.randint(1, 15)))) for n in range(60)]
+    lines = [text.split("\n") for _, text in rows]
+    cut = {r.doc_id: r.clean_text for r in linealign.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), rare_lines=5).collect()}
+    for n, own in enumerate(lines):
+        sizes = [len(x.split()) for x in own]
+        gone = {j for earlier in lines[:n] for j in brute.lines_in_common_runs(earlier, own, sizes, 20)}
+        assert cut[n] == "\n".join(x for j, x in enumerate(own) if j not in gone)
+
+
 def test_line_dedup_on_odd_input(spark, odd):
     cut = linealign.dedup_lines(odd, block_words=2)
     assert cut.count() == len(ODD) and cut.where("n_removed_lines > 0").count() == 1

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from .bestfit import op7_packed_binary
+from .centroids import OP13_SQL, op13_centroid_clustering
 from .curvepack import op4_curve_packing
 from .decontam import op3_decontamination
+from .divergence import OP11_SQL, op11_source_divergence
 from .jaccard import op2_jaccard_join
 from .licenses import OP6_SQL, op6_license_scan
 from .linealign import op8_line_dedup
@@ -24,10 +26,14 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_warc": op9_warc,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_source_divergence": op11_source_divergence,
+    "op13_centroid_clustering": op13_centroid_clustering,
 }
 
 ORACLES = {
     "op1_quality": OP1_SQL,
     "op6_license_scan": OP6_SQL,
     "op9_warc": OP9_SQL,
+    "op11_source_divergence": OP11_SQL,
+    "op13_centroid_clustering": OP13_SQL,
 }

@@ -21,7 +21,8 @@ class Opened:
     Otherwise rows are numbered in the order of (id, nulls last; text; the other
     columns), written to the shared folder so that the numbers stay: repeated
     rows are then documents of their own, and the later ones are copies.
-    Input columns are called ``in_<position>``, so no name can clash.
+    Input columns are called ``in_<position>``, so no name can clash. ``id_is_key``
+    says which of the two it is.
     """
 
     def __init__(self, docs: DataFrame, id_col: str, text_col: str | None):
@@ -31,7 +32,9 @@ class Opened:
         self.text = f"in_{self.names.index(text_col)}" if text_col else None
         kind = plain.schema[self.id].dataType
         repeated = plain.groupBy(self.id).count().where(F.col(self.id).isNull() | (F.col("count") > 1))
-        if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)) and repeated.isEmpty():
+        integers = isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
+        self.id_is_key = integers and repeated.isEmpty()
+        if self.id_is_key:
             self.df = plain.withColumn("key", F.col(self.id).cast("long"))
         else:
             sortable = [c for c in plain.columns if not isinstance(plain.schema[c].dataType, (T.MapType, T.VariantType))]

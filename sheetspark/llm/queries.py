@@ -7,6 +7,7 @@ from .centroids import OP13_SQL, op13_centroid_clustering
 from .curvepack import op4_curve_packing
 from .decontam import op3_decontamination
 from .divergence import OP11_SQL, op11_source_divergence
+from .improbable import op12_fingerprints
 from .jaccard import op2_jaccard_join
 from .licenses import OP6_SQL, op6_license_scan
 from .linealign import op8_line_dedup
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_warc": op9_warc,
     "op10_suffix_dedup": op10_suffix_dedup,
     "op11_source_divergence": op11_source_divergence,
+    "op12_fingerprints": op12_fingerprints,
     "op13_centroid_clustering": op13_centroid_clustering,
 }
 
@@ -35,5 +37,6 @@ ORACLES = {
     "op6_license_scan": OP6_SQL,
     "op9_warc": OP9_SQL,
     "op11_source_divergence": OP11_SQL,
+    "op12_fingerprints": op12_fingerprints,
     "op13_centroid_clustering": OP13_SQL,
 }

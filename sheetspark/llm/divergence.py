@@ -22,7 +22,7 @@ from .common import saved
 #: Bytes that end a term, A-Z in lower case, everything else as it is.
 FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 PIECE = 1 << 22
-HELD = 200_000
+HELD = 400_000
 SCALE = 1_000_000_000
 TALLY = "lang string, source string, term binary, n long, docs long"
 
@@ -118,27 +118,22 @@ def _pairs(used: DataFrame, totals: DataFrame) -> DataFrame:
     of_t = pairs.join(own.select("lang", F.col("source").alias("t"), "g", "h"), ["lang", "t"])
     both = joint.join(pairs, key)
 
-    def cell(df: DataFrame, c, d, m) -> DataFrame:
-        counts = df.select(*key, "ns", "nt", "v", c.alias("c"), d.alias("d"), m.alias("m"))
-        valued = counts.withColumns({"p": F.expr(_p("c", "ns", "v")), "q": F.expr(_p("d", "nt", "v"))})
-        return valued.select(*key, F.col("m").cast("decimal(19,0)").alias("m"), _f("p", "q").cast("decimal(19,0)").alias("f"))
+    shares = {"pc": _p("c", "ns", "v"), "pd": _p("d", "nt", "v"), "p0": _p("0", "ns", "v"), "q0": _p("0", "nt", "v")}
+    cd, c0, d0, none = (_f(*pq) for pq in (("pc", "pd"), ("pc", "q0"), ("p0", "pd"), ("p0", "q0")))
+
+    def cells(df: DataFrame, c: Column, d: Column, m: Column, f: Column) -> DataFrame:
+        counts = df.select(*key, "ns", "nt", "v", c.alias("c"), d.alias("d"), m.cast("decimal(19,0)").alias("m"))
+        valued = counts.withColumns({name: F.expr(share) for name, share in shares.items()})
+        return valued.select(*key, (F.col("m") * f.cast("decimal(19,0)")).alias("part"))
 
     g, h, c, d, m = (F.col(x) for x in "ghcdm")
-    signed = [
-        cell(pairs, zero, zero, F.col("v")),
-        cell(of_s, g, zero, h),
-        cell(of_s, zero, zero, -h),
-        cell(of_t, zero, g, h),
-        cell(of_t, zero, zero, -h),
-        cell(both, c, d, m),
-        cell(both, c, zero, -m),
-        cell(both, zero, d, -m),
-        cell(both, zero, zero, m),
-    ]
-    rows = signed[0]
-    for more in signed[1:]:
-        rows = rows.unionAll(more)
-    summed = rows.groupBy(*key).agg(F.sum(F.col("m") * F.col("f")).alias("total"))
+    rows = (
+        cells(pairs, zero, zero, F.col("v"), none)
+        .unionAll(cells(of_s, g, zero, h, c0 - none))
+        .unionAll(cells(of_t, zero, g, h, d0 - none))
+        .unionAll(cells(both, c, d, m, cd - c0 - d0 + none))
+    )
+    summed = rows.groupBy(*key).agg(F.sum("part").alias("total"))
     value = F.coalesce(F.col("total"), F.lit(0)).cast("long").alias("value")
     sides = F.inline(F.array(F.struct(F.col("s").alias("source"), F.col("t").alias("item")), F.struct(F.col("t").alias("source"), F.col("s").alias("item"))))
     each = summed.select("lang", value, sides)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..session import saved
 from .order import range_ordered, running
+from .replay import replayed
 
 # Words looked for in a commit message and the operation each
 # stands for; the first word found wins.
@@ -186,72 +187,22 @@ def replay_parents(versions: DataFrame, partitions: int | None = None) -> DataFr
 
     Replaying keeps a stack per sheet: an upload resets it, an undo pops it, a
     redo hangs under the version popped last, anything else under the top; both
-    are pushed. The stack depth is a running sum held at zero, so it comes from
-    running sums and minima, and the top below a push is the latest push at the
-    depth beneath it. No sheet is replayed in one task.
+    are pushed. No sheet is replayed in one task: tasks replay stretches of the sorted
+    versions, and their effects on the stack are combined.
     """
     rows = with_operation(versions, REPLAY_WORDS).select("sheet", "ordinal", "hash", "operation")
-    undo, upload = F.col("operation") == "undo", F.col("operation") == "uploaded"
-    timeline = range_ordered(rows, ["sheet", "ordinal"], partitions)
-    # Saved, as the next running values read it several times.
-    moves = saved(
-        running(
-            timeline,
-            ["sheet"],
-            {"segment": ("sum", F.when(upload, 1).otherwise(0)), "moved": ("sum", F.when(undo, -1).otherwise(1))},
-        )
-    )
-    # What moved before the segment's upload, and the lowest point since then.
-    start = F.when(upload, F.col("moved") - 1)
-    lows = running(moves, ["sheet", "segment"], {"start": ("last", start), "low": ("min", "moved")}, before=True)
-    base = F.coalesce(start, F.col("start"), F.lit(0))
-    total = F.col("moved") - base
-    held = F.least(F.coalesce(F.col("low") - base, F.lit(0)), F.lit(0))
-    depths = lows.select(
-        "sheet",
-        "ordinal",
-        "hash",
-        "operation",
-        "segment",
-        (total - F.least(held, total)).alias("depth"),
-        (undo & (total >= held)).alias("pops"),
-    )
-    none = F.lit(None).cast("string")
-    put = F.when(~undo, F.struct(F.col("depth").alias("depth"), F.col("hash").alias("put"), F.lit(False).alias("asks")))
-    ask = F.when(
-        F.col("pops"), F.struct((F.col("depth") + 1).alias("depth"), none.alias("put"), F.lit(True).alias("asks"))
-    ).when(
-        ~undo & ~upload & (F.col("depth") > 1),
-        F.struct((F.col("depth") - 1).alias("depth"), none.alias("put"), F.lit(True).alias("asks")),
-    )
-    long = depths.select("sheet", "segment", "ordinal", F.inline(F.array_compact(F.array(put, ask))))
-    levels = range_ordered(long, ["sheet", "segment", "depth", "ordinal"], partitions)
-    tops = (
-        running(levels, ["sheet", "segment", "depth"], {"top": ("last", "put")}, before=True)
-        .where("asks")
-        .select("sheet", "ordinal", "top")
-    )
-    answered = rows.join(tops, ["sheet", "ordinal"], "left")
-    popped = F.when(undo, F.col("top"))
-    again = range_ordered(answered, ["sheet", "ordinal"], partitions)
-    redone = running(again, ["sheet"], {"last_popped": ("last", popped)}, before=True)
-    parent = (
-        F.when(upload | undo, none)
-        .when((F.col("operation") == "redo") & F.col("last_popped").isNotNull(), F.col("last_popped"))
-        .otherwise(F.col("top"))
-    )
-    return redone.select("sheet", "ordinal", "hash", "operation", parent.alias("parent"))
+    return replayed(rows, partitions)
 
 
 def replay_history(versions: DataFrame, partitions: int | None = None) -> DataFrame:
     """Replayed versions without undos and redos, with their number of children."""
-    replayed = replay_parents(versions, partitions)
+    parents = replay_parents(versions, partitions)
     counts = (
-        replayed.where("parent is not null")
+        parents.where("parent is not null")
         .groupBy("sheet", F.col("parent").alias("hash"))
         .agg(F.count("*").alias("children"))
     )
-    kept = replayed.where(~F.col("operation").isin("undo", "redo"))
+    kept = parents.where(~F.col("operation").isin("undo", "redo"))
     return kept.join(counts, ["sheet", "hash"], "left").select(
         "sheet", "ordinal", "hash", "operation", "parent", F.coalesce("children", F.lit(0)).cast("long").alias("children")
     )

@@ -74,6 +74,29 @@ def test_replay_with_a_hot_sheet(spark, partitions, seed):
     assert not {r["operation"] for r in kept} & {"undo", "redo"}
 
 
+@pytest.mark.parametrize("partitions", [5, 37])
+def test_replay_of_random_histories_over_task_borders(spark, partitions):
+    rng = random.Random(partitions)
+    data, expected = [], {}
+    for sheet in range(25):
+        weights = [rng.choice([0, 0, 1]), rng.randrange(1, 9), rng.randrange(0, 4), rng.randrange(1, 6)]
+        history = [(f"{sheet}-{i}", rng.choices(["uploaded", "undo", "redo", "cleaned"], weights)[0]) for i in range(rng.choice([1, 40, 160]))]
+        expected.update(replay(history))
+        data += [(None if sheet == 7 else f"s{sheet}", i, name, [], operation) for i, (name, operation) in enumerate(history)]
+    deep = [(f"deep{i}", "cleaned" if i < 300 else "undo" if i < 560 else rng.choice(["redo", "undo", "cleaned"])) for i in range(700)]
+    expected.update(replay(deep))
+    data += [("deep", i, name, [], operation) for i, (name, operation) in enumerate(deep)]
+    rng.shuffle(data)
+    df = spark.createDataFrame(data, VERSION)
+    assert {r["hash"]: r["parent"] for r in versions.replay_parents(df, partitions).collect()} == expected
+    plan = versions.replay_parents(df, partitions)._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan and "Window" not in plan
+
+
+def test_replay_of_no_versions(spark):
+    assert versions.replay_history(spark.createDataFrame([], VERSION)).count() == 0
+
+
 def rewire(history):
     """Brute force in commit order."""
     parents = {name: list(p) for name, _, p in history}

@@ -9,7 +9,8 @@ from ..operators.order import row_index
 from ..operators.unions import union_all
 from ..sinks import sheets as sinks
 from ..sinks import versions as store
-from ..sources import payloads, sheets
+from ..sinks import workbooks as book_sinks
+from ..sources import payloads, sheets, workbooks
 from .registry import Tables, query
 
 
@@ -250,3 +251,59 @@ def undo_and_redo(t: Tables):
         content = store.as_of(t.spark, root, version)
         parts.append(content.agg(F.lit(name).alias("version"), F.count("*").alias("rows"), F.min("event_type").alias("least")))
     return union_all(parts)
+
+
+_BOOKS_SQL = """b AS (SELECT 'orders-' || strftime(o_orderdate, '%Y') AS book, o_orderpriority AS sheet, *,
+  row_number() OVER (PARTITION BY strftime(o_orderdate, '%Y'), o_orderpriority ORDER BY o_orderkey) AS row_number FROM orders)"""
+
+
+def _order_books(t: Tables):
+    """Workbooks of the orders: a book a year, a sheet a priority."""
+    root = t.scratch("workbooks")
+    year = F.concat(F.lit("orders-"), F.year("o_orderdate"))
+    written = book_sinks.write_workbooks(t.orders, root, year, "o_orderpriority", ["o_orderkey"])
+    return root, written
+
+
+@query(
+    f"""WITH {_BOOKS_SQL} SELECT book || '.xlsx' AS book, sheet AS sheet_name, ordinal, sheets FROM (SELECT book, sheet,
+  CAST(row_number() OVER (PARTITION BY book ORDER BY sheet) - 1 AS INTEGER) AS ordinal, CAST(count(*) OVER (PARTITION BY book) AS INTEGER) AS sheets
+  FROM (SELECT DISTINCT book, sheet FROM b))"""
+)
+def workbook_sheets(t: Tables):
+    """Sheet lists of written workbooks, beside what the writer says."""
+    root, written = _order_books(t)
+    name = F.element_at(F.split("path", "/"), -1).alias("book")
+    listed = workbooks.list_sheets(t.spark, root).select(name, "sheet_name", "ordinal")
+    return listed.join(written.select(name, "sheets"), "book")
+
+
+@query(
+    f"""WITH {_BOOKS_SQL} SELECT book || '.xlsx' AS book, sheet AS sheet_name, row_number, o_orderkey, o_custkey, o_orderstatus,
+  o_totalprice, strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate, o_orderpriority FROM b"""
+)
+def workbook_rows(t: Tables):
+    """Every cell of the written workbooks, with the types of the table again."""
+    root, _ = _order_books(t)
+    cells = workbooks.read_workbooks(t.spark, root, task_bytes=200_000)
+    rows = workbooks.sheet_table(cells, t.orders.columns)
+    return rows.select(
+        F.element_at(F.split("path", "/"), -1).alias("book"),
+        "sheet_name",
+        "row_number",
+        F.col("o_orderkey").cast("long").alias("o_orderkey"),
+        F.col("o_custkey").cast("long").alias("o_custkey"),
+        "o_orderstatus",
+        F.col("o_totalprice").cast("double").alias("o_totalprice"),
+        F.substring("o_orderdate", 1, 10).alias("o_orderdate"),
+        "o_orderpriority",
+    )
+
+
+@query(f"WITH {_BOOKS_SQL} SELECT book || '.xlsx' AS book, count(*) AS orders, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM b WHERE sheet = '2-HIGH' GROUP BY book")
+def workbook_one_sheet(t: Tables):
+    """One sheet of each workbook; the others are not read."""
+    root, _ = _order_books(t)
+    rows = workbooks.sheet_table(workbooks.read_workbooks(t.spark, root, sheets=["2-HIGH"]), t.orders.columns)
+    name = F.element_at(F.split("path", "/"), -1).alias("book")
+    return rows.groupBy(name).agg(F.count("*").alias("orders"), F.sum(F.col("o_orderkey").cast("long")).alias("keys"))

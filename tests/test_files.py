@@ -1,12 +1,15 @@
 """Sheets, workbooks and versions in files."""
 
 import zipfile
+from datetime import date, datetime
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
 from sheetspark.sinks import sheets as sinks
 from sheetspark.sinks import versions as store
+from sheetspark.sinks import workbooks as books
 from sheetspark.sources import payloads, sheets, workbooks
 
 NS = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
@@ -56,6 +59,76 @@ def test_workbooks(spark, tmp_path):
     assert rows(table.where("row_number = 2"), "name", "flag", "note") == [("1.5", "True", "#N/A")]
 
 
+def test_a_part_of_a_workbook_is_read_by_itself(spark, tmp_path, monkeypatch):
+    body = "".join(f'<row r="{i}"><c r="A{i}" t="s"><v>{i % 3}</v></c><c r="B{i}"><v>{i}</v></c></row>' for i in range(1, 400))
+    for name in ("a b", "c%20d"):
+        workbook(tmp_path / f"{name}.xlsx", {"One": body, "Two": body, "Three": '<row r="1"><c r="A1" t="s"><v>2</v></c></row>'}, ["x", "é", ""])
+    plan = workbooks.plan_workbooks(spark, str(tmp_path))
+    assert rows(plan, "sheet_name", "ordinal")[:2] == [("One", 0), ("One", 0)] and plan.where("size < 60 or part is null").count() == 0
+    whole = workbooks.read_workbooks(spark, str(tmp_path))
+    apart = workbooks.read_workbooks(spark, str(tmp_path), task_bytes=1)
+    assert apart.rdd.getNumPartitions() == 6 and whole.rdd.getNumPartitions() == 1
+    assert rows(whole) == rows(apart) and whole.count() == 2 * (399 + 399 + 1)
+    assert rows(apart.where("row_number < 3 and sheet_name = 'Two'"), "cells")[::2] == [(["", "2"],), (["x", "3"],), (["é", "1"],)]
+    third = workbooks.read_workbooks(spark, str(tmp_path), sheets=["Three", "none"])
+    assert rows(third, "sheet_name", "cells") == [("Three", [""])] * 2
+    assert workbooks.read_workbooks(spark, str(tmp_path), sheets=["none"]).count() == 0
+    # A file system that tasks cannot open: Spark reads the books.
+    monkeypatch.setattr(workbooks, "RANGED", set())
+    assert rows(workbooks.read_workbooks(spark, str(tmp_path))) == rows(whole)
+    assert rows(workbooks.plan_workbooks(spark, str(tmp_path))) == rows(plan)
+
+
+def test_ranges_of_a_workbook(tmp_path):
+    """Reading one small sheet of a large book takes its directory and its bytes only."""
+    import io
+    import random
+
+    noise = "".join(f'<row><c t="str"><v>{random.Random(i).getrandbits(400):x}</v></c></row>' for i in range(60_000))
+    workbook(tmp_path / "big.xlsx", {"Noise": noise, "Small": '<row r="1"><c r="A1"><v>7</v></c></row>'}, [])
+
+    class Counted(io.FileIO):
+        taken = 0
+
+        def readinto(self, target):
+            n = super().readinto(target)
+            Counted.taken += n
+            return n
+
+    size = (tmp_path / "big.xlsx").stat().st_size
+    with io.BufferedReader(Counted(tmp_path / "big.xlsx"), 1 << 16) as stream, zipfile.ZipFile(stream) as book:
+        part = workbooks._sheet_parts(book)[1][1]
+        assert list(workbooks._sheet_rows(book, part, workbooks._Book(book))) == [(0, ["7"])]
+    assert Counted.taken < size / 10
+
+
+def test_written_workbooks_come_back(spark, tmp_path):
+    values = [
+        ("b1", "s & <1>", 1, "text <&> \" '", 1.5, True, datetime(2024, 2, 29, 12, 30), date(1999, 12, 31), Decimal("12.340")),
+        ("b1", "s & <1>", 2, " blanks  kept ", float("nan"), False, None, None, None),
+        ("b1", "s2", 3, "\x01bell\nline", float("inf"), None, datetime(1900, 3, 1), None, None),
+        ("b1", "s2", 2**60, "é漢𝒳", -2.0, None, None, None, None),
+        ("b2", "s2", None, None, 1e300, None, None, None, None),
+        (None, "s2", 9, "no book", 0.0, None, None, None, None),
+    ]
+    schema = "book string, sheet string, n long, t string, d double, b boolean, ts timestamp_ntz, day date, m decimal(10,3)"
+    df = spark.createDataFrame(values, schema)
+    written = books.write_workbooks(df, f"file:{tmp_path}/out", "book", "sheet", ["n"])
+    assert rows(written, "book", "sheets") == [("b1", 2), ("b2", 1)]
+    assert sorted(p.name for p in (tmp_path / "out").iterdir() if not p.name.startswith(".")) == ["b1.xlsx", "b2.xlsx"]
+    cells = workbooks.read_workbooks(spark, f"{tmp_path}/out")
+    named = workbooks.sheet_table(cells, df.columns)
+    back = {(r.sheet_name, r.row_number): (r.n, r.t, r.d, r.b, r.ts, r.day, r.m) for r in named.collect() if "b1.xlsx" in r.path}
+    assert back == {
+        ("s & <1>", 1): ("1", "text <&> \" '", "1.5", "True", "2024-02-29 12:30:00", "1999-12-31 00:00:00", "12.340"),
+        ("s & <1>", 2): ("2", " blanks  kept ", None, "False", None, None, None),
+        ("s2", 1): ("3", "bell\nline", None, None, "1900-03-01 00:00:00", None, None),
+        ("s2", 2): (str(2**60), "é漢𝒳", "-2", None, None, None, None),
+    }
+    assert rows(workbooks.headers(cells), "columns")[0] == (df.columns,)
+    assert [books.column_letters(i) for i in (0, 25, 26, 701, 702, 16_383)] == ["A", "Z", "AA", "ZZ", "AAA", "XFD"]
+
+
 def test_mixed_encodings_and_headers(spark, tmp_path):
     (tmp_path / "a").mkdir()
     (tmp_path / "b").mkdir()

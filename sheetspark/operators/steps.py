@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from inspect import signature
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import ident
 from . import chart, clean, dates, filters, joins, reshape, tables, types, unions
 
+#: State rows that a task holds before it merges them.
+MERGED_ROWS = 100_000
+
 
 def run_step(df: DataFrame, step: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Apply a user function; it must return a table."""
@@ -31,24 +36,90 @@ def run_pandas_step(
     schema: str,
     by: Sequence[str] = (),
 ) -> DataFrame:
-    """Run pandas code on batches of rows, or on whole groups with ``by``.
-
-    With ``by`` a group is one pandas frame in one task, whatever its size.
+    """Run pandas code on batches of rows, or on the groups of ``by``.
+
+    Without ``by`` the step takes a frame and returns one. With ``by``, a step of two
+    parameters takes the key as a tuple and an iterator of frames, the rows of one group
+    some at a time, and yields frames: a group of any size passes through one task in
+    bounded memory. A step of one parameter takes the whole group as one frame, for
+    code that needs it; such a group must fit a task. Where partial results can be
+    merged, :func:`run_pandas_aggregate` also spreads the work of a large group.
     """
     if not by:
 
-        def over_batches(batches):
+        def over_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 yield step(batch)
 
         return df.mapInPandas(over_batches, schema)
-    keys = [ident(c) for c in by]
+    grouped = _spread(df, by).groupBy(*[ident(c) for c in by])
+    if len(signature(step).parameters) == 1:
+        return grouped.applyInPandas(step, schema)
+
+    def over_group(key: tuple[Any, ...], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from step(key, batches)
+
+    return grouped.applyInPandas(_hinted(over_group), schema)
+
+
+def _hinted(step: Callable) -> Callable:
+    """The step with the types by which Spark tells the iterator form."""
+    step.__annotations__ = {"key": tuple[Any, ...], "batches": Iterator[pd.DataFrame], "return": Iterator[pd.DataFrame]}
+    return step
+
+
+def _spread(df: DataFrame, by: Sequence[str]) -> DataFrame:
     # Python is the cost here: a fixed number of tasks keeps small tables from
     # being merged into one.
     spark = df.sparkSession
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    spread = df.repartition(tasks, *keys)
-    return spread.groupBy(*keys).applyInPandas(step, schema)
+    return df.repartition(tasks, *[ident(c) for c in by])
+
+
+def run_pandas_aggregate(
+    df: DataFrame,
+    partial: Callable[[pd.DataFrame], pd.DataFrame],
+    merge: Callable[[pd.DataFrame], pd.DataFrame],
+    state: str,
+    by: Sequence[str],
+    finish: Callable[[pd.DataFrame], pd.DataFrame] | None = None,
+    schema: str | None = None,
+) -> DataFrame:
+    """Group results by pandas code that can merge its own partial results.
+
+    ``partial`` turns rows into state rows of any number of groups, where the rows are;
+    ``merge`` turns state rows of many groups into one state row a group, in the same
+    columns. Tasks merge their batches before the shuffle, so a group with any share of
+    the rows reaches it as one row from each task. ``finish`` turns state
+    rows into result rows of ``schema``.
+    """
+
+    def merged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, rows, least = [], 0, MERGED_ROWS
+        for batch in batches:
+            held.append(batch)
+            rows += len(batch)
+            if rows >= least:
+                held = [merge(pd.concat(held, ignore_index=True))]
+                rows = len(held[0])
+                # Groups that do not shrink any more go on, so memory is bounded.
+                if 2 * rows >= least:
+                    yield held[0]
+                    held, rows = [], 0
+        if held:
+            yield merge(pd.concat(held, ignore_index=True))
+
+    def partials(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from merged(partial(batch) for batch in batches)
+
+    def last(key: tuple[Any, ...], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found = None
+        for batch in batches:
+            found = merge(batch if found is None else pd.concat([found, batch], ignore_index=True))
+        yield found if finish is None else finish(found)
+
+    states = df.mapInPandas(partials, state)
+    return _spread(states, by).groupBy(*[ident(c) for c in by]).applyInPandas(_hinted(last), schema or state)
 
 
 def check_result_size(df: DataFrame, limit: int) -> DataFrame:

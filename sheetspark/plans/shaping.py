@@ -291,17 +291,48 @@ def step_pandas(t: Tables):
 
 @query("SELECT o_custkey, max(o_totalprice) - min(o_totalprice) AS spread FROM orders GROUP BY ALL")
 def step_pandas_groups(t: Tables):
-    def spread(group):
+    """A step over the batches of each group."""
+
+    def spread(key, batches):
         import pandas as pd
 
-        return pd.DataFrame(
-            {"o_custkey": [group["o_custkey"].iloc[0]], "spread": [group["o_totalprice"].max() - group["o_totalprice"].min()]}
-        )
+        low, high = float("inf"), float("-inf")
+        for batch in batches:
+            low, high = min(low, batch["o_totalprice"].min()), max(high, batch["o_totalprice"].max())
+        yield pd.DataFrame({"o_custkey": [key[0]], "spread": [high - low]})
 
     orders = t.orders.select("o_custkey", "o_totalprice")
     return steps.run_pandas_step(orders, spread, "o_custkey long, spread double", by=["o_custkey"])
 
 
+@query(
+    """SELECT l_returnflag, CAST(max(l_quantity) - min(l_quantity) AS DOUBLE) AS spread, count(*) AS lines, count(DISTINCT l_shipdate) AS days
+  FROM lineitem GROUP BY ALL"""
+)
+def step_pandas_aggregate(t: Tables):
+    """Few large groups: partial results where the rows are, merged by group."""
+    import pandas as pd
+
+    def partial(rows):
+        days = rows.groupby("l_returnflag")["l_shipdate"].agg(lambda d: sorted(set(d)))
+        found = rows.groupby("l_returnflag")["l_quantity"].agg(low="min", high="max", lines="count")
+        return found.join(days.rename("days")).reset_index()
+
+    def merge(states):
+        days = states.groupby("l_returnflag")["days"].agg(lambda lists: sorted({d for days in lists for d in days}))
+        found = states.groupby("l_returnflag").agg(low=("low", "min"), high=("high", "max"), lines=("lines", "sum"))
+        return found.join(days).reset_index()
+
+    def finish(states):
+        return pd.DataFrame(
+            {"l_returnflag": states["l_returnflag"], "spread": states["high"] - states["low"], "lines": states["lines"], "days": states["days"].map(len)}
+        )
+
+    lines = t.lineitem.select("l_returnflag", "l_quantity", F.col("l_shipdate").cast("date").cast("string").alias("l_shipdate"))
+    state = "l_returnflag string, low double, high double, lines long, days array<string>"
+    return steps.run_pandas_aggregate(lines, partial, merge, state, ["l_returnflag"], finish, "l_returnflag string, spread double, lines long, days long")
+
+
 @query(
     """SELECT lower(p_type) AS p_type, round(sum(p_retailprice), 2) AS p_retailprice, CAST(sum(p_size) AS DOUBLE) AS p_size
   FROM part WHERE p_size > 10 AND p_brand <> 'Brand#1' GROUP BY ALL"""

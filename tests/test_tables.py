@@ -191,3 +191,45 @@ def test_steps(spark):
     assert rows(replayed) == [("a", 3.0), ("b", 5.0)]
     with pytest.raises(ValueError):
         steps.recipe(df, [("nope", {})])
+
+
+def test_a_hot_group_passes_in_batches(spark):
+    """One group with a third of all rows never is one frame."""
+    df = spark.range(0, 60_000, 1, 4).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 50 + 1).alias("g"), F.col("id").alias("v"))
+
+    def longest(key, batches):
+        sizes, total = [], 0
+        for batch in batches:
+            sizes.append(len(batch))
+            total += int(batch["v"].sum())
+        yield pd.DataFrame({"g": [key[0]], "rows": [sum(sizes)], "most": [max(sizes)], "total": [total]})
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    try:
+        found = {r.g: r for r in steps.run_pandas_step(df, longest, "g long, rows long, most long, total long", by=["g"]).collect()}
+        expected = {r.g: (r.n, r.s) for r in df.groupBy("g").agg(F.count("*").alias("n"), F.sum("v").alias("s")).collect()}
+        whole = steps.run_pandas_step(
+            df, lambda g: pd.DataFrame({"g": [g["g"].iloc[0]], "most": [len(g)]}), "g long, most long", by=["g"]
+        )
+        assert {r.g: r.most for r in whole.collect()}[0] == 20_000
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {g: (r.rows, r.total) for g, r in found.items()} == expected
+    assert expected[0][0] == 20_000 and max(r.most for r in found.values()) <= 1000
+
+
+def test_partial_results_are_merged_before_the_shuffle(spark, monkeypatch):
+    df = spark.range(0, 30_000, 1, 3).select(F.when(F.col("id") % 3 == 0, None).otherwise(F.col("id") % 700).alias("g"), F.col("id").alias("v"))
+
+    def partial(rows):
+        return rows.groupby("g", dropna=False).agg(n=("v", "count"), s=("v", "sum")).reset_index()
+
+    def merge(states):
+        return states.groupby("g", dropna=False).agg(n=("n", "sum"), s=("s", "sum")).reset_index()
+
+    expected = {tuple(r) for r in df.groupBy("g").agg(F.count("*"), F.sum("v")).collect()}
+    for most in (50, 100_000):
+        monkeypatch.setattr(steps, "MERGED_ROWS", most)
+        got = steps.run_pandas_aggregate(df, partial, merge, "g double, n long, s long", ["g"])
+        assert {tuple(r) for r in got.collect()} == expected
+    assert steps.run_pandas_aggregate(df.limit(0), partial, merge, "g double, n long, s long", ["g"]).count() == 0

@@ -85,6 +85,18 @@ def sheet_set(t: Tables):
     return found.select("doc_id", "text", "Body", "source", "file_name")
 
 
+@query(
+    """SELECT CAST(doc_id AS VARCHAR) AS doc_id, source || '-é' AS "café", CASE WHEN lang = 'fr' THEN 'à' || lang END AS "été" FROM documents"""
+)
+def sheet_set_latin(t: Tables):
+    """A folder of utf-8 and latin-1 files whose headers hold accents."""
+    path = t.scratch("latin-set")
+    accents = t.documents.select("doc_id", F.concat("source", F.lit("-é")).alias("café"), F.concat(F.lit("à"), "lang").alias("été"), "lang")
+    sinks.write_sheet(accents.where("lang <> 'fr'").select("doc_id", "café"), f"{path}/utf")
+    sinks.write_sheet(accents.where("lang = 'fr'").select("doc_id", "café", "été"), f"{path}/latin", encoding="ISO-8859-1")
+    return sheets.read_sheet_set(t.spark, path).select("doc_id", "café", "été")
+
+
 @query(
     """SELECT 'event_id' AS "column", 'int' AS column_type, (SELECT count(*) FROM events) AS shown_rows
 UNION ALL SELECT 'price', 'float', (SELECT count(*) FROM events)

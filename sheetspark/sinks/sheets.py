@@ -23,10 +23,10 @@ def _refuse_own_input(df: DataFrame, path: str) -> None:
 _BLANKS = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 
-def write_sheet(df: DataFrame, path: str) -> None:
+def write_sheet(df: DataFrame, path: str, encoding: str = "UTF-8") -> None:
     """Replace a CSV sheet; never one this table is read from."""
     _refuse_own_input(df, path)
-    df.write.mode("overwrite").options(**CSV_GRAMMAR, **_BLANKS).csv(path)
+    df.write.mode("overwrite").options(**CSV_GRAMMAR, **_BLANKS, encoding=encoding).csv(path)
 
 
 def append_partitions(df: DataFrame, path: str, column: str) -> None:

@@ -14,8 +14,11 @@ from ..operators.order import source_order
 from ..operators.types import infer_types, sniff_types
 from ..operators.unions import union_all
 from ..session import saved
+from .records import LATIN, decoded, file_splits, open_quotes, records
 
 MAX_COLUMNS = 20_000
+# Encodings in which quotes and line breaks are single ASCII bytes.
+ASCII_BASED = ["utf-8", "utf8", "us-ascii", "iso-8859-1", "windows-1252", "cp1252", "latin1"]
 # Texts a typed scan reads as missing.
 NULL_TOKENS = [
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
@@ -32,15 +35,10 @@ def _reader(spark: SparkSession, encoding: str | None = None, max_columns: int =
     return reader.option("encoding", encoding) if encoding else reader
 
 
-def _open_quotes(line: Column) -> Column:
-    """Whether a quote of the line is not closed in it: its cell has a line break."""
-    return (F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))) % 2 == 1
-
-
 def has_quoted_breaks(spark: SparkSession, path: str | Sequence[str]) -> bool:
     """Whether any cell below the path holds a line break; one pass over the lines."""
     lines = spark.read.text(path if isinstance(path, str) else list(path))
-    return bool(lines.agg(F.bool_or(_open_quotes(F.col("value")))).first()[0])
+    return bool(lines.agg(F.bool_or(open_quotes(F.col("value")))).first()[0])
 
 
 def read_sheet(
@@ -54,22 +52,50 @@ def read_sheet(
 ) -> DataFrame:
     """A CSV sheet with header; all text, or typed with ``infer``.
 
-    Cells may hold separators, doubled quotes and line breaks. A file with a line
-    break in a cell is read by one task (``multi_line``); others are split. Which
-    way is needed is found by a pass over the lines unless the caller says it; the
-    rows are the same either way where no cell has a line break.
+    Cells may hold separators, doubled quotes and line breaks. A pass over the lines
+    finds whether any cell has a line break, unless the caller says that none has
+    (``multi_line=False``). Files with such cells are split all the same: records are
+    put together over the splits. Only encodings that are not based on ASCII, and files
+    that have a lone carriage return beside such cells, are read by a task each.
 
     Typed: missing-value texts become null, then whole columns that are numbers
     or booleans get that type. ``ordered`` adds the row order of the files.
     """
     paths = path if isinstance(path, str) else list(path)
-    whole = has_quoted_breaks(spark, paths) if multi_line is None else multi_line
-    df = _reader(spark, encoding, max_columns, whole).csv(paths)
-    if ordered:
-        df = source_order(df)
+    df = None
+    if multi_line is not False:
+        if encoding is None or encoding.lower() in ASCII_BASED:
+            splits = file_splits(spark, paths)
+            breaks, lone = splits.agg(F.bool_or("breaks"), F.bool_or("lone")).first()
+            multi_line = bool(breaks)
+            if breaks and not lone:
+                df = _split_sheet(spark, paths, splits, encoding or "UTF-8", max_columns, ordered)
+        else:
+            multi_line = True
+    if df is None:
+        df = _reader(spark, encoding, max_columns, bool(multi_line)).csv(paths)
+        df = source_order(df) if ordered else df
     return typed(df) if infer else df
 
 
+def _csv_cells(text: Column, width: int, max_columns: int) -> Column:
+    """Cells of a record as a struct of ``width`` texts."""
+    options = {"maxColumns": str(max_columns), "quote": '"', "escape": '"', "multiLine": "true"}
+    return F.from_csv(text, ", ".join(f"_c{i} string" for i in range(width)), options)
+
+
+def _split_sheet(spark: SparkSession, paths, splits: DataFrame, encoding: str, max_columns: int, ordered: bool) -> DataFrame:
+    """A sheet with line breaks in cells, under the header of its first file."""
+    rows = records(spark, paths, splits, encoding)
+    header = rows.where("first").orderBy("path").limit(1).select(F.col("text").alias("header"))
+    width = header.agg(F.max(_header_width(F.col("header")))).first()[0]
+    names = header.select(_header_names(F.col("header"), width, max_columns)).first()[0]
+    cells = rows.where("NOT first").select("path", "start", "row", _csv_cells(F.col("text"), width, max_columns).alias("cells"))
+    place = F.struct(F.col("path").alias("file"), F.col("start").alias("split"), F.col("row").alias("row"))
+    data = [F.col(f"cells._c{i}").alias(name) for i, name in enumerate(names)]
+    return cells.select(*data, *([place.alias("__source_order")] if ordered else []))
+
+
 def typed(df: DataFrame) -> DataFrame:
     """Null tokens to null, then numbers and booleans where a column is all that."""
     texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
@@ -90,34 +116,31 @@ _FILES = {"recursiveFileLookup": True, "pathGlobFilter": "*.csv"}
 _FIRST_RECORD = r'(?s)^((?:[^"\r\n]++|"(?:[^"]++|"")*+"?)*+)'
 
 
-def _sheet_files(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:
-    """(path, header, is_utf8, whole) per file, saved: the first record, whether all
-    lines are valid utf-8, and whether cells hold line breaks.
-
-    One pass over splittable lines; only files with line breaks in cells, which one
-    task reads anyway, are looked at again as a whole for their first record.
+def _sheet_files(spark: SparkSession, paths: Sequence[str] | str) -> tuple[DataFrame, DataFrame]:
+    """Facts of each file, saved, and of each split: (path, header, is_utf8, way, size,
+    modified) and what :func:`file_splits` gives.``header`` is the first record, decoded as the file is; ``way`` is how
+    rows are read: plain lines, records over splits, or whole by a task.
     """
     places = paths if isinstance(paths, str) else list(paths)
-    lines = spark.read.options(**_FILES).text(places).select(
-        F.col("_metadata.file_path").alias("path"),
-        F.col("_metadata.file_block_start").alias("start"),
-        F.monotonically_increasing_id().alias("id"),
-        "value",
-    )
-    files = saved(
-        lines.groupBy("path").agg(
-            F.min_by("value", F.struct("start", "id")).alias("header"),
-            F.bool_and(F.is_valid_utf8("value")).alias("is_utf8"),
-            F.bool_or(_open_quotes(F.col("value"))).alias("whole"),
-        )
+    splits = file_splits(spark, places, **_FILES)
+    breaks, lone, valid = F.bool_or("breaks"), F.bool_or("lone"), F.bool_and("is_utf8")
+    by_file = splits.groupBy("path").agg(
+        F.regexp_replace(decoded(F.min_by("first_line", "start"), valid), "\r.*$", "").alias("line"),
+        valid.alias("is_utf8"),
+        F.when(breaks & lone, "whole").when(breaks, "split").otherwise("plain").alias("way"),
+        F.max("size").alias("size"),
+        F.max("modified").alias("modified"),
     )
-    broken = [r[0] for r in files.where("whole").select("path").collect()]
-    if not broken:
-        return files
-    whole = spark.read.text(broken, wholetext=True).select(
-        F.col("_metadata.file_path").alias("path"), F.regexp_extract("value", _FIRST_RECORD, 1).alias("record")
-    )
-    return saved(files.join(whole, "path", "left").select("path", F.coalesce("record", "header").alias("header"), "is_utf8", "whole"))
+    files = saved(by_file)
+    # Only where the first line ends inside a cell is more than that line looked at.
+    longer = [tuple(r) for r in files.where(open_quotes(F.col("line"))).select("path", "is_utf8").collect()]
+    if not longer:
+        return files.withColumnRenamed("line", "header"), splits
+    whole = spark.read.text([p for p, _ in longer], wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    joined = files.join(whole, "path", "left")
+    record = F.regexp_extract(decoded(F.col("value"), F.col("is_utf8")), _FIRST_RECORD, 1)
+    header = F.when(F.col("value").isNull(), F.col("line")).otherwise(record)
+    return saved(joined.select("path", header.alias("header"), "is_utf8", "way", "size", "modified")), splits
 
 
 # A quoted header cell, in which commas do not separate.
@@ -130,8 +153,7 @@ def _header_width(header: Column) -> Column:
 
 def _header_names(header: Column, width: int, max_columns: int) -> Column:
     """Header cells of a first record, with the names a header scan would give."""
-    options = {"maxColumns": str(max_columns), "quote": '"', "escape": '"', "multiLine": "true"}
-    cells = F.from_csv(header, ", ".join(f"_c{i} string" for i in range(width)), options)
+    cells = _csv_cells(header, width, max_columns)
     present = F.slice(F.array(*[cells[f"_c{i}"] for i in range(width)]), F.lit(1), _header_width(header))
     placed = F.sort_array(F.transform(present, lambda c, i: F.struct(F.lower(c).alias("low"), i.alias("i"))))
     repeated = F.transform(
@@ -155,32 +177,33 @@ def _named_files(files: DataFrame, max_columns: int) -> tuple[DataFrame, int]:
     return saved(files.select("path", _header_names(F.col("header"), width, max_columns).alias("names"))), width
 
 
-def _rows_by_place(spark: SparkSession, files: DataFrame, width: int, max_columns: int) -> DataFrame:
+def _rows_by_place(spark: SparkSession, files: DataFrame, splits: DataFrame, width: int, max_columns: int) -> DataFrame:
     """(__path, __size, __modified, values): rows of all files, cells by position."""
     schema = ", ".join(f"_c{i} string" for i in range(width))
-    groups: dict[tuple[bool, bool], list[str]] = {}
-    for path, is_utf8, whole in files.select("path", "is_utf8", "whole").collect():
-        groups.setdefault((is_utf8, whole), []).append(path)
+    groups: dict[tuple[str, bool], list[str]] = {}
+    for path, is_utf8, way in files.select("path", "is_utf8", "way").collect():
+        groups.setdefault((way, is_utf8 or way == "split"), []).append(path)
     frames = []
-    for (is_utf8, whole), chosen in sorted(groups.items()):
-        # A given schema is applied by position and each file's header skipped.
-        reader = _reader(spark, None if is_utf8 else "ISO-8859-1", max_columns, whole)
-        frames.append(
-            reader.schema(schema).csv(chosen).select(
-                F.col("_metadata.file_path").alias("__path"),
-                F.col("_metadata.file_size").alias("__size"),
-                F.col("_metadata.file_modification_time").alias("__modified"),
-                F.array(*[F.col(f"_c{i}") for i in range(width)]).alias("values"),
-            )
-        )
+    for (way, is_utf8), chosen in sorted(groups.items()):
+        if way == "split":
+            rows = records(spark, chosen, splits).where("NOT first").select("path", _csv_cells(F.col("text"), width, max_columns).alias("cells"))
+            # One row a file.
+            rows = rows.join(files.select("path", "size", "modified"), "path")
+            place, cells = [F.col("path"), F.col("size"), F.col("modified")], "cells."
+        else:
+            # A given schema is applied by position and each file's header skipped.
+            rows = _reader(spark, None if is_utf8 else LATIN, max_columns, way == "whole").schema(schema).csv(chosen)
+            place, cells = [F.col(f"_metadata.{c}") for c in ("file_path", "file_size", "file_modification_time")], ""
+        named = [c.alias(n) for c, n in zip(place, ("__path", "__size", "__modified"), strict=True)]
+        frames.append(rows.select(*named, F.array(*[F.col(f"{cells}_c{i}") for i in range(width)]).alias("values")))
     return union_all(frames)
 
 
 def read_sheet_cells(spark: SparkSession, paths: Sequence[str] | str, max_columns: int = MAX_COLUMNS) -> DataFrame:
     """(__path, __size, __modified, cells): each row as a map header -> text."""
-    files = _sheet_files(spark, paths)
+    files, splits = _sheet_files(spark, paths)
     named, width = _named_files(files, max_columns)
-    rows = _rows_by_place(spark, files, width, max_columns).join(named.withColumnRenamed("path", "__path"), "__path")
+    rows = _rows_by_place(spark, files, splits, width, max_columns).join(named.withColumnRenamed("path", "__path"), "__path")
     cells = F.map_from_arrays("names", F.slice("values", F.lit(1), F.size("names")))
     return rows.select("__path", "__size", "__modified", cells.alias("cells"))
 
@@ -194,7 +217,7 @@ def read_sheets(spark: SparkSession, paths: Sequence[str] | str, max_columns: in
     has it; columns are in the order of (file, place) of that spelling. The driver
     holds what Spark's file listing holds, the paths, and the column names.
     """
-    files = _sheet_files(spark, paths)
+    files, splits = _sheet_files(spark, paths)
     named, width = _named_files(files, max_columns)
     placed = named.select("path", F.posexplode("names").alias("place", "name"))
     first = placed.groupBy(F.lower("name").alias("low")).agg(F.min(F.struct("path", "place", "name")).alias("f"))
@@ -202,7 +225,7 @@ def read_sheets(spark: SparkSession, paths: Sequence[str] | str, max_columns: in
     lows = F.transform("names", F.lower)
     slots = F.transform(F.array(*[F.lit(c) for c in columns]), lambda c: F.array_position(lows, F.lower(c)).cast("int"))
     held = saved(named.select(F.col("path").alias("__path"), slots.alias("slots")))
-    rows = _rows_by_place(spark, files, width, max_columns).join(held, "__path")
+    rows = _rows_by_place(spark, files, splits, width, max_columns).join(held, "__path")
     cell = lambda i: F.get("values", F.get("slots", F.lit(i)) - 1)
     return rows.select(*[cell(i).alias(c) for i, c in enumerate(columns)], "__path", "__size", "__modified")
 

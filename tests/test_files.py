@@ -1,5 +1,6 @@
 """Sheets, workbooks and versions in files."""
 
+import random
 import zipfile
 from datetime import date, datetime
 from decimal import Decimal
@@ -184,6 +185,67 @@ def test_both_ways_agree_without_line_breaks(spark, tmp_path):
     assert ways[0] == ways[1] == ways[2] and len(ways[0]) == df.count()
 
 
+@pytest.fixture
+def small_splits(spark):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "150")
+    yield
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_records_over_splits_equal_a_whole_read(spark, tmp_path, small_splits, seed):
+    rng = random.Random(seed)
+    alphabet = ['"', ",", "\n", "\r\n", "a", "é", " ", "漢", "b\nc", "x" * 30, "\n" * rng.randrange(1, 200)]
+    end = ["\n", "\r\n"][seed % 2]
+    expected = []
+    for n in range(2):
+        lines = ['"first\nname",b,"b"']
+        for i in range(rng.choice([0, 60, 150])):
+            cells = ["".join(rng.choices(alphabet, k=rng.randrange(6))) for _ in range(2)]
+            lines.append(f"{n}-{i}," + ",".join('"' + c.replace('"', '""') + '"' for c in cells))
+            expected.append((f"{n}-{i}", *[c or None for c in cells]))
+            lines += [""] * (rng.random() < 0.1)
+        (tmp_path / f"f{n}.csv").write_bytes((end.join(lines) + rng.choice(["", end])).encode())
+    found = sheets.read_sheet(spark, str(tmp_path), ordered=True)
+    whole = spark.read.options(**sheets.CSV_GRAMMAR, multiLine=True).csv(str(tmp_path))
+    assert found.columns == [*whole.columns, "__source_order"] == ["first\nname", "b1", "b2", "__source_order"]
+    data = found.drop("__source_order")
+    if seed % 2 == 0:
+        assert rows(data) == rows(whole)
+    assert rows(data) == sorted(expected, key=repr)
+    assert [tuple(r)[:3] for r in found.orderBy("__source_order").collect()] == expected
+    assert rows(sheets.read_sheets(spark, str(tmp_path)).drop("__path", "__size", "__modified")) == rows(data)
+    assert found.select("b1").rdd.getNumPartitions() > 4 or len(expected) < 60
+
+
+def test_one_cell_over_many_splits_and_an_open_end(spark, tmp_path, small_splits):
+    long = "line\n" * 300
+    (tmp_path / "a.csv").write_text(f'x,y\n1,"{long}"\n2,"open\nend\nof file')
+    got = rows(sheets.read_sheet(spark, str(tmp_path)))
+    assert got == rows(spark.read.options(**sheets.CSV_GRAMMAR, multiLine=True).csv(str(tmp_path))) and got[0] == ("1", long)
+
+
+def test_headers_are_decoded_as_their_files(spark, tmp_path):
+    (tmp_path / "utf.csv").write_bytes("id,café\n1,é\n".encode())
+    (tmp_path / "latin.csv").write_bytes("id,café\n2,ü\n".encode("latin-1"))
+    (tmp_path / "latin_breaks.csv").write_bytes('id,"café"\r\n3,"ü\r\nñ"\r\n'.encode("latin-1"))
+    (tmp_path / "latin_header.csv").write_bytes('id,"caf\né"\n4,"ü"\n'.encode("latin-1"))
+    found = sheets.read_sheets(spark, str(tmp_path))
+    assert set(found.columns) == {"id", "café", "caf\né", "__path", "__size", "__modified"}
+    assert rows(found, "id", "café", "`caf\né`") == [("1", "é", None), ("2", "ü", None), ("3", "ü\r\nñ", None), ("4", None, "ü")]
+    cells = sheets.read_sheet_cells(spark, str(tmp_path))
+    assert rows(cells.select(F.map_keys("cells")))[:1] == [(["id", "caf\né"],)]
+    alone = sheets.read_sheet(spark, str(tmp_path / "latin_breaks.csv"), encoding="ISO-8859-1")
+    assert rows(alone) == [("3", "ü\r\nñ")] and alone.columns == ["id", "café"]
+
+
+def test_lone_carriage_returns_beside_line_breaks(spark, tmp_path):
+    (tmp_path / "m.csv").write_bytes(b'a,b\n1,"x\ry"\n2,"p\nq"\n')
+    whole = spark.read.options(**sheets.CSV_GRAMMAR, multiLine=True).csv(str(tmp_path / "m.csv"))
+    assert rows(sheets.read_sheet(spark, str(tmp_path / "m.csv"))) == rows(whole)
+    assert sheets.read_sheets(spark, str(tmp_path)).count() == whole.count()
+
+
 def test_header_cell_with_line_break(spark, tmp_path):
     (tmp_path / "h.csv").write_text('"first\nname",b\n"1\n2",3\n')
     found = sheets.read_sheets(spark, str(tmp_path))

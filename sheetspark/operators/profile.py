@@ -271,8 +271,11 @@ def histograms(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     for i in usable:
         q1, q3 = quartiles[columns[i]]
         whole = isinstance(_dtype(df, columns[i]), T.IntegralType)
-        first, last, bins = auto_bins(stats[f"n{i}"], stats[f"lo{i}"], stats[f"hi{i}"], q3 - q1, whole)
-        shapes.append((i, columns[i], first, last, bins, (last - first) / bins))
+        low, high = stats[f"lo{i}"], stats[f"hi{i}"]
+        # Where the span overflows, everything is done on a quarter of the values.
+        scale = 1.0 if abs(high - low) < float("inf") else 4.0
+        first, last, bins = auto_bins(stats[f"n{i}"], low / scale, high / scale, q3 / scale - q1 / scale, whole)
+        shapes.append((i, columns[i], first, last, bins, (last - first) / bins, scale))
 
     def edge(i: Column, first, last, bins, step) -> Column:
         return F.when(i == bins, last).otherwise(i * step + first)
@@ -281,24 +284,25 @@ def histograms(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     # corrected by the edges beside it.
     guesses = {
         f"g{i}": F.least(F.floor((F.col(f"v{i}") - first) * (bins / (last - first))), F.lit(bins - 1)).cast("long")
-        for i, _, first, last, bins, _ in shapes
+        for i, _, first, last, bins, _, _ in shapes
     }
+    scaled = {f"v{i}": F.col(f"v{i}") / scale for i, *_, scale in shapes if scale > 1}
     cells = []
-    for i, _, first, last, bins, step in shapes:
+    for i, _, first, last, bins, step, _ in shapes:
         shape = [F.lit(x) for x in (first, last, bins, step)]
         value, guess = F.col(f"v{i}"), F.col(f"g{i}")
         lowered = F.when(value < edge(guess, *shape), guess - 1).otherwise(guess)
         placed = F.when((value >= edge(guess + 1, *shape)) & (guess < bins - 1), guess + 1).otherwise(lowered)
         cells.append(F.when(value.isNotNull(), F.struct(F.lit(i).alias("i"), placed.alias("bin"))))
-    counts = values.withColumns(guesses).select(F.inline(F.array_compact(F.array(*cells)))).groupBy("i", "bin").agg(F.count("*").alias("n"))
-    edges = spark.createDataFrame(shapes, "i int, column string, first double, last double, bins long, step double")
+    counts = values.withColumns(scaled).withColumns(guesses).select(F.inline(F.array_compact(F.array(*cells)))).groupBy("i", "bin").agg(F.count("*").alias("n"))
+    edges = spark.createDataFrame(shapes, "i int, column string, first double, last double, bins long, step double, scale double")
     every = edges.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bins") - 1)).alias("bin"))
     shape = [F.col(c) for c in ("first", "last", "bins", "step")]
     return every.join(counts, ["i", "bin"], "left").select(
         "column",
         "bin",
-        edge(F.col("bin"), *shape).alias("lower"),
-        edge(F.col("bin") + 1, *shape).alias("upper"),
+        (edge(F.col("bin"), *shape) * F.col("scale")).alias("lower"),
+        (edge(F.col("bin") + 1, *shape) * F.col("scale")).alias("upper"),
         F.coalesce("n", F.lit(0)).cast("long").alias("occurrences"),
     )
 

@@ -61,7 +61,9 @@ def pivot(
     """Cross-tab of a stored pivot: ``values`` maps a column to its aggregate.
 
     Several column fields are one heading, their texts joined by `` | `` (missing
-    ones empty); ``column_values`` are then such headings. Naming the ``column_values`` saves the extra job that looks them up.
+    ones empty); ``column_values`` are then such headings. Naming the ``column_values``
+    saves the extra job that looks them up. Rows without a heading are left out, so no
+    column stands for null beside one for the text "null".
     """
     kept = apply_active_filters(df, filters or {})
     aggregates = [_AGGREGATES[how](ident(c)).alias(f"{how}_{c}") for c, how in values.items()]
@@ -70,7 +72,7 @@ def pivot(
     else:
         texts = [F.coalesce(as_text(ident(c), df.schema[c].dataType), F.lit("")) for c in columns]
         heading = F.concat_ws(" | ", *texts)
-    grouped = kept.withColumn(_HEADING, heading).groupBy(*[ident(c) for c in rows])
+    grouped = kept.withColumn(_HEADING, heading).where(F.col(_HEADING).isNotNull()).groupBy(*[ident(c) for c in rows])
     table = grouped.pivot(_HEADING, list(column_values)) if column_values else grouped.pivot(_HEADING)
     return table.agg(*aggregates)
 

@@ -87,11 +87,13 @@ def _restore_types(df: DataFrame, columns: Sequence[str] | None, booleans: bool)
     checks = []
     for i, column in enumerate(texts):
         number = numbers.to_number(ident(column))
-        whole = ident(column).rlike(r"^\s*[+-]?\d+\s*$") & F.trim(ident(column)).try_cast("long").isNotNull()
+        digits = ident(column).rlike(r"^\s*[+-]?\d+\s*$")
+        whole = digits & F.trim(ident(column)).try_cast("long").isNotNull()
         checks += [
             F.count(ident(column)).alias(f"n{i}"),
             F.count(number).alias(f"d{i}"),
             F.count_if(whole).alias(f"l{i}"),
+            F.count_if(digits & F.trim(ident(column)).try_cast("decimal(38,0)").isNotNull()).alias(f"e{i}"),
             F.count_if(ident(column).isin(BOOLEAN_TEXTS)).alias(f"b{i}"),
         ]
     row = df.agg(*checks).first()
@@ -100,6 +102,9 @@ def _restore_types(df: DataFrame, columns: Sequence[str] | None, booleans: bool)
         known = row[f"n{i}"]
         if known and row[f"l{i}"] == known:
             changes[column] = F.trim(ident(column)).try_cast("long")
+        elif known and row[f"e{i}"] == known:
+            # Whole numbers of which some need more than 64 bits stay exact.
+            changes[column] = F.trim(ident(column)).try_cast("decimal(38,0)")
         elif known and row[f"d{i}"] == known:
             changes[column] = numbers.to_number(ident(column))
         elif known and booleans and row[f"b{i}"] == known:
@@ -110,7 +115,8 @@ def _restore_types(df: DataFrame, columns: Sequence[str] | None, booleans: bool)
 def coerce_numeric(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Text columns become numbers where every non-null cell is one.
 
-    One aggregate decides for all columns; whole numbers become longs.
+    One aggregate decides for all columns; whole numbers become longs, or decimals of
+    38 digits where some do not fit a long.
     """
     return _restore_types(df, columns, booleans=False)
 

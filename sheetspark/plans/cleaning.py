@@ -225,11 +225,11 @@ def error_tokens(t: Tables):
 
 @query(
     """SELECT c_custkey, c_name, c_mktsegment FROM customer
-  WHERE lower(c_mktsegment) LIKE '%build%' AND c_nationkey = 3 AND lower(c_name) <> 'customer#000000000'"""
+  WHERE lower(c_mktsegment) LIKE '%build%' AND c_nationkey = 11 AND lower(c_name) <> 'customer#000000000'"""
 )
 def filters_ci(t: Tables):
     kept = filters.filter_contains_ci(t.customer, "c_mktsegment", "Build")
-    kept = filters.filter_equal(kept, {"c_nationkey": 3, "c_name": ""})
+    kept = filters.filter_equal(kept, {"c_nationkey": 11, "c_name": ""})
     return kept.where(~text.equals_ci(F.col("c_name"), "CUSTOMER#000000000")).select("c_custkey", "c_name", "c_mktsegment")
 
 

@@ -230,20 +230,30 @@ def parquet_copy(t: Tables):
     return t.spark.read.parquet(path)
 
 
-@query("SELECT * FROM nation")
+@query("SELECT o_orderstatus, count(*) AS orders, 'refused' AS one_fewer FROM orders GROUP BY ALL")
 def limited_result(t: Tables):
+    """A table at its limit passes; with a limit of one row fewer it is refused."""
     from ..operators.steps import check_result_size
 
-    return check_result_size(t.nation, 25)
+    rows = t.orders.count()
+    kept = check_result_size(t.orders, rows)
+    try:
+        check_result_size(t.orders, rows - 1)
+        outcome = "accepted"
+    except ValueError:
+        outcome = "refused"
+    return kept.groupBy("o_orderstatus").agg(F.count("*").alias("orders"), F.lit(outcome).alias("one_fewer"))
 
 
-@query("SELECT CAST(event_id AS VARCHAR) AS id, event_type AS kind FROM events WHERE event_id % 3 = 0")
+@query(
+    """SELECT CAST(event_id AS VARCHAR) AS id, upper(event_type) AS kind, CAST(user_id AS VARCHAR) AS user, props, strftime(ts, '%Y-%m-%d') AS day FROM events"""
+)
 def replaced_sheet(t: Tables):
     """A sheet overwritten by a table of other columns, as a new version."""
     root = t.scratch("replaced")
     store.commit(t.events.select("event_id", "value"), root, "events", "uploaded")
-    data = t.events.where("event_id % 3 = 0").select(F.col("event_id").cast("string"), "event_type")
-    version = store.replace_sheet(t.spark, root, "events", ["id", "kind"], data)
+    texts = ["string(event_id)", "upper(event_type)", "string(user_id)", "props", "date_format(ts, 'yyyy-MM-dd')"]
+    version = store.replace_sheet(t.spark, root, "events", ["id", "kind", "user", "props", "day"], t.events.selectExpr(*texts))
     return store.as_of(t.spark, root, version)
 
 

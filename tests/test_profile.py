@@ -185,3 +185,10 @@ def test_wide_frames_stay_one_pass(spark):
     wide = spark.range(50).select(*[(F.col("id") * (i + 1) % 17).alias(f"c{i}") for i in range(60)])
     assert profile.null_profile(wide).count() == 60
     assert profile.correlation_matrix(wide).count() == 60 * 59
+
+
+def test_histogram_of_a_span_beyond_doubles(spark):
+    df = spark.createDataFrame([(1e308,), (-1e308,), (0.0,), (None,), (1.5e308,)], "v double")
+    bins = profile.histogram(df, "v").orderBy("bin").collect()
+    assert sum(b.occurrences for b in bins) == 4 and bins[0].lower == -1e308 and bins[-1].upper == 1.5e308
+    assert all(a.upper == b.lower for a, b in zip(bins, bins[1:]))

@@ -17,6 +17,19 @@ def rows(df, *columns):
     return sorted((tuple(r) for r in (df.select(*columns) if columns else df).collect()), key=repr)
 
 
+def test_pivot_of_null_and_the_text_null(spark):
+    df = spark.createDataFrame([("a", None, 1), ("a", "null", 2), ("a", "x", 4), ("b", None, 8)], "r string, c string, v int")
+    table = reshape.pivot(df, ["r"], "c", {"v": "sum"})
+    assert sorted(table.columns) == ["null", "r", "x"] and rows(table, "r", "`null`", "x") == [("a", 2, 4)]
+
+
+def test_whole_numbers_beyond_a_long_stay_exact(spark):
+    df = spark.createDataFrame([("9007199254740993", "1.5", "1"), ("123456789012345678901234567890", "9", None), (" -7 ", None, "2")], "a string, b string, c string")
+    typed = types.infer_types(df)
+    assert [f.dataType.simpleString() for f in typed.schema.fields] == ["decimal(38,0)", "double", "bigint"]
+    assert [int(r.a) for r in typed.collect()] == [9007199254740993, 123456789012345678901234567890, -7]
+
+
 KEY = st.one_of(st.none(), st.sampled_from(["a", "b", ""]))
 
 

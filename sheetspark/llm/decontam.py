@@ -6,9 +6,10 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import saved
 
@@ -83,23 +84,38 @@ def original_offsets(text: str, spans: list[tuple[int, int]]) -> list[tuple[int,
     return out
 
 
-def _scan(block, window: int, names: list[str]):
+def _with(batch: pa.RecordBatch, made: dict[str, pa.Array]) -> pa.RecordBatch:
+    """The batch with some columns made anew; the others are passed on as they are."""
+    names = [*[n for n in batch.schema.names if n not in made], *made]
+    return pa.RecordBatch.from_arrays([made[n] if n in made else batch.column(n) for n in names], names=names)
+
+
+def _scan(block, window: int):
     """Scan with one block of items, adding to what earlier blocks found."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(block.value, window)
-        for pdf in batches:
-            out: dict[str, list] = {n: [] for n in ("n_words", "hit_from", "hit_to", "items")}
-            for text, old_from, old_to, old_items in zip(pdf["t"], pdf["hit_from"], pdf["hit_to"], pdf["items"], strict=True):
+        for batch in batches:
+            counts, starts, ends, found = [], [], [], []
+            for text, old_from, old_to, old_items in zip(*[batch.column(c).to_pylist() for c in ("t", "hit_from", "hit_to", "items")], strict=True):
                 words = fold_words(text)
                 spans, items = matcher.find(words)
-                if len(old_from):
-                    spans = merged([*spans, *zip(map(int, old_from), map(int, old_to), strict=True)])
-                out["n_words"].append(len(words))
-                out["hit_from"].append([s for s, _ in spans])
-                out["hit_to"].append([e for _, e in spans])
-                out["items"].append(sorted(items.union(old_items)))
-            yield pd.concat([pdf.drop(columns=["n_words", "hit_from", "hit_to", "items"]), pd.DataFrame(out, index=pdf.index)], axis=1)[names]
+                if old_from:
+                    spans = merged([*spans, *zip(old_from, old_to, strict=True)])
+                counts.append(len(words))
+                starts.append([s for s, _ in spans])
+                ends.append([e for _, e in spans])
+                found.append(sorted(items.union(old_items)))
+            ranges = pa.list_(pa.int32())
+            yield _with(
+                batch,
+                {
+                    "n_words": pa.array(counts, pa.int64()),
+                    "hit_from": pa.array(starts, ranges),
+                    "hit_to": pa.array(ends, ranges),
+                    "items": pa.array(found, pa.list_(pa.string())),
+                },
+            )
 
     return run
 
@@ -118,18 +134,15 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, most: int) -> It
     yield block
 
 
-def _report(names: list[str]):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            spans = [
-                original_offsets(t, list(zip(map(int, a), map(int, b), strict=True))) if len(a) else []
-                for t, a, b in zip(pdf["t"], pdf["hit_from"], pdf["hit_to"], strict=True)
-            ]
-            pdf["char_from"] = [[s for s, _ in x] for x in spans]
-            pdf["char_to"] = [[e for _, e in x] for x in spans]
-            yield pdf[names]
-
-    return run
+def _report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        spans = [
+            original_offsets(t, list(zip(a, b, strict=True))) if a else []
+            for t, a, b in zip(*[batch.column(c).to_pylist() for c in ("t", "hit_from", "hit_to")], strict=True)
+        ]
+        ranges = pa.list_(pa.int32())
+        places = {"char_from": [[s for s, _ in x] for x in spans], "char_to": [[e for _, e in x] for x in spans]}
+        yield _with(batch, {name: pa.array(x, ranges) for name, x in places.items()})
 
 
 def decontaminate(
@@ -157,13 +170,15 @@ def decontaminate(
     character ranges ``char_from char_to`` of the hits in the original text. Null
     text has no words; items without words match nothing; a null item id is shown
     as an empty string; repeated rows are judged each; rows of one item id with
-    different texts are one item. Results replace input columns of the same name.
+    different texts are one item; very long texts are scanned whole, a row at a time;
+    an empty table gives no rows. Other columns, of any type, come back as they were,
+    but that results replace input columns of the same name.
     """
     names = docs.columns
     plain = docs.toDF(*[f"in_{i}" for i in range(len(names))])
     text = f"in_{names.index(text_col)}"
     state = plain.withColumns(
-        {"t": F.col(text), "n_words": F.lit(0).cast("long"), "hit_from": F.expr("cast(array() as array<int>)"),
+        {"t": F.col(text).cast("string"), "n_words": F.lit(0).cast("long"), "hit_from": F.expr("cast(array() as array<int>)"),
          "hit_to": F.expr("cast(array() as array<int>)"), "items": F.expr("cast(array() as array<string>)")}
     )
     spark = docs.sparkSession
@@ -171,7 +186,7 @@ def decontaminate(
         if n:
             state = saved(state)
         sent = spark.sparkContext.broadcast(block)
-        state = state.mapInPandas(_scan(sent, window, state.columns), state.schema)
+        state = state.mapInArrow(_scan(sent, window), state.schema)
     results = {
         "n_words": F.col("n_words"),
         "n_hit": F.aggregate(F.zip_with("hit_from", "hit_to", lambda a, b: b - a), F.lit(0).cast("long"), lambda a, x: a + x),
@@ -180,9 +195,8 @@ def decontaminate(
         "contaminated": F.size("items") > 0,
     }
     if offsets:
-        wide = [*state.columns, "char_from", "char_to"]
-        fields = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in state.schema.fields] + ["char_from array<int>", "char_to array<int>"])
-        state = state.mapInPandas(_report(wide), fields)
+        ranges = [T.StructField(name, T.ArrayType(T.IntegerType())) for name in ("char_from", "char_to")]
+        state = state.mapInArrow(_report, T.StructType([*state.schema.fields, *ranges]))
         results |= {"char_from": F.col("char_from"), "char_to": F.col("char_to")}
     kept = [F.col(f"in_{i}").alias(name) for i, name in enumerate(names) if name not in results]
     return state.select(*kept, *[c.alias(n) for n, c in results.items()])

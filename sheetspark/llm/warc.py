@@ -201,19 +201,40 @@ def op9_warc(spark: SparkSession, folder: str) -> DataFrame:
     """Pages archived and read back; a revisit's size and digest are those of the
     payload of the response that it names."""
     pages = spark.read.parquet(f"{folder}/pages.parquet").select("page_id", "url", "html")
-    index, _, _ = archived(pages)
+    return listed_records(pages)
+
+
+def listed_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """``<id> payload_bytes payload_digest record_type refers_to`` of every row, from its
+    archived record.
+
+    Ids come back as given, ``refers_to`` is the id of the row whose record is the
+    response. Where ids are missing or repeat, the last row in the order of (id, nulls
+    last; html; other columns) is the response. Null html is an empty payload, very
+    long ones are records of their own, an empty table has no records; further
+    columns, also of clashing names, are not read.
+    """
+    index, _, opened = archived(pages, id_col, url_col, html_col)
     records = read_records(index).select(
         "key", "record_type", "refers", "stated_digest", F.octet_length("payload").cast("long").alias("size"), F.sha1("payload").alias("digest")
     )
     records = saved(records)
     responses = records.where("record_type = 'response'").select(F.col("key").alias("of"), F.col("size").alias("of_size"), F.col("digest").alias("of_digest"))
     joined = records.withColumn("of", F.coalesce("refers", "key")).join(responses, "of", "left")
+    id_type = opened.df.schema[opened.id].dataType
+    if opened.id_is_key:
+        page, other = F.col("key").cast(id_type), F.col("refers").cast(id_type)
+    else:
+        named = opened.df.select("key", F.col(opened.id).alias("page"))
+        others = named.select(F.col("key").alias("refers"), F.col("page").alias("other"))
+        joined = joined.join(named, "key").join(others, "refers", "left")
+        page, other = F.col("page"), F.col("other")
     return joined.select(
-        F.col("key").alias("page_id"),
+        page.alias(id_col),
         F.col("of_size").alias("payload_bytes"),
         F.col("of_digest").alias("payload_digest"),
         "record_type",
-        F.col("refers").alias("refers_to"),
+        other.alias("refers_to"),
     )
 
 

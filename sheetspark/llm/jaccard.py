@@ -77,7 +77,7 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[
     tokens of (its tokens - 1) exceeds that number: then a linked set whose prefix
     ends at the same place or later shares a rare token of the prefix, or two of
     one subclass. Subclasses are of the hash; their number follows the smaller
-    set's size, so a set makes its pairs for either number that a partner can have.
+    set's size, so a set makes its pairs for every number that a partner can have.
     """
     n = len(tokens)
     least = (percent * n + 99) // 100
@@ -88,7 +88,7 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[
     common = tokens[frequent]
     out = [rare]
     if n > 1:
-        for level in sorted({_level(least), _level(n)}):
+        for level in range(_level(least), _level(n) + 1):
             owner = mixed(common) & np.uint64((1 << level) - 1)
             gain = np.ones(len(common), np.int64)
             gain[np.unique(owner, return_index=True)[1]] = 0

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Opened, scratch_path
-from .tokens import WordIds
+from .tokens import word_ids
 
 
 class FreeSpace:
@@ -74,7 +74,7 @@ ROW = "sequence_id long, n_tokens int, ids binary, cu_seqlens array<int>, positi
 
 def _packed(path: str | None, size: int, end_id: int, pad_id: int, pool_tokens: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = WordIds(path)
+        words = word_ids(path)
         number = TaskContext.get().partitionId() << 36
         pool: list[tuple] = []
         held = 0
@@ -107,8 +107,7 @@ def _packed(path: str | None, size: int, end_id: int, pad_id: int, pool_tokens:
             for start in range(0, len(whole), 500):
                 pdf = whole.iloc[start : start + 500]
                 done = []
-                for doc, raw in zip(pdf["id"], words.encode(pdf["text"]), strict=True):
-                    ids = np.append(np.frombuffer(raw, "<u4"), np.uint32(end_id))
+                for doc, ids in zip(pdf["id"], words.encode(pdf["text"], end_id), strict=True):
                     for at in range(0, len(ids), size):
                         piece = ids[at : at + size]
                         if len(piece) == size:

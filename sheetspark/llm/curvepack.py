@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Opened, parts_for, saved
-from .tokens import WordIds
+from .tokens import word_ids
 
 FEATURES = 1024
 DIMENSIONS = 4
@@ -27,7 +27,7 @@ def _signs() -> np.ndarray:
 
 def _features(ids: np.ndarray) -> np.ndarray:
     """Hashed token vector of a document: square roots of counts, of length 1."""
-    slots = (ids.astype(np.uint32) * np.uint32(2654435761)) >> np.uint32(32 - 10)
+    slots = (ids * np.uint32(2654435761)) >> np.uint32(32 - 10)
     vector = np.sqrt(np.bincount(slots, minlength=FEATURES))
     return vector / np.sqrt(max(len(ids), 1))
 
@@ -60,14 +60,13 @@ def _placed(path: str | None, end_id: int):
     vocabulary allows, else four."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, signs = WordIds(path), _signs()
+        words, signs = word_ids(path), _signs()
         kind = words.kind(end_id)
         for whole in batches:
             for start in range(0, len(whole), 500):
                 pdf = whole.iloc[start : start + 500]
                 points, kept = [], []
-                for raw in words.encode(pdf["text"]):
-                    ids = np.append(np.frombuffer(raw, "<u4"), np.uint32(end_id))
+                for ids in words.encode(pdf["text"], end_id):
                     points.append(_features(ids) @ signs)
                     kept.append(ids.astype(kind).tobytes())
                 scaled = np.floor((np.array(points) + 4) / 8 * (1 << BITS)).clip(0, (1 << BITS) - 1)

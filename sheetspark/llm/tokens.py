@@ -118,22 +118,23 @@ class WordIds:
             stem = word.rstrip(PUNCTUATION)
             known[word] = known[stem] + known[word[len(stem) :]]
 
-    def encode(self, texts: Iterable[bytes | str | None]) -> Iterator[bytes]:
-        """Ids of each text, in order; null is empty."""
+    def encode(self, texts: Iterable[bytes | str | None], end_id: int | None = None) -> Iterator[np.ndarray]:
+        """Ids of each text, in order, closed by ``end_id`` if given; null is empty."""
         group: list[bytes] = []
         size = 0
         for text in texts:
             group.append(text if isinstance(text, bytes) else (text or "").encode("utf-8", "replace"))
             size += len(group[-1])
             if size > GROUP_BYTES:
-                yield from self._group(group)
+                yield from self._group(group, end_id)
                 group, size = [], 0
-        yield from self._group(group)
+        yield from self._group(group, end_id)
 
-    def _group(self, group: list[bytes]) -> Iterator[bytes]:
-        """Texts are looked up as one list of words with a mark between texts."""
+    def _group(self, group: list[bytes], end_id: int | None) -> Iterator[np.ndarray]:
+        """Texts are looked up as one list of words with a mark after each text, in
+        the place of which the end id is written."""
         special = {i: self._exact(raw.decode("utf-8", "replace")) for i, raw in enumerate(group) if b"<|" in raw}
-        words = _parted(MARK.join(b"" if i in special else raw for i, raw in enumerate(group)).lower()).split()
+        words = _parted(b"".join(MARK if i in special else raw + MARK for i, raw in enumerate(group)).lower()).split()
         if len(self.words) > MOST_WORDS:
             here = set(words)
             self.words = {w: ids for w, ids in self.words.items() if w in here}
@@ -143,9 +144,26 @@ class WordIds:
         self._learn({words[i] for i in missing})
         for i in missing:
             ids[i] = self.words[words[i]]
-        raw = b"".join(ids)
-        stops = np.flatnonzero(np.frombuffer(raw, "<u4") == 0xFFFFFFFF).tolist()
+        found = np.frombuffer(b"".join(ids), "<u4")
+        stops = np.flatnonzero(found == 0xFFFFFFFF)
+        closing = [] if end_id is None else [end_id]
+        if closing:
+            found = found.copy()
+            found[stops] = end_id
         start = 0
-        for i, stop in enumerate([*stops, len(raw) // 4][: len(group)]):
-            yield special.get(i, raw[4 * start : 4 * stop])
+        for i, stop in enumerate(stops.tolist()):
+            if i in special:
+                yield np.concatenate([np.frombuffer(special[i], "<u4"), np.array(closing, "<u4")])
+            else:
+                yield found[start : stop + len(closing)]
             start = stop + 1
+
+
+_KNOWN: dict[str | None, WordIds] = {}
+
+
+def word_ids(path: str | None = None) -> WordIds:
+    """The encoder of this Python worker, kept with its words for the next tasks."""
+    if path not in _KNOWN:
+        _KNOWN[path] = WordIds(path)
+    return _KNOWN[path]

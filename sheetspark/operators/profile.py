@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from ..functions import numbers
 from ..functions.numbers import finite, to_number
+from ..session import saved
 from ..functions.text import as_text, ident, is_empty, is_fractional, is_numeric, is_temporal, special_only
 from . import dates
 from .order import PART, POS, range_ordered, row_index, running
@@ -173,9 +174,62 @@ def distinct_head(df: DataFrame, columns: Sequence[str], order_by: str, n: int |
 def top_values(df: DataFrame, columns: Sequence[str], order_by: str, n: int = 10) -> DataFrame:
     """(column, position, value, occurrences): most frequent values of each column.
 
-    Equal counts are ordered by first appearance.
+    Equal counts are ordered by first appearance. One pass keeps a summary of frequent
+    items for each column, whose error has a bound; the values it lists are counted
+    exactly by a second pass, which sends a row of each from each task. Only columns
+    where the bound does not part the first ``n`` from values not listed, those of
+    many values and no frequent ones, have all their values counted.
     """
-    return _first_values(df, columns, order_by, n, F.col("occurrences").desc(), F.col("first_seen"))
+    order = (F.col("occurrences").desc(), F.col("first_seen"))
+    exact, left = _frequent_values(df, columns, order_by, n)
+    if not left:
+        return _first_of_each(exact, n, *order).select("column", "position", "value", "occurrences")
+    rest = _first_values(df, left, order_by, n, *order)
+    if len(left) == len(columns):
+        return rest
+    return _first_of_each(exact, n, *order).select("column", "position", "value", "occurrences").unionByName(rest)
+
+
+# Values that a summary tracks, and lists at most.
+TRACKED, LISTED = 10_000, 1_000
+
+
+def _frequent_values(df: DataFrame, columns: Sequence[str], order_by: str, n: int) -> tuple[DataFrame | None, list[str]]:
+    """(column, value, occurrences, first_seen) of the listed values of the columns for
+    which they decide the first n, and the other columns."""
+    cells = {c: value for kind, family in _families(df, columns).items() if kind in ("string", "long") for c, value in family.items()}
+    if not cells or n > LISTED:
+        return None, list(columns)
+    named = df.select(ident(order_by).alias("ord"), *[value.alias(f"v{i}") for i, value in enumerate(cells.values())])
+    summary = named.agg(
+        *[F.expr(f"approx_top_k(v{i}, {LISTED}, {TRACKED})").alias(f"s{i}") for i in range(len(cells))],
+        *[F.count(f"v{i}").alias(f"n{i}") for i in range(len(cells))],
+    ).first()
+    listed = {i: [x["item"] for x in summary[f"s{i}"] if x["item"] is not None] for i in range(len(cells))}
+    known = [
+        F.struct(F.lit(c).alias("column"), F.when(F.col(f"v{i}").isin(listed[i]), as_text(F.col(f"v{i}"), named.schema[f"v{i}"].dataType)).alias("value"))
+        for i, c in enumerate(cells)
+        if listed[i]
+    ]
+    if not known:
+        return None, list(columns)
+    long = named.select("ord", F.inline(F.array(*known))).where("value is not null")
+    counted = saved(long.groupBy("column", "value").agg(F.count("*").alias("occurrences"), F.min("ord").alias("first_seen")))
+    ranked = counted.groupBy("column").agg(F.sum("occurrences").alias("all"), F.sort_array(F.collect_list("occurrences"), asc=False).alias("counts"))
+    found = {r["column"]: r for r in ranked.collect()}
+    decided = []
+    for i, c in enumerate(cells):
+        total, items, row = summary[f"n{i}"], summary[f"s{i}"], found.get(c)
+        if row is None:
+            continue
+        # An item not listed has 5.25 / TRACKED of all values at most, or, where the
+        # list is full, what its last item may have.
+        bound = max(5.25 * total / TRACKED, items[-1]["count"] if len(items) == LISTED else 0)
+        if row["all"] == total or (len(row["counts"]) >= n and row["counts"][n - 1] > bound):
+            decided.append(c)
+    if not decided:
+        return None, list(columns)
+    return counted.where(F.col("column").isin(decided)), [c for c in columns if c not in decided]
 
 
 def numeric_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:

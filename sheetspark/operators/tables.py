@@ -7,12 +7,15 @@ from datetime import date, datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import ident
 from .order import row_index
 
-# A sorted top-n this small is merged on the driver; deeper pages are indexed.
+# A sorted top-n this small is merged on the driver.
 SHALLOW_ROWS = 10_000
+# Rows of a sample that brackets a deeper page.
+SAMPLE_ROWS = 20_000
 
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], order_by: Sequence[str]) -> DataFrame:
@@ -91,6 +94,33 @@ def head(df: DataFrame, n: int, order_by: Sequence[str | Column]) -> DataFrame:
     return df.orderBy(*keys).limit(n)
 
 
+def _bracket(df: DataFrame, order_by: Sequence[str | Column], start: int, size: int, total: int) -> tuple[DataFrame, int] | None:
+    """At most ``SHALLOW_ROWS`` rows that hold the page, and how many come before them."""
+    plain = (T.StringType, T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType, T.BooleanType)
+    if size > SHALLOW_ROWS or not all(isinstance(k, str) and isinstance(df.schema[k].dataType, plain) for k in order_by):
+        return None
+    key = F.struct(*[ident(k).alias(f"k{i}") for i, k in enumerate(order_by)])
+    keyed, before, inside = df, 0, total
+    while inside > SHALLOW_ROWS:
+        sample = keyed.select(key.alias("key")).sample(min(1.0, SAMPLE_ROWS / inside), seed=7).orderBy("key").collect()
+        n = len(sample)
+        # Four deviations of a sampled rank on either side of the page.
+        slack = int(2 * n**0.5) + 2
+        low = n * (start - before) // inside - slack
+        high = n * (start - before + size) // inside + slack
+        edges = [sample[i]["key"] if 0 <= i < n else None for i in (low, high)]
+        if edges == [None, None]:
+            return None
+        cuts = [None if e is None else F.struct(*[F.lit(v).cast(df.schema[k].dataType) for k, v in zip(order_by, e, strict=True)]) for e in edges]
+        after_low = F.lit(True) if cuts[0] is None else key >= cuts[0]
+        until_high = F.lit(True) if cuts[1] is None else key <= cuts[1]
+        skipped, within = keyed.agg(F.count_if(~after_low), F.count_if(after_low & until_high)).first()
+        if not before + skipped <= start or before + skipped + within < min(start + size, total) or within >= inside:
+            return None
+        keyed, before, inside = keyed.where(after_low & until_high), before + skipped, within
+    return keyed, before
+
+
 def page(
     df: DataFrame,
     order_by: Sequence[str | Column],
@@ -100,9 +130,11 @@ def page(
 ) -> DataFrame:
     """Rows of one page with ``total_count``, ``total_pages`` and neighbour flags.
 
-    ``past_end`` is ``empty`` or ``last``. Early pages are a distributed top-n;
-    for deep pages all rows get an index and the page is a range of it, so the
-    driver never holds the skipped rows.
+    ``past_end`` is ``empty`` or ``last``. Early pages are a distributed top-n. For
+    deeper ones, by columns in ascending order, samples of the keys bracket the page
+    and passes that only count find how many rows come before the bracket, until it is
+    small enough for a top-n of its own: nothing is sorted or written as a whole. Other
+    orders, and pages among more equal keys than that, take a range of the row index.
     """
     total = df.count()
     pages = max(1, -(-total // size))
@@ -111,6 +143,8 @@ def page(
     keys = [ident(c) if isinstance(c, str) else c for c in order_by]
     if start + size <= SHALLOW_ROWS or start >= total:
         rows = df.orderBy(*keys).offset(start).limit(size) if start < total else df.limit(0)
+    elif (held := _bracket(df, order_by, start, size, total)) is not None:
+        rows = held[0].orderBy(*keys).offset(start - held[1]).limit(size)
     else:
         rows = row_index(df, keys, "__index").where(F.col("__index").between(start, start + size - 1)).drop("__index")
     return rows.select(

@@ -192,3 +192,17 @@ def test_histogram_of_a_span_beyond_doubles(spark):
     bins = profile.histogram(df, "v").orderBy("bin").collect()
     assert sum(b.occurrences for b in bins) == 4 and bins[0].lower == -1e308 and bins[-1].upper == 1.5e308
     assert all(a.upper == b.lower for a, b in zip(bins, bins[1:]))
+
+
+def test_top_values_of_skewed_and_flat_columns(spark, monkeypatch):
+    monkeypatch.setattr(profile, "TRACKED", 300)
+    monkeypatch.setattr(profile, "LISTED", 60)
+    df = spark.range(0, 9_000, 1, 4).selectExpr(
+        "id", "IF(id % 3 = 0, 'hot', IF(id % 5 < 2, 'g' || string(id % 8), 'tail' || string(id))) AS skewed", "id % 4000 AS flat", "string(id % 3) AS few", "CAST(NULL AS string) AS none"
+    )
+    columns = ["skewed", "flat", "few", "none"]
+    exact, left = profile._frequent_values(df, columns, "id", 5)
+    assert left == ["flat", "none"] and {r[0] for r in exact.select("column").distinct().collect()} == {"skewed", "few"}
+    got = sorted(tuple(r) for r in profile.top_values(df, columns, "id", 5).collect())
+    expected = sorted(tuple(r) for r in profile._first_values(df, columns, "id", 5, F.col("occurrences").desc(), F.col("first_seen")).collect())
+    assert got == expected and len(got) == 13

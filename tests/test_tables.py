@@ -30,6 +30,25 @@ def test_whole_numbers_beyond_a_long_stay_exact(spark):
     assert [int(r.a) for r in typed.collect()] == [9007199254740993, 123456789012345678901234567890, -7]
 
 
+@pytest.mark.parametrize("kind", ["unique", "ties", "nulls"])
+def test_deep_pages_are_bracketed(spark, monkeypatch, kind):
+    monkeypatch.setattr(tables, "SHALLOW_ROWS", 400)
+    monkeypatch.setattr(tables, "SAMPLE_ROWS", 500)
+    first = {"unique": "cast(id * 7919 % 20011 as double) / 8", "ties": "'t' || string(id % 30)", "nulls": "if(id % 9 > 0, timestamp_ntz '2024-01-01' + make_dt_interval(id % 40), null)"}[kind]
+    df = spark.range(0, 12_000, 1, 5).selectExpr(f"{first} AS a", "id * 7 % 101 AS b", "id")
+    for number, size in ((100, 50), (239, 50), (240, 50), (30, 400), (13, 399)):
+        keys = ["a", "b", "id"]
+        held = tables._bracket(df, keys, (number - 1) * size, size, 12_000)
+        # Pages near the size of a top-n leave no room for a bracket.
+        assert (held is None) == (size > 300) and (held is None or held[0].count() <= 400)
+        got = tables.page(df, keys, number, size)
+        expected = df.orderBy(*keys).offset((number - 1) * size).limit(size)
+        assert [tuple(r) for r in got.select(*keys).orderBy(*keys).collect()] == [tuple(r) for r in expected.orderBy(*keys).collect()]
+    # More equal keys than a top-n holds: the index decides.
+    assert tables._bracket(df.withColumn("same", F.lit(1)), ["same"], 6_000, 50, 12_000) is None
+    assert tables.page(df.withColumn("same", F.lit(1)), ["same"], 120, 50).count() == 50
+
+
 KEY = st.one_of(st.none(), st.sampled_from(["a", "b", ""]))
 
 

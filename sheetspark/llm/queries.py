@@ -37,6 +37,5 @@ ORACLES = {
     "op6_license_scan": OP6_SQL,
     "op9_warc": OP9_SQL,
     "op11_source_divergence": OP11_SQL,
-    "op12_fingerprints": op12_fingerprints,
     "op13_centroid_clustering": OP13_SQL,
 }

@@ -1,5 +1,5 @@
-"""Removal of repeated byte strings: suffixes in blocks, one bucket sorted at a time,
-with ranks of cover samples in place of long comparisons."""
+"""Removal of repeated byte strings: samples chosen by content, joined by 64-bit hashes
+of them and of the bytes around them. No suffix is sorted and no rank is computed."""
 
 from __future__ import annotations
 

@@ -102,7 +102,7 @@ def _restore_types(df: DataFrame, columns: Sequence[str] | None, booleans: bool)
         known = row[f"n{i}"]
         if known and row[f"l{i}"] == known:
             changes[column] = F.trim(ident(column)).try_cast("long")
-        elif known and row[f"e{i}"] == known:
+        elif booleans and known and row[f"e{i}"] == known:
             # Whole numbers of which some need more than 64 bits stay exact.
             changes[column] = F.trim(ident(column)).try_cast("decimal(38,0)")
         elif known and row[f"d{i}"] == known:
@@ -115,12 +115,12 @@ def _restore_types(df: DataFrame, columns: Sequence[str] | None, booleans: bool)
 def coerce_numeric(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Text columns become numbers where every non-null cell is one.
 
-    One aggregate decides for all columns; whole numbers become longs, or decimals of
-    38 digits where some do not fit a long.
+    One aggregate decides for all columns; whole numbers become longs.
     """
     return _restore_types(df, columns, booleans=False)
 
 
 def infer_types(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Like :func:`coerce_numeric`, and columns of true/false become booleans."""
+    """Like :func:`coerce_numeric`, and columns of true/false become booleans; whole
+    numbers of which some do not fit a long become decimals of 38 digits."""
     return _restore_types(df, columns, booleans=True)

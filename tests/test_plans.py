@@ -13,6 +13,10 @@ from sheetspark.plans import QUERIES
 PYTHON = {
     "step_pandas",
     "step_pandas_groups",
+    "step_pandas_aggregate",
+    "workbook_sheets",
+    "workbook_rows",
+    "workbook_one_sheet",
     "mask_payloads",
     "build_log",
     "match_templates",

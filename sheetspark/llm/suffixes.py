@@ -358,10 +358,10 @@ def cut_repeats(
     earlier, in a smaller document or before in the same one.
 
     Texts are UTF-8 bytes in blocks of about ``block_bytes``. Each string of
-    ``length`` bytes holds one cover sample of 32 bytes, chosen by content, so two
+    ``length`` bytes holds one sample of 32 bytes, chosen by content, so two
     equal strings have it at the same offset; a run is the strings around one
-    sample. Blocks send the hashes of their different runs to suffix buckets by
-    sample; a bucket is sorted on its own, its ties (one sample) by the rank of the
+    sample. Blocks send the hashes of their different runs to buckets by
+    sample; a bucket is sorted by hash on its own, its ties (one sample) by the
     run's whole context. A run whose context an earlier one has is repeated as a
     whole. Where a sample has several contexts, the strings of the earliest run of
     each go through buckets once more, by their own hash. Every string is so

@@ -18,14 +18,15 @@ SLOT_BLOCK = 4096
 #: Keys (eight bytes each) up to which a set of documents is broadcast to a scan.
 BROADCAST_KEYS = 500_000
 MULTIPLIER = 0x9E3779B97F4A7C15
+MOST_HASHES = 400_000
 
 
 class WordHashes(dict):
-    """64-bit hashes of words; keeps up to a million of them."""
+    """64-bit hashes of words; keeps the first ones met, up to ``MOST_HASHES``."""
 
     def __missing__(self, word: bytes) -> int:
         value = xxhash.xxh3_64_intdigest(word)
-        if len(self) < 1_000_000:
+        if len(self) < MOST_HASHES:
             self[word] = value
         return value
 
@@ -122,12 +123,13 @@ def _slot_counts(words: int, slots: int):
     """Counts of this task's shingles by slot of their hash, one count a document."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, counts = WordHashes(), np.zeros(slots, np.uint32)
+        known, counts = WordHashes(), np.zeros(slots, np.uint8)
         shift = np.uint64(64 - slots.bit_length() + 1)
         for pdf in batches:
             for text in pdf["text"]:
-                np.add.at(counts, (shingle_set(text, known, words) >> shift).astype(np.int64), np.uint32(1))
-        small = np.minimum(counts, 255).astype(np.uint8).reshape(-1, SLOT_BLOCK)
+                at, more = np.unique((shingle_set(text, known, words) >> shift).astype(np.int64), return_counts=True)
+                counts[at] = np.minimum(counts[at] + more, 255)
+        small = counts.reshape(-1, SLOT_BLOCK)
         used = np.flatnonzero(small.any(axis=1))
         for i in range(0, len(used), 512):
             part = used[i : i + 512]

@@ -18,7 +18,9 @@ SLOT_BLOCK = 4096
 #: Keys (eight bytes each) up to which a set of documents is broadcast to a scan.
 BROADCAST_KEYS = 500_000
 MULTIPLIER = 0x9E3779B97F4A7C15
-MOST_HASHES = 400_000
+MOST_HASHES = 1 << 15
+#: Documents of one frame of sets or signatures; long texts come in smaller Arrow batches.
+FRAME_ROWS = 1_000
 
 
 class WordHashes(dict):
@@ -161,19 +163,29 @@ def frequent_slots(texts: DataFrame, words: int, slots: int) -> np.ndarray:
     return scale.reshape(-1) >= 4 * np.log2(1 + 4 * mean + 16)
 
 
+def _frames(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The same rows in smaller frames, so that results of few documents are held."""
+    for pdf in batches:
+        for i in range(0, len(pdf), FRAME_ROWS):
+            yield pdf.iloc[i : i + FRAME_ROWS]
+        del pdf
+
+
 def _shingled(words: int, percent: int, frequent):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = WordHashes()
-        flags = np.unpackbits(np.frombuffer(frequent.value, np.uint8)).astype(bool)
-        shift = np.uint64(64 - len(flags).bit_length() + 1)
-        for pdf in batches:
+        flags = np.frombuffer(frequent.value, np.uint8)
+        shift = np.uint64(64 - (8 * len(flags)).bit_length() + 1)
+        for pdf in _frames(batches):
             n, d1, d2, sigs, alone, odd, small = [], [], [], [], [], [], []
             for text in pdf["text"]:
                 tokens = shingle_set(text, known, words)
                 n.append(len(tokens))
                 d1.append(int(tokens.sum(dtype=np.uint64).view(np.int64)))
                 d2.append(int(mixed(tokens + np.uint64(MULTIPLIER)).sum(dtype=np.uint64).view(np.int64)))
-                made, rare = signatures(tokens, flags[(tokens >> shift).astype(np.int64)], percent)
+                slot = (tokens >> shift).astype(np.int64)
+                is_frequent = (flags[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 == 1
+                made, rare = signatures(tokens, is_frequent, percent)
                 sigs.append(made.view(np.int64))
                 alone.append(rare)
                 odd.append(parities(tokens))
@@ -190,7 +202,7 @@ def _sets(words: int):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = WordHashes()
-        for pdf in batches:
+        for pdf in _frames(batches):
             packed = [shingle_set(t, known, words).view(np.uint8).reshape(-1, 8)[:, 2:].tobytes() for t in pdf["text"]]
             yield pd.DataFrame({"key": pdf["key"], "tokens": packed})
 

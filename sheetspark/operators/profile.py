@@ -20,6 +20,7 @@ from ..functions.numbers import finite, to_number
 from ..session import saved
 from ..functions.text import as_text, ident, is_empty, is_fractional, is_numeric, is_temporal, special_only
 from . import dates
+from .correlation import correlation_matrix
 from .order import PART, POS, range_ordered, row_index, running
 from .quantiles import exact_quantiles
 from .types import dtype_label, eda_label, long_rows
@@ -366,66 +367,6 @@ def histogram(df: DataFrame, column: str) -> DataFrame:
     return histograms(df, [column]).drop("column")
 
 
-def _pair_sums(columns: Sequence[str], shift: dict[str, float]):
-    """Per task: sums over complete pairs of all column pairs, from matrix products."""
-    import numpy as np
-    import pandas as pd
-
-    names, shifts = list(columns), np.array([shift[c] for c in columns])
-
-    def sums(batches):
-        total = None
-        for batch in batches:
-            x = batch[names].to_numpy(dtype=float)
-            seen = np.isfinite(x).astype(float)
-            x = np.where(seen > 0, x - shifts, 0.0)
-            squares = x * x
-            parts = np.stack([seen.T @ seen, x.T @ seen, seen.T @ x, squares.T @ seen, seen.T @ squares, x.T @ x])
-            total = parts if total is None else total + parts
-        if total is not None:
-            left, right = np.triu_indices(len(names), 1)
-            columns_out = {"a": left, "b": right}
-            for k, label in enumerate(("n", "sx", "sy", "sxx", "syy", "sxy")):
-                columns_out[label] = total[k][left, right]
-            yield pd.DataFrame(columns_out)
-
-    return sums
-
-
-def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """(column_a, column_b, correlation) for every ordered pair off the diagonal.
-
-    Pearson over the rows where both are finite, within [-1, 1]; undefined counts
-    as 0. Values are taken from near their column's median, so neither a large
-    level nor a few far values cost digits. For any number of columns the sums of
-    all pairs come from one pass of matrix products, six numbers a pair and task.
-    """
-    columns = list(columns or numeric_columns(df))
-    if len(columns) < 2:
-        return df.sparkSession.createDataFrame([], "column_a string, column_b string, correlation double")
-    clean = df.select(*[finite(ident(c).cast("double")).alias(f"v{i}") for i, c in enumerate(columns)])
-    names = [f"v{i}" for i in range(len(columns))]
-    middles = clean.agg(*[F.percentile_approx(n, 0.5).alias(n) for n in names]).first()
-    shift = {n: middles[n] or 0.0 for n in names}
-    schema = "a int, b int, n double, sx double, sy double, sxx double, syy double, sxy double"
-    pairs = clean.mapInPandas(_pair_sums(names, shift), schema).groupBy("a", "b").agg(
-        *[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")]
-    )
-    cov = F.expr("sxy - try_divide(sx * sy, n)")
-    spread_x, spread_y = F.expr("sxx - try_divide(sx * sx, n)"), F.expr("syy - try_divide(sy * sy, n)")
-    # Rounding leaves a constant column a spread near, not at, zero.
-    tiny = F.lit(1e-13)
-    defined = (spread_x > tiny * F.col("sxx")) & (spread_y > tiny * F.col("syy"))
-    r = F.when(defined, F.try_divide(cov, F.sqrt(spread_x) * F.sqrt(spread_y)))
-    labels = F.array(*[F.lit(c) for c in columns])
-    both = F.array(
-        F.struct(F.get(labels, F.col("a")).alias("column_a"), F.get(labels, F.col("b")).alias("column_b")),
-        F.struct(F.get(labels, F.col("b")).alias("column_a"), F.get(labels, F.col("a")).alias("column_b")),
-    )
-    bounded = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.coalesce(r, F.lit(0.0))))
-    return pairs.select(F.inline(both), bounded.alias("correlation")).select("column_a", "column_b", "correlation")
-
-
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """(duplicate_rows): rows equal to an earlier row in every column."""
     cells = [

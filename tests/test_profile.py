@@ -7,7 +7,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from sheetspark.operators import dates, profile
+from sheetspark.operators import correlation, dates, profile
 
 RNG = np.random.default_rng(3)
 HISTOGRAM_CASES = {
@@ -77,6 +77,51 @@ def test_correlation_of_many_columns(spark):
     assert len(rows) == 60 * 59 and all(abs(r[2] - expected.loc[r[0], r[1]]) < 1e-9 for r in rows)
 
 
+def test_correlation_of_two_thousand_columns(spark):
+    """More tiles than one pass holds; gaps, and tasks that see none of a column."""
+    rng = np.random.default_rng(9)
+    wide = rng.normal(size=(48, 2000)) + rng.normal(size=(48, 1)) + np.arange(2000) * 1e3
+    wide[rng.random(wide.shape) < 0.1] = np.nan
+    wide[:24, 700] = np.nan
+    wide[:, 1500] = 0.1
+    frame = pd.DataFrame(wide, columns=[f"c {i}" for i in range(2000)])
+    values = spark.createDataFrame([(row,) for row in wide.tolist()], "v array<double>").repartition(3)
+    df = values.select(*[F.get("v", F.lit(i)).alias(c) for i, c in enumerate(frame.columns)])
+    found = profile.correlation_matrix(df)
+    some = ["c 0", "c 127", "c 128", "c 700", "c 1500", "c 1999"]
+    rows = found.where(F.col("column_a").isin(some)).collect()
+    expected = {c: frame.corrwith(frame[c]).fillna(0) for c in some}
+    expected["c 1500"][:] = 0.0
+    assert len(rows) == len({(r[0], r[1]) for r in rows}) == len(some) * 1999
+    assert all(abs(r[2] - (0.0 if r[1] == "c 1500" else expected[r[0]][r[1]])) < 1e-8 for r in rows)
+
+
+def test_moments_merge_in_any_order():
+    """Rows cut anywhere, far values and constant columns included, give the whole's result."""
+    rng = np.random.default_rng(9)
+    x = np.column_stack([rng.normal(size=90), rng.normal(size=90) + 1e9, np.full(90, 0.3), rng.normal(size=90)])
+    x[:30, 3] = np.nan
+    x[5, 0] = 1e6
+
+    def of(rows):
+        seen = np.isfinite(rows)
+        shift = np.nan_to_num(np.array([np.median(c[np.isfinite(c)]) if np.isfinite(c).any() else 0.0 for c in rows.T]))
+        filled, seen = np.where(seen, rows - shift, 0.0), seen.astype(float)
+        return correlation._moments(filled, seen, shift, filled, seen, shift)
+
+    whole = correlation._coefficients(of(x))
+    for cuts in ([30], [1, 2, 60], [89], [10, 20, 30, 40]):
+        parts = [of(p) for p in np.split(x, cuts)]
+        for order in (parts, parts[::-1]):
+            total = None
+            for part in order:
+                total = correlation._merged(total, part)
+            assert np.allclose(correlation._coefficients(total), whole, atol=1e-7)
+    expected = pd.DataFrame(x).corr().fillna(0).to_numpy()
+    off = ~np.eye(4, dtype=bool)
+    assert np.allclose(whole[off], np.where(np.isin(np.indices((4, 4)), 2).any(axis=0), 0.0, expected)[off], atol=1e-7)
+
+
 def test_special_characters_with_repeated_keys(spark):
     df = spark.createDataFrame([(1, "a!"), (1, "b"), (2, "!?"), (3, "c"), (3, "?")], "k int, c string")
     rows = {r["character"]: (r["rows_containing"], r["min_row_index"], r["max_row_index"]) for r in profile.special_characters(df, ["c"], "k").collect()}

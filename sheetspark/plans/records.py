@@ -463,6 +463,16 @@ def match_templates(t: Tables):
     )
 
 
+@query(
+    f"""WITH {TEMPLATES_SQL.replace("FROM q JOIN n USING (template) JOIN s USING (sheet)", "FROM n CROSS JOIN s")}
+SELECT template, sheet, x AS matched FROM m WHERE x IS NOT NULL"""
+)
+def fitting_templates(t: Tables):
+    """Every template against every sheet, by the index of column names."""
+    fitting = templates.fitting_pairs(brand_templates(t), order_sheets(t))
+    return fitting.select("template", "sheet", F.array_join("matched_columns", ",").alias("matched"))
+
+
 @query(
     f"""WITH {TEMPLATES_SQL} SELECT template, sheet, 'Format ' || template || ' - Totals' AS plot_name, x AS x_axis, y AS y_axis,
   CASE WHEN x = y THEN x ELSE x || ',' || y END AS columns_analyzed, 'sum' AS aggregation_method,

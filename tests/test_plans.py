@@ -20,6 +20,7 @@ PYTHON = {
     "mask_payloads",
     "build_log",
     "match_templates",
+    "fitting_templates",
     "apply_template",
     "correlation",
     "correlation_wide",

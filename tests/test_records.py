@@ -235,6 +235,34 @@ def test_resolve_user_order(spark):
     assert found == {0: 1, 1: 2, 2: 3, 3: 4, 4: None}
 
 
+def test_fitting_pairs_against_all_pairs(spark):
+    """The index of names finds exactly the pairs that trying every pair finds."""
+    names = ["id", "Order Date", "order", "Größe", "STRASSE", "straße", "K\u212a", "desk", "a.b", "", "x", "Sales [EUR]", "sales total", "ſum", "İd"]
+    rng = random.Random(4)
+    sheets = [(i, rng.sample(names, rng.randint(1, 5))) for i in range(60)] + [(60, []), (61, ["id", None])]
+    patterns = [
+        None, ("contains", "ORD"), ("contains", "s"), ("contains", ""), ("contains", "straß"), ("contains", None), ("contains", "no such"),
+        ("regex", "^or.*date$"), ("regex", "("), ("regex", "s[ak]les?"), ("regex", "order|x"), ("regex", "des+k"), ("regex", "dk"), ("regex", "kk"),
+        ("regex", r"a\.b"), ("regex", "[st]um"), ("regex", "sum"), ("regex", "größe"), ("regex", ""), ("regex", ".+total"), ("other", "id"),
+    ]
+    wanted = ["w", "id", "order"]
+    formats = [(f"t{i}", [wanted[i % 3]], {wanted[i % 3]: p} if p else {}, []) for i, p in enumerate(patterns * 3)]
+    formats += [(f"two{i}", ["id", "v"], {"v": p}, []) for i, p in enumerate(patterns) if p] + [("none", [], {}, []), ("null", None, None, None)]
+    plot = "array<struct<x_axes: array<string>, y_axes: array<string>>>"
+    kind = f"template string, required_columns array<string>, column_patterns map<string, struct<type: string, value: string>>, plots {plot}"
+    table, all_sheets = spark.createDataFrame(formats, kind), spark.createDataFrame(sheets, "sheet int, columns array<string>")
+    every = spark.createDataFrame([(f[0], s[0]) for f in formats if f[1] for s in sheets], "template string, sheet int")
+    expected = templates.compatible(templates.match_columns(table, all_sheets, every)).where("is_compatible")
+    found = templates.fitting_pairs(table, all_sheets)
+
+    def shown(df):
+        return sorted((r.template, r.sheet, tuple(r.matched_columns)) for r in df.collect())
+
+    assert shown(found) == shown(expected) and len(shown(found)) > 300
+    assert templates.fitting_pairs(table, all_sheets.limit(0)).count() == 0
+    assert templates.fitting_pairs(table.limit(0), all_sheets).count() == 0
+
+
 def test_templates(spark):
     pattern = "map<string,struct<type:string,value:string>>"
     plot = "struct<name:string,plot_type:string,x_axes:array<string>,y_axes:array<string>,chart_type:string,aggregation_method:string,date_grouping:string>"

@@ -3,10 +3,12 @@ n-gram and skip features, words within their class by smoothed counts."""
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -21,15 +23,38 @@ END = b""
 TOP = 15
 ENDINGS = 16
 CLASSES = 1 + TOP + ENDINGS
-BUCKET_BITS = 15
-BUCKETS = 1 << BUCKET_BITS
 FEATURES = 4
 BATCH = 8192
 BLOCK = 512
 MOST_WORDS = 300_000
 RATE = 0.5
-TASK_TOKENS = 2_000_000
-CHUNK_TOKENS = 1_000_000
+ROWS_PER_ROOT = 80
+TOKENS_PER_ROOT = 4096
+CHUNK_BYTES = 10 << 20
+
+
+class Size(NamedTuple):
+    """What training takes, by the counted tokens: rows of weights and tokens of a
+    task follow the cube root, so that the changes all tasks send stay the same share
+    of the input; averaging rounds follow the logarithm."""
+
+    rows: int
+    rounds: int
+    task_tokens: int
+
+
+def size_for(tokens: int) -> Size:
+    root = math.ceil(max(tokens, 1) ** (1 / 3))
+    rounds = max(2, round((math.log2(max(tokens, 1)) - 20) / 4))
+    return Size(ROWS_PER_ROOT * root, rounds, TOKENS_PER_ROOT * root)
+
+
+class Model(NamedTuple):
+    """Most frequent words by class, weights (a row per hashed feature), bias of the classes."""
+
+    top: dict[bytes, int]
+    weights: np.ndarray
+    bias: np.ndarray
 
 
 def tokens_of(text: str | None) -> list[bytes]:
@@ -43,61 +68,103 @@ def class_of(word: bytes, top: dict[bytes, int]) -> int:
     return top.get(word) or 1 + TOP + zlib.crc32(word[-3:]) % ENDINGS
 
 
-class Codes(dict):
-    """Words as 64-bit hashes with the class in the low bits."""
+def placed(hashes: np.ndarray, rows: int) -> np.ndarray:
+    """Hashes as row numbers below ``rows``."""
+    return ((hashes >> np.uint64(32)) * np.uint64(rows) >> np.uint64(32)).astype(np.int64)
 
-    def __init__(self, top: dict[bytes, int]):
-        self.top = top
+
+class Lexicon(dict):
+    """Words numbered as they are met, with their class and the feature rows that one
+    word decides; the end is number 0."""
+
+    def __init__(self, top: dict[bytes, int], rows: int):
+        self.top, self.rows = top, rows
+        self.fresh: list[bytes] = []
+        self.hashes = self.lead = np.empty(0, np.uint64)
+        self.kinds = np.empty(0, np.int64)
+        self.alone = np.empty((3, 0), np.int64)
+        self[END]
 
     def __missing__(self, word: bytes) -> int:
-        value = (xxhash.xxh3_64_intdigest(word) >> 8 << 8) | class_of(word, self.top)
-        if len(self) < MOST_WORDS:
-            self[word] = value
-        return value
-
-
-def laid_out(lists: list[list[bytes]], codes: Codes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Classes to predict and their features (one row each of ``FEATURES``), for the
-    words of all texts and an end after each; and the number of tokens of each."""
-    end = codes[END]
-    pad, stop, get = np.full(3, end, np.uint64), np.full(1, end, np.uint64), codes.__getitem__
-    parts = []
-    for words in lists:
-        parts += (pad, np.fromiter(map(get, words), np.uint64, len(words)), stop)
-    row = np.concatenate(parts)
-    sizes = np.array([len(x) + 1 for x in lists], np.int64)
+        number = self[word] = len(self)
+        self.fresh.append(word)
+        return number
+
+    def numbers(self, lists: list[list[bytes]]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, chain.from_iterable(lists)), np.int32, sum(map(len, lists)))
+
+    def learn_words(self) -> None:
+        """Class and rows of the words met since the last call."""
+        if not self.fresh:
+            return
+        k = np.uint64(MULTIPLIER)
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, self.fresh), np.uint64, len(self.fresh))
+        kinds = np.fromiter((class_of(w, self.top) for w in self.fresh), np.int64, len(self.fresh))
+        alone = np.stack([placed(mixed(hashes * k + np.uint64(i)), self.rows) for i in range(3)])
+        self.hashes = np.concatenate([self.hashes, hashes])
+        self.lead = np.concatenate([self.lead, mixed(hashes + k) * k])
+        self.kinds = np.concatenate([self.kinds, kinds])
+        self.alone = np.concatenate([self.alone, alone], axis=1)
+        self.fresh = []
+
+
+def laid_out(numbers: np.ndarray, lengths: np.ndarray, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens to predict (word numbers, an end after each text) and their features (one
+    row each of ``FEATURES``): the last word, the last two, the second and the third last."""
+    lexicon.learn_words()
+    before = np.arange(len(lengths)) * 4 + 3
+    row = np.zeros(len(numbers) + 4 * len(lengths), np.int32)
+    row[np.arange(len(numbers)) + np.repeat(before, lengths)] = numbers
     target = np.ones(len(row), bool)
-    starts = np.cumsum(sizes + 3) - sizes - 3
+    starts = np.cumsum(lengths + 4) - lengths - 4
     for i in range(3):
         target[starts + i] = False
     at = np.flatnonzero(target)
     one, two, three = row[at - 1], row[at - 2], row[at - 3]
-    k = np.uint64(MULTIPLIER)
-    shift = np.uint64(64 - BUCKET_BITS)
-    keys = (one * k, mixed(one + k) * k + two, two * k + np.uint64(1), three * k + np.uint64(2))
-    features = np.stack([(mixed(x) >> shift).astype(np.uint16) for x in keys])
-    return (row[at] & np.uint64(255)).astype(np.int64), features, sizes
+    pair = placed(mixed(lexicon.lead[one] + lexicon.hashes[two]), lexicon.rows)
+    return row[at], np.stack([lexicon.alone[0][one], pair, lexicon.alone[1][two], lexicon.alone[2][three]])
 
 
-def log_softmax(weights: np.ndarray, bias: np.ndarray, features: np.ndarray) -> np.ndarray:
+def centred(weights: np.ndarray, bias: np.ndarray, features: np.ndarray) -> np.ndarray:
+    """Sums of the weights of each token's features, less the largest of its classes."""
     z = np.take(weights, features[0], axis=0)
     for column in features[1:]:
         z += np.take(weights, column, axis=0)
     z += bias
-    z -= z.max(axis=1, keepdims=True)
-    z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
+    most = z
+    while most.shape[1] > 1:
+        half = most.shape[1] // 2
+        most = np.maximum(most[:, :half], most[:, half:])
+    z -= most
     return z
 
 
-def softmax(weights: np.ndarray, bias: np.ndarray, features: np.ndarray) -> np.ndarray:
-    z = np.take(weights, features[0], axis=0)
-    for column in features[1:]:
-        z += np.take(weights, column, axis=0)
-    z += bias
-    z -= z.max(axis=1, keepdims=True)
-    np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
-    return z
+def log_chances(weights: np.ndarray, bias: np.ndarray, features: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """Natural logarithm of the probability of each token's class."""
+    z = centred(weights, bias, features)
+    met = z[np.arange(len(z)), classes]
+    return met - np.log(np.exp(z, out=z) @ np.ones(CLASSES, np.float32))
+
+
+def summed(values: np.ndarray, at: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Sums of ``values[at]`` by segments of ``at``: short ones place by place, long ones by slices."""
+    sums = values.take(at[starts], axis=0)
+    active, place = np.flatnonzero(lengths > 1), 1
+    while len(active) > 64:
+        sums[active] += values.take(at[starts[active] + place], axis=0)
+        place += 1
+        active = active[lengths[active] > place]
+    for i in active.tolist():
+        sums[i] += values.take(at[starts[i] + place : starts[i] + lengths[i]], axis=0).sum(axis=0)
+    return sums
+
+
+def ordered(rows: np.ndarray, most: int) -> np.ndarray:
+    """Stable order of row numbers below ``most``, 16 bits at a time."""
+    order = np.argsort(rows.astype(np.uint16), kind="stable")
+    for shift in range(16, (most - 1).bit_length(), 16):
+        order = order[np.argsort((rows >> shift).astype(np.uint16)[order], kind="stable")]
+    return order
 
 
 class Learner:
@@ -112,22 +179,24 @@ class Learner:
         self.seen = 0
 
     def step(self, classes: np.ndarray, features: np.ndarray) -> None:
-        slope = softmax(self.weights, self.bias, features)
+        slope = centred(self.weights, self.bias, features)
+        np.exp(slope, out=slope)
+        slope /= (slope @ np.ones(CLASSES, np.float32))[:, None]
         slope[np.arange(len(classes)), classes] -= 1
         total = slope.sum(axis=0)
         self.bias_squares += total * total
         self.bias -= self.rate * total / np.sqrt(self.bias_squares)
-        for column in features:
-            order = np.argsort(column, kind="stable")
-            ranked = column[order]
-            starts = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]])
-            rows = ranked[starts]
-            sums = np.add.reduceat(slope.take(order, axis=0), starts, axis=0)
-            squares = self.squares[rows] + np.einsum("ij,ij->i", sums, sums)
-            self.squares[rows] = squares
-            sums *= (self.rate / np.sqrt(squares))[:, None]
-            self.weights[rows] -= sums
-            self.used[rows] += np.diff(np.r_[starts, len(column)])
+        flat = features.ravel()
+        order = ordered(flat, len(self.weights))
+        ranked = flat[order]
+        starts = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]])
+        rows, lengths = ranked[starts], np.diff(np.r_[starts, len(flat)])
+        sums = summed(slope, order % len(classes), starts, lengths)
+        squares = self.squares[rows] + np.einsum("ij,ij->i", sums, sums)
+        self.squares[rows] = squares
+        sums *= (self.rate / np.sqrt(squares))[:, None]
+        self.weights[rows] -= sums
+        self.used[rows] += lengths
 
     def learn(self, classes: np.ndarray, features: np.ndarray) -> None:
         self.seen += len(classes)
@@ -147,42 +216,41 @@ def _grouped(lists: Iterable[list[bytes]], most: int = 300_000) -> Iterator[list
         yield group
 
 
-def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Counts of words and ends; a task passes on what it holds when it is much."""
-    held: Counter = Counter()
-    for pdf in batches:
-        for group in _grouped(map(tokens_of, pdf["text"])):
-            for words in group:
-                held.update(words)
-            held[END] += len(group)
-            if len(held) > MOST_WORDS:
-                yield pd.DataFrame({"word": list(held), "n": list(held.values())})
-                held = Counter()
-    yield pd.DataFrame({"word": list(held), "n": list(held.values())}).astype({"n": "int64"})
-
-
-BLOCKS = BUCKETS // BLOCK
+def _vocabulary(docs: pd.DataFrame) -> pd.DataFrame:
+    """Different words of a chunk of documents, with their count in its training
+    texts; the empty word stands for the ends of those."""
+    held = docs["held"].to_numpy(bool)
+    words: Counter = Counter()
+    for group in _grouped(map(tokens_of, docs["text"][~held])):
+        words.update(chain.from_iterable(group))
+    words[END] = int((~held).sum())
+    for group in _grouped(map(tokens_of, docs["text"][held])):
+        words.update(dict.fromkeys(set(chain.from_iterable(group)).difference(words), 0))
+    return pd.DataFrame({"chunk": np.full(len(words), docs["chunk"].iloc[0], np.int64), "word": list(words), "here": list(words.values())})
 
 
-def _gradients(model):
+def _gradients(model, rate: float):
     """One pass over this task's documents; what it changed, by block of rows, with
-    how often each row was met."""
+    how often each row was met. A full list of words is begun anew."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        top, weights, bias, rate = model.value
-        codes, learner = Codes(top), Learner(weights, bias, rate)
+        top, weights, bias = model.value
+        lexicon, learner = Lexicon(top, len(weights)), Learner(weights, bias, rate)
         for pdf in batches:
             for group in _grouped(map(tokens_of, pdf["text"])):
-                classes, features, _ = laid_out(group, codes)
-                learner.learn(classes, features)
-        if learner.seen:
-            change = ((learner.weights - weights) * learner.used[:, None]).astype(np.float32)
-            change /= np.maximum(learner.used, 1)[:, None]
-            rows = [change[i * BLOCK : (i + 1) * BLOCK].astype(np.float16).tobytes() for i in range(BLOCKS)]
-            used = [learner.used[i * BLOCK : (i + 1) * BLOCK].tobytes() for i in range(BLOCKS)]
-            rows.append((learner.bias - bias).astype(np.float16).tobytes())
-            used.append(np.array([learner.seen], np.float32).tobytes())
-            yield pd.DataFrame({"block": range(BLOCKS + 1), "change": rows, "used": used}).astype({"block": "int32"})
+                if len(lexicon) > MOST_WORDS:
+                    lexicon = Lexicon(top, len(weights))
+                words, features = laid_out(lexicon.numbers(group), np.fromiter(map(len, group), np.int64), lexicon)
+                learner.learn(lexicon.kinds[words], features)
+        if not learner.seen:
+            return
+        for block, first in enumerate(range(0, len(weights), BLOCK)):
+            used = learner.used[first : first + BLOCK]
+            if used.any():
+                change = (learner.weights[first : first + BLOCK] - weights[first : first + BLOCK]).astype(np.float16)
+                yield pd.DataFrame({"block": [block], "change": [change.tobytes()], "used": [used.tobytes()]}).astype({"block": "int32"})
+        change, used = (learner.bias - bias).astype(np.float16), np.array([learner.seen], np.float32)
+        yield pd.DataFrame({"block": [-1], "change": [change.tobytes()], "used": [used.tobytes()]}).astype({"block": "int32"})
 
     return run
 
@@ -203,86 +271,86 @@ def _averages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"block": list(sums), "change": means}).astype({"block": "int32"})
 
 
-def _trained(docs: DataFrame, top: dict[bytes, int], tokens: int, rounds: int, fold: Column) -> tuple[np.ndarray, np.ndarray]:
-    """Weights after ``rounds`` rounds, each over its own share of the documents; all
-    documents are learned from once."""
+def trained(docs: DataFrame, top: dict[bytes, int], tokens: int, rounds: int | None, fold: Column) -> Model:
+    """Model after ``rounds`` rounds (by ``size_for`` if not given), each over its own
+    share of the documents; all documents are learned from once."""
     spark = docs.sparkSession
-    weights, bias = np.zeros((BUCKETS, CLASSES), np.float32), np.zeros(CLASSES, np.float32)
-    tasks = max(1, tokens // TASK_TOKENS + 1)
+    size = size_for(tokens)
+    rounds = rounds or size.rounds
+    model = Model(top, np.zeros((size.rows, CLASSES), np.float32), np.zeros(CLASSES, np.float32))
+    tasks = tokens // rounds // size.task_tokens + 1
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     for number in range(rounds):
-        sent = spark.sparkContext.broadcast((top, weights, bias, RATE / (number + 1)))
+        sent = spark.sparkContext.broadcast(tuple(model))
         share = docs.where(fold % rounds == number).select("text").coalesce(tasks)
-        changes = share.mapInPandas(_gradients(sent), "block int, change binary, used binary")
+        changes = share.mapInPandas(_gradients(sent, RATE / (number + 1)), "block int, change binary, used binary")
         for block, change in changes.repartition(parts, "block").mapInPandas(_averages, "block int, change binary").collect():
             part = np.frombuffer(change, np.float32).reshape(-1, CLASSES)
-            if block == BLOCKS:
-                bias = bias + part[0]
+            if block < 0:
+                model.bias[:] += part[0]
             else:
-                weights[block * BLOCK : (block + 1) * BLOCK] += part
-    return weights, bias
+                model.weights[block * BLOCK : (block + 1) * BLOCK] += part
+        sent.unpersist()
+    return model
 
 
-def _vocabulary(docs: pd.DataFrame) -> pd.DataFrame:
-    """Different words of a chunk of documents, with their count in its training texts."""
-    words: Counter = Counter()
-    for text, held in zip(docs["text"], docs["held"], strict=True):
-        found = tokens_of(text)
-        if held:
-            for word in found:
-                words.setdefault(word, 0)
-        else:
-            words.update(found)
-    return pd.DataFrame({"chunk": np.full(len(words), docs["chunk"].iloc[0], np.int64), "word": list(words), "here": list(words.values())})
+class Totals(NamedTuple):
+    """Training tokens, different ones, ends; tokens and different ones of each class."""
+
+    tokens: int
+    words: int
+    ends: int
+    class_tokens: np.ndarray
+    class_words: np.ndarray
 
 
-def _scored(model, totals):
-    """Base and model scores of a chunk's documents, with the counts of its words."""
+def _scored(model, totals: Totals):
+    """Base and model scores of a chunk's documents. Counts of words that occur in
+    other chunks as well are given, the others are taken here."""
 
     def run(docs: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
-        top, weights, bias, _ = model.value
-        n, v, ends, class_counts, class_words = totals
-        codes = Codes(top)
-        count: Counter = Counter()
-        lists = [tokens_of(text) for text in docs["text"]]
-        for found, held in zip(lists, docs["held"], strict=True):
-            if not held:
-                count.update(found)
-        count.update(dict(zip(words["word"], words["n"] - words["here"], strict=True)))
-        count[END] = ends
-        base_floor = np.log10(n + 0.1 * (v + 1))
-        class_floor = np.log10(class_counts + 0.1 * (class_words + 1))
-        keys, tokens, known, base, score = docs["key"].tolist(), [], [], [], []
-        for group in _grouped(lists, 100_000):
-            classes, features, sizes = laid_out(group, codes)
-            within = np.full(len(classes), ends, np.float64)
-            inner = np.ones(len(classes), bool)
-            inner[np.cumsum(sizes) - 1] = False
-            within[inner] = np.fromiter(map(count.__getitem__, chain.from_iterable(group)), np.float64, len(classes) - len(group))
-            logs = np.concatenate(
-                [
-                    log_softmax(weights, bias, features[:, i : i + BATCH])[np.arange(len(classes[i : i + BATCH])), classes[i : i + BATCH]]
-                    for i in range(0, len(classes), BATCH)
-                ]
-            ).astype(np.float64) / np.log(10)
-            share = np.log10(within + 0.1)
-            starts = np.cumsum(sizes) - sizes
-            tokens += sizes.tolist()
-            known += np.add.reduceat((within > 0).astype(np.int64), starts).tolist()
-            base += np.add.reduceat(share - base_floor, starts).tolist()
-            score += np.add.reduceat(logs + share - class_floor[classes], starts).tolist()
-        return pd.DataFrame({"key": keys, "n_tokens": tokens, "n_known": known, "base_score": base, "score": score})
-
-    def empty_safe(docs: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
-        if not len(docs):
-            return pd.DataFrame({"key": [], "n_tokens": [], "n_known": [], "base_score": [], "score": []})
-        return run(docs, words)
-
-    return empty_safe
+        top, weights, bias = model.value
+        lexicon = Lexicon(top, len(weights))
+        numbers, sizes = [], []
+        for group in _grouped(map(tokens_of, docs["text"])):
+            numbers.append(lexicon.numbers(group))
+            sizes += map(len, group)
+        numbers, sizes = np.concatenate([np.empty(0, np.int32), *numbers]), np.array(sizes, np.int64)
+        train = np.repeat(~docs["held"].to_numpy(bool), sizes)
+        count = np.bincount(numbers[train], minlength=len(lexicon))
+        elsewhere = np.fromiter(map(lexicon.__getitem__, words["word"]), np.int64, len(words))
+        count[elsewhere] = words["n"].to_numpy(np.int64)
+        count[0] = totals.ends
+        share = np.log10(count + 0.1)
+        base_floor = np.log10(totals.tokens + 0.1 * (totals.words + 1))
+        class_floor = np.log10(totals.class_tokens + 0.1 * (totals.class_words + 1))
+        known, base, score = [], [], []
+        ends = np.cumsum(sizes)
+        # Parts of about 100,000 words; a text is never parted.
+        cuts = np.flatnonzero(np.diff(ends // 100_000, prepend=0, append=-1))
+        first = 0
+        for last in (cuts + 1).clip(max=len(sizes)).tolist():
+            if last == first:
+                continue
+            lengths = sizes[first:last]
+            at, features = laid_out(numbers[ends[first] - sizes[first] : ends[last - 1]], lengths, lexicon)
+            classes = lexicon.kinds[at]
+            spans = [slice(i, i + BATCH) for i in range(0, len(at), BATCH)]
+            logs = np.concatenate([log_chances(weights, bias, features[:, x], classes[x]) for x in spans]) / np.log(10)
+            begins = np.cumsum(lengths + 1) - lengths - 1
+            known.append(np.add.reduceat((count[at] > 0).astype(np.int64), begins))
+            base.append(np.add.reduceat(share[at] - base_floor, begins))
+            score.append(np.add.reduceat(logs + share[at] - class_floor[classes], begins))
+            first = last
+        columns = {"n_known": (known, np.int64), "base_score": (base, np.float64), "score": (score, np.float64)}
+        joined = {name: np.concatenate([np.empty(0, kind), *parts]) for name, (parts, kind) in columns.items()}
+        return pd.DataFrame({"key": docs["key"].to_numpy(np.int64), "n_tokens": sizes + 1, **joined})
+
+    return run
 
 
 def class_scores(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, held_fold: int = 0, rounds: int = 2
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, held_fold: int = 0, rounds: int | None = None
 ) -> DataFrame:
     """Log10 probability of each text under a language model of the other documents.
 
@@ -292,7 +360,9 @@ def class_scores(
     the counts of all words, and train the classes: P(class | the three words
     before) is a softmax over hashed features (last word, last two, and the second
     and third last alone), learned in ``rounds`` rounds over different documents, in
-    which tasks step on their own and their changes are averaged by use. P(word |
+    which tasks step on their own and their changes are averaged by use. The rows of
+    weights grow with the cube root of the counted tokens, the rounds (if not given)
+    with their logarithm (``size_for``). P(word |
     class) is its count plus 0.1, against the class's count plus 0.1 for each of
     its words and one unknown, so probabilities of all texts add up to one.
     Classes: the end, the 15 most frequent words, and 16 of the other words by
@@ -302,36 +372,36 @@ def class_scores(
     empty (an end alone). Repeated rows are documents each. With no training
     document all counts are 0. Results replace input columns of the same name.
 
-    Counts go through the shuffle as one row a word and task; each chunk of
-    documents asks for the counts of its own words, and gets those of which it has
-    not all occurrences itself, so no vocabulary is held whole. Weights have a fixed size (1 M numbers).
+    Texts are split into words once to count them, by chunks of 10 MB; a chunk is
+    answered the counts of those of its words that occur in other chunks as well, so no
+    vocabulary is held whole. A text is never parted: a very long one is a chunk's work
+    in one task. The weights are broadcast: 128 bytes a row and 80 rows for each unit of
+    the cube root, 5 MB at 10^8 tokens and 220 MB at 10^13.
     """
     opened = Opened(docs, id_col, text_col)
     spark = docs.sparkSession
     code = F.coalesce(F.crc32(F.col(opened.id).cast("string").cast("binary")), F.lit(0))
     held = (code % folds) == held_fold
     base = opened.df.select("key", F.col(opened.text).alias("text"), held.alias("held"), F.floor(code / folds).alias("fold"))
-    train = base.where(~F.col("held"))
-    counts = saved(train.select("text").mapInPandas(_counts, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    chunks = (base.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // CHUNK_BYTES + 1
+    placed_docs = base.select("key", "text", "held", F.pmod(F.xxhash64("key"), F.lit(chunks)).alias("chunk"))
+    chunked = placed_docs.repartition(parts_for(spark, chunks, 1), "chunk")
+    vocabulary = saved(chunked.groupBy("chunk").applyInPandas(_vocabulary, "chunk long, word binary, here long"))
+    counts = saved(vocabulary.where("here > 0").groupBy("word").agg(F.sum("here").alias("n")))
     frequent = counts.where(F.length("word") > 0).orderBy(F.desc("n"), "word").limit(TOP).select("word").collect()
     top = {bytes(r[0]): i + 1 for i, r in enumerate(frequent)}
     names = [F.lit(w) for w in top]
     other = (F.crc32(F.substring("word", -3, 3)) % ENDINGS + 1 + TOP).cast("int")
     kind = F.when(F.length("word") == 0, 0).otherwise(F.coalesce(F.array_position(F.array(*names), F.col("word")), F.lit(0)) if names else F.lit(0))
     kind = F.when((F.length("word") > 0) & (kind == 0), other).otherwise(kind)
-    class_counts, class_words = np.zeros(CLASSES), np.zeros(CLASSES)
+    class_tokens, class_words = np.zeros(CLASSES), np.zeros(CLASSES)
     for number, n, v in counts.groupBy(kind.cast("int").alias("kind")).agg(F.sum("n"), F.count("*")).collect():
-        class_counts[number], class_words[number] = n, v
-    tokens = int(class_counts.sum())
-    weights, bias = _trained(train, top, tokens, rounds, F.col("fold"))
-    model = spark.sparkContext.broadcast((top, weights, bias, 0.0))
-    chunks = max(1, tokens // CHUNK_TOKENS + 1)
-    placed = base.select("key", "text", "held", F.pmod(F.xxhash64("key"), F.lit(chunks)).alias("chunk"))
-    chunked = placed.repartition(parts_for(spark, chunks, 1), "chunk")
-    asked = chunked.groupBy("chunk").applyInPandas(_vocabulary, "chunk long, word binary, here long")
+        class_tokens[number], class_words[number] = n, v
+    totals = Totals(int(class_tokens.sum()), int(class_words.sum()), int(class_tokens[0]), class_tokens, class_words)
+    tokens = totals.tokens
+    model = spark.sparkContext.broadcast(tuple(trained(base.where(~F.col("held")), top, tokens, rounds, F.col("fold"))))
     # A chunk that has all occurrences of a word needs no answer.
-    answers = asked.join(counts, "word").where("n <> here").select("chunk", "word", "n", "here")
-    totals = (tokens, int(class_words.sum()), int(class_counts[0]), class_counts, class_words)
+    answers = vocabulary.join(counts, "word").where("n <> here AND length(word) > 0").select("chunk", "word", "n")
     fields = "key long, n_tokens long, n_known long, base_score double, score double"
     scored = chunked.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(_scored(model, totals), fields)
     result = opened.df.join(scored.withColumnRenamed("key", "s_key"), F.col("key") == F.col("s_key"))

@@ -8,6 +8,8 @@ import re
 import zlib
 from collections import Counter
 
+import xxhash
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 FOLDED = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -82,6 +84,46 @@ def base_scores(docs):
     }
 
 
+def class_scores(docs, model):
+    """log10 probability of each text, one token at a time, in plain integers and floats."""
+    low64 = (1 << 64) - 1
+    k, rows = 0x9E3779B97F4A7C15, len(model.weights)
+
+    def mix(x):
+        x = ((x ^ x >> 30) * 0xBF58476D1CE4E5B9) & low64
+        x = ((x ^ x >> 27) * 0x94D049BB133111EB) & low64
+        return x ^ x >> 31
+
+    def place(x):
+        return (x >> 32) * rows >> 32
+
+    def kind(word):
+        if not word:
+            return 0
+        return model.top.get(word) or 16 + zlib.crc32(word[-3:]) % 16
+
+    texts = {key: [w.encode() for w in WORD.findall(low(text))] + [b""] for key, text in docs}
+    counts = Counter(w for key, words in texts.items() if zlib.crc32(str(key).encode()) % 10 for w in words)
+    class_tokens, class_words = Counter(), Counter(map(kind, counts))
+    for word, n in counts.items():
+        class_tokens[kind(word)] += n
+    known, scores = {}, {}
+    for key, words in texts.items():
+        score, past = 0.0, (b"", b"", b"")
+        for word in words:
+            if past not in known:
+                h = [xxhash.xxh3_64_intdigest(w) for w in past]
+                pair = mix((mix((h[0] + k) & low64) * k + h[1]) & low64)
+                alone = [mix((x * k + i) & low64) for i, x in enumerate(h)]
+                z = model.bias.astype(float) + sum(model.weights[place(x)].astype(float) for x in (pair, *alone))
+                known[past] = z - math.log(sum(math.exp(x) for x in z))
+            score += known[past][kind(word)] / math.log(10)
+            score += math.log10((counts[word] + 0.1) / (class_tokens[kind(word)] + 0.1 * (class_words[kind(word)] + 1)))
+            past = (word, *past[:2])
+        scores[key] = score
+    return scores
+
+
 def cut_repeats(docs, length=100):
     seen, out = set(), []
     for key, text in sorted(docs, key=lambda d: d[0]):

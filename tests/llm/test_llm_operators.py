@@ -227,10 +227,58 @@ def test_scores(spark, data_dir, docs):
 
 def test_class_probabilities_add_up():
     rnd = np.random.default_rng(0)
-    weights = rnd.normal(size=(maxent.BUCKETS, maxent.CLASSES)).astype(np.float32)
-    features = rnd.integers(0, maxent.BUCKETS, (maxent.FEATURES, 50)).astype(np.uint16)
-    logs = maxent.log_softmax(weights, np.zeros(maxent.CLASSES, np.float32), features)
-    assert np.exp(logs).sum(axis=1) == pytest.approx(np.ones(50), rel=1e-4)
+    weights = rnd.normal(size=(700, maxent.CLASSES)).astype(np.float32)
+    features = rnd.integers(0, 700, (maxent.FEATURES, 50))
+    bias = rnd.normal(size=maxent.CLASSES).astype(np.float32)
+    logs = [maxent.log_chances(weights, bias, features, np.full(50, k)) for k in range(maxent.CLASSES)]
+    assert np.exp(logs).sum(axis=0) == pytest.approx(np.ones(50), rel=1e-4)
+
+
+def test_segments_sum_up():
+    rnd = np.random.default_rng(1)
+    for most in (3, 500, 100_000):
+        rows, values = rnd.integers(0, most, 2000), rnd.normal(size=(2000, 32)).astype(np.float32)
+        order = maxent.ordered(rows, most)
+        assert (order == np.argsort(rows, kind="stable")).all()
+        ranked = rows[order]
+        starts = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]])
+        sums = maxent.summed(values, order, starts, np.diff(np.r_[starts, 2000]))
+        expected = np.zeros((most, 32))
+        np.add.at(expected, rows, values)
+        assert sums == pytest.approx(expected[ranked[starts]], abs=1e-3)
+
+
+def test_gradient_step_matches_plain_softmax():
+    rnd = np.random.default_rng(2)
+    classes, features = rnd.integers(0, maxent.CLASSES, 40), rnd.integers(0, 9, (maxent.FEATURES, 40))
+    learner = maxent.Learner(rnd.normal(size=(9, maxent.CLASSES)).astype(np.float32), np.zeros(maxent.CLASSES, np.float32), 0.3)
+    before, slopes = learner.weights.astype(float), np.zeros((9, maxent.CLASSES))
+    for i, kind in enumerate(classes):
+        chance = np.exp(sum(before[r] for r in features[:, i]))
+        chance /= chance.sum()
+        chance[kind] -= 1
+        for r in features[:, i]:
+            slopes[r] += chance
+    learner.learn(classes, features)
+    rate = 0.3 / np.sqrt(1 + (slopes**2).sum(axis=1, keepdims=True))
+    assert learner.weights == pytest.approx(before - rate * slopes, abs=1e-4)
+
+
+def test_scores_match_plain_forward_pass(spark, monkeypatch):
+    """Scores of the operator against the model written out word by word, over chunks
+    that share words, texts without words, and a document longer than a part."""
+    dice = random.Random(5)
+    texts = [" ".join(dice.choice("a b c de fgh Fgh naïve x1".split()) for _ in range(dice.randint(0, 60))) for _ in range(150)]
+    rows = list(enumerate([*texts, None, "", "only-here " * 3, "a b " * 60_000]))
+    models = []
+    plain = maxent.trained
+    monkeypatch.setattr(maxent, "CHUNK_BYTES", 2000)
+    monkeypatch.setattr(maxent, "trained", lambda *x: models.append(plain(*x)) or models[-1])
+    found = {r.doc_id: r for r in maxent.class_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    expected = brute.class_scores(rows, models[0])
+    assert found.keys() == expected.keys() and np.abs(models[0].weights).max() > 0
+    for key, score in expected.items():
+        assert found[key].score == pytest.approx(score, rel=1e-4)
 
 
 def test_scores_on_odd_input(spark, odd):

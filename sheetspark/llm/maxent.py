@@ -29,14 +29,15 @@ BLOCK = 512
 MOST_WORDS = 300_000
 RATE = 0.5
 ROWS_PER_ROOT = 80
+LEAST_ROWS = 32_768
 TOKENS_PER_ROOT = 4096
 CHUNK_BYTES = 10 << 20
 
 
 class Size(NamedTuple):
-    """What training takes, by the counted tokens: rows of weights and tokens of a
-    task follow the cube root, so that the changes all tasks send stay the same share
-    of the input; averaging rounds follow the logarithm."""
+    """What training takes, by the counted tokens: rows of weights (32,768 at least) and
+    tokens of a task follow the cube root, so that the changes all tasks send stay the
+    same share of the input; averaging rounds follow the logarithm."""
 
     rows: int
     rounds: int
@@ -46,7 +47,7 @@ class Size(NamedTuple):
 def size_for(tokens: int) -> Size:
     root = math.ceil(max(tokens, 1) ** (1 / 3))
     rounds = max(2, round((math.log2(max(tokens, 1)) - 20) / 4))
-    return Size(ROWS_PER_ROOT * root, rounds, TOKENS_PER_ROOT * root)
+    return Size(max(LEAST_ROWS, ROWS_PER_ROOT * root), rounds, TOKENS_PER_ROOT * root)
 
 
 class Model(NamedTuple):
@@ -376,7 +377,7 @@ def class_scores(
     answered the counts of those of its words that occur in other chunks as well, so no
     vocabulary is held whole. A text is never parted: a very long one is a chunk's work
     in one task. The weights are broadcast: 128 bytes a row and 80 rows for each unit of
-    the cube root, 5 MB at 10^8 tokens and 220 MB at 10^13.
+    the cube root (4 MB at least), 5 MB at 10^8 tokens and 220 MB at 10^13.
     """
     opened = Opened(docs, id_col, text_col)
     spark = docs.sparkSession

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Opened, saved
@@ -21,6 +21,10 @@ MULTIPLIER = 0x9E3779B97F4A7C15
 MOST_HASHES = 1 << 15
 #: Documents of one frame of sets or signatures; long texts come in smaller Arrow batches.
 FRAME_ROWS = 1_000
+#: Documents of one signature up to which all their pairs are looked at.
+TOGETHER = 16
+#: Times that larger groups are compared to a pivot before the rest is paired.
+ROUNDS = 4
 
 
 class WordHashes(dict):
@@ -229,10 +233,11 @@ def _linked(percent: int):
     return run
 
 
-def _verified(pairs: DataFrame, facts: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """Pairs whose whole sets link. Sizes and parities drop most others first; sets
-    are made for documents in the pairs left. Their keys are broadcast to the scan
-    of the texts up to a number of them, else texts and keys are shuffled."""
+def _with_sets(pairs: DataFrame, facts: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """``a b x y``: pairs that may be alike by so many percent, with both sets. Sizes
+    and parities drop most others first; sets are made for documents in the pairs
+    left. Their keys are broadcast to the scan of the texts up to a number of them,
+    else texts and keys are shuffled."""
     a = facts.select(F.col("key").alias("a"), "n", F.col("odd").alias("x"))
     b = facts.select(F.col("key").alias("b"), F.col("n").alias("m"), F.col("odd").alias("y"))
     size = F.least(F.size("x"), F.size("y"))
@@ -244,7 +249,13 @@ def _verified(pairs: DataFrame, facts: DataFrame, texts: DataFrame, words: int,
     sets = saved(texts.join(_hinted(wanted), "key", "left_semi").mapInPandas(_sets(words), "key long, tokens binary"))
     one = sets.select(F.col("key").alias("a"), F.col("tokens").alias("x"))
     two = sets.select(F.col("key").alias("b"), F.col("tokens").alias("y"))
-    return saved(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInPandas(_linked(percent), "a long, b long"))
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y")
+
+
+def _verified(pairs: DataFrame, facts: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Pairs whose whole sets link."""
+    both = _with_sets(pairs, facts, texts, words, percent)
+    return saved(both.mapInPandas(_linked(percent), "a long, b long"))
 
 
 def _least(percent: int):
@@ -275,13 +286,104 @@ def _plausible(shared: DataFrame, percent: int) -> DataFrame:
     )
 
 
+def _differences(percent: int, inner: int, outer: int):
+    """Tokens in one of a pivot's set and a document's, where the two are alike by
+    ``outer`` percent. ``slack`` and ``own`` are the document's and the pivot's
+    (100 - percent) * size - (100 + percent) * tokens apart from the pivot."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in _frames(batches):
+            rows = []
+            for pivot, key, x, y in zip(pdf["a"], pdf["b"], pdf["x"], pdf["y"], strict=True):
+                a, b = _unpacked(x), _unpacked(y)
+                apart = np.setxor1d(a, b, assume_unique=True)
+                union = (len(a) + len(b) + len(apart)) // 2
+                both = 100 * (union - len(apart))
+                if both >= outer * union:
+                    slack = (100 - percent) * len(b) - (100 + percent) * len(apart)
+                    rows.append((pivot, key, both >= inner * union, slack, (100 - percent) * len(a), apart.view(np.int64)))
+            if rows:
+                yield pd.DataFrame(rows, columns=["pivot", "key", "inner", "slack", "own", "tokens"])
+
+    return run
+
+
+def _links_around(around: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
+    """Links between documents compared to one pivot, from what sets them apart from it.
+
+    Two sets are apart by the tokens that set either, but not both, apart from the
+    pivot. So they link when their slacks and twice (100 + percent) times the
+    number of such tokens they share come to 0 or more. Without shared ones this
+    holds for a pair only if it holds for both with the document of most slack, so
+    links to that one connect all these. The others share at least a known number
+    of such tokens: they meet on one at the front, those of few documents first.
+    """
+    unit = 2 * (100 + percent)
+    members = around.select("pivot", "key", "slack").union(around.select("pivot", F.col("pivot").alias("key"), F.col("own").alias("slack")).distinct())
+    most = members.groupBy("pivot").agg(F.max(F.struct("slack", "key")).alias("most"))
+    most = saved(most.select("pivot", F.col("most.slack").alias("top"), F.col("most.key").alias("centre")))
+    sure = members.join(_hinted(most), "pivot").where("slack + top >= 0 AND key <> centre").select(F.col("centre").alias("a"), F.col("key").alias("b"))
+    known = around.join(_hinted(most), "pivot").join(_hinted(marks), "key", "left")
+    known = saved(known.select("pivot", "key", F.coalesce("mark", "key").alias("mark"), (-F.col("slack")).alias("lack"), "top", "tokens"))
+    each = known.select("pivot", "key", "mark", "lack", "top", F.size("tokens").alias("size"), F.explode("tokens").alias("token"))
+    holders = each.groupBy("pivot", "token").agg(F.count("*").alias("holders"))
+    place = F.row_number().over(Window.partitionBy("pivot", "key").orderBy("holders", "token"))
+    placed = each.join(holders, ["pivot", "token"]).withColumn("place", place).where("holders > 1")
+    # A pair's first document is that of less lack; the second is not linked to the centre.
+    least = f"(lack + greatest(top + 1, lack) + {unit - 1}) div {unit}"
+    least_second = f"(lack - top + {unit - 1}) div {unit}"
+    placed = placed.withColumn("first", F.expr(f"place <= size - {least} + 1"))
+    placed = saved(placed.withColumn("second", F.expr(f"lack > top AND place <= size - {least_second} + 1")).where("first OR second"))
+    a = placed.where("first").select("pivot", "token", *[F.col(c).alias(f"{c}_a") for c in ("key", "mark", "lack", "size", "place")])
+    b = placed.where("second").select("pivot", "token", *[F.col(c).alias(f"{c}_b") for c in ("key", "mark", "lack", "size", "place")])
+    shared = f"((lack_a + lack_b + {unit - 1}) div {unit})"
+    may = f"mark_a <> mark_b AND (lack_a < lack_b OR lack_a = lack_b AND key_a < key_b) AND place_a <= size_a - {shared} + 1 AND place_b <= size_b - {shared} + 1"
+    pairs = a.join(b, ["pivot", "token"]).where(may).select("pivot", F.col("key_a").alias("a"), F.col("key_b").alias("b")).distinct()
+    one = known.select("pivot", F.col("key").alias("a"), F.col("lack").alias("p"), F.col("tokens").alias("x"))
+    two = known.select("pivot", F.col("key").alias("b"), F.col("lack").alias("q"), F.col("tokens").alias("y"))
+    linked = unit * F.size(F.array_intersect("x", "y")) >= F.col("p") + F.col("q")
+    return saved(sure.union(pairs.join(one, ["pivot", "a"]).join(two, ["pivot", "b"]).where(linked).select("a", "b")).distinct())
+
+
+def _around_pivots(rows: DataFrame, marks: DataFrame, facts: DataFrame, texts: DataFrame, words: int, percent: int) -> tuple[list[DataFrame], DataFrame]:
+    """Links found around pivots, and the rows whose pairs are still to be looked at.
+
+    Documents of a signature that more than ``TOGETHER`` have are compared to the
+    smallest one, their pivot. A document alike to it by ``inner`` percent links
+    only with documents alike to it by ``percent + inner - 100`` percent, since 1
+    minus the likeness keeps the triangle inequality: links among these are found
+    from their differences, and the inner ones leave the group. What stays gets
+    a new pivot, some times over.
+    """
+    inner = max(percent - 20, 1)
+    outer = max(percent + inner - 100, 0)
+    links, rest = [], []
+    for _ in range(ROUNDS):
+        groups = rows.groupBy("sig").agg(F.min("key").alias("pivot"), F.count("*").alias("size")).where(F.col("size") > TOGETHER)
+        groups = saved(groups.select("sig", "pivot"))
+        if groups.isEmpty():
+            break
+        rest.append(rows.join(_hinted(groups), "sig", "left_anti"))
+        large = saved(rows.join(_hinted(groups), "sig"))
+        pairs = large.where("key <> pivot").select(F.col("pivot").alias("a"), F.col("key").alias("b")).distinct()
+        kind = "pivot long, key long, inner boolean, slack long, own long, tokens array<long>"
+        around = saved(_with_sets(pairs, facts, texts, words, outer).mapInPandas(_differences(percent, inner, outer), kind))
+        links.append(_links_around(around, marks, percent))
+        gone = around.where("inner").select("pivot", "key")
+        rows = saved(large.join(gone, ["pivot", "key"], "left_anti").where("key <> pivot").select(*rows.columns))
+    for part in rest:
+        rows = rows.unionByName(part)
+    return links, rows
+
+
 def _linked_components(hits: DataFrame, facts: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """``node root`` of the links between documents that share a signature.
 
     First the documents of each signature are compared to its smallest one (m - 1
     pairs for m documents), and linked ones take the least such document as their
     mark. Documents with one mark are connected. Then all pairs of different marks
-    that share a signature are compared, so no link between components is lost.
+    that share a signature are looked at, so no link between components is lost:
+    in large groups around pivots, else one by one.
     """
     pivots = hits.groupBy("sig").agg(F.min("key").alias("pivot"))
     star = hits.join(pivots, "sig").where("key <> pivot").select(F.col("pivot").alias("a"), F.col("key").alias("b")).distinct()
@@ -291,7 +393,7 @@ def _linked_components(hits: DataFrame, facts: DataFrame, texts: DataFrame, word
     marks = saved(marks.join(above, "mark", "left").select(F.col("b").alias("key"), F.coalesce("above", "mark").alias("mark")))
     marked = hits.join(_hinted(marks), "key", "left").withColumn("mark", F.coalesce("mark", "key"))
     several = marked.groupBy("sig").agg(F.min("mark").alias("low"), F.max("mark").alias("high")).where("low <> high").select("sig")
-    marked = marked.join(several, "sig", "left_semi")
+    links, marked = _around_pivots(saved(marked.join(several, "sig", "left_semi")), marks, facts, texts, words, percent)
     a = marked.select("sig", F.col("key").alias("a"), "n", F.col("pos").alias("pa"), F.col("mark").alias("mark_a"), *[f"odd{i}" for i in range(4)])
     b = marked.select(
         F.col("sig").alias("sig_b"), F.col("key").alias("b"), F.col("n").alias("m"), F.col("pos").alias("pb"), F.col("mark").alias("mark_b"),
@@ -300,6 +402,8 @@ def _linked_components(hits: DataFrame, facts: DataFrame, texts: DataFrame, word
     apart = (F.col("a") < F.col("b")) & (F.col("mark_a") != F.col("mark_b"))
     shared = a.join(b, (F.col("sig") == F.col("sig_b")) & apart & _alike(percent))
     more = _verified(_plausible(shared, percent), facts, texts, words, percent)
+    for found in links:
+        more = more.union(found)
     return components(stars.union(more))
 
 

@@ -3,6 +3,7 @@
 import random
 import struct
 
+import brute
 import numpy as np
 import pytest
 from sheetspark.llm import curvepack, decontam, jaccard, licenses, tokens, warc
@@ -165,3 +166,41 @@ def test_packing_is_in_the_order_of_the_curve(spark, data_dir):
         assert firsts == sorted(firsts) and len(firsts) > 1
     borders = sorted((min(x), max(x)) for x in by_task.values())
     assert all(a[1] < b[0] for a, b in zip(borders, borders[1:]))
+
+
+def edited_copies(rnd, copies, words, most):
+    """Copies of one text, each with some words replaced; some edits are shared."""
+    base = [f"t{rnd.randint(0, 10**6)}" for _ in range(words)]
+    made = []
+    for i in range(copies):
+        text = list(base)
+        for _ in range(rnd.randint(0, most)):
+            text[rnd.randrange(words)] = f"e{rnd.choice([i, i, i // 3])}"
+        made.append(" ".join(text[rnd.randint(0, 3) : words - rnd.randint(0, 3)]))
+    return made
+
+
+def test_large_groups_of_near_copies_make_few_pairs(spark, monkeypatch):
+    looked, plausible = [], jaccard._plausible
+    def counted(shared, percent):
+        looked.append(shared.count())
+        return plausible(shared, percent)
+    monkeypatch.setattr(jaccard, "_plausible", counted)
+    rnd = random.Random(11)
+    for copies in (120, 360):
+        rows = list(enumerate(edited_copies(rnd, copies, 400, 40)))
+        rnd.shuffle(rows)
+        found = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), words=4, percent=85, slots=1 << 16)
+        assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in found.collect()) == brute.jaccard_components(rows, 4, 85)
+    assert looked[0] <= 20 * 120 and looked[1] <= 20 * 360
+
+
+@pytest.mark.parametrize("seed, words, percent", [(1, 60, 85), (2, 90, 80), (3, 40, 60), (4, 30, 30)])
+def test_links_around_pivots_are_all_links(spark, monkeypatch, seed, words, percent):
+    monkeypatch.setattr(jaccard, "TOGETHER", 3)
+    rnd = random.Random(seed)
+    texts = [t for _ in range(3) for t in edited_copies(rnd, 50, words, words // 3)]
+    texts += [" ".join(rnd.choice(texts).split()[: words // 2] + rnd.choice(texts).split()[words // 2 :]) for _ in range(40)]
+    rows = list(enumerate(texts))
+    found = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), words=2, percent=percent, slots=1 << 12)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in found.collect()) == brute.jaccard_components(rows, 2, percent)

@@ -24,7 +24,7 @@ FRAME_ROWS = 1_000
 #: Documents of one signature up to which all their pairs are looked at.
 TOGETHER = 16
 #: Times that larger groups are compared to a pivot before the rest is paired.
-ROUNDS = 4
+ROUNDS = 2
 
 
 class WordHashes(dict):
@@ -355,7 +355,7 @@ def _around_pivots(rows: DataFrame, marks: DataFrame, facts: DataFrame, texts: D
     from their differences, and the inner ones leave the group. What stays gets
     a new pivot, some times over.
     """
-    inner = max(percent - 20, 1)
+    inner = max(percent - 10, 1)
     outer = max(percent + inner - 100, 0)
     links, rest = [], []
     for _ in range(ROUNDS):
@@ -365,6 +365,7 @@ def _around_pivots(rows: DataFrame, marks: DataFrame, facts: DataFrame, texts: D
             break
         rest.append(rows.join(_hinted(groups), "sig", "left_anti"))
         large = saved(rows.join(_hinted(groups), "sig"))
+        facts = saved(facts.join(_hinted(saved(large.select("key").distinct())), "key", "left_semi"))
         pairs = large.where("key <> pivot").select(F.col("pivot").alias("a"), F.col("key").alias("b")).distinct()
         kind = "pivot long, key long, inner boolean, slack long, own long, tokens array<long>"
         around = saved(_with_sets(pairs, facts, texts, words, outer).mapInPandas(_differences(percent, inner, outer), kind))

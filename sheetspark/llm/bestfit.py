@@ -107,7 +107,8 @@ def _packed(path: str | None, size: int, end_id: int, pad_id: int, pool_tokens:
             for start in range(0, len(whole), 500):
                 pdf = whole.iloc[start : start + 500]
                 done = []
-                for doc, ids in zip(pdf["id"], words.encode(pdf["text"], end_id), strict=True):
+                for doc, raw in zip(pdf["id"], words.encode(pdf["text"], end_id), strict=True):
+                    ids = np.frombuffer(raw, "<u4")
                     for at in range(0, len(ids), size):
                         piece = ids[at : at + size]
                         if len(piece) == size:

@@ -66,7 +66,8 @@ def _placed(path: str | None, end_id: int):
             for start in range(0, len(whole), 500):
                 pdf = whole.iloc[start : start + 500]
                 points, kept = [], []
-                for ids in words.encode(pdf["text"], end_id):
+                for raw in words.encode(pdf["text"], end_id):
+                    ids = np.frombuffer(raw, "<u4")
                     points.append(_features(ids) @ signs)
                     kept.append(ids.astype(kind).tobytes())
                 scaled = np.floor((np.array(points) + 4) / 8 * (1 << BITS)).clip(0, (1 << BITS) - 1)

@@ -118,8 +118,8 @@ class WordIds:
             stem = word.rstrip(PUNCTUATION)
             known[word] = known[stem] + known[word[len(stem) :]]
 
-    def encode(self, texts: Iterable[bytes | str | None], end_id: int | None = None) -> Iterator[np.ndarray]:
-        """Ids of each text, in order, closed by ``end_id`` if given; null is empty."""
+    def encode(self, texts: Iterable[bytes | str | None], end_id: int | None = None) -> Iterator[memoryview]:
+        """Bytes of the ids of each text, in order, closed by ``end_id`` if given; null is empty."""
         group: list[bytes] = []
         size = 0
         for text in texts:
@@ -130,9 +130,11 @@ class WordIds:
                 group, size = [], 0
         yield from self._group(group, end_id)
 
-    def _group(self, group: list[bytes], end_id: int | None) -> Iterator[np.ndarray]:
+    def _group(self, group: list[bytes], end_id: int | None) -> Iterator[memoryview]:
         """Texts are looked up as one list of words with a mark after each text, in
         the place of which the end id is written."""
+        if not group:
+            return
         special = {i: self._exact(raw.decode("utf-8", "replace")) for i, raw in enumerate(group) if b"<|" in raw}
         words = _parted(b"".join(MARK if i in special else raw + MARK for i, raw in enumerate(group)).lower()).split()
         if len(self.words) > MOST_WORDS:
@@ -150,12 +152,12 @@ class WordIds:
         if closing:
             found = found.copy()
             found[stops] = end_id
-        start = 0
+        view, start = memoryview(found).cast("B"), 0
         for i, stop in enumerate(stops.tolist()):
             if i in special:
-                yield np.concatenate([np.frombuffer(special[i], "<u4"), np.array(closing, "<u4")])
+                yield memoryview(special[i] + np.array(closing, "<u4").tobytes())
             else:
-                yield found[start : stop + len(closing)]
+                yield view[4 * start : 4 * (stop + len(closing))]
             start = stop + 1
 
 

@@ -5,13 +5,13 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
-from collections.abc import Iterable, Iterator
-from itertools import chain
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,12 +26,13 @@ CLASSES = 1 + TOP + ENDINGS
 FEATURES = 4
 BATCH = 8192
 BLOCK = 512
-MOST_WORDS = 300_000
 RATE = 0.5
 ROWS_PER_ROOT = 80
 LEAST_ROWS = 32_768
 TOKENS_PER_ROOT = 4096
 CHUNK_BYTES = 10 << 20
+BLANKS = b" \t\n\x0b\x0c\r"
+IS_BLANK = np.isin(np.arange(256), list(BLANKS))
 
 
 class Size(NamedTuple):
@@ -58,15 +59,48 @@ class Model(NamedTuple):
     bias: np.ndarray
 
 
-def tokens_of(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "replace").lower().split()
-
-
-def class_of(word: bytes, top: dict[bytes, int]) -> int:
-    """The end is class 0, a top word has its own, others share one by their ending."""
-    if word == END:
-        return 0
-    return top.get(word) or 1 + TOP + zlib.crc32(word[-3:]) % ENDINGS
+def words_in(texts: pa.Array | pa.ChunkedArray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Different words of texts, the numbers of their words one after the other (from 1
+    on; 0 is left to the end of a text), and the words of each text. Null is empty."""
+    texts = pc.fill_null(texts.cast(pa.large_binary()), b"")
+    if isinstance(texts, pa.ChunkedArray):
+        texts = texts.combine_chunks()
+    if not len(texts):
+        return pa.array([], pa.large_binary()), np.empty(0, np.int32), np.empty(0, np.int64)
+    _, bounds, raw = texts.buffers()
+    bounds = np.frombuffer(bounds, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    low = bytes(memoryview(raw or b"")[bounds[0] : bounds[-1]]).lower()
+    bounds = bounds - bounds[0]
+    blank = IS_BLANK[np.frombuffer(low, np.uint8)]
+    cut = np.ones(len(low) + 1, bool)
+    cut[1:-1] = blank[1:] | blank[:-1]
+    cut[bounds] = True
+    starts, stops = np.flatnonzero(cut[:-1] & ~blank), np.flatnonzero(cut[1:] & ~blank)
+    ends = np.append(0, np.cumsum(stops + 1 - starts))
+    letters = low.translate(None, BLANKS)
+    words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(letters)])
+    coded = words.dictionary_encode()
+    return coded.dictionary, coded.indices.to_numpy() + np.int32(1), np.diff(np.searchsorted(starts, bounds))
+
+
+def kinds_of(words: pa.Array, top: dict[bytes, int]) -> np.ndarray:
+    """Classes of words: a top word has its own, others share one by their ending."""
+    endings = pc.binary_slice(words, -3).dictionary_encode()
+    shared = np.array([1 + TOP + zlib.crc32(e) % ENDINGS for e in endings.dictionary.to_pylist()], np.int64)
+    kinds = shared[endings.indices.to_numpy()]
+    for word, kind in top.items():
+        at = words.index(word).as_py()
+        if at >= 0:
+            kinds[at] = kind
+    return kinds
+
+
+def runs(lengths: np.ndarray, most: int) -> Iterator[slice]:
+    """Runs of texts of about ``most`` tokens; a text is never parted."""
+    first = 0
+    for last in np.flatnonzero(np.diff(np.cumsum(lengths) // most, append=-1)).tolist():
+        yield slice(first, last + 1)
+        first = last + 1
 
 
 def placed(hashes: np.ndarray, rows: int) -> np.ndarray:
@@ -74,45 +108,22 @@ def placed(hashes: np.ndarray, rows: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(rows) >> np.uint64(32)).astype(np.int64)
 
 
-class Lexicon(dict):
-    """Words numbered as they are met, with their class and the feature rows that one
-    word decides; the end is number 0."""
-
-    def __init__(self, top: dict[bytes, int], rows: int):
-        self.top, self.rows = top, rows
-        self.fresh: list[bytes] = []
-        self.hashes = self.lead = np.empty(0, np.uint64)
-        self.kinds = np.empty(0, np.int64)
-        self.alone = np.empty((3, 0), np.int64)
-        self[END]
-
-    def __missing__(self, word: bytes) -> int:
-        number = self[word] = len(self)
-        self.fresh.append(word)
-        return number
+class Lexicon:
+    """Hashes of numbered words, their class and the feature rows that one word
+    decides; the end is number 0 and class 0."""
 
-    def numbers(self, lists: list[list[bytes]]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, chain.from_iterable(lists)), np.int32, sum(map(len, lists)))
-
-    def learn_words(self) -> None:
-        """Class and rows of the words met since the last call."""
-        if not self.fresh:
-            return
+    def __init__(self, words: pa.Array, top: dict[bytes, int], rows: int):
         k = np.uint64(MULTIPLIER)
-        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, self.fresh), np.uint64, len(self.fresh))
-        kinds = np.fromiter((class_of(w, self.top) for w in self.fresh), np.int64, len(self.fresh))
-        alone = np.stack([placed(mixed(hashes * k + np.uint64(i)), self.rows) for i in range(3)])
-        self.hashes = np.concatenate([self.hashes, hashes])
-        self.lead = np.concatenate([self.lead, mixed(hashes + k) * k])
-        self.kinds = np.concatenate([self.kinds, kinds])
-        self.alone = np.concatenate([self.alone, alone], axis=1)
-        self.fresh = []
+        self.rows = rows
+        self.hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, [END, *words.to_pylist()]), np.uint64, len(words) + 1)
+        self.lead = mixed(self.hashes + k) * k
+        self.kinds = np.append(0, kinds_of(words, top))
+        self.alone = [placed(mixed(self.hashes * k + np.uint64(i)), rows).astype(np.int32) for i in range(3)]
 
 
 def laid_out(numbers: np.ndarray, lengths: np.ndarray, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray]:
     """Tokens to predict (word numbers, an end after each text) and their features (one
     row each of ``FEATURES``): the last word, the last two, the second and the third last."""
-    lexicon.learn_words()
     before = np.arange(len(lengths)) * 4 + 3
     row = np.zeros(len(numbers) + 4 * len(lengths), np.int32)
     row[np.arange(len(numbers)) + np.repeat(before, lengths)] = numbers
@@ -122,7 +133,7 @@ def laid_out(numbers: np.ndarray, lengths: np.ndarray, lexicon: Lexicon) -> tupl
         target[starts + i] = False
     at = np.flatnonzero(target)
     one, two, three = row[at - 1], row[at - 2], row[at - 3]
-    pair = placed(mixed(lexicon.lead[one] + lexicon.hashes[two]), lexicon.rows)
+    pair = placed(mixed(lexicon.lead[one] + lexicon.hashes[two]), lexicon.rows).astype(np.int32)
     return row[at], np.stack([lexicon.alone[0][one], pair, lexicon.alone[1][two], lexicon.alone[2][three]])
 
 
@@ -132,11 +143,8 @@ def centred(weights: np.ndarray, bias: np.ndarray, features: np.ndarray) -> np.n
     for column in features[1:]:
         z += np.take(weights, column, axis=0)
     z += bias
-    most = z
-    while most.shape[1] > 1:
-        half = most.shape[1] // 2
-        most = np.maximum(most[:, :half], most[:, half:])
-    z -= most
+    half = np.maximum(z[:, : CLASSES // 2], z[:, CLASSES // 2 :])
+    z -= np.ascontiguousarray(half.T).max(axis=0)[:, None]
     return z
 
 
@@ -148,15 +156,21 @@ def log_chances(weights: np.ndarray, bias: np.ndarray, features: np.ndarray, cla
 
 
 def summed(values: np.ndarray, at: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Sums of ``values[at]`` by segments of ``at``: short ones place by place, long ones by slices."""
+    """Sums of ``values[at]`` by segments of ``at``, longest first: place by place while
+    more than 64 have another place, what is left of those by slices."""
     sums = values.take(at[starts], axis=0)
-    active, place = np.flatnonzero(lengths > 1), 1
-    while len(active) > 64:
-        sums[active] += values.take(at[starts[active] + place], axis=0)
-        place += 1
-        active = active[lengths[active] > place]
-    for i in active.tolist():
-        sums[i] += values.take(at[starts[i] + place : starts[i] + lengths[i]], axis=0).sum(axis=0)
+    longer = np.flatnonzero(lengths > 1)
+    longer = longer[np.argsort(-lengths[longer], kind="stable")]
+    begins, sizes = starts[longer], lengths[longer]
+    part = sums.take(longer, axis=0)
+    places = int(sizes[64]) if len(sizes) > 64 else 1
+    active = len(sizes) - np.searchsorted(sizes[::-1], np.arange(places), side="right")
+    for place in range(1, places):
+        n = active[place]
+        part[:n] += values.take(at[begins[:n] + place], axis=0)
+    for i in np.flatnonzero(sizes > places).tolist():
+        part[i] += values.take(at[begins[i] + places : begins[i] + sizes[i]], axis=0).sum(axis=0)
+    sums[longer] = part
     return sums
 
 
@@ -196,7 +210,7 @@ class Learner:
         squares = self.squares[rows] + np.einsum("ij,ij->i", sums, sums)
         self.squares[rows] = squares
         sums *= (self.rate / np.sqrt(squares))[:, None]
-        self.weights[rows] -= sums
+        self.weights[rows] = self.weights.take(rows, axis=0) - sums
         self.used[rows] += lengths
 
     def learn(self, classes: np.ndarray, features: np.ndarray) -> None:
@@ -205,53 +219,42 @@ class Learner:
             self.step(classes[i : i + BATCH], features[:, i : i + BATCH])
 
 
-def _grouped(lists: Iterable[list[bytes]], most: int = 300_000) -> Iterator[list[list[bytes]]]:
-    group, size = [], 0
-    for words in lists:
-        group.append(words)
-        size += len(group[-1]) + 1
-        if size >= most:
-            yield group
-            group, size = [], 0
-    if group:
-        yield group
-
-
-def _vocabulary(docs: pd.DataFrame) -> pd.DataFrame:
+def _vocabulary(docs: pa.Table) -> pa.Table:
     """Different words of a chunk of documents, with their count in its training
     texts; the empty word stands for the ends of those."""
-    held = docs["held"].to_numpy(bool)
-    words: Counter = Counter()
-    for group in _grouped(map(tokens_of, docs["text"][~held])):
-        words.update(chain.from_iterable(group))
-    words[END] = int((~held).sum())
-    for group in _grouped(map(tokens_of, docs["text"][held])):
-        words.update(dict.fromkeys(set(chain.from_iterable(group)).difference(words), 0))
-    return pd.DataFrame({"chunk": np.full(len(words), docs["chunk"].iloc[0], np.int64), "word": list(words), "here": list(words.values())})
+    words, numbers, lengths = words_in(docs["text"])
+    train = ~docs["held"].to_numpy()
+    here = np.bincount(numbers[np.repeat(train, lengths)], minlength=len(words) + 1)
+    here[0] = train.sum()
+    listed = pa.concat_arrays([pa.array([END], pa.binary()), words.cast(pa.binary())])
+    return pa.table({"chunk": pa.repeat(docs["chunk"][0], len(here)), "word": listed, "here": here})
 
 
 def _gradients(model, rate: float):
     """One pass over this task's documents; what it changed, by block of rows, with
-    how often each row was met. A full list of words is begun anew."""
+    how often each row was met. Words are numbered anew every 10 MB."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         top, weights, bias = model.value
-        lexicon, learner = Lexicon(top, len(weights)), Learner(weights, bias, rate)
-        for pdf in batches:
-            for group in _grouped(map(tokens_of, pdf["text"])):
-                if len(lexicon) > MOST_WORDS:
-                    lexicon = Lexicon(top, len(weights))
-                words, features = laid_out(lexicon.numbers(group), np.fromiter(map(len, group), np.int64), lexicon)
-                learner.learn(lexicon.kinds[words], features)
+        learner = Learner(weights, bias, rate)
+        for batch in batches:
+            sizes = pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy()
+            for part in runs(sizes.astype(np.int64), CHUNK_BYTES):
+                found, numbers, lengths = words_in(batch["text"][part])
+                lexicon, stops = Lexicon(found, top, len(weights)), np.cumsum(lengths)
+                for run in runs(lengths + 1, 300_000):
+                    first = stops[run.start] - lengths[run.start]
+                    words, features = laid_out(numbers[first : stops[run.stop - 1]], lengths[run], lexicon)
+                    learner.learn(lexicon.kinds[words], features)
         if not learner.seen:
             return
         for block, first in enumerate(range(0, len(weights), BLOCK)):
             used = learner.used[first : first + BLOCK]
             if used.any():
                 change = (learner.weights[first : first + BLOCK] - weights[first : first + BLOCK]).astype(np.float16)
-                yield pd.DataFrame({"block": [block], "change": [change.tobytes()], "used": [used.tobytes()]}).astype({"block": "int32"})
+                yield pa.record_batch({"block": pa.array([block], pa.int32()), "change": [change.tobytes()], "used": [used.tobytes()]})
         change, used = (learner.bias - bias).astype(np.float16), np.array([learner.seen], np.float32)
-        yield pd.DataFrame({"block": [-1], "change": [change.tobytes()], "used": [used.tobytes()]}).astype({"block": "int32"})
+        yield pa.record_batch({"block": pa.array([-1], pa.int32()), "change": [change.tobytes()], "used": [used.tobytes()]})
 
     return run
 
@@ -284,7 +287,7 @@ def trained(docs: DataFrame, top: dict[bytes, int], tokens: int, rounds: int | N
     for number in range(rounds):
         sent = spark.sparkContext.broadcast(tuple(model))
         share = docs.where(fold % rounds == number).select("text").coalesce(tasks)
-        changes = share.mapInPandas(_gradients(sent, RATE / (number + 1)), "block int, change binary, used binary")
+        changes = share.mapInArrow(_gradients(sent, RATE / (number + 1)), "block int, change binary, used binary")
         for block, change in changes.repartition(parts, "block").mapInPandas(_averages, "block int, change binary").collect():
             part = np.frombuffer(change, np.float32).reshape(-1, CLASSES)
             if block < 0:
@@ -309,32 +312,23 @@ def _scored(model, totals: Totals):
     """Base and model scores of a chunk's documents. Counts of words that occur in
     other chunks as well are given, the others are taken here."""
 
-    def run(docs: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
+    def run(docs: pa.Table, words: pa.Table) -> pa.Table:
         top, weights, bias = model.value
-        lexicon = Lexicon(top, len(weights))
-        numbers, sizes = [], []
-        for group in _grouped(map(tokens_of, docs["text"])):
-            numbers.append(lexicon.numbers(group))
-            sizes += map(len, group)
-        numbers, sizes = np.concatenate([np.empty(0, np.int32), *numbers]), np.array(sizes, np.int64)
-        train = np.repeat(~docs["held"].to_numpy(bool), sizes)
-        count = np.bincount(numbers[train], minlength=len(lexicon))
-        elsewhere = np.fromiter(map(lexicon.__getitem__, words["word"]), np.int64, len(words))
-        count[elsewhere] = words["n"].to_numpy(np.int64)
+        found, numbers, sizes = words_in(docs["text"])
+        lexicon = Lexicon(found, top, len(weights))
+        train = np.repeat(~docs["held"].to_numpy(), sizes)
+        count = np.bincount(numbers[train], minlength=len(found) + 1)
+        elsewhere = pc.index_in(words["word"].cast(pa.large_binary()), found)
+        count[elsewhere.to_numpy() + 1] = words["n"].to_numpy()
         count[0] = totals.ends
         share = np.log10(count + 0.1)
         base_floor = np.log10(totals.tokens + 0.1 * (totals.words + 1))
         class_floor = np.log10(totals.class_tokens + 0.1 * (totals.class_words + 1))
         known, base, score = [], [], []
         ends = np.cumsum(sizes)
-        # Parts of about 100,000 words; a text is never parted.
-        cuts = np.flatnonzero(np.diff(ends // 100_000, prepend=0, append=-1))
-        first = 0
-        for last in (cuts + 1).clip(max=len(sizes)).tolist():
-            if last == first:
-                continue
-            lengths = sizes[first:last]
-            at, features = laid_out(numbers[ends[first] - sizes[first] : ends[last - 1]], lengths, lexicon)
+        for part in runs(sizes + 1, 100_000):
+            lengths = sizes[part]
+            at, features = laid_out(numbers[ends[part.start] - lengths[0] : ends[part.stop - 1]], lengths, lexicon)
             classes = lexicon.kinds[at]
             spans = [slice(i, i + BATCH) for i in range(0, len(at), BATCH)]
             logs = np.concatenate([log_chances(weights, bias, features[:, x], classes[x]) for x in spans]) / np.log(10)
@@ -342,10 +336,9 @@ def _scored(model, totals: Totals):
             known.append(np.add.reduceat((count[at] > 0).astype(np.int64), begins))
             base.append(np.add.reduceat(share[at] - base_floor, begins))
             score.append(np.add.reduceat(logs + share[at] - class_floor[classes], begins))
-            first = last
         columns = {"n_known": (known, np.int64), "base_score": (base, np.float64), "score": (score, np.float64)}
         joined = {name: np.concatenate([np.empty(0, kind), *parts]) for name, (parts, kind) in columns.items()}
-        return pd.DataFrame({"key": docs["key"].to_numpy(np.int64), "n_tokens": sizes + 1, **joined})
+        return pa.table({"key": docs["key"], "n_tokens": sizes + 1, **joined})
 
     return run
 
@@ -387,8 +380,9 @@ def class_scores(
     chunks = (base.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // CHUNK_BYTES + 1
     placed_docs = base.select("key", "text", "held", F.pmod(F.xxhash64("key"), F.lit(chunks)).alias("chunk"))
     chunked = placed_docs.repartition(parts_for(spark, chunks, 1), "chunk")
-    vocabulary = saved(chunked.groupBy("chunk").applyInPandas(_vocabulary, "chunk long, word binary, here long"))
-    counts = saved(vocabulary.where("here > 0").groupBy("word").agg(F.sum("here").alias("n")))
+    vocabulary = saved(chunked.groupBy("chunk").applyInArrow(_vocabulary, "chunk long, word binary, here long"))
+    listed = saved(vocabulary.groupBy("word").agg(F.sum("here").alias("n"), F.count("*").alias("chunks")))
+    counts = listed.where("n > 0")
     frequent = counts.where(F.length("word") > 0).orderBy(F.desc("n"), "word").limit(TOP).select("word").collect()
     top = {bytes(r[0]): i + 1 for i, r in enumerate(frequent)}
     names = [F.lit(w) for w in top]
@@ -402,9 +396,9 @@ def class_scores(
     tokens = totals.tokens
     model = spark.sparkContext.broadcast(tuple(trained(base.where(~F.col("held")), top, tokens, rounds, F.col("fold"))))
     # A chunk that has all occurrences of a word needs no answer.
-    answers = vocabulary.join(counts, "word").where("n <> here AND length(word) > 0").select("chunk", "word", "n")
+    answers = vocabulary.join(listed.where("chunks > 1"), "word").where("n <> here AND length(word) > 0").select("chunk", "word", "n")
     fields = "key long, n_tokens long, n_known long, base_score double, score double"
-    scored = chunked.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(_scored(model, totals), fields)
+    scored = chunked.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_scored(model, totals), fields)
     result = opened.df.join(scored.withColumnRenamed("key", "s_key"), F.col("key") == F.col("s_key"))
     return opened.closed(
         result,

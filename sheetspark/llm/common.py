@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,6 +14,8 @@ from ..session import saved, scratch_path  # noqa: F401
 
 BLANKS = "\t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+BLANK_BYTES = b" \t\n\x0b\x0c\r"
+IS_BLANK = np.isin(np.arange(256), list(BLANK_BYTES))
 
 
 class Opened:
@@ -64,6 +68,24 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(flat, " "), lambda w: w != "")
 
 
+def numbered_words(raw: bytes | bytearray, bounds: np.ndarray, more: np.ndarray | None = None) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Words of texts that lie in ``raw`` from bound to bound, parted at ASCII white space
+    and before each place of ``more``: the different ones, the number of each word in
+    order (from 1 on), and the words of each text."""
+    blank = IS_BLANK[np.frombuffer(raw, np.uint8)]
+    cut = np.ones(len(raw) + 1, bool)
+    cut[1:-1] = blank[1:] | blank[:-1]
+    cut[bounds] = True
+    if more is not None:
+        cut[more] = True
+    starts, stops = np.flatnonzero(cut[:-1] & ~blank), np.flatnonzero(cut[1:] & ~blank)
+    ends = np.append(0, np.cumsum(stops + 1 - starts))
+    letters = raw.translate(None, BLANK_BYTES)
+    words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(letters)])
+    coded = words.dictionary_encode()
+    return coded.dictionary, coded.indices.to_numpy() + np.int32(1), np.diff(np.searchsorted(starts, bounds))
+
+
 def parts_for(spark: SparkSession, amount: float, each: float) -> int:
     """Partitions so that each holds about ``each`` of an amount; at least as
     many as the session shuffles into."""

@@ -16,6 +16,7 @@ from .tokens import word_ids
 FEATURES = 1024
 DIMENSIONS = 4
 BITS = 12
+FRAME_BYTES = 1 << 20
 
 
 def _signs() -> np.ndarray:
@@ -62,17 +63,22 @@ def _placed(path: str | None, end_id: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words, signs = word_ids(path), _signs()
         kind = words.kind(end_id)
-        for whole in batches:
-            for start in range(0, len(whole), 500):
-                pdf = whole.iloc[start : start + 500]
-                points, kept = [], []
-                for raw in words.encode(pdf["text"], end_id):
-                    ids = np.frombuffer(raw, "<u4")
-                    points.append(_features(ids) @ signs)
-                    kept.append(ids.astype(kind).tobytes())
-                scaled = np.floor((np.array(points) + 4) / 8 * (1 << BITS)).clip(0, (1 << BITS) - 1)
-                width = np.full(len(kept), np.dtype(kind).itemsize, np.int32)
-                yield pd.DataFrame({"key": pdf["key"].to_numpy(), "id": pdf["id"].to_numpy(), "curve": hilbert_keys(scaled, BITS), "ids": kept, "width": width})
+
+        def frame(pdf: pd.DataFrame, points: list, kept: list) -> pd.DataFrame:
+            scaled = np.floor((np.array(points) + 4) / 8 * (1 << BITS)).clip(0, (1 << BITS) - 1)
+            width = np.full(len(kept), np.dtype(kind).itemsize, np.int32)
+            return pd.DataFrame({"key": pdf["key"].to_numpy(), "id": pdf["id"].to_numpy(), "curve": hilbert_keys(scaled, BITS), "ids": kept, "width": width})
+
+        for pdf in batches:
+            points, kept, held, first = [], [], 0, 0
+            for last, raw in enumerate(words.encode(pdf["text"], end_id), 1):
+                ids = np.frombuffer(raw, "<u4")
+                points.append(_features(ids) @ signs)
+                kept.append(ids.astype(kind).tobytes())
+                held += len(kept[-1])
+                if held >= FRAME_BYTES or last == len(pdf):
+                    yield frame(pdf.iloc[first:last], points, kept)
+                    points, kept, held, first = [], [], 0, last
 
     return run
 

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Opened, parts_for, saved
+from .common import Opened, numbered_words, parts_for, saved
 from .jaccard import MULTIPLIER, mixed
 
 END = b""
@@ -31,8 +31,6 @@ ROWS_PER_ROOT = 80
 LEAST_ROWS = 32_768
 TOKENS_PER_ROOT = 4096
 CHUNK_BYTES = 10 << 20
-BLANKS = b" \t\n\x0b\x0c\r"
-IS_BLANK = np.isin(np.arange(256), list(BLANKS))
 
 
 class Size(NamedTuple):
@@ -70,17 +68,7 @@ def words_in(texts: pa.Array | pa.ChunkedArray) -> tuple[pa.Array, np.ndarray, n
     _, bounds, raw = texts.buffers()
     bounds = np.frombuffer(bounds, np.int64)[texts.offset : texts.offset + len(texts) + 1]
     low = bytes(memoryview(raw or b"")[bounds[0] : bounds[-1]]).lower()
-    bounds = bounds - bounds[0]
-    blank = IS_BLANK[np.frombuffer(low, np.uint8)]
-    cut = np.ones(len(low) + 1, bool)
-    cut[1:-1] = blank[1:] | blank[:-1]
-    cut[bounds] = True
-    starts, stops = np.flatnonzero(cut[:-1] & ~blank), np.flatnonzero(cut[1:] & ~blank)
-    ends = np.append(0, np.cumsum(stops + 1 - starts))
-    letters = low.translate(None, BLANKS)
-    words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(letters)])
-    coded = words.dictionary_encode()
-    return coded.dictionary, coded.indices.to_numpy() + np.int32(1), np.diff(np.searchsorted(starts, bounds))
+    return numbered_words(low, bounds - bounds[0])
 
 
 def kinds_of(words: pa.Array, top: dict[bytes, int]) -> np.ndarray:
@@ -115,7 +103,7 @@ class Lexicon:
     def __init__(self, words: pa.Array, top: dict[bytes, int], rows: int):
         k = np.uint64(MULTIPLIER)
         self.rows = rows
-        self.hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, [END, *words.to_pylist()]), np.uint64, len(words) + 1)
+        self.hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, [END, *words.to_numpy(zero_copy_only=False)]), np.uint64, len(words) + 1)
         self.lead = mixed(self.hashes + k) * k
         self.kinds = np.append(0, kinds_of(words, top))
         self.alone = [placed(mixed(self.hashes * k + np.uint64(i)), rows).astype(np.int32) for i in range(3)]

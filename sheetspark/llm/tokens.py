@@ -1,4 +1,4 @@
-"""Token ids of whole texts, with one look-up for each word."""
+"""Token ids of whole texts, with one look-up for each different word of a group."""
 
 from __future__ import annotations
 
@@ -8,14 +8,14 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 
+from .common import IS_BLANK, numbered_words
+
 VOCABULARY = "word_bpe_49k.json"
 #: ASCII punctuation but for the apostrophe, which can begin a token of letters.
 PUNCTUATION = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 LETTERS = re.compile(r"[a-zß-öø-ÿ]+")
 MOST_WORDS = 400_000
-GROUP_BYTES = 500_000
-#: Between texts; the byte is in no UTF-8 text.
-MARK = b" \xff "
+GROUP_BYTES = 2_000_000
 
 
 def _byte_letters() -> list[str]:
@@ -30,14 +30,28 @@ def _kinds(members: bytes) -> np.ndarray:
     return np.isin(np.arange(256), np.frombuffer(members, np.uint8))
 
 
-STOPS, SMALL, BLANK = _kinds(b".,"), _kinds(b"abcdefghijklmnopqrstuvwxyz0123456789"), _kinds(b" \n")
+IS_PUNCTUATION, IS_SMALL = _kinds(PUNCTUATION), _kinds(b"abcdefghijklmnopqrstuvwxyz0123456789")
+
+
+def _lowered(raw: bytes) -> bytearray:
+    """UTF-8 with A-Z and the letters À-Þ in lower case; 0xC3 leads the latter, and no other bytes."""
+    low = bytearray(raw.lower())
+    x = np.frombuffer(low, np.uint8)
+    at = np.flatnonzero(x[:-1] == 0xC3) + 1
+    x[at[(x[at] >= 0x80) & (x[at] <= 0x9E) & (x[at] != 0x97)]] += 0x20
+    return low
 
 
-def _parted(raw: bytes) -> bytes:
-    """A blank before each lone full stop or comma between a letter and white space."""
-    x = np.frombuffer(raw, np.uint8)
-    at = np.flatnonzero(STOPS[x[1:-1]] & SMALL[x[:-2]] & BLANK[x[2:]]) + 1
-    return np.insert(x, at, 0x20).tobytes()
+def _final_punctuation(low: bytes | bytearray) -> np.ndarray:
+    """Where punctuation up to a blank begins after a letter (a-z, ß-ÿ) or digit. A blank closes ``low``."""
+    x = np.frombuffer(low, np.uint8)
+    marks = IS_PUNCTUATION[x]
+    begins = np.flatnonzero(marks[1:] & ~marks[:-1]) + 1
+    ends = np.flatnonzero(marks[:-1] & ~marks[1:]) + 1
+    ends = ends[np.searchsorted(ends, begins)]
+    last = x[begins - 1]
+    letter = IS_SMALL[last] | ((x[begins - 2] == 0xC3) & (last >= 0x9F) & (last <= 0xBF) & (last != 0xB7))
+    return begins[letter & IS_BLANK[x[ends]]]
 
 
 def vocabulary_path(path: str | None) -> str:
@@ -53,10 +67,10 @@ class WordIds:
     """Ids of texts under a BPE vocabulary with word ends (32-bit little-endian).
 
     The vocabulary drops white space, lowers case and never joins across white
-    space, so a text's ids are those of its words one after the other. Ids are kept
-    for the words seen last, and made for a word's letters and its final
-    punctuation apart. Letters alone go to the vocabulary's merges directly, all
-    else, and words that may hold a special token, through the whole tokenizer.
+    space, so a text's ids are those of its words one after the other. Final
+    punctuation is a word of its own. Ids are kept for the words seen last. Letters
+    alone go to the vocabulary's merges directly, all else, and texts that may hold
+    a special token, through the whole tokenizer.
     """
 
     def __init__(self, path: str | None = None):
@@ -94,29 +108,14 @@ class WordIds:
             raw = ids.tobytes()
             self.words.update(zip(part, map(raw.__getitem__, map(slice, [0, *stops[:-1]], stops)), strict=True))
 
-    def _learn(self, unknown: Iterable[bytes]) -> None:
-        simple, split, stems = [], [], set()
+    def _learn(self, unknown: list[bytes]) -> None:
+        simple = []
         for word in unknown:
-            if word.isalpha():
+            if word.isalpha() or LETTERS.fullmatch(text := word.decode("utf-8", "replace")):
                 simple.append(word)
-                continue
-            stem = word.rstrip(PUNCTUATION)
-            if len(stem) < len(word) and stem[-1:].isalnum():
-                split.append(word)
-                stems.add(stem)
-                stems.add(word[len(stem) :])
             else:
-                stems.add(word)
-        for stem in stems.difference(self.words, simple):
-            if stem.isalpha() or LETTERS.fullmatch(text := stem.decode("utf-8", "replace")):
-                simple.append(stem)
-            else:
-                self.words[stem] = self._exact(text)
+                self.words[word] = self._exact(text)
         self._spelled(simple)
-        known = self.words
-        for word in split:
-            stem = word.rstrip(PUNCTUATION)
-            known[word] = known[stem] + known[word[len(stem) :]]
 
     def encode(self, texts: Iterable[bytes | str | None], end_id: int | None = None) -> Iterator[memoryview]:
         """Bytes of the ids of each text, in order, closed by ``end_id`` if given; null is empty."""
@@ -131,34 +130,38 @@ class WordIds:
         yield from self._group(group, end_id)
 
     def _group(self, group: list[bytes], end_id: int | None) -> Iterator[memoryview]:
-        """Texts are looked up as one list of words with a mark after each text, in
-        the place of which the end id is written."""
+        """Each different word of the texts is looked up once; its ids are then copied
+        to all its places, and an end is one more word after each text."""
         if not group:
             return
         special = {i: self._exact(raw.decode("utf-8", "replace")) for i, raw in enumerate(group) if b"<|" in raw}
-        words = _parted(b"".join(MARK if i in special else raw + MARK for i, raw in enumerate(group)).lower()).split()
+        plain = [b"" if i in special else raw for i, raw in enumerate(group)]
+        joined = _lowered(b"\n".join(plain) + b"\n")
+        bounds = np.cumsum([0, *map(len, plain)]) + np.arange(len(plain) + 1)
+        listed, numbers, lengths = numbered_words(joined, bounds, _final_punctuation(joined))
+        words = listed.to_numpy(zero_copy_only=False).tolist()
         if len(self.words) > MOST_WORDS:
             here = set(words)
             self.words = {w: ids for w, ids in self.words.items() if w in here}
-        self.words[MARK.strip()] = b"\xff\xff\xff\xff"
         ids = list(map(self.words.get, words))
         missing = [i for i, known in enumerate(ids) if known is None]
-        self._learn({words[i] for i in missing})
+        self._learn([words[i] for i in missing])
         for i in missing:
             ids[i] = self.words[words[i]]
-        found = np.frombuffer(b"".join(ids), "<u4")
-        stops = np.flatnonzero(found == 0xFFFFFFFF)
-        closing = [] if end_id is None else [end_id]
+        closing = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
+        ids = [closing, *ids]
+        stops = np.cumsum(lengths)
         if closing:
-            found = found.copy()
-            found[stops] = end_id
-        view, start = memoryview(found).cast("B"), 0
-        for i, stop in enumerate(stops.tolist()):
-            if i in special:
-                yield memoryview(special[i] + np.array(closing, "<u4").tobytes())
-            else:
-                yield view[4 * start : 4 * (stop + len(closing))]
-            start = stop + 1
+            numbers, stops = np.insert(numbers, stops, 0), stops + np.arange(1, len(stops) + 1)
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        firsts, each = np.cumsum(sizes) - sizes, sizes[numbers]
+        ends = np.append(0, np.cumsum(each))
+        places = np.repeat(firsts[numbers] - ends[:-1], each)
+        places += np.arange(len(places))
+        view = memoryview(np.frombuffer(b"".join(ids), "<u4")[places]).cast("B")
+        bounds = (4 * ends[np.append(0, stops)]).tolist()
+        for i, (start, stop) in enumerate(zip(bounds, bounds[1:])):
+            yield memoryview(special[i] + closing) if i in special else view[start:stop]
 
 
 _KNOWN: dict[str | None, WordIds] = {}

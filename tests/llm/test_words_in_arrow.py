@@ -1,4 +1,4 @@
-"""Words of texts numbered by Arrow, for the scores of the language model."""
+"""Words of texts numbered by Arrow: scores of the language model, ids of texts."""
 
 import random
 
@@ -6,7 +6,7 @@ import brute
 import numpy as np
 import pyarrow as pa
 import pytest
-from sheetspark.llm import maxent
+from sheetspark.llm import maxent, tokens
 
 
 def test_numbered_words_are_those_of_a_plain_split():
@@ -41,3 +41,24 @@ def test_scores_of_texts_that_are_not_utf8(spark):
         r = rows[key]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held, n, known, train)
         assert r.base_score == pytest.approx(base, rel=1e-9) and np.isfinite(r.score)
+
+
+def test_ids_of_words_with_marks_and_final_punctuation(monkeypatch):
+    monkeypatch.setattr(tokens, "GROUP_BYTES", 3000)
+    rnd = random.Random(6)
+    letters = "aAzÀÉÖ×ØÞßàé÷öÿŸİ中éÉȨ̂́.,!&#'<|> \n\t\x0b\xa005"
+    texts = ["".join(rnd.choice(letters) for _ in range(rnd.randint(0, 25))) for _ in range(4000)]
+    texts += [None, "", "&&&", "é.", ".é", "É&&&", "×.", "÷,", "中.", "don't.", "a'.", "a.b.", "x <|endoftext|>.", "ö.\n,"]
+    words = tokens.WordIds()
+    whole = [words.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(x, "<u4").tolist() for x in words.encode(texts)] == whole
+    assert [np.frombuffer(x, "<u4").tolist() for x in words.encode(texts, 2)] == [ids + [2] for ids in whole]
+
+
+def test_words_of_letters_skip_the_whole_tokenizer():
+    words, exact = tokens.WordIds(), []
+    plain = words._exact
+    words._exact = lambda word: exact.append(word) or plain(word)
+    list(words.encode(["Émenten ieöö. heitlichü&&& ÉTÉ!! oué, abc... Ñosmi"]))
+    assert all(not any(c.isalpha() for c in word) for word in exact)
+    assert len(words.words) == 12
